@@ -11,6 +11,7 @@ from urllib.parse import unquote, urlparse
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that are no part of a word of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, made blank, and A-Z in lower case.
 WORD_TABLE = bytes(
@@ -63,6 +64,21 @@ def pick(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def sealed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all columns but text in a struct, rest: whatever their names, none clashes with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
+
+
+def unsealed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the DataFrame that was sealed, in their order."""
+    return df.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns])
+
+
+def extended(df: DataFrame, names: list[str], more: str) -> T.StructType:
+    """The schema of some columns of df, then more."""
+    return T.StructType([*(df.schema[n] for n in names), *T.StructType.fromDDL(more).fields])
+
+
 def raw(column: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of an Arrow string column one by one, a few at a time, so that few Python copies exist at once."""
     column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())

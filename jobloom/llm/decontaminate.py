@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import materialize, pick, raw, table, words
+from jobloom.llm.common import extended, materialize, pick, raw, sealed, table, unsealed, words
 
 NAME = "op2_decontaminate"
 WIDTH = 13
@@ -107,8 +107,7 @@ def _search(docs: DataFrame, keys: list[str], block: list[tuple[str, bytes | Non
             own += [pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(own, [*keys, "n_words", "spans", "items"])
 
-    types = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + _HITS)
+    return docs.mapInArrow(run, extended(docs, keys, _HITS))
 
 
 def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:
@@ -126,13 +125,15 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, byte
     yield block
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, n_words, spans of hit words (merged, [start, end)), items (sorted ids)."""
+def find_overlaps(
+    docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, keys: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """For each row of docs (text and keys): keys, n_words, spans of hit words (merged, [start, end)), items (sorted ids)."""
     spark = docs.sparkSession
-    docs = pick(docs, ["doc_id", "text"])
+    docs = pick(docs, list(dict.fromkeys([*keys, "text"])))
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     if total <= block_bytes:
-        return _search(docs, ["doc_id"], next(_blocks(items, block_bytes)), width)
+        return _search(docs, [*keys], next(_blocks(items, block_bytes)), width)
     docs = materialize(spark, docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     passes = [
         materialize(spark, _search(docs, ["row"], block, width).filter(F.size("items") > 0), "decontaminate-hits")
@@ -145,9 +146,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_b
     hits = hits.groupBy("row").agg(
         join(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    counted = _search(docs, ["row", "doc_id"], [], width).drop("spans", "items")
+    counted = _search(docs, ["row", *keys], [], width).drop("spans", "items")
     return counted.join(hits, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+        *keys, "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
@@ -158,6 +159,12 @@ def judge(overlaps: DataFrame) -> DataFrame:
     return overlaps.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    found = judge(find_overlaps(sealed(docs), items, keys=("rest", "text")))
+    return unsealed(found.filter(~F.col("contaminated")), docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select(

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import pick, raw, table
+from jobloom.llm.common import extended, pick, raw, sealed, table, unsealed
 
 NAME = "op1_quality"
 SQL = None
@@ -96,17 +96,18 @@ class Model:
     weights: list[float]
 
 
-def _measured(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
-    """docs (doc_id, text) with diff and size in the place of the text."""
+def _measured(docs: DataFrame, good: bytes, bad: bytes, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs (text and keys): keys, diff and size."""
     sent = docs.sparkSession.sparkContext.broadcast((good, bad))  # at most 2 * DICT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, b = (compressor(x) for x in sent.value)
         for batch in batches:
             found = np.array([features(t or b"", g, b) for t in raw(batch.column("text"))], float).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc_id", "diff", "size"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(found[:, 0]), pa.array(found[:, 1])], [*keys, "diff", "size"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, diff double, size double")
+    docs = pick(docs, list(dict.fromkeys([*keys, "text"])))
+    return docs.mapInArrow(run, extended(docs, [*keys], "diff double, size double"))
 
 
 def fold(column: str = "doc_id"):
@@ -145,13 +146,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(good, bad, w.tolist())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1, higher: good likelier) of each row of docs (doc_id, text)."""
-    measured = _measured(pick(docs, ["doc_id", "text"]), model.good, model.bad)
-    w = model.weights
-    logit = w[0] + w[1] * 10 * F.col("diff") + w[2] * 10 * F.abs("diff") + w[3] * F.col("size") + w[4] * F.col("size") * F.col("size")
+def score(docs: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys and score (0 to 1, higher: good likelier) of each row of docs (text and keys)."""
+    w, size = model.weights, F.col("size")
+    logit = w[0] + w[1] * 10 * F.col("diff") + w[2] * 10 * F.abs("diff") + w[3] * size + w[4] * size * size  # as in terms()
     logit = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))
-    return measured.select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"))
+    return _measured(docs, model.good, model.bad, keys).select(*keys, (1 / (1 + F.exp(-logit))).alias("score"))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score threshold or more, with all their columns."""
+    return unsealed(score(sealed(docs), model, ("rest", "text")).filter(F.col("score") >= threshold), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

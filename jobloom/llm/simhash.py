@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import LOWER_TABLE, materialize, pick, raw, table
+from jobloom.llm.common import LOWER_TABLE, extended, materialize, pick, raw, sealed, table, unsealed
 
 NAME = "op3_simhash"
 SQL = None
@@ -49,15 +49,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed long) of each row of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys and fp (the fingerprint's 64 bits as a signed long) of each row of docs (text and keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t, shingle) for t in raw(batch.column("text"))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(found.view(np.int64))], [*keys, "fp"])
 
-    return pick(docs, ["doc_id", "text"]).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    docs = pick(docs, list(dict.fromkeys([*keys, "text"])))
+    return docs.mapInArrow(run, extended(docs, [*keys], "fp long"))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -106,16 +107,32 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def placed(own: DataFrame) -> DataFrame:
+    """(fp, root) for every fingerprint of own (doc_id, fp): root is the smallest fingerprint that is reachable."""
+    spark = own.sparkSession
+    fps = materialize(spark, own.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(links(fps))
+    return materialize(spark, fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "placed")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of all that are reachable) for each row of docs (doc_id, text)."""
+    own = materialize(docs.sparkSession, fingerprints(docs), "fingerprints")
+    where = placed(own)
+    first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    named = first.join(where, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    return own.join(where.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of docs of each component, with all its columns: of the smallest doc_id, and of one of its repeated rows."""
     spark = docs.sparkSession
-    own = materialize(spark, fingerprints(docs), "fingerprints")
-    fps = materialize(spark, own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(fps.select("fp")))
-    placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(spark, placed, "placed")
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(placed.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    own = fingerprints(sealed(docs), keys=("rest", "text", "doc_id")).withColumn("row", F.monotonically_increasing_id())
+    own = materialize(spark, own, "fingerprinted")  # the row numbers are fixed from here on
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = own.groupBy("fp").agg(F.min(order).alias("first"))
+    first = first.join(placed(own), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return unsealed(own.join(first.select(F.col("first.row").alias("row")), "row", "left_semi"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
