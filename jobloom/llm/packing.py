@@ -1,7 +1,7 @@
 """Sum-of-squares bin packing of documents into sequences of fixed capacity.
 
-Each piece goes where the sum, over gaps, of the squared number of open bins with that gap becomes smallest; among equal
-places into the fullest bin. The pieces of an input partition are encoded and packed where they are, largest first, so no
+Each piece goes where the sum, over gaps, of the squared number of open bins with that gap becomes smallest, among equal
+places into the fullest bin; a bin is opened only where no open one has room. The pieces of an input partition are encoded and packed where they are, largest first, so no
 text and no token is shuffled. Pieces in bins that a partition leaves with a gap of more than `SLACK` of the capacity
 are packed anew, in groups of up to `GROUP` pieces, until one group holds all that are left; only these few pieces move.
 A task keeps a few integers for each piece and packs after `HELD` pieces at the latest, so its memory is bounded however
@@ -39,7 +39,7 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, in
     """Bin and offset of each length (0 < length <= capacity), and the number of bins: sum-of-squares packing.
 
     n[g] open bins have gap g. A piece of length s into a bin of gap g changes the sum of squares by
-    2 * (n[g - s] - n[g]) + 2, into a new bin by 2 * n[capacity - s] + 1; closed bins (gap 0) don't count.
+    2 * (n[g - s] - n[g]) + 2; closed bins (gap 0) don't count.
     """
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     n = np.zeros(capacity + 1, np.int64)
@@ -48,16 +48,13 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, in
     never = np.iinfo(np.int64).max
     for i in np.argsort(-np.asarray(lengths, np.int64), kind="stable").tolist():
         s = int(lengths[i])
-        here = n[s:]
-        left = n[: capacity + 1 - s].copy()
-        left[0] = 0
-        change = np.where(here > 0, 2 * (left - here) + 2, never)
-        if here[0]:
+        here = n[s:capacity]
+        change = np.where(here > 0, 2 * (n[: capacity - s] - here) + 2, never)
+        if len(here) and here[0]:
             change[0] = 1 - 2 * here[0]  # the bin closes: only its own gap's count falls
-        change[-1] = 2 * left[-1] + 1 if s < capacity else 0
-        g = int(change.argmin()) + s  # of equal changes the smallest gap
-        if g == capacity:
-            b, made = made, made + 1
+        g = int(change.argmin()) + s if len(here) else capacity  # of equal changes the smallest gap
+        if g == capacity or change[g - s] == never:
+            g, b, made = capacity, made, made + 1
         else:
             b = open_bins[g].pop()
             n[g] -= 1
