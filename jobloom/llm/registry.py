@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that each hold NAME, query(spark, sf_dir) and SQL (None: tested against brute force).
-MODULES = ("packing", "quality", "decontaminate", "simhash")
+MODULES = ("chat", "knn", "packing", "quality", "decontaminate", "simhash")
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
