@@ -41,10 +41,10 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/jobloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """df written as Parquet into the shared folder and read again: it cuts the lineage, and outlives executors."""
     where = fresh_dir(spark, label)
-    df.write.parquet(where)
+    df.write.parquet(where, compression=compression)
     return spark.read.schema(df.schema).parquet(where)
 
 
