@@ -1,30 +1,35 @@
 """Byte-pair encoding of whole texts with the tokenizers library and a vocabulary file.
 
 The byte-level and the word-level pre-tokenizers never join what stands on either side of a blank, so a text is encoded
-blank by blank: pieces met before come from a table, those not met yet are encoded by the library, many at a time. The
-ids are those of encoding the text at once. Where blanks meet other white space the byte-level model looks at both, and
-the whole text goes to the library.
+blank by blank. Pieces met before come from a table. New ones of plain letters, digits and signs are cut into words as
+the pre-tokenizer would, and the words not met before go to the library's model; pieces of other characters go to the
+library whole. The ids are those of encoding the text at once. Where blanks meet other white space
+the byte-level model looks at both, and the whole text goes to the library; so do all texts of other kinds of model.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import islice
 
-import numpy as np
+#: Different pieces, and words, that a worker keeps the ids of; when full it starts anew, which costs time and changes nothing else.
+TABLE = 700_000
 
-#: Different pieces that a worker keeps the ids of; when full it starts anew, which costs time and changes nothing else.
-TABLE = 1_000_000
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Pieces whose words, lower case and normal form are the same for Python and for the library.
+_PLAIN = re.compile(rf"[!-~\n{_LETTERS}]+")
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_BYTE_WORDS = re.compile(rf"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_LOWER_WORDS = re.compile(rf"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 
-
-class _Numbers(dict):
-    """Pieces to their numbers, in the order met."""
-
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self)
-        return n
+# The printable bytes that byte-level vocabularies write as themselves; the rest follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
 
 
 def vocabulary(name: str) -> str:
@@ -34,6 +39,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Table(dict):
+    """Keys to what find says of them, remembered."""
+
+    def __init__(self, find: Callable[[str], bytes | None]):
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes | None:
+        found = self[key] = self.find(key)
+        return found
+
+
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers. Strings of special tokens are ordinary text."""
 
@@ -43,60 +59,62 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        steps = own["pre_tokenizer"].get("pretokenizers", [own["pre_tokenizer"]])
+        #: The byte-level model keeps the blank, as part of the word that follows; the word-level one drops it.
+        self.keeps_blank = own["normalizer"] is None and steps[0].get("use_regex", False) and not steps[0]["add_prefix_space"]
+        split = steps[0].get("pattern", {}).get("Regex", "") if steps[0].get("behavior") == "Removed" and steps[0]["invert"] else ""
+        self.by_blank = self.keeps_blank or split == rf"{_ENDINGS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"
+        self.split = (_BYTE_WORDS if self.keeps_blank else _LOWER_WORDS).findall
         self.most = table
-        self.numbers = _Numbers()
-        self.ids: list[bytes | None] = []
-        # The byte-level model keeps the blank, as part of the word that follows.
-        self.keeps_blank = bool(self._library([" a b"])[0] != self._library(["a b"])[0])
-        self.leads = np.zeros(self.model.get_vocab_size(), bool)
-        if self.keeps_blank:  # ids of words that follow a blank
-            for word, i in self.model.get_vocab().items():
-                self.leads[i] = word.startswith("\u0120")
-        else:  # a mark of one id, set between pieces
-            self.leads[np.frombuffer(self._library(["\x01"])[0], "<u4")] = True
+        self.blank = chr(_BYTES[32])
+        self.tokenize = self.model.model.tokenize
+        self.words = _Table(self._word)
+        self.pieces = _Table(self._piece)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, many of them encoded as one text and cut apart again."""
-        out = []
-        for i in range(0, len(pieces), 2048):
-            part = pieces[i : i + 2048]
-            text = " " + " ".join(part) if self.keeps_blank else "\x01 " + " \x01 ".join(part)
-            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.leads[ids])
-            if len(at) != len(part):  # a piece holds the mark itself
-                out += self._library([f" {p}" for p in part] if self.keeps_blank else part)
-                continue
-            data, skip = ids.tobytes(), 0 if self.keeps_blank else 4
-            ends = [*(4 * at).tolist(), len(data)]
-            out += [data[a + skip : b] for a, b in zip(ends, ends[1:])]
-        return out
-
-    def _learn(self, pieces: list[str]) -> list[bytes | None]:
-        if not self.keeps_blank:
-            return self._pieces(pieces)
-        # A piece that is empty or starts with white space looks beyond its blank: None, the text goes to the library.
-        whole = [bool(p) and not p[0].isspace() for p in pieces]
-        found = iter(self._pieces([p for p, ok in zip(pieces, whole) if ok]))
-        return [next(found) if ok else None for ok in whole]
+    def _word(self, word: str) -> bytes:
+        """The ids of a word, given to the model as the byte-level step writes it."""
+        if word.isascii() and word.isprintable():
+            shown = self.blank + word[1:] if word[0] == " " else word
+        else:
+            shown = word.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes | None:
+        """The ids of a piece (with its blank). None: empty or starts with white space, so it looks beyond its blank."""
+        if self.keeps_blank:
+            if not piece or piece[0].isspace():
+                return None
+            piece = " " + piece
+        if _PLAIN.fullmatch(piece, self.keeps_blank):
+            return b"".join(map(self.words.__getitem__, self.split(piece if self.keeps_blank else piece.lower())))
+        return self._library([piece])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.numbers) > self.most:
-            self.numbers, self.ids = _Numbers(), []
-        cut = [t.split(" ") for t in texts]
-        heads = self._library([p.pop(0) for p in cut]) if self.keeps_blank else [b""] * len(cut)
-        placed = [list(map(self.numbers.__getitem__, p)) for p in cut]
-        if len(self.numbers) > len(self.ids):
-            self.ids += self._learn(list(islice(self.numbers, len(self.ids), None)))
-        out, get = [], self.ids.__getitem__
-        for text, head, at in zip(texts, heads, placed):
-            try:
-                out.append(head + b"".join(map(get, at)))
-            except TypeError:  # a None among the pieces
-                out.append(self._library([text])[0])
+        if not self.by_blank:
+            return self._library(texts)
+        for known in (self.words, self.pieces):
+            if len(known) > self.most:
+                known.clear()
+        out, get = [], self.pieces.__getitem__
+        collects = gc.isenabled()
+        gc.disable()  # many small objects and no cycles among them
+        try:
+            for text in texts:
+                pieces = text.split(" ")
+                head = self._library([pieces.pop(0)])[0] if self.keeps_blank else b""
+                try:
+                    out.append(head + b"".join(map(get, pieces)))
+                except TypeError:  # a None among the pieces
+                    out.append(self._library([text])[0])
+        finally:
+            if collects:
+                gc.enable()
         return out
 
 
