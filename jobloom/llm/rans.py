@@ -19,8 +19,8 @@ import numpy as np
 
 MAGIC = b"RNS1"
 BITS = 20
-LANES = 2048
-EVERY = 256
+LANES = 4096
+EVERY = 128
 LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4s5I")
 

@@ -1,9 +1,8 @@
 """Token-ID files: documents encoded, ordered by doc_id, and written as blocks of a static range ANS (see rans).
 
-Four passes, each over the whole corpus: documents are dealt by ranges of (doc_id, hash of the text), so that many rows of
-one id are spread too, and encoded in order into chunks of whole documents (about `CHUNK` ids, kept compressed in the
-shared folder); ids are counted over all chunks and make the one frequency table; each chunk becomes a block of a file; the
-files are read again. The driver keeps the table (a count for each id of the vocabulary) and the number of ids of each
+Documents are dealt by ranges of (doc_id, hash of the text), so that many rows of one id are spread too, and encoded in
+order into chunks of whole documents (about `CHUNK` ids, kept compressed in the shared folder); the counts of all ids make
+the one frequency table; then each chunk becomes a block of a file; the files are read again. The driver keeps the table (a count for each id of the vocabulary) and the number of ids of each
 range, no more. Files are written whole under a name that follows from the first chunk, so a task that runs again
 replaces them by equal ones.
 
@@ -43,30 +42,35 @@ _FOOT = struct.Struct("<II4s")
 
 
 def tokenized(docs: DataFrame, path: str, end: int = END, chunk: int = CHUNK) -> DataFrame:
-    """Chunks of docs (doc_id, text) in ascending order of (part, chunk): n ids from place `start` of the part on."""
+    """Chunks of docs (doc_id, text) in ascending order of (part, chunk): n ids from place `start` of the part on.
+
+    The last row of a part has no ids, but the counts of all ids of the part.
+    """
     rows = pick(docs, ["doc_id", "text"]).withColumn("h", F.xxhash64("text"))
     spread = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    names = ["part", "chunk", "start", "n", "doc_ids", "present", "lengths", "ids"]
+    names = ["part", "chunk", "start", "n", "doc_ids", "present", "lengths", "ids", "counts"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, last = encoder(path), np.array([end], "<u4").tobytes()
-        small, packer = model.model.get_vocab_size() <= 1 << 16, zstandard.ZstdCompressor(level=1)
+        kinds = model.model.get_vocab_size()
+        small, packer, total = kinds <= 1 << 16, zstandard.ZstdCompressor(level=1), np.zeros(kinds, np.int64)
         part, number, start = TaskContext.get().partitionId(), 0, 0
         held: list[bytes] = []
         own: list[int | None] = []
         size = 0
 
         def made() -> pa.RecordBatch:
-            nonlocal number, start, size
+            nonlocal number, start, size, total
             ids = np.frombuffer(b"".join(held), "<u4")
+            total += np.bincount(ids, minlength=kinds)
             data = packer.compress(ids.astype("<u2").tobytes() if small else ids.tobytes())
             present = np.array([i is not None for i in own], np.uint8).tobytes()
             columns = [part, number, start, len(ids), np.array([i or 0 for i in own], "<i8").tobytes(), present]
-            columns += [np.array([len(x) // 4 for x in held], "<u4").tobytes(), data]
+            columns += [np.array([len(x) // 4 for x in held], "<u4").tobytes(), data, None]
             number, start, size = number + 1, start + len(ids), 0
             held.clear()
             own.clear()
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(columns, types)], names)
 
         for batch in batches:
@@ -81,9 +85,11 @@ def tokenized(docs: DataFrame, path: str, end: int = END, chunk: int = CHUNK) ->
                         yield made()
         if held:
             yield made()
+        if number:
+            columns = [part, number, start, 0, None, None, None, None, packer.compress(total.astype("<i8").tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(columns, types)], names)
 
-    kinds = "part int, chunk int, start long, n long, doc_ids binary, present binary, lengths binary, ids binary"
-    return spread.mapInArrow(run, kinds)
+    return spread.mapInArrow(run, "part int, chunk int, start long, n long, doc_ids binary, present binary, lengths binary, ids binary, counts binary")
 
 
 def _ids(data: bytes, n: int) -> np.ndarray:
@@ -97,13 +103,14 @@ def counts(chunks: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for n, data in zip(batch.column("n").to_pylist(), batch.column("ids")):
-                total += np.bincount(_ids(data.as_py(), n), minlength=size)
+            for data in batch.column("counts"):
+                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_py()), "<i8")
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for row in chunks.select("n", "ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    found = chunks.select("counts").filter("counts IS NOT NULL").mapInArrow(run, "id int, n long")
+    for row in found.groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[row.id] = row.n
     return out
 
@@ -147,7 +154,7 @@ def write_token_files(docs: DataFrame, where: str, path: str, end: int = END, ch
 
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {k: batch.column(k)[r].as_py() for k in batch.schema.names}
+                row = {k: batch.column(k)[r].as_py() for k in batch.schema.names if k != "counts"}
                 if (row["part"], row["chunk"]) != after or len(sections) == FILE_CHUNKS:
                     close()
                     name = f"part-{row['part']:06d}-{row['chunk']:06d}.rns"
@@ -157,7 +164,7 @@ def write_token_files(docs: DataFrame, where: str, path: str, end: int = END, ch
         close()
         yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.string()), pa.array(done[1], pa.int64())], ["name", "bytes"])
 
-    chunks.mapInArrow(run, "name string, bytes long").agg(F.sum("bytes")).collect()
+    chunks.filter("n > 0").mapInArrow(run, "name string, bytes long").agg(F.sum("bytes")).collect()
 
 
 def read_sections(data: bytes, freq: rans.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

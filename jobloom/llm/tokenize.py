@@ -18,7 +18,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 #: Different pieces, and words, that a worker keeps the ids of; when full it starts anew, which costs time and changes nothing else.
-TABLE = 700_000
+TABLE = 1_000_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces whose words, lower case and normal form are the same for Python and for the library.
@@ -40,15 +40,19 @@ def vocabulary(name: str) -> str:
 
 
 class _Table(dict):
-    """Keys to what find says of them, remembered."""
+    """Keys to what find says of them, remembered; more than `most` are forgotten between calls."""
 
-    def __init__(self, find: Callable[[str], bytes | None]):
-        self.find = find
+    def __init__(self, find: Callable[[str], bytes | None], most: int):
+        self.find, self.most = find, most
 
     def __missing__(self, key: str) -> bytes | None:
         found = self[key] = self.find(key)
         return found
 
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+
 
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers. Strings of special tokens are ordinary text."""
@@ -67,11 +71,10 @@ class Encoder:
         split = steps[0].get("pattern", {}).get("Regex", "") if steps[0].get("behavior") == "Removed" and steps[0]["invert"] else ""
         self.by_blank = self.keeps_blank or split == rf"{_ENDINGS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"
         self.split = (_BYTE_WORDS if self.keeps_blank else _LOWER_WORDS).findall
-        self.most = table
         self.blank = chr(_BYTES[32])
         self.tokenize = self.model.model.tokenize
-        self.words = _Table(self._word)
-        self.pieces = _Table(self._piece)
+        self.words = _Table(self._word, table)
+        self.pieces = _Table(self._piece, table)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,25 +92,30 @@ class Encoder:
         if self.keeps_blank:
             if not piece or piece[0].isspace():
                 return None
-            piece = " " + piece
-        if _PLAIN.fullmatch(piece, self.keeps_blank):
-            return b"".join(map(self.words.__getitem__, self.split(piece if self.keeps_blank else piece.lower())))
-        return self._library([piece])[0]
+            return self._run(" " + piece)
+        return self._run(piece.lower()) if piece.isascii() else self._run(piece)
+
+    def _run(self, run: str) -> bytes:
+        """The ids of a run of signs that stands apart: a piece, or the start of a text."""
+        if run.isascii() and run[1:].isalpha() and (run[0] == " " or run[0].isalpha()):
+            return self.words[run]
+        if _PLAIN.fullmatch(run, run[:1] == " "):
+            return b"".join(map(self.words.__getitem__, self.split(run if self.keeps_blank else run.lower())))
+        return self._library([run])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if not self.by_blank:
             return self._library(texts)
-        for known in (self.words, self.pieces):
-            if len(known) > self.most:
-                known.clear()
+        self.words.trim()
+        self.pieces.trim()
         out, get = [], self.pieces.__getitem__
         collects = gc.isenabled()
         gc.disable()  # many small objects and no cycles among them
         try:
             for text in texts:
                 pieces = text.split(" ")
-                head = self._library([pieces.pop(0)])[0] if self.keeps_blank else b""
+                head = self._run(pieces.pop(0)) if self.keeps_blank else b""
                 try:
                     out.append(head + b"".join(map(get, pieces)))
                 except TypeError:  # a None among the pieces
