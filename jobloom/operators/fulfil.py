@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import docs
 from jobloom.functions.text import slugify, truthy
 from jobloom.schemas import COMPANIES, LISTINGS, PAID_LISTINGS, THIRTY_DAYS_MS, TIERS
+from jobloom.sources.shared import materialize
 
 FOUNDING_CENTS, STANDARD_CENTS, FOUNDING_SEATS = 19900, 29900, 50
 COMPLETED = "checkout.session.completed"
@@ -95,7 +96,7 @@ def unique_slugs(wanted: DataFrame, taken: DataFrame) -> DataFrame:
         ranked = rest.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy("at")) - 1)
         named = ranked.join(free, ["root", "k"]).withColumn("slug", F.when(F.col("number") == 1, F.col("root")).otherwise(F.concat_ws("-", "root", "number")))
         best = named.groupBy("slug").agg(F.min("at").alias("best"))
-        named = named.join(best, "slug").withColumn("ok", F.col("at") == F.col("best"))
+        named = materialize(named.join(best, "slug").withColumn("ok", F.col("at") == F.col("best")), "slugs")
         good = named.filter("ok").select("id", "root", "at", "slug")
         done = good if done is None else done.union(good)
         rest = named.filter("NOT ok").select("id", "root", "at")
@@ -115,7 +116,7 @@ class Fulfilled:
 
 def fulfil(companies: DataFrame, paid: DataFrame, payments: DataFrame) -> Fulfilled:
     """What payments (see payment_fields) add to the tables. Payments with an error are left out."""
-    rows = new_events(payments.filter("error IS NULL"), paid)
+    rows = materialize(new_events(materialize(payments.filter("error IS NULL"), "payments"), paid), "events")
     fresh = rows.filter("fresh").withColumn("website", F.col("draft.company_website"))
     fresh = match_companies(fresh.withColumn("site", docs.website_of_draft(F.col("website"))), companies)
     # A company that the batch makes has the website of the event that made it. Events match it by equal text, or where
@@ -126,7 +127,7 @@ def fulfil(companies: DataFrame, paid: DataFrame, payments: DataFrame) -> Fulfil
     placed = fresh.join(raw_first, "website", "left").join(site_first, "site", "left")
     maker = F.when(F.col("site_at").isNull() | (F.col("raw_at") < F.col("site_at")), F.col("raw_at")).otherwise(F.col("site_at"))
     placed = placed.withColumn("maker", maker["event_id"])
-    placed = placed.withColumn("company_id", F.coalesce("found_id", _made_id("cmp", F.col("maker"))))
+    placed = materialize(placed.withColumn("company_id", F.coalesce("found_id", _made_id("cmp", F.col("maker")))), "placed")
     makers = placed.filter(F.col("found_id").isNull() & (F.col("maker") == F.col("event_id")))
     wanted = makers.select(F.col("company_id").alias("id"), F.coalesce(truthy(slugify(F.col("draft.company_name"))), F.lit("company")).alias("root"), "at")
     slugs = unique_slugs(wanted, companies.select("slug")).select("id", "slug")

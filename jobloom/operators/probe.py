@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import detect, html
 from jobloom.functions.text import truthy
+from jobloom.sources.shared import materialize
 
 # Where careers pages usually are, and the accelerator's own job pages.
 CAREERS_PATHS = ("/careers", "/jobs", "/join", "/work", "/hiring")
@@ -81,7 +82,7 @@ def robots_policies(robots: DataFrame) -> DataFrame:
 
 def probe(companies: DataFrame, pages: DataFrame, robots: DataFrame, depth: int = DEPTH) -> DataFrame:
     """id, slug, careers_url, ats_provider, result, checked and html_size of each company (id, slug, website)."""
-    judged = judge(pages)
+    judged = materialize(judge(pages), "judged")
     sites = companies.select("id", "slug", "website", website_url(F.col("website")).alias("site"))
     no_site = truthy(F.col("website")).isNull()
     home = sites.join(judged.withColumnRenamed("url", "site"), "site", "left")
@@ -90,7 +91,7 @@ def probe(companies: DataFrame, pages: DataFrame, robots: DataFrame, depth: int
         F.when(no_site, "no_page").when(F.col("site").isNull() | failed, "error")
         .when(F.col("ok") & F.col("html") & hit, "found_ats").when(F.col("status").between(400, 599), "no_page")
     )
-    home = home.withColumn("result", verdict)
+    home = materialize(home.withColumn("result", verdict), "homepages")
     base = origin(F.col("final_url"))
     usual = F.when(F.col("ok") & F.col("html"), F.array(*[F.concat(base, F.lit(p)) for p in CAREERS_PATHS])).otherwise(F.array().cast("array<string>"))
     queue = F.concat(usual, F.coalesce("career_links", F.array().cast("array<string>")), F.array(F.concat(F.lit(f"{YC_JOBS}/"), "slug", F.lit("/jobs"))))
@@ -102,7 +103,7 @@ def probe(companies: DataFrame, pages: DataFrame, robots: DataFrame, depth: int
         level = level.withColumn("place", F.lit(offset) + F.row_number().over(Window.partitionBy("id").orderBy("place")))
         rows = level.withColumn("origin", origin(F.col("site"))).join(rules, "origin", "left").join(judged, "url", "left")
         blocked = F.col("rules").isNotNull() & ~html.allowed_by_robots(F.col("rules"), path_of(F.col("url")))
-        rows = rows.withColumn("blocked", F.coalesce(blocked, F.lit(False))).drop("rules", "origin")
+        rows = materialize(rows.withColumn("blocked", F.coalesce(blocked, F.lit(False))).drop("rules", "origin"), "visited")
         visited = rows if visited is None else visited.unionByName(rows)
         more = rows.filter("NOT blocked AND ok AND html AND found IS NULL")
         more = more.select("id", "site", "place", F.posexplode("career_links").alias("k", "url"))

@@ -168,7 +168,7 @@ FROM companies_v c FULL JOIN fresh f ON c.slug = f.slug"""
 
 
 PAYMENTS = """e0 AS (SELECT 'evt_p' || event_id AS event_id, 'cs_p' || CAST(floor(event_id / 2) AS BIGINT) AS session_id, event_id AS n,
-  CASE WHEN event_id % 2 = 0 THEN 'founding' ELSE 'standard' END AS tier, epoch_ms(ts) AS paid_at, user_id % 40 AS k FROM events WHERE event_type = 'purchase'),
+  CASE WHEN event_id % 2 = 0 THEN 'founding' ELSE 'standard' END AS tier, CAST(epoch_us(ts) // 1000 AS BIGINT) AS paid_at, user_id % 40 AS k FROM events WHERE event_type = 'purchase'),
 e1 AS (SELECT *, CASE k % 4 WHEN 0 THEN 'https://customer-' || lpad(CAST(k + 1 AS VARCHAR), 9, '0') || '.example.com'
     WHEN 1 THEN 'https://customer-' || lpad(CAST(k + 1 AS VARCHAR), 9, '0') || '.example.com/about'
     WHEN 2 THEN 'https://new-' || k || '.example.org' ELSE 'https://new-' || (k - 1) || '.example.org/x' END AS site FROM e0),
@@ -273,7 +273,7 @@ _RAW = {
         CASE WHEN u.id IS NULL THEN l.expires_at WHEN l.id IS NOT NULL OR u.n > 1 THEN {N + 2592000000} ELSE u.expires_at END AS expires_at,
         CASE WHEN u.id IS NULL THEN l.updated_at ELSE {N} END AS updated_at, CASE WHEN u.id IS NULL THEN l.status ELSE 'active' END AS status
       FROM listings_v l FULL JOIN u ON l.id = u.id""",
-    "upsert_companies_keep_careers": companies_after("c.careers_url") if False else companies_after("CASE WHEN c.id IS NULL THEN f.careers_url ELSE c.careers_url END"),
+    "upsert_companies_keep_careers": companies_after("CASE WHEN c.id IS NULL THEN f.careers_url ELSE c.careers_url END"),
     "upsert_companies_overwrite": companies_after("CASE WHEN f.id IS NULL THEN c.careers_url ELSE f.careers_url END"),
     "sweep_expired": f"SELECT CASE WHEN status = 'active' AND expires_at < {N} THEN 'expired' ELSE status END AS status, count(*) AS n FROM listings_v GROUP BY 1",
     "repair_units": "SELECT id, CASE WHEN expires_at < 10000000000 THEN expires_at * 1000 ELSE expires_at END AS expires_at FROM listings_v",
