@@ -127,7 +127,7 @@ def _segments(template: Template, ids: np.ndarray, mask: np.ndarray) -> Iterator
         raise ValueError("a part doesn't hold whole turns")
     for a, b, c, d in zip(*(at[m].tolist() for m in (BEGIN, MIDDLE, TEXT, END))):
         covered = mask[c + 1 : d]
-        if covered.any() != covered.all() or mask[a : c + 1].any() or mask[d]:
+        if len(covered) and covered.any() != covered.all() or mask[a : c + 1].any() or mask[d]:
             raise ValueError("the mask cuts a segment")
         yield template.text(ids[a + 1 : b]), template.text(ids[c + 1 : d]), bool(len(covered) and covered.all())
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobloom.session import prepare
+
 #: Bytes that are no part of a word of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, made blank, and A-Z in lower case.
 WORD_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -22,18 +24,18 @@ LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Where the session doesn't set it (tests on one machine), a temporary folder is set.
+    Where the session doesn't set it (tests on one machine), a temporary checkpoint folder is set.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='jobloom-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='jobloom-')}")
+        where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 

@@ -10,7 +10,7 @@ Queries are sent out in blocks of at most `QUERY_BYTES`; every block meets every
 a query, and only those that reach the kth score that it was given; ranks are taken over these.
 
 Components are floor(256 * x); sums that a double can't hold exactly are made with Python's integers, and a score
-beyond a long is cut to the range of a long. Defined cases: vectors that are null, empty, or hold null or non-finite
+beyond a long is cut to the range of a long before it is compared. Defined cases: vectors that are null, empty, or hold null or non-finite
 components take no part, nor do rows with a null vec_id; vectors of another length are no candidates of a query; a query's
 own row is that with its vec_id (repeated rows of a query are each answered; repeated candidates each count); equal scores
 go to the smaller vec_id.
@@ -51,6 +51,10 @@ def quantized(vectors: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(at, np.int64), out
 
 
+def _long(n: int) -> int:
+    return max(-(2**63), min(2**63 - 1, n))
+
+
 class Tree:
     """A KD-tree over vectors (n, d): node i has the children 2i + 1 and 2i + 2; leaves are the last level."""
 
@@ -93,7 +97,7 @@ class Tree:
                 bound, query = bounds[q].tolist(), queries[q]
             else:
                 query = np.array([int(x) for x in queries[q]], object)
-                bound = [sum(max(x * int(lo), x * int(hi)) for x, lo, hi in zip(query, low, high)) for low, high in zip(self.low, self.high)]
+                bound = [_long(sum(max(x * int(lo), x * int(hi)) for x, lo, hi in zip(query, low, high))) for low, high in zip(self.low, self.high)]
             top, heap = best[q], [(-bound[0], 0)]
             while heap:
                 reach, node = heapq.heappop(heap)
@@ -110,7 +114,7 @@ class Tree:
                 if exact:
                     scores = self.vectors[a:b] @ query
                 else:
-                    scores = np.array([sum(x * int(y) for x, y in zip(query, v)) for v in self.vectors[a:b]], object)
+                    scores = np.array([_long(sum(x * int(y) for x, y in zip(query, v))) for v in self.vectors[a:b]], object)
                 ok = ids != own[q]
                 if len(top) == k:
                     ok &= (scores >= -top[-1][0]).astype(bool)
@@ -191,7 +195,7 @@ def _searched(index: DataFrame, block: dict, k: int, first: int) -> DataFrame:
             _tree(seed[0].asDict()).search(vectors, np.array(ids), best, k)
         start[dim] = [b[-1][0] if len(b) == k else None for b in best]
     sent = index.sparkSession.sparkContext.broadcast((block, start))
-    low, high = -(2**63), 2**63 - 1
+    high = 2**63 - 1  # as an id: after all others
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, reach = sent.value
@@ -212,7 +216,7 @@ def _searched(index: DataFrame, block: dict, k: int, first: int) -> DataFrame:
             for j, top in enumerate(tops):
                 for s, i in top:
                     if (s, i) != stand_in[j]:
-                        for column, x in zip(out, (offset[dim] + j, queries[dim][0][j], i, max(low, min(high, int(-s))))):
+                        for column, x in zip(out, (offset[dim] + j, queries[dim][0][j], i, _long(int(-s)))):
                             column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["q", "query_id", "vec_id", "score"])
 

@@ -153,10 +153,10 @@ RULES = r"""
 2 0.85 mit | expat license | expat license
 2 0.85 x11 | x11 license | x11 license
 2 0.90 isc | isc license | isc license
-2 0.90 apache-2.0 | apache license 2 | apache (?:software )?license (?:version |v )?2(?: 0)?
+2 0.90 apache-2.0 | apache license | apache (?:software )?license (?:version |v ?)?2(?: 0)?
 2 0.90 apache-2.0 | apache 2 0 | apache 2 0
 2 0.85 apache-2.0 | licensed apache | (?:licensed|released|distributed|available) under (?:the )?apache 2
-2 0.90 apache-1.1 | apache license 1 | apache (?:software )?license (?:version |v )?1 1
+2 0.90 apache-1.1 | apache license | apache (?:software )?license (?:version |v ?)?1 1
 2 0.90 bsd-2-clause | bsd 2 clause | (?:bsd 2 clause|2 clause bsd)
 2 0.90 bsd-2-clause | simplified bsd license | simplified bsd license
 2 0.90 bsd-2-clause | freebsd license | freebsd license
@@ -164,31 +164,31 @@ RULES = r"""
 2 0.90 bsd-3-clause | new bsd license | (?:new|modified|revised) bsd license
 2 0.90 bsd-4-clause | bsd 4 clause | (?:bsd 4 clause|4 clause bsd)
 2 0.90 bsd-0-clause | zero clause bsd | zero clause bsd
-2 0.90 gpl-1.0 | gpl 1 | (?:gnu )?gpl (?:version |v )?1(?: 0)?
-2 0.90 gpl-2.0 | gpl 2 | (?:gnu )?gpl (?:version |v )?2(?: 0)?(?: only| or later| or any later version)?
-2 0.90 gpl-3.0 | gpl 3 | (?:gnu )?gpl (?:version |v )?3(?: 0)?(?: only| or later| or any later version)?
+2 0.90 gpl-1.0 | gpl | (?:gnu )?gpl (?:version |v ?)?1(?: 0)?
+2 0.90 gpl-2.0 | gpl | (?:gnu )?gpl (?:version |v ?)?2(?: 0)?(?: only| or later| or any later version)?
+2 0.90 gpl-3.0 | gpl | (?:gnu )?gpl (?:version |v ?)?3(?: 0)?(?: only| or later| or any later version)?
 2 0.90 gpl-2.0 | gplv2 | (?:gnu )?gplv2(?: only| or later)?
 2 0.90 gpl-3.0 | gplv3 | (?:gnu )?gplv3(?: only| or later)?
-2 0.90 gpl-2.0 | general public license version 2 | gnu general public license(?: gpl)? (?:version |v )2(?: 0)?
-2 0.90 gpl-3.0 | general public license version 3 | gnu general public license(?: gpl)? (?:version |v )3(?: 0)?
-2 0.90 lgpl-2.1 | lgpl 2 1 | (?:gnu )?lgpl (?:version |v )?2 1
-2 0.90 lgpl-3.0 | lgpl 3 | (?:gnu )?lgpl (?:version |v )?3(?: 0)?
+2 0.90 gpl-2.0 | general public license version | gnu general public license(?: gpl)? (?:version |v ?)2(?: 0)?
+2 0.90 gpl-3.0 | general public license version | gnu general public license(?: gpl)? (?:version |v ?)3(?: 0)?
+2 0.90 lgpl-2.1 | lgpl | (?:gnu )?lgpl (?:version |v ?)?2 1
+2 0.90 lgpl-3.0 | lgpl | (?:gnu )?lgpl (?:version |v ?)?3(?: 0)?
 2 0.90 lgpl-2.1 | lgplv2 | lgplv2(?: 1)?
 2 0.90 lgpl-3.0 | lgplv3 | lgplv3
-2 0.90 lgpl-2.1 | lesser general public license 2 1 | lesser general public license (?:version |v )?2 1
-2 0.90 lgpl-3.0 | lesser general public license 3 | lesser general public license (?:version |v )?3
-2 0.90 agpl-3.0 | agpl 3 | (?:gnu )?agpl (?:version |v )?3(?: 0)?
+2 0.90 lgpl-2.1 | lesser general public license | (?:gnu )?lesser general public license (?:version |v ?)?2 1
+2 0.90 lgpl-3.0 | lesser general public license | (?:gnu )?lesser general public license (?:version |v ?)?3
+2 0.90 agpl-3.0 | agpl | (?:gnu )?agpl (?:version |v ?)?3(?: 0)?
 2 0.90 agpl-3.0 | agplv3 | agplv3
-2 0.90 agpl-3.0 | affero general public license 3 | affero general public license (?:version |v )?3
-2 0.90 mpl-1.1 | mozilla public license 1 1 | mozilla public license (?:version |v )?1 1
-2 0.90 mpl-2.0 | mozilla public license 2 0 | mozilla public license (?:version |v )?2 0
+2 0.90 agpl-3.0 | affero general public license | (?:gnu )?affero general public license (?:version |v ?)?3
+2 0.90 mpl-1.1 | mozilla public license | mozilla public license (?:version |v ?)?1 1
+2 0.90 mpl-2.0 | mozilla public license | mozilla public license (?:version |v ?)?2 0
 2 0.90 mpl-2.0 | mpl 2 0 | mpl 2 0
-2 0.90 epl-1.0 | eclipse public license 1 0 | eclipse public license (?:version |v )?1 0
-2 0.90 epl-2.0 | eclipse public license 2 0 | eclipse public license (?:version |v )?2 0
-2 0.90 cpl-1.0 | common public license | common public license(?: (?:version |v )?1 0)?
+2 0.90 epl-1.0 | eclipse public license | eclipse public license (?:version |v ?)?1 0
+2 0.90 epl-2.0 | eclipse public license | eclipse public license (?:version |v ?)?2 0
+2 0.90 cpl-1.0 | common public license | common public license(?: (?:version |v ?)?1 0)?
 2 0.90 ibmpl-1.0 | ibm public license | ibm public license
-2 0.90 eupl-1.1 | european union public 1 1 | european union public licen[cs]e (?:version |v )?1 1
-2 0.90 eupl-1.2 | european union public 1 2 | european union public licen[cs]e (?:version |v )?1 2
+2 0.90 eupl-1.1 | european union public | european union public licen[cs]e (?:version |v ?)?1 1
+2 0.90 eupl-1.2 | european union public | european union public licen[cs]e (?:version |v ?)?1 2
 2 0.90 artistic-1.0 | artistic license 1 0 | artistic license 1 0
 2 0.90 artistic-2.0 | artistic license 2 0 | artistic license 2 0
 2 0.90 cc0-1.0 | cc0 | cc0(?: 1 0)?(?: universal)?

@@ -106,7 +106,8 @@ def train(judged: DataFrame) -> list[float]:
 def score(url: Column, model: list[float]) -> Column:
     """The mean of the model over the characters of a url; 0 of an empty one."""
     values = F.from_json(F.lit(json.dumps(model)), "array<double>")  # a constant: Catalyst folds it
-    return F.coalesce(F.aggregate(grams(url), F.lit(0.0), lambda a, g: a + F.element_at(values, slot(g) + 1)) / F.size(grams(url)), F.lit(0.0))
+    total = F.aggregate(grams(url), F.lit(0.0), lambda a, g: a + F.element_at(values, slot(g) + 1))
+    return F.coalesce(F.try_divide(total, F.size(grams(url))), F.lit(0.0))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
