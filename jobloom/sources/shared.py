@@ -14,10 +14,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Where the session doesn't set the folder (tests on one machine), a temporary one is set.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='jobloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='jobloom-')}")
+        root = spark.sparkContext.getCheckpointDir()
     where = f"{root.rstrip('/')}/jobloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
