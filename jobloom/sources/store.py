@@ -29,7 +29,11 @@ class TableStore:
         path, fs = self._path(f"{self.root}/{name}/_CURRENT")
         if not fs.exists(path):
             return None
-        return self.spark.sparkContext.wholeTextFiles(path.toString(), 1).first()[1].strip()
+        stream = fs.open(path)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        finally:
+            stream.close()
 
     def read(self, name: str) -> DataFrame:
         """The current version; an empty table where there is none."""
