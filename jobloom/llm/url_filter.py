@@ -18,6 +18,7 @@ in order of its text; repeated rows are judged one by one and counted each.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,11 +53,20 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...])
     return (none, none) if name is None else (name, verdict)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once: a lambda's variable stands for it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def grams(url: Column) -> Column:
     """For each character of a url the group of four that it ends, blanks before the start."""
     chars = F.filter(F.split(F.concat(F.lit("   "), F.coalesce(url, F.lit(""))), ""), lambda c: c != "")
-    at = F.when(F.size(chars) > 3, F.sequence(F.lit(1), F.size(chars) - 3)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(4)]))
+
+    def groups(chars: Column) -> Column:
+        at = F.when(F.size(chars) > 3, F.sequence(F.lit(1), F.size(chars) - 3)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(4)]))
+
+    return let(chars, groups)
 
 
 def slot(gram: Column) -> Column:
@@ -106,8 +116,8 @@ def train(judged: DataFrame) -> list[float]:
 def score(url: Column, model: list[float]) -> Column:
     """The mean of the model over the characters of a url; 0 of an empty one."""
     values = F.from_json(F.lit(json.dumps(model)), "array<double>")  # a constant: Catalyst folds it
-    total = F.aggregate(grams(url), F.lit(0.0), lambda a, g: a + F.element_at(values, slot(g) + 1))
-    return F.coalesce(F.try_divide(total, F.size(grams(url))), F.lit(0.0))
+    total = lambda gs: F.aggregate(gs, F.lit(0.0), lambda a, g: a + F.element_at(values, slot(g) + 1))
+    return F.coalesce(let(grams(url), lambda gs: F.try_divide(total(gs), F.size(gs))), F.lit(0.0))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
