@@ -63,6 +63,7 @@ def words(text: bytes | None) -> list[bytes]:
 
 def pick(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the columns that an operator reads: clashing extra columns can't reach its output."""
+    prepare(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
