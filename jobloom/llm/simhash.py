@@ -111,7 +111,8 @@ def placed(own: DataFrame) -> DataFrame:
     """(fp, root) for every fingerprint of own (doc_id, fp): root is the smallest fingerprint that is reachable."""
     spark = own.sparkSession
     fps = materialize(spark, own.select("fp").distinct(), "distinct-fingerprints")
-    roots = components(links(fps))
+    # Each fingerprint makes 65 rows: the small table is dealt out first, so that they don't come from a few tasks.
+    roots = components(links(fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return materialize(spark, fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "placed")
 
 
