@@ -167,7 +167,10 @@ def payload(headers: dict[str, str], block: bytes) -> bytes | None:
 
 
 def _dictionary(pages: DataFrame) -> bytes:
-    rows = pages.select(F.xxhash64("html").alias("h"), F.substring("html", 1, PIECE).alias("html")).orderBy("h").limit(SAMPLE).collect()
+    # The ids alone are ranked, so that tasks send the driver few bytes; then the pages at or below the last are fetched.
+    order = F.xxhash64("page_id")
+    last = pages.select(order.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first().h
+    rows = pages.filter(order <= last).select(F.substring("html", 1, PIECE).alias("html")).limit(SAMPLE).collect() if last is not None else []
     texts = [r.html.encode() for r in rows if r.html]
     try:
         return zstandard.train_dictionary(DICT_BYTES, texts).as_bytes()
