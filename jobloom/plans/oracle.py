@@ -311,5 +311,16 @@ _RAW = {
     "provider_dispatch": f"""WITH {NORMALIZED}, b AS (SELECT split_part(id, ':', 1) AS p FROM n2 WHERE length({stripped("description_html")}) >= 100)
       SELECT t.p AS provider, count(b.p) AS n FROM unnest(['greenhouse', 'lever', 'ashby', 'smartrecruiters', 'workable', 'workday', 'notion', 'waas', 'custom']) t(p)
       LEFT JOIN b ON b.p = t.p GROUP BY 1""",
+    "company_routes": "SELECT slug, '/companies/' || slug AS path FROM companies_v",
+    "sitemap_dates": f"""WITH r AS (SELECT 'https://jobs.example.com/jobs/' || c.slug || '/' || {role("title", "l.id")} AS u, l.id, updated_at, {ACTIVE} AS on_ FROM {JOIN}),
+      d AS (SELECT u, max(updated_at) AS last FROM r WHERE on_ GROUP BY u)
+      SELECT r.u || CASE WHEN ends_with(id, '1') THEN '/' ELSE '' END AS url, {iso("last")} AS lastmod FROM r LEFT JOIN d ON d.u = r.u""",
+    "foreign_board_urls": "SELECT id, 'https://x.com/COMPANIES/a/jobs/1' AS apply_url FROM listings_v WHERE status = 'active' AND comp_equity IS NULL",
+    "quarantined_payloads": """SELECT CAST(event_id AS VARCHAR) AS slug, CASE WHEN event_id % 5 = 0 THEN 'no JSON' ELSE 'no body' END AS parse_error FROM events
+      WHERE event_id % 5 = 0 OR event_id % 7 = 0""",
+    "website_candidates": """SELECT slug, CAST(i - 1 AS INTEGER) AS place, website || (['/', '/careers', '/jobs', '/join', '/work', '/hiring'])[i] AS url
+      FROM (SELECT slug, website, unnest([1, 2, 3, 4, 5, 6]) AS i FROM companies_v WHERE website LIKE 'https%')""",
+    "board_jobs": f"""SELECT 'c' || seq AS provider_slug, CAST(seq AS VARCHAR) AS provider_job_id, title, nullif({squeeze("location")}, '') AS location,
+      'https://www.workatastartup.com/application?signup_job_id=' || seq AS apply_url FROM raw_jobs_v WHERE provider = 'waas'""",
 }
 SQL = {name: with_views(sql) for name, sql in _RAW.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions import detect, docs, html, text, times
-from jobloom.operators import constraints, fulfil, ingest, maintain, probe, search
+from jobloom.operators import constraints, feed, fulfil, ingest, maintain, probe, search
 from jobloom.plans.oracle import SQL
 from jobloom.schemas import LISTINGS
 from jobloom.sources import companies as directory
@@ -545,3 +545,51 @@ def provider_dispatch(spark, sf_dir):
     jobs = ingest.long_enough(ingest.normalize(view(spark, sf_dir, "raw_jobs_v"), NOW_MS))
     assert [f.name for f in LISTINGS.fields] == [c for c in jobs.columns if c != "seq"]
     return ingest.provider_totals(jobs.select(F.substring_index("id", ":", 1).alias("provider")))
+
+
+@register
+def company_routes(spark, sf_dir):
+    return feed.company_routes(view(spark, sf_dir, "companies_v"))
+
+
+@register
+def sitemap_dates(spark, sf_dir):
+    """Dates of the pages of a site map that holds every listing, active or not, with a slash at the end of some."""
+    listings, companies = _lc(spark, sf_dir)
+    site = "https://jobs.example.com"
+    rows = search.with_company(listings, companies, ("id", "company_id", "title"))
+    path = text.job_path(F.col("company_slug"), F.col("title"), F.col("id"))
+    urls = rows.select(F.concat(F.lit(site), path, F.when(F.col("id").endswith("1"), "/").otherwise("")).alias("url"))
+    return feed.sitemap(urls, feed.job_dates(listings, companies, site, NOW_MS))
+
+
+@register
+def foreign_board_urls(spark, sf_dir):
+    rows = view(spark, sf_dir, "listings_v")
+    url = F.when(F.col("comp_equity").isNull(), F.lit("https://x.com/COMPANIES/a/jobs/1")).when(F.col("ai_specialty").isNull(), "https://WorkAtAStartup.com/companies/a/jobs/1").otherwise(F.col("apply_url"))
+    return feed.foreign_board_urls(rows.withColumn("apply_url", url))
+
+
+@register
+def quarantined_payloads(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("slug"), F.when(F.col("event_id") % 5 == 0, "oops").when(F.col("event_id") % 7 == 0, None).otherwise(F.col("props")).alias("body"))
+    return feed.quarantined(rows)
+
+
+@register
+def website_candidates(spark, sf_dir):
+    return payloads.website_candidates(view(spark, sf_dir, "companies_v").filter("website LIKE 'https%'"))
+
+
+@register
+def board_jobs(spark, sf_dir):
+    """Postings of a board's feed, where it has one, else of what the company's website embeds."""
+    rows = view(spark, sf_dir, "raw_jobs_v").filter("provider = 'waas'")
+    slug = F.format_string("c%d", F.col("seq"))
+    job = F.struct(F.col("seq").alias("id"), "title", "location", F.col("description"))
+    feeds = rows.filter("seq % 2 = 0").select(slug.alias("slug"), F.to_json(F.array(job)).alias("body"))
+    data = F.to_json(F.struct(F.struct(F.struct(slug.alias("slug"), F.array(job).alias("jobs")).alias("company")).alias("props")))
+    page = F.concat(F.lit('<link href="workatastartup.com"><div data-page="'), text.escape_html(data), F.lit('" id="app"></div>'))
+    sites = rows.select(slug.alias("slug"), page.alias("html"))
+    found = payloads.waas(feeds, sites, spark.createDataFrame([], "slug string, html string"))
+    return found.select("provider_slug", "provider_job_id", "title", "location", "apply_url")

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions import html, times
+from jobloom.functions import detect, html, times
+from jobloom.functions.text import truthy
 from jobloom.schemas import RAW_JOBS
 
 
@@ -133,22 +134,31 @@ def notion(pages: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
 
 
 def waas(feeds: DataFrame, sites: DataFrame, boards: DataFrame) -> DataFrame:
-    """The first of a company's own feed (slug, body), its website's embed and the board's page (slug, html) with postings."""
-    kind = "array<struct<id: string, title: string, url: string, location: string, description: string>>"
-    listed = feeds.select("slug", F.explode(F.from_json("body", kind)).alias("j")).filter("j.title IS NOT NULL AND j.title <> ''")
-    base = "https://www.workatastartup.com"
-    url = F.when(F.col("j.url").startswith("/"), F.concat(F.lit(base), "j.url")).otherwise(F.coalesce("j.url", F.concat(F.lit(f"{base}/application?signup_job_id="), "j.id")))
-    own = _jobs(
-        listed, "waas", provider_job_id=F.coalesce("j.id", url), title=F.col("j.title"), location=F.col("j.location"),
-        description=F.coalesce("j.description", F.lit("")), apply_url=url,
-    ).filter(F.col("apply_url").startswith(base))
-    ranked = own.withColumn("rank", F.lit(0))
-    for rank, rows in ((1, sites), (2, boards)):
+    """The first of a company's own feed (slug, body), its website's embed and the board's page (slug, html) with postings.
+
+    A website counts only where it embeds the company's own board.
+    """
+    own = sites.filter(detect.detect_embed(F.col("html"))["slug"] == F.col("slug"))
+    ranked = _exploded(feeds, html.feed_jobs_col(F.col("body"), F.col("slug"))).withColumn("rank", F.lit(0))
+    for rank, rows in ((1, own), (2, boards)):
         ranked = ranked.unionByName(_exploded(rows, html.embed_jobs_col(F.col("html"), F.col("slug"))).withColumn("rank", F.lit(rank)))
     best = ranked.groupBy("provider_slug").agg(F.min("rank").alias("rank"))
     return ranked.join(best, ["provider_slug", "rank"]).drop("rank")
 
 
+# Where a website may embed a board.
+EMBED_PATHS = ("", "/careers", "/jobs", "/join", "/work", "/hiring")
+
+
+def website_candidates(companies: DataFrame) -> DataFrame:
+    """slug, place and url of the pages of a company's website where a board may be embedded."""
+    site = F.when(F.col("website").startswith("http"), F.col("website")).otherwise(F.concat(F.lit("https://"), "website"))
+    base = F.lower(F.regexp_extract(site, r"^(?i)(https?://[^/?#\s]+)", 1))
+    urls = F.array_distinct(F.array(*[F.concat(base, F.lit(p or "/")) for p in EMBED_PATHS]))
+    rows = companies.filter(truthy(F.col("website")).isNotNull() & (base != ""))
+    return rows.select("slug", F.posexplode(urls).alias("place", "url"))
+
+
 def custom(pages: DataFrame) -> DataFrame:
     """Landed careers pages (slug: the page's address, html)."""
     return _exploded(pages, html.custom_jobs_col(F.col("html"), F.col("slug")))
