@@ -33,6 +33,7 @@ END = 0
 SLACK = 1 / 8
 HELD = 500_000
 GROUP = 200_000
+TABLE = 600_000  # pieces that a worker remembers while it packs
 
 
 def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -73,7 +74,7 @@ def _packed_by_partition(docs: DataFrame, path: str, end: int, capacity: int, he
     """The pieces of docs (doc_id, text), packed within their input partition. used: tokens in the piece's sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, last = encoder(path), np.array([end], "<u4").tobytes()
+        model, last = encoder(path, TABLE), np.array([end], "<u4").tobytes()
         ids: list[pa.Array] = []
         rows: list[np.ndarray] = []
         count, base = 0, TaskContext.get().partitionId() << 40

@@ -127,6 +127,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, table: int = TABLE) -> Encoder:
     """One encoder for each worker process and vocabulary: its table serves all tasks of the worker."""
-    return Encoder(path)
+    return Encoder(path, table)
