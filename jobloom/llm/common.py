@@ -47,13 +47,19 @@ def materialize(spark: SparkSession, df: DataFrame, label: str, compression: str
     """df written as Parquet into the shared folder and read again: it cuts the lineage, and outlives executors."""
     where = fresh_dir(spark, label)
     df.write.parquet(where, compression=compression)
-    return spark.read.schema(df.schema).parquet(where)
-
-
-def remove(spark: SparkSession, where: str) -> None:
-    """Deletes a folder that this package made in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    out = spark.read.schema(df.schema).parquet(where)
+    out._written_to = where
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialize wrote for tables that nothing reads any more."""
+    for df in tables:
+        where = getattr(df, "_written_to", None)
+        if where:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: bytes | None) -> list[bytes]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import LOWER_TABLE, extended, materialize, pick, raw, sealed, table, unsealed
+from jobloom.llm.common import LOWER_TABLE, discard, extended, materialize, pick, raw, sealed, table, unsealed
 
 NAME = "op3_simhash"
 SQL = None
@@ -97,7 +97,8 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(spark, small, "links")
+        old, edges = edges, materialize(spark, small, "links")
+        discard(old, large)
         now = state(edges)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

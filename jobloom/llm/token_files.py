@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import rans
-from jobloom.llm.common import fresh_dir, materialize, pick, raw, table, write_file
+from jobloom.llm.common import discard, fresh_dir, materialize, pick, raw, table, write_file
 from jobloom.llm.tokenize import encoder, vocabulary
 
 NAME = "op6_token_files"
@@ -165,6 +165,7 @@ def write_token_files(docs: DataFrame, where: str, path: str, end: int = END, ch
         yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.string()), pa.array(done[1], pa.int64())], ["name", "bytes"])
 
     chunks.filter("n > 0").mapInArrow(run, "name string, bytes long").agg(F.sum("bytes")).collect()
+    discard(chunks)
 
 
 def read_sections(data: bytes, freq: rans.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
