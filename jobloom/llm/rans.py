@@ -39,20 +39,20 @@ class Table:
             freq[used] = np.maximum(1, np.floor(counts[used] / total * (size - len(used)))).astype(np.int64)
             freq[used[counts[used].argmax()]] += size - freq.sum()
         self.freq, self.start = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
-        self.of_slot = np.repeat(np.arange(len(counts), dtype=np.uint32), freq)
+        self.of_slot = np.repeat(np.arange(len(counts), dtype=np.int32), freq)
 
 
 def encode(ids: np.ndarray, table: Table) -> bytes:
     """One block from ids (unsigned 32-bit), all of which the table knows."""
     n = len(ids)
-    steps = -(-n // LANES)
+    steps, places = -(-n // LANES), ids.astype(np.intp)
     state = np.full(LANES, LOW, np.uint64)
     words: list[np.ndarray] = []
     at, marks = 0, []
     bits, half, top = np.uint64(BITS), np.uint64(32), np.uint64(63 - BITS)
     for t in range(steps - 1, -1, -1):  # the decoder runs the other way
-        part = ids[t * LANES : (t + 1) * LANES]
-        x, f, c = state[: len(part)], table.freq[part], table.start[part]
+        part = places[t * LANES : (t + 1) * LANES]
+        x, f, c = state[: len(part)], table.freq.take(part), table.start.take(part)
         full = x >= f << top
         if full.any():
             out = x[full]
@@ -97,8 +97,8 @@ def decode(block: bytes, table: Table, first: int = 0, last: int | None = None)
             width = min(LANES, n - t * LANES)
             x = state[:width]
             slot = x & mask
-            ids = table.of_slot[slot]
-            x = table.freq[ids] * (x >> bits) + slot - table.start[ids]
+            ids = table.of_slot.take(slot.view(np.int64))
+            x = table.freq.take(ids) * (x >> bits) + slot - table.start.take(ids)
             low = x < LOW
             m = int(np.count_nonzero(low))
             if m:
