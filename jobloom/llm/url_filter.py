@@ -6,9 +6,10 @@ its log-likelihood difference, accepted less rejected, per character. The thresh
 examples of either class, taken as normal, are equally far off in standard deviations. Other URLs are allowed at the
 threshold or above.
 
-Counts are made over all URLs and reduced before they are shuffled. The model is a table of 2 ** SLOTS_BITS numbers, the
-difference for each hashed group of four characters (groups that meet in a slot share their mean), so what goes to the
-executors has a fixed size and URLs are scored where they are read, without a join.
+Counts are made over all URLs and reduced before they are shuffled. The model is a table of every group of four
+characters and its own difference; it grows with the input and stays distributed. URLs are scored by an equi-join of
+their groups with it. Groups that make up over 1 / HOT of all occurrences, fewer than HOT, are joined by broadcast where
+the URLs are read, so no key of the shuffled join has more rows than that.
 
 Defined cases: a null url, or one without "://", has empty host and path, fits no rule and is scored as it is; an empty
 one scores 0; without examples of both classes the threshold is 0; of fitting rules the longest wins, then the one first
@@ -17,17 +18,16 @@ in order of its text; repeated rows are judged one by one and counted each.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import materialize, pick, table
+from jobloom.llm.common import discard, materialize, pick, table
 
 NAME = "op4_url_filter"
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-SLOTS_BITS = 18
+HOT = 4096
 SYMBOLS = 256.0  # of the model without context
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,10 +69,6 @@ def grams(url: Column) -> Column:
     return let(chars, groups)
 
 
-def slot(gram: Column) -> Column:
-    return F.conv(F.substring(F.md5(gram.cast("binary")), 1, 5), 16, 10).cast("int") % (1 << SLOTS_BITS)
-
-
 def _levels(counted: DataFrame) -> DataFrame:
     """gram, n and the log-likelihood difference of every counted group of four (gram, n, allow, block)."""
     total = counted.agg(*[F.sum(c).alias(c) for c in ("allow", "block")]).first()
@@ -98,26 +94,33 @@ def _smoothed(n: Column, of: Column, kinds: Column, less: Column) -> Column:
     return F.when(of + kinds > 0, (n + kinds * less) / (of + kinds)).otherwise(less)
 
 
-def train(judged: DataFrame) -> list[float]:
-    """The model from rows (url, says): says is allow, block, or null for URLs without a rule, which train neither."""
+def train(judged: DataFrame) -> DataFrame:
+    """The model (gram, n, llr) from rows (url, says): says is allow, block, or null for URLs without a rule, which train neither."""
     spark = judged.sparkSession
     each = judged.select("says", F.explode(grams(F.col("url"))).alias("gram"))
     counted = each.groupBy("gram").agg(
         F.count("*").alias("n"), *[F.count_if(F.col("says").eqNullSafe(c)).alias(c) for c in ("allow", "block")]
     )
     counted = materialize(spark, counted, "url-grams")
-    slots = _levels(counted).groupBy(slot(F.col("gram")).alias("slot")).agg((F.sum(F.col("llr") * F.col("n")) / F.sum("n")).alias("v"))
-    model = [0.0] * (1 << SLOTS_BITS)
-    for row in slots.collect():  # at most 2 ** SLOTS_BITS rows
-        model[row.slot] = row.v
+    model = materialize(spark, _levels(counted), "url-model")
+    discard(counted)
     return model
 
 
-def score(url: Column, model: list[float]) -> Column:
-    """The mean of the model over the characters of a url; 0 of an empty one."""
-    values = F.from_json(F.lit(json.dumps(model)), "array<double>")  # a constant: Catalyst folds it
-    total = lambda gs: F.aggregate(gs, F.lit(0.0), lambda a, g: a + F.element_at(values, slot(g) + 1))
-    return F.coalesce(let(grams(url), lambda gs: F.try_divide(total(gs), F.size(gs))), F.lit(0.0))
+def score(rows: DataFrame, model: DataFrame, hot: int = HOT) -> DataFrame:
+    """row and score, the mean of the model over the characters, of each of rows (row, url) whose url isn't empty."""
+    total = model.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * hot > total
+    few = F.broadcast(model.filter(often).select("gram", "llr"))
+    each = rows.select("row", F.explode(grams(F.col("url"))).alias("gram"))
+    rare = each.join(few, "gram", "left_anti").join(model.filter(~often).select("gram", "llr"), "gram")
+    # Decimals add up to the same in any order, so equal URLs have equal scores.
+    parts = [
+        df.groupBy("row").agg(F.sum(F.col("llr").cast("decimal(28,18)")).alias("llr"), F.count("*").alias("n"))
+        for df in (each.join(few, "gram"), rare.select("row", "llr"))
+    ]
+    summed = parts[0].unionByName(parts[1]).groupBy("row").agg(F.sum("llr").alias("llr"), F.sum("n").alias("n"))
+    return summed.select("row", (F.col("llr").cast("double") / F.col("n")).alias("score"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -127,8 +130,12 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     host, path = host_and_path(F.col("url"))
     rows = rows.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, says = fitting_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "says": says})
-    scored = materialize(spark, rows.withColumn("score", score(F.col("url"), train(rows))).drop("url"), "url-scores")
+    rows = rows.withColumns({"rule": rule, "says": says, "row": F.monotonically_increasing_id()})
+    rows = materialize(spark, rows, "urls")  # the row numbers are fixed from here on
+    model = train(rows)
+    scored = rows.drop("url").join(score(rows, model), "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    scored = materialize(spark, scored.drop("row"), "url-scores")
+    discard(rows, model)
     stats = {r.says: r for r in scored.filter("says IS NOT NULL").groupBy("says").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).collect()}
     threshold = 0.0
     if len(stats) == 2:

@@ -233,6 +233,44 @@ def test_url_model_tells_its_examples_apart(spark):
     assert got[200] == "allow" and got[201] == "block"
 
 
+def brute_scores(urls, says):
+    """The mean log-likelihood difference of each URL, by a model that keeps every group of four characters."""
+    counts = {c: [{}, {}, {}, {}, {}] for c in ("allow", "block")}
+    split = lambda u: ["   "[i:] + u[: i + 1] if i < 3 else u[i - 3 : i + 1] for i in range(len(u))]
+    for u, c in zip(urls, says):
+        for g in split(u) if c else ():
+            for size in range(1, 5):
+                counts[c][size][g[4 - size :]] = counts[c][size].get(g[4 - size :], 0) + 1
+    after = {c: [{} for _ in range(4)] for c in counts}  # of each context: how often, and kinds of followers
+    for c, levels in counts.items():
+        for size in range(1, 5):
+            for g, n in levels[size].items():
+                a, k = after[c][size - 1].get(g[:-1], (0, 0))
+                after[c][size - 1][g[:-1]] = (a + n, k + 1)
+
+    def p(c, g):
+        less = p(c, g[1:]) if len(g) > 1 else 1 / 256
+        a, k = after[c][len(g) - 1].get(g[:-1], (0, 0))
+        return (counts[c][len(g)].get(g, 0) + k * less) / (a + k) if a + k else less
+
+    return [sum(np.log(p("allow", g)) - np.log(p("block", g)) for g in split(u)) / len(u) if u else 0.0 for u in urls]
+
+
+@pytest.mark.parametrize("hot", [1, url_filter.HOT, 10**9])
+def test_url_model_keeps_every_group(spark, hot):
+    rng = random.Random(5)
+    tail = lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(60))
+    urls = [f"http://w{i % 9}.{('org/fr', 'net', 'com')[i % 3]}/{tail()}" for i in range(300)] + ["", "http://w.com/\U0001f600", "http://w.com/\U0001f600"]
+    says = [("allow", "block", None)[i % 3] if u and i < 300 else None for i, u in enumerate(urls)]
+    assert len({u[i : i + 4] for u in urls for i in range(len(u))}) > 15_000
+    rows = spark.createDataFrame([(i, u, s) for i, (u, s) in enumerate(zip(urls, says))], "row long, url string, says string")
+    got = {r.row: r.score for r in url_filter.score(rows, url_filter.train(rows), hot).collect()}
+    want = brute_scores(urls, says)
+    assert [got.get(i, 0.0) for i in range(len(urls))] == pytest.approx(want, abs=1e-9) and got[301] == got[302]
+    judged = {r.page_id: r.score for r in url_filter.judge(rows.withColumnRenamed("row", "page_id")).collect()}
+    assert [judged[i] for i in range(len(urls))] == pytest.approx(want, abs=1e-9)
+
+
 # --- 5 licenses
 
 
