@@ -4,7 +4,8 @@ tables, and extra columns whose names clash with the operators' own."""
 import hashlib
 import random
 import zlib
-from itertools import combinations
+from itertools import combinations, product
+from re import _parser
 
 import numpy as np
 import pytest
@@ -295,6 +296,41 @@ def test_license_rules():
     assert scan("https://creativecommons.org/licenses/by-nc/4.0/") == {"cc-by-nc-4.0"}
 
 
+def expansions(pattern):
+    """Texts that a pattern matches: every alternative, optional parts left out and put in, other repeats at their least."""
+
+    def of(items):
+        return ["".join(x) for x in product(*map(one, items))]
+
+    def one(item):
+        op, arg = str(item[0]), item[1]
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "IN":
+            return ["7"] if any(str(a[0]) == "CATEGORY" for a in arg) else [x for a in arg for x in one(a)]
+        if op == "BRANCH":
+            return [x for branch in arg[1] for x in of(branch)]
+        if op == "SUBPATTERN":
+            return of(arg[3])
+        assert op == "MAX_REPEAT"
+        times = (0, 1) if arg[:2] == (0, 1) else (arg[0],)
+        return ["".join(x) for n in times for x in product(of(arg[2]), repeat=n)]
+
+    return of(_parser.parse(pattern))
+
+
+def test_license_keywords_occur_in_all_that_a_rule_matches():
+    rules = license.default_rules()
+    for line, rule in zip(license.RULES.strip().splitlines(), rules.all):
+        for text in expansions(line.split("|", 2)[2].strip()):
+            assert rule.pattern.search(f" {text} ".encode()), text
+            assert rule.keywords <= set(text.encode().split()), (rule.label, text)
+    labels = lambda s: {x[2] for x in rules.scan(words(s.encode()))[1]}
+    assert labels("CreativeML OpenRAIL-M") == labels("an Open RAIL license") == {"openrail"}
+    assert labels("released under the MIT") == {"mit"} and labels("GNU General Public License v2") == {"gpl-2.0"}
+    assert labels("Creative Commons Attribution Share Alike") == {"cc-by-sa"} and labels("SPDX-License-Identifier: PSF-2.0") == {"psf-2.0"}
+
+
 # --- tokens
 
 
