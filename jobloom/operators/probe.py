@@ -2,7 +2,8 @@
 
 Pages are judged once each, whoever asks for them. A company's candidates are visited in the order in which they are
 queued: those of its homepage first, then those that visited pages name. The order is that of a breadth-first walk, so
-whole levels are expanded at a time and the walk's end is the first page that decides. Nothing is fetched here: `pages`
+whole levels are expanded at a time and the walk's end is the first page that decides. It goes on until no undecided
+company has a URL that it hasn't seen; only landed pages name new ones, so it ends. Nothing is fetched here: `pages`
 holds what a fetcher landed (url, final_url, status, content_type, body; status null after a transport error).
 """
 
@@ -19,7 +20,7 @@ from jobloom.sources.shared import materialize
 CAREERS_PATHS = ("/careers", "/jobs", "/join", "/work", "/hiring")
 YC_JOBS = "https://www.ycombinator.com/companies"
 RENDER_BELOW = 30_720
-DEPTH = 10
+COMPACT = 8  # levels after which what the walk has written is put into one table
 
 
 def is_html(content_type: Column) -> Column:
@@ -80,7 +81,7 @@ def robots_policies(robots: DataFrame) -> DataFrame:
     return rows.groupBy("origin").agg(F.min("body").alias("body")).select("origin", html.robots_rules_col(F.col("body")).alias("rules"))
 
 
-def probe(companies: DataFrame, pages: DataFrame, robots: DataFrame, depth: int = DEPTH) -> DataFrame:
+def probe(companies: DataFrame, pages: DataFrame, robots: DataFrame) -> DataFrame:
     """id, slug, careers_url, ats_provider, result, checked and html_size of each company (id, slug, website)."""
     judged = materialize(judge(pages), "judged")
     sites = companies.select("id", "slug", "website", website_url(F.col("website")).alias("site"))
@@ -97,23 +98,27 @@ def probe(companies: DataFrame, pages: DataFrame, robots: DataFrame, depth: int
     queue = F.concat(usual, F.coalesce("career_links", F.array().cast("array<string>")), F.array(F.concat(F.lit(f"{YC_JOBS}/"), "slug", F.lit("/jobs"))))
     level = home.filter("result IS NULL").select("id", "site", F.posexplode(queue).alias("place", "url"))
     level = level.groupBy("id", "site", "url").agg(F.min("place").cast("bigint").alias("place"))
-    visited, seen, offset = None, level.select("id", "url"), 0
+    visited, seen, levels = None, level.select("id", "url"), 0
     rules = robots_policies(robots)
-    for _ in range(depth):
-        level = level.withColumn("place", F.lit(offset) + F.row_number().over(Window.partitionBy("id").orderBy("place")))
+    event = F.when(F.col("blocked"), "blocked").when(F.col("status").isNull(), "error").when(F.col("found").isNotNull(), "hit").when(F.col("status").between(400, 599), "stop").otherwise("none")
+    while True:
+        level = level.withColumn("place", F.lit(levels << 32).cast("bigint") + F.row_number().over(Window.partitionBy("id").orderBy("place")))
         rows = level.withColumn("origin", origin(F.col("site"))).join(rules, "origin", "left").join(judged, "url", "left")
         blocked = F.col("rules").isNotNull() & ~html.allowed_by_robots(F.col("rules"), path_of(F.col("url")))
-        rows = materialize(rows.withColumn("blocked", F.coalesce(blocked, F.lit(False))).drop("rules", "origin"), "visited")
+        rows = rows.withColumn("blocked", F.coalesce(blocked, F.lit(False))).withColumn("event", event)
+        rows = materialize(rows.drop("rules", "origin"), "visited")
         visited = rows if visited is None else visited.unionByName(rows)
         more = rows.filter("NOT blocked AND ok AND html AND found IS NULL")
         more = more.select("id", "site", "place", F.posexplode("career_links").alias("k", "url"))
         more = more.groupBy("id", "site", "url").agg(F.min(F.struct("place", "k")).alias("place")).join(seen, ["id", "url"], "left_anti")
+        # Whoever is decided is done: all that is queued lies behind.
+        more = materialize(more.join(rows.filter("event IN ('hit', 'stop')").select("id"), "id", "left_anti"), "queued")
         if more.isEmpty():
             break
-        offset += 1_000_000
+        levels += 1
         seen, level = seen.union(more.select("id", "url")), more
-    event = F.when(F.col("blocked"), "blocked").when(F.col("status").isNull(), "error").when(F.col("found").isNotNull(), "hit").when(F.col("status").between(400, 599), "stop").otherwise("none")
-    visited = visited.withColumn("event", event)
+        if levels % COMPACT == 0:
+            seen, visited = materialize(seen, "seen"), materialize(visited, "visited")
     ends = visited.filter("event IN ('hit', 'stop')").groupBy("id").agg(F.min("place").alias("end_place"), F.min_by(F.struct("event", "found"), "place").alias("end"))
     walked = visited.join(ends, "id", "left").filter("end_place IS NULL OR place <= end_place")
     ended = walked.groupBy("id").agg(

@@ -129,3 +129,27 @@ def test_probe(spark):
     rendered = spark.createDataFrame([("https://five.com/careers", "https://five.com/careers", "<h1>Open roles</h1>")], "url string, final_url string, body string")
     better = {r.id: r.result for r in probe.after_render(out, rendered).collect()}
     assert better["5"] == "found_custom" and better["3"] == "no_page"
+
+
+def test_probe_walks_until_nothing_is_queued(spark):
+    links = lambda *urls: "".join(f'<a href="{u}">next</a>' for u in urls)
+    last = 13
+    rows = []
+    for name, end in (("long", (None, 200, links("https://jobs.lever.co/long"))), ("gone", (None, 404, None)), ("none", (None, 200, "<p/>")), ("early", (None, 200, "<p/>"))):
+        site = f"https://{name}.com"
+        rows += [(f"{site}/", None, 200, links("/work/p1"))]
+        rows += [(f"{site}/work/p{i}", None, 200, links("/work/p1", f"/work/p{i + 1}")) for i in range(1, last)] + [(f"{site}/work/p{last}", *end)]
+        rows += [(f"{site}{p}", None, 200, "<p/>") for p in probe.CAREERS_PATHS if (name, p) != ("early", "/hiring")] + [(f"{probe.YC_JOBS}/{name}/jobs", None, 304, None)]
+    rows += [("https://early.com/hiring", "https://jobs.lever.co/early", 200, "x")]
+    companies = spark.createDataFrame([(n, n, f"https://{n}.com") for n in ("long", "gone", "none", "early")], "id string, slug string, website string")
+    robots = spark.createDataFrame([("https://none.com", 200, f"User-agent: *\nDisallow: /work/p{last}")], "origin string, status int, body string")
+    got = {r.id: r for r in probe.probe(companies, landed(spark, rows), robots).collect()}
+    assert (got["long"].careers_url, got["long"].ats_provider, got["long"].result) == ("https://jobs.lever.co/long", "lever", "found_ats")
+    assert got["gone"].result == "no_page" and got["none"].result == "blocked"
+    usual = lambda n: [f"https://{n}.com/", *(f"https://{n}.com{p}" for p in probe.CAREERS_PATHS)]
+    for n in ("long", "gone", "none"):
+        way = [f"https://{n}.com/work/p{i}" for i in range(1, last + 1)]
+        assert got[n].checked == [*usual(n), way[0], f"{probe.YC_JOBS}/{n}/jobs", *way[1:]]
+    assert got["early"].result == "found_ats" and got["early"].checked == usual("early")
+    sizes = {u: len(b or "") for u, _, s, b in rows if s == 200}
+    assert all(got[n].html_size == sum(sizes.get(u, 0) for u in got[n].checked[: -1 if n == "none" else None]) for n in ("long", "gone", "none"))
