@@ -1,9 +1,9 @@
-"""SimHash near-duplicate detection with multi-index hashing, and connected components.
+"""SimHash near-duplicate detection by balls of radius 1 around whole fingerprints, and connected components.
 
 A fingerprint sums the bits of the XXH64 of every word shingle. Two fingerprints link at `RADIUS` = 2 or fewer differing
-bits. Each fingerprint is cut into two segments of 32 bits; in each table one segment runs through its Hamming ball of
-radius 1 while the other stays. Two fingerprints within 2 bits always share an entry: the one half way between them.
-Whoever shares an entry is fetched, and the complete distance is verified.
+bits. There are no segment tables as in multi-index hashing: each fingerprint enters one table under itself and under
+each fingerprint that differs from it in one bit. Two fingerprints within 2 bits always share an entry, the one half way
+between them, and whoever shares an entry is within 2 bits, so the check of the distance is a safeguard only.
 
 An entry holds no more than 65 different fingerprints, whatever the data: its whole ball. So a group of near copies,
 however large, costs 65 rows for each different fingerprint, where tables that are keyed by the segment alone would
