@@ -2,8 +2,9 @@
 
 Each piece goes where the sum, over gaps, of the squared number of open bins with that gap becomes smallest, among equal
 places into the fullest bin; a bin is opened only where no open one has room. The pieces of an input partition are encoded and packed where they are, largest first, so no
-text and no token is shuffled. Pieces in bins that a partition leaves with a gap of more than `SLACK` of the capacity
-are packed anew, in groups of up to `GROUP` pieces, until one group holds all that are left; only these few pieces move.
+text and no token is shuffled. Pieces in all bins that a partition doesn't fill are dealt evenly into groups of up to
+`GROUP` pieces, so that each group has its share of every partition, and packed anew; only their numbers move. What these
+groups leave with a gap of more than `SLACK` of the capacity is packed again until one group holds all that are left.
 A task keeps a few integers for each piece and packs after `HELD` pieces at the latest, so its memory is bounded however
 large a partition is.
 
@@ -133,9 +134,10 @@ def pack_documents(docs: DataFrame, path: str, end: int = END, capacity: int = C
     """Packs every row of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
     spark = docs.sparkSession
     pieces = materialize(spark, _packed_by_partition(pick(docs, ["doc_id", "text"]), path, end, capacity, held), "packed")
-    loose = F.col("used") < capacity - capacity * SLACK
     done, level, before = [], 1, None
     while True:
+        # A partition may hold lengths of one kind only, a group doesn't.
+        loose = F.col("used") < (capacity if level == 1 else capacity - capacity * SLACK)
         rest = pieces.filter(loose)
         n = rest.count()
         if n in (0, before):

@@ -509,6 +509,20 @@ def test_packing(spark, held, group):
     assert packing.pack_documents(empty(spark), path).count() == 0
 
 
+@pytest.mark.parametrize("group", [packing.GROUP, 20])
+def test_packing_of_clustered_lengths(spark, group):
+    """A partition of long documents and one of short ones go together: 113 + 15 tokens fill a sequence of 128."""
+    path, n = tokenize.vocabulary("word_bpe_49k.json"), 40
+    rows = [(i, " ".join(["the"] * (112 if i < n else 14))) for i in range(2 * n)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    got = packing.pack_documents(docs, path, capacity=128, group=group).collect()
+    assert sorted(r.length for r in got) == [15] * n + [113] * n and len({(r.doc_id, r.piece) for r in got}) == 2 * n
+    used = {}
+    for r in got:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert max(used.values()) <= 128 and len(used) <= n + (0 if group == packing.GROUP else 2)
+
+
 # --- 10 top-k
 
 
