@@ -5,19 +5,53 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet into spark.checkpoint.dir and read again: it cuts the lineage and outlives executors.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Where the session doesn't set the folder (tests on one machine), a temporary one is set.
+    Where the session doesn't set it, a local session (tests on one machine) gets a temporary one; a cluster has none.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='jobloom-')}")
-        root = spark.sparkContext.getCheckpointDir()
-    where = f"{root.rstrip('/')}/jobloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+        where = spark.sparkContext.getCheckpointDir()
+    return where.rstrip("/")
+
+
+def _file_system(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def fresh_dir(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared one. What the application leaves there goes when it ends in good order."""
+    own = f"{shared_dir(spark)}/jobloom-{spark.sparkContext.applicationId}"
+    path, fs = _file_system(spark, own)
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: it cuts the lineage, and outlives executors."""
+    spark = df.sparkSession
+    where = fresh_dir(spark, label)
+    df.write.parquet(where, compression=compression)
+    out = spark.read.schema(df.schema).parquet(where)
+    out._written_to = where
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what materialize wrote for tables that nothing reads any more."""
+    for df in tables:
+        where = getattr(df, "_written_to", None)
+        if where:
+            path, fs = _file_system(df.sparkSession, where)
+            fs.delete(path, True)
