@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobloom.session import prepare
+from jobloom.sources.shared import discard, fresh_dir, materialize  # noqa: F401
 
 #: Bytes that are no part of a word of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, made blank, and A-Z in lower case.
 WORD_TABLE = bytes(
@@ -27,41 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir.
-
-    Where the session doesn't set it (tests on one machine), a temporary checkpoint folder is set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='jobloom-')}")
-        where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/jobloom/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(spark: SparkSession, df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: it cuts the lineage, and outlives executors."""
-    where = fresh_dir(spark, label)
-    df.write.parquet(where, compression=compression)
-    out = spark.read.schema(df.schema).parquet(where)
-    out._written_to = where
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes what materialize wrote for tables that nothing reads any more."""
-    for df in tables:
-        where = getattr(df, "_written_to", None)
-        if where:
-            spark = df.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(where)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: bytes | None) -> list[bytes]:
     """Words of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` in UTF-8, A-Z in lower case. Null has none."""
     return text.translate(WORD_TABLE).split() if text else []

@@ -134,9 +134,9 @@ def find_overlaps(
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     if total <= block_bytes:
         return _search(docs, [*keys], next(_blocks(items, block_bytes)), width)
-    docs = materialize(spark, docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+    docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     passes = [
-        materialize(spark, _search(docs, ["row"], block, width).filter(F.size("items") > 0), "decontaminate-hits")
+        materialize(_search(docs, ["row"], block, width).filter(F.size("items") > 0), "decontaminate-hits")
         for block in _blocks(items, block_bytes)
     ]
     hits = passes[0]

@@ -166,7 +166,7 @@ def build_index(rows: DataFrame, shard: int = SHARD, leaf: int = LEAF) -> DataFr
             yield made(dim)
 
     found = pick(rows, ["vec_id", "embedding"]).mapInArrow(run, _INDEX)
-    return materialize(rows.sparkSession, found, "kd-index")
+    return materialize(found, "kd-index")
 
 
 def _query_blocks(queries: DataFrame, most: int) -> Iterator[dict[int, tuple[list[int], np.ndarray]]]:
@@ -229,7 +229,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, l
     index = build_index(rows, shard, leaf)
     found, n = None, 0
     for block in _query_blocks(pick(queries, ["vec_id", "embedding"]), query_bytes):
-        part = materialize(spark, _searched(index, block, k, n), "kd-found")
+        part = materialize(_searched(index, block, k, n), "kd-found")
         n += sum(len(ids) for ids, _ in block.values())
         found = part if found is None else found.union(part)
     if found is None:

@@ -133,7 +133,7 @@ def _packed_again(pieces: DataFrame, groups: int, capacity: int, level: int) ->
 def pack_documents(docs: DataFrame, path: str, end: int = END, capacity: int = CAPACITY, held: int = HELD, group: int = GROUP) -> DataFrame:
     """Packs every row of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
     spark = docs.sparkSession
-    pieces = materialize(spark, _packed_by_partition(pick(docs, ["doc_id", "text"]), path, end, capacity, held), "packed")
+    pieces = materialize(_packed_by_partition(pick(docs, ["doc_id", "text"]), path, end, capacity, held), "packed")
     done, level, before = [], 1, None
     while True:
         # A partition may hold lengths of one kind only, a group doesn't.
@@ -145,7 +145,7 @@ def pack_documents(docs: DataFrame, path: str, end: int = END, capacity: int = C
             break
         done.append(pieces.filter(~loose))
         groups = -(-n // group)
-        pieces = materialize(spark, _packed_again(rest, groups, capacity, level), "packed-again")
+        pieces = materialize(_packed_again(rest, groups, capacity, level), "packed-again")
         if groups == 1:
             done.append(pieces)
             break

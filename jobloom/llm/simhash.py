@@ -85,7 +85,7 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         return r.n, r.h
 
-    edges = materialize(spark, edges.select("a", "b").distinct(), "links")
+    edges = materialize(edges.select("a", "b").distinct(), "links")
     before = state(edges)
     for _ in range(most_rounds):
         if not before[0]:
@@ -93,11 +93,11 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         around = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
         large = edges.join(least, "b").select("a", F.col("m").alias("b")).filter("a <> b").distinct()
-        large = materialize(spark, large, "links")
+        large = materialize(large, "links")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("a", F.col("m").alias("b"))).distinct()
-        old, edges = edges, materialize(spark, small, "links")
+        old, edges = edges, materialize(small, "links")
         discard(old, large)
         now = state(edges)
         if now == before:
@@ -111,15 +111,15 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
 def placed(own: DataFrame) -> DataFrame:
     """(fp, root) for every fingerprint of own (doc_id, fp): root is the smallest fingerprint that is reachable."""
     spark = own.sparkSession
-    fps = materialize(spark, own.select("fp").distinct(), "distinct-fingerprints")
+    fps = materialize(own.select("fp").distinct(), "distinct-fingerprints")
     # Each fingerprint makes 65 rows: the small table is dealt out first, so that they don't come from a few tasks.
     roots = components(links(fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    return materialize(spark, fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "placed")
+    return materialize(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "placed")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of all that are reachable) for each row of docs (doc_id, text)."""
-    own = materialize(docs.sparkSession, fingerprints(docs), "fingerprints")
+    own = materialize(fingerprints(docs), "fingerprints")
     where = placed(own)
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     named = first.join(where, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
@@ -130,7 +130,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs of each component, with all its columns: of the smallest doc_id, and of one of its repeated rows."""
     spark = docs.sparkSession
     own = fingerprints(sealed(docs), keys=("rest", "text", "doc_id")).withColumn("row", F.monotonically_increasing_id())
-    own = materialize(spark, own, "fingerprinted")  # the row numbers are fixed from here on
+    own = materialize(own, "fingerprinted")  # the row numbers are fixed from here on
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = own.groupBy("fp").agg(F.min(order).alias("first"))
     first = first.join(placed(own), "fp").groupBy("root").agg(F.min("first").alias("first"))

@@ -129,7 +129,7 @@ def write_token_files(docs: DataFrame, where: str, path: str, end: int = END, ch
     """Encodes docs (doc_id, text) and writes the files into the folder where."""
     spark = docs.sparkSession
     size = encoder(path).model.get_vocab_size()
-    chunks = materialize(spark, tokenized(docs, path, end, chunk), "tokens", compression="none")  # ids are compressed already
+    chunks = materialize(tokenized(docs, path, end, chunk), "tokens", compression="none")  # ids are compressed already
     counted = counts(chunks, size)
     write_file(f"{where}/frequencies.rnt", counted.astype("<u8").tobytes())
     place, base = 0, {}

@@ -101,8 +101,8 @@ def train(judged: DataFrame) -> DataFrame:
     counted = each.groupBy("gram").agg(
         F.count("*").alias("n"), *[F.count_if(F.col("says").eqNullSafe(c)).alias(c) for c in ("allow", "block")]
     )
-    counted = materialize(spark, counted, "url-grams")
-    model = materialize(spark, _levels(counted), "url-model")
+    counted = materialize(counted, "url-grams")
+    model = materialize(_levels(counted), "url-model")
     discard(counted)
     return model
 
@@ -131,10 +131,10 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     rows = rows.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, says = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "says": says, "row": F.monotonically_increasing_id()})
-    rows = materialize(spark, rows, "urls")  # the row numbers are fixed from here on
+    rows = materialize(rows, "urls")  # the row numbers are fixed from here on
     model = train(rows)
     scored = rows.drop("url").join(score(rows, model), "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    scored = materialize(spark, scored.drop("row"), "url-scores")
+    scored = materialize(scored.drop("row"), "url-scores")
     discard(rows, model)
     stats = {r.says: r for r in scored.filter("says IS NOT NULL").groupBy("says").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).collect()}
     threshold = 0.0
