@@ -11,7 +11,7 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 #: Bytes of an Arrow batch, where the session keeps Spark's default: rows with long texts then take little memory.
-BATCH_BYTES, DEFAULT_BATCH_BYTES = "8m", ("64MB", "64m", "67108864", "67108864b")
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "4m", ("64MB", "64m", "67108864", "67108864b")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
