@@ -1,14 +1,17 @@
-"""SimHash near-duplicate detection by balls of radius 1 around whole fingerprints, and connected components.
+"""SimHash near-duplicate detection by multi-index hashing, and connected components.
 
 A fingerprint sums the bits of the XXH64 of every word shingle. Two fingerprints link at `RADIUS` = 2 or fewer differing
-bits. There are no segment tables as in multi-index hashing: each fingerprint enters one table under itself and under
-each fingerprint that differs from it in one bit. Two fingerprints within 2 bits always share an entry, the one half way
-between them, and whoever shares an entry is within 2 bits, so the check of the distance is a safeguard only.
-
-An entry holds no more than 65 different fingerprints, whatever the data: its whole ball. So a group of near copies,
-however large, costs 65 rows for each different fingerprint, where tables that are keyed by the segment alone would
-pair all that agree in it. Members of an entry are linked to its smallest fingerprint; links and components
-stay distributed. Copies have one fingerprint and are grouped before anything else.
+bits. Each fingerprint is entered in two tables, one for each half (segment) of 32 bits, under the value of that half. Two
+fingerprints within 2 bits differ by at most 1 in the first half or not at all in the second, so each looks up the ball of
+radius 1 around its first half and its second half as it is; of two that differ in a bit the one where it is set finds
+the other, so the members of the ball where a bit is added aren't needed. What an entry's fingerprints and those that
+look it up have in common is one half only: the distance over all 64 bits decides.
+
+An entry that more than `BUCKET` different fingerprints share, or that members of such an entry look up, isn't paired but
+cut again, by the halves of the bits that are not yet compared and within the distance that is left: entries of 48, then of
+56 common bits. So an entry has at most `BUCKET` fingerprints and 33 times as many that look it up or, at 56 bits, at most
+256 and 57 times as many, whatever the data; no link is lost and none is left out. Links and components stay distributed.
+Copies have one fingerprint and are grouped before anything else.
 
 Defined cases: null and empty texts, and texts of white space, have fingerprint 0 and link like any other; fewer words
 than a shingle make one shingle of them all; repeated rows share their component; a null doc_id never names a component
@@ -17,12 +20,13 @@ unless no other id is in it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import LOWER_TABLE, discard, extended, materialize, pick, raw, sealed, table, unsealed
@@ -31,7 +35,10 @@ NAME = "op3_simhash"
 SQL = None
 SHINGLE = 3
 SEED = 42
-SEGMENTS = (range(0, 32), range(32, 64))
+RADIUS = 2
+#: Different fingerprints that an entry may have before it is cut again, and how often: 32, 48, 56 common bits.
+BUCKET = 64
+LEVELS = 3
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -61,17 +68,84 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: tuple[str, ...]
     return docs.mapInArrow(run, extended(docs, [*keys], "fp long"))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b), a > b, between different fingerprints (column fp, distinct) of at most 2 differing bits.
+def _halves(mask: int) -> list[tuple[int, range]]:
+    """The two masks that add half of the bits that mask lacks, and the bits that each adds. Those bits stand together."""
+    lacking = [bit for bit in range(64) if not mask >> bit & 1]
+    low, high = lacking[: len(lacking) // 2], lacking[len(lacking) // 2 :]
+    return [(mask | sum(1 << bit for bit in half), range(half[0], half[-1] + 1)) for half in (high, low)]
+
+
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
+
+
+def _by_mask(of: dict[int, Column]) -> Column:
+    """of[the row's mask]."""
+    out = None
+    for mask, column in of.items():
+        is_it = F.col("mask") == _signed(mask)
+        out = F.when(is_it, column) if out is None else out.when(is_it, column)
+    return out
+
+
+def _longs(numbers: Iterable[int]) -> Column:
+    return F.array(*[F.lit(_signed(n)).cast("long") for n in numbers])
+
+
+def _entries(owners: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, mask, value): the entries of fingerprints (fp, mask) in the tables of the next level."""
+    below = F.explode(_by_mask({m: _longs(half for half, _ in _halves(m)) for m in masks}))
+    return owners.select("fp", below.alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
 
-    Not every pair is there, but enough that the components are those of all pairs.
+
+def _lookups(asks: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, x, spare, mask, value): what asks (fp, x, spare, mask) look up in the tables of the next level.
+
+    x is the fingerprint with the bits cleared that its partner lacks, spare how many more differing bits may be met.
     """
-    masks = [0, *(1 << bit if bit < 63 else -(1 << 63) for segment in SEGMENTS for bit in segment)]
-    ball = F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("fp").bitwiseXOR(m))
-    entries = fps.select("fp", F.explode(ball).alias("entry"))
-    found = entries.groupBy("entry").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
-    pairs = found.select(F.explode("members").alias("a"), "b").filter("a <> b")
-    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
+
+    def members(mask: int) -> Column:
+        (first, bits), (second, _) = _halves(mask)
+        same = F.array(*[F.struct(F.col("x"), F.col("spare"), F.lit(_signed(m)).cast("long").alias("mask")) for m in (first, second)])
+        is_set = F.filter(_longs(1 << bit for bit in bits), lambda bit: F.col("x").bitwiseAND(bit) != 0)
+        ball = F.transform(is_set, lambda bit: F.struct(F.col("x").bitwiseXOR(bit).alias("x"), F.lit(1).alias("spare"), F.lit(_signed(first)).cast("long").alias("mask")))
+        return F.when(F.col("spare") == RADIUS, F.concat(same, ball)).otherwise(same)
+
+    found = asks.select("fp", F.inline(_by_mask({m: members(m) for m in masks})))
+    return found.withColumn("value", F.col("x").bitwiseAND(F.col("mask")))
+
+
+def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """All links (a, b), a > b, between different fingerprints (column fp, distinct) of at most 2 differing bits.
+
+    A link may be there more than once.
+    """
+    spark = fps.sparkSession
+    top = F.lit(0).cast("long").alias("mask")
+    asks, owners = fps.select("fp", F.col("fp").alias("x"), F.lit(RADIUS).alias("spare"), top), fps.select("fp", top)
+    masks, found = [0], []
+    for _ in range(LEVELS):
+        asks, owners = _lookups(asks, masks), _entries(owners, masks)
+        masks = [half for m in masks for half, _ in _halves(m)]
+        last = any(bin(m).count("1") == 56 for m in masks)
+        full = None
+        if not last:
+            shared = owners.groupBy("mask", "value").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).drop("n")
+            # Members of a full entry look up those that lack one of its bits: these are cut again, too.
+            lacking = F.filter(_longs(1 << bit for bit in range(64)), lambda bit: F.col("value").bitwiseAND(bit) != 0)
+            near = F.concat(F.array("value"), F.transform(lacking, lambda bit: F.col("value").bitwiseXOR(bit)))
+            full = materialize(shared.select("mask", F.explode(near).alias("value")).distinct(), "full-entries")
+            if full.isEmpty():
+                full = None
+        here = (asks, owners) if full is None else (asks.join(full, ["mask", "value"], "left_anti"), owners.join(full, ["mask", "value"], "left_anti"))
+        pairs = here[0].join(here[1].withColumnRenamed("fp", "other"), ["mask", "value"])
+        once = (F.col("x") != F.col("fp")) | (F.col("other") < F.col("fp"))
+        found.append(pairs.filter(once & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)))
+        if full is None:
+            break
+        asks, owners = asks.join(full, ["mask", "value"], "left_semi"), owners.join(full, ["mask", "value"], "left_semi")
+    pairs = [df.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")) for df in found]
+    return reduce(DataFrame.union, pairs)
 
 
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -112,7 +186,7 @@ def placed(own: DataFrame) -> DataFrame:
     """(fp, root) for every fingerprint of own (doc_id, fp): root is the smallest fingerprint that is reachable."""
     spark = own.sparkSession
     fps = materialize(own.select("fp").distinct(), "distinct-fingerprints")
-    # Each fingerprint makes 65 rows: the small table is dealt out first, so that they don't come from a few tasks.
+    # Each fingerprint makes about 20 rows: the small table is dealt out first, so that they don't come from a few tasks.
     roots = components(links(fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return materialize(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "placed")
 

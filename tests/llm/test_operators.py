@@ -10,6 +10,7 @@ from re import _parser
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -196,8 +197,7 @@ def test_components_of_random_fingerprints(spark):
             prints.add(f)
             for _ in range(rng.randrange(1, 4)):
                 f ^= 1 << rng.randrange(64)
-    signed = [(f - 2**64 if f >= 2**63 else f,) for f in prints]
-    fps = spark.createDataFrame(signed, "fp long")
+    fps = spark.createDataFrame(signed(prints), "fp long")
     found = {r.node % 2**64: r.root for r in simhash.components(simhash.links(fps)).collect()}
     groups = {}
     for f, root in brute_components(prints).items():
@@ -208,6 +208,50 @@ def test_components_of_random_fingerprints(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def signed(prints):
+    return [(f - 2**64 if f >= 2**63 else f,) for f in prints]
+
+
+@pytest.mark.parametrize("bucket", [1, 4, 64])
+def test_links_are_all_pairs_within_two_bits(spark, bucket):
+    rng = random.Random(3)
+    centre, prints = rng.getrandbits(64), {0, 2**64 - 1, 1, 3, 7, 2**63}
+    prints |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for _ in range(150)}
+    prints |= {centre & ~0xFF | rng.getrandbits(8) for _ in range(60)}  # 56 bits in common
+    prints |= {centre >> 32 << 32 | rng.getrandbits(32) for _ in range(60)}  # a half in common, and far apart
+    want = {(max(p), min(p)) for p in combinations((x for (x,) in signed(prints)), 2) if ((p[0] ^ p[1]) & 2**64 - 1).bit_count() <= 2}
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame(signed(prints), "fp long"), bucket).collect()}
+    assert got == want
+
+
+def test_an_entry_joins_fingerprints_that_the_distance_refuses(spark):
+    far = [0xABCD << 40, 0xABCD << 40 | 0xF0F0]  # equal first halves, 8 bits apart
+    fps = spark.createDataFrame(signed(far), "fp long")
+    entries = simhash._entries(fps.withColumn("mask", F.lit(0).cast("long")), [0])
+    assert entries.groupBy("mask", "value").count().filter("count > 1").count() == 1
+    assert simhash.links(fps).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), min_size=1, max_size=2), st.integers(1, 3))
+def test_halves_find_every_pair_at_every_level(f, bits, depth):
+    """The rule of the lookups in plain Python: of two fingerprints within 2 bits one meets the other at each depth."""
+    other = f
+    for bit in bits:
+        other ^= 1 << bit
+    pair, masks = {f, other}, {0}
+    asks = {(x, x, 2, 0) for x in pair}
+    for _ in range(depth):
+        more = set()
+        for own, x, spare, mask in asks:
+            (first, half), (second, _) = simhash._halves(mask)
+            more |= {(own, x, spare, first), (own, x, spare, second)}
+            if spare == 2:
+                more |= {(own, x ^ 1 << b, 1, first) for b in half if x >> b & 1}
+        asks, masks = more, {h for m in masks for h, _ in simhash._halves(m)}
+        assert any(x & mask == y & mask for own, x, _, mask in asks for y in pair - {own})
+
+
 # --- 4 URLs
 
 
