@@ -7,12 +7,14 @@ raises ValueError.
 
 Of records with equal payloads (SHA-1 and length) of at least `REVISIT` bytes, the one with the largest page_id is written
 as response, the others as revisits of it, without the payload; their lengths and digests are those of the full payload.
-Digests are made by Spark; only page_id and digest are grouped, and what travels with the html is dealt by digest, so Spark
-can split a large group of copies. Archives are closed at `ARCHIVE` bytes, and written whole under a name that follows
-from the task, so a task that runs again replaces them by equal ones. The dictionary comes from a bounded sample
-(`SAMPLE` pages by hash, `PIECE` characters of each): it makes archives smaller and changes no result.
-
-Defined cases: a null html is empty; a null url is written as an empty target URI; a null page_id counts as smaller than
+Digests are made by Spark; only page_id and digest are grouped. Digests that over 1 / `HOT` of all pages have, fewer than
+`HOT`, are broadcast and their pages stay where they are; the others are joined by digest, so no key of that join has more
+pages. A task writes its pages in order of all their columns, and closes an archive at `ARCHIVE` bytes; archives are
+written whole under a name that follows from the task and its number there. So a task that runs again, or twice at once,
+replaces them by equal ones, in whatever order the pages reach it. The dictionary comes from a bounded sample (`SAMPLE`
+pages by hash, `PIECE` characters of each): it makes archives smaller and changes no result.
+
+Defined cases: no pages make one archive without records; a null html is empty; a null url is written as an empty target URI; a null page_id counts as smaller than
 any other and is written as no id; rows with equal page_id and payload, both the largest, are each written as response.
 """
 
@@ -30,10 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import fresh_dir, pick, table, write_file
+from jobloom.llm.common import fresh_dir, materialize, pick, table, write_file
 
 NAME = "op8_warc"
 REVISIT = 1000
+HOT = 4096
 SAMPLE = 500
 PIECE = 8192
 DICT_BYTES = 65536
@@ -171,24 +174,32 @@ def _dictionary(pages: DataFrame) -> bytes:
     order = F.xxhash64("page_id")
     last = pages.select(order.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first().h
     rows = pages.filter(order <= last).select(F.substring("html", 1, PIECE).alias("html")).limit(SAMPLE).collect() if last is not None else []
-    texts = [r.html.encode() for r in rows if r.html]
+    texts = sorted(r.html.encode() for r in rows if r.html)
     try:
         return zstandard.train_dictionary(DICT_BYTES, texts).as_bytes()
     except zstandard.ZstdError:
         return b"".join(texts)[-DICT_BYTES:]
 
 
-def write_archives(pages: DataFrame, where: str, archive: int = ARCHIVE, revisit: int = REVISIT) -> None:
+def referred(pages: DataFrame, revisit: int = REVISIT, hot: int = HOT) -> DataFrame:
+    """pages (page_id, url, html; no nulls but in page_id) with digest, size and, of revisits, refers_to in place of the html."""
+    known = pages.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
+    last = known.filter(F.col("size") >= revisit).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    last = materialize(last, "copies")
+    often = F.col("n") * hot > pages.count()
+    few = F.broadcast(last.filter(often).select("digest", "size", "last"))
+    rest = known.join(few, ["digest", "size"], "left_anti").join(last.filter(~often).select("digest", "size", "last"), ["digest", "size"], "left")
+    rows = known.join(few, ["digest", "size"]).unionByName(rest)
+    other = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
+    return rows.select("page_id", "url", F.when(~other, F.col("html")).alias("html"), "digest", "size", F.when(other, F.col("last")).alias("refers_to"))
+
+
+def write_archives(pages: DataFrame, where: str, archive: int = ARCHIVE, revisit: int = REVISIT, hot: int = HOT) -> None:
     """Writes pages (page_id, url, html) into the folder where, as archives of about `archive` bytes at most."""
-    spark = pages.sparkSession
     pages = pick(pages, ["page_id", "url", "html"])
     pages = pages.withColumns({"url": F.coalesce("url", F.lit("")), "html": F.coalesce("html", F.lit(""))})
     dictionary = _dictionary(pages)
-    known = pages.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    last = known.filter(F.col("size") >= revisit).groupBy("digest", "size").agg(F.max("page_id").alias("last"))
-    joined = known.join(last, ["digest", "size"], "left")
-    other = (F.col("size") >= revisit) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    rows = joined.select("page_id", "url", F.when(~other, F.col("html")).alias("html"), "digest", "size", F.when(other, F.col("last")).alias("refers_to"))
+    rows = referred(pages, revisit, hot).sortWithinPartitions("digest", "page_id", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, own = TaskContext.get().partitionId(), 0, None
@@ -213,7 +224,8 @@ def write_archives(pages: DataFrame, where: str, archive: int = ARCHIVE, revisit
             close()
         yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.string()), pa.array(done[1], pa.int64())], ["name", "bytes"])
 
-    rows.mapInArrow(run, "name string, bytes long").agg(F.sum("bytes")).collect()
+    if rows.mapInArrow(run, "name string, bytes long").agg(F.count("*").alias("n")).first().n == 0:
+        write_file(f"{where}/empty.warc.zst", bytes(Archive(dictionary).data))
 
 
 def read_archives(spark: SparkSession, where: str, payloads: bool = True) -> DataFrame:

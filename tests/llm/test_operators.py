@@ -489,8 +489,26 @@ def test_warc(spark):
         assert (r.record_type, r.refers_to) == (("revisit", 3) if r.page_id in (1, 2) else ("response", None))
         assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == html
     none = fresh_dir(spark, "test-warc-none")
-    warc.write_archives(pages.limit(0).union(pages.filter("page_id = 4")), none)
-    assert warc.read_archives(spark, none).count() == 1
+    warc.write_archives(pages.limit(0), none)
+    assert warc.read_archives(spark, none).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 4, 4096])
+def test_warc_tasks_that_run_again_write_equal_files(spark, tmp_path, hot):
+    rows = [(i, f"http://a/{i}", "z" * 1200 if i % 3 else f"page {i} " * 200) for i in range(60)]
+    files = []
+    for k, some in enumerate((rows, rows[::-1], random.Random(1).sample(rows, 60))):
+        pages = spark.createDataFrame(some, "page_id long, url string, html string").coalesce(1)
+        warc.write_archives(pages, f"file://{tmp_path}/{k}", archive=4096, hot=hot)
+        files.append({f.name: f.read_bytes() for f in (tmp_path / str(k)).iterdir()})
+        got = {(r.page_id, r.refers_to) for r in warc.read_archives(spark, f"file://{tmp_path}/{k}").collect()}
+        assert got == {(i, 59 if i % 3 and i < 59 else None) for i in range(60)}
+    assert len(files[0]) > 2 and files[0] == files[1] == files[2]
+
+
+def test_warc_of_an_empty_table_through_the_query(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.query(spark, str(tmp_path)).collect() == []
 
 
 def test_warc_reader_refuses_damage():
