@@ -106,8 +106,8 @@ def format_turns(conversations: DataFrame, path: str, part: int = PART) -> DataF
 
         for batch in batches:
             kind = batch.schema.field("conv_id").type
-            for i in range(0, batch.num_rows, 256):
-                conv, _, role, text = (batch.column(k)[i : i + 256].to_pylist() for k in keys)
+            for i in range(0, batch.num_rows, 4096):
+                conv, _, role, text = (batch.column(k)[i : i + 4096].to_pylist() for k in keys)
                 for c, turn in zip(conv, template.turns(list(zip(role, text)))):
                     if held and ((c,) != current or size + len(turn[0]) > part):
                         yield made()

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import extended, materialize, pick, raw, table
-from jobloom.llm.tokenize import encoder, vocabulary
+from jobloom.llm.common import extended, materialize, pick, table
+from jobloom.llm.tokenize import encoder, gathered, vocabulary
 
 NAME = "op9_packing"
 SQL = None
@@ -34,7 +34,6 @@ END = 0
 SLACK = 1 / 8
 HELD = 500_000
 GROUP = 200_000
-TABLE = 600_000  # pieces that a worker remembers while it packs
 
 
 def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -75,7 +74,7 @@ def _packed_by_partition(docs: DataFrame, path: str, end: int, capacity: int, he
     """The pieces of docs (doc_id, text), packed within their input partition. used: tokens in the piece's sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, last = encoder(path, TABLE), np.array([end], "<u4").tobytes()
+        model = encoder(path)
         ids: list[pa.Array] = []
         rows: list[np.ndarray] = []
         count, base = 0, TaskContext.get().partitionId() << 40
@@ -93,18 +92,19 @@ def _packed_by_partition(docs: DataFrame, path: str, end: int, capacity: int, he
                 yield pa.RecordBatch.from_arrays([own.take(pa.array(at[k : k + 10_000])), *(c.slice(k, 10_000) for c in columns)], ["doc_id", *_NAMES])
             ids, rows, count, base = [], [], 0, base + made
 
-        for batch in batches:
-            first, found = sum(map(len, ids)), []
+        for batch in gathered(batches):
+            row = sum(map(len, ids))
             ids.append(batch.column("doc_id"))
-            texts = [(t or b"").decode("utf-8", "replace") for t in raw(batch.column("text"))]
-            for k in range(0, len(texts), 64):
-                for j, data in enumerate(model.encode(texts[k : k + 64]), first + k):
-                    data += last
-                    for p, a in enumerate(range(0, len(data), 4 * capacity)):
-                        piece = data[a : a + 4 * capacity]
-                        found.append((j, p, a // 4, len(piece) // 4, zlib.crc32(piece)))
-            rows.append(np.array(found, np.int64).reshape(-1, 5))
-            count += len(found)
+            for block in model.blocks(batch.column("text"), end):
+                data, at = memoryview(block.values.to_numpy().astype("<u4", copy=False)).cast("B"), block.offsets.to_numpy().tolist()
+                found = []
+                for j, (a, b) in enumerate(zip(at, at[1:]), row):
+                    for p, c in enumerate(range(a, b, capacity)):
+                        d = min(b, c + capacity)
+                        found.append((j, p, c - a, d - c, zlib.crc32(data[4 * c : 4 * d])))
+                rows.append(np.array(found, np.int64).reshape(-1, 5))
+                count += len(found)
+                row += len(block)
             if count >= held:
                 yield from flush()
         if count:

@@ -23,14 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import rans
-from jobloom.llm.common import discard, fresh_dir, materialize, pick, raw, table, write_file
-from jobloom.llm.tokenize import encoder, vocabulary
+from jobloom.llm.common import discard, fresh_dir, materialize, pick, table, write_file
+from jobloom.llm.tokenize import encoder, gathered, vocabulary
 
 NAME = "op6_token_files"
 SQL = None
@@ -52,37 +53,40 @@ def tokenized(docs: DataFrame, path: str, end: int = END, chunk: int = CHUNK) ->
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, last = encoder(path), np.array([end], "<u4").tobytes()
+        model = encoder(path)
         kinds = model.model.get_vocab_size()
         small, packer, total = kinds <= 1 << 16, zstandard.ZstdCompressor(level=1), np.zeros(kinds, np.int64)
-        part, number, start = TaskContext.get().partitionId(), 0, 0
-        held: list[bytes] = []
-        own: list[int | None] = []
-        size = 0
+        part, number, start, size = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
 
         def made() -> pa.RecordBatch:
             nonlocal number, start, size, total
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids, lengths = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            own = pa.concat_arrays([h[2] for h in held])
             total += np.bincount(ids, minlength=kinds)
-            data = packer.compress(ids.astype("<u2").tobytes() if small else ids.tobytes())
-            present = np.array([i is not None for i in own], np.uint8).tobytes()
-            columns = [part, number, start, len(ids), np.array([i or 0 for i in own], "<i8").tobytes(), present]
-            columns += [np.array([len(x) // 4 for x in held], "<u4").tobytes(), data, None]
+            data = packer.compress(ids.astype("<u2" if small else "<u4"))
+            known = pc.is_valid(own).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+            columns = [part, number, start, len(ids), pc.fill_null(own, 0).to_numpy().astype("<i8").tobytes(), known]
+            columns += [lengths.astype("<u4").tobytes(), data, None]
             number, start, size = number + 1, start + len(ids), 0
             held.clear()
-            own.clear()
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(columns, types)], names)
 
-        for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            texts = [(t or b"").decode("utf-8", "replace") for t in raw(batch.column("text"))]
-            for k in range(0, len(texts), 64):
-                for i, ids in zip(doc_ids[k : k + 64], model.encode(texts[k : k + 64])):
-                    own.append(i)
-                    held.append(ids + last)
-                    size += len(ids) // 4 + 1
+        for batch in gathered(batches):
+            own, first = batch.column("doc_id").cast(pa.int64()), 0
+            for found in model.blocks(batch.column("text"), end):
+                ids, at = found.values.to_numpy(), found.offsets.to_numpy()
+                done = 0  # texts of the block that are held or given away
+                while done < len(found):
+                    # a chunk ends with the text that fills it
+                    to = min(len(found), int(np.searchsorted(at, at[done] + chunk - size, side="left")))
+                    to = max(done + 1, to)
+                    held.append((ids[at[done] : at[to]], np.diff(at[done : to + 1]), own[first + done : first + to]))
+                    size += int(at[to] - at[done])
+                    done = to
                     if size >= chunk:
                         yield made()
+                first += len(found)
         if held:
             yield made()
         if number:
