@@ -4,25 +4,30 @@ The index holds a row for each shard of up to `SHARD` vectors: the vectors in tr
 a balanced KD-tree (median splits of the widest side) its tight bounding box and smallest id. A query walks a tree
 best-first: the box bounds the inner product of whatever lies in it, the node with the highest bound comes next, and the
 walk ends when no bound reaches the kth best score. That kth score starts at the query's kth best within one shard, which
-the driver searches first, goes out with the queries, and is carried from shard to shard within a task.
+each block is searched against first, goes out with the block, and is carried from shard to shard within a cell.
 
-Queries are sent out in blocks of at most `QUERY_BYTES`; every block meets every shard. A shard returns at most k rows for
-a query, and only those that reach the kth score that it was given; ranks are taken over these.
+Queries are cut into blocks of at most `QUERY_BYTES`, shards are gathered in groups of about `GROUP`; one job deals every
+block to every group of shards and searches each such cell in a task of its own: a block is held while the group's shards
+pass by one at a time. Nothing goes through the driver but the blocks' numbers. A shard returns at most k rows for a query,
+and only those that reach the kth score that it was given; ranks are taken over these.
 
 Components are floor(256 * x); sums that a double can't hold exactly are made with Python's integers, and a score
 beyond a long is cut to the range of a long before it is compared. Defined cases: vectors that are null, empty, or hold null or non-finite
-components take no part, nor do rows with a null vec_id; vectors of another length are no candidates of a query; a query's
-own row is that with its vec_id (repeated rows of a query are each answered; repeated candidates each count); equal scores
+components take no part, nor do rows with a null vec_id; no queries give no rows; vectors of another length are no candidates of a query; a query's
+own row is that with its vec_id (queries without one take no part; repeated rows of a query are each answered; repeated candidates each count); equal scores
 go to the smaller vec_id.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +39,7 @@ EVERY = 50
 SHARD = 8192
 LEAF = 256
 QUERY_BYTES = 8 << 20
+GROUP = 2
 EXACT = float(2**53)
 
 
@@ -124,15 +130,15 @@ class Tree:
                     top[:] = heapq.nsmallest(k, top + more)
 
 
-_INDEX = "dim int, n int, wide boolean, vectors binary, ids binary, spans binary, low binary, high binary, least binary"
+_INDEX = "shard long, dim int, n int, wide boolean, vectors binary, ids binary, spans binary, low binary, high binary, least binary"
 
 
-def _row(tree: Tree) -> dict:
+def _row(tree: Tree, shard: int) -> dict:
     n, dim = tree.vectors.shape
     wide = tree.largest >= 2**31
     kind = "<f8" if wide else "<i4"
     arrays = {"vectors": kind, "ids": "<i8", "spans": "<i8", "low": kind, "high": kind, "least": "<i8"}
-    return {"dim": dim, "n": n, "wide": wide} | {name: getattr(tree, name).astype(t).tobytes() for name, t in arrays.items()}
+    return {"shard": shard, "dim": dim, "n": n, "wide": wide} | {name: getattr(tree, name).astype(t).tobytes() for name, t in arrays.items()}
 
 
 def _tree(row: dict) -> Tree:
@@ -144,15 +150,18 @@ def _tree(row: dict) -> Tree:
 
 def build_index(rows: DataFrame, shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
     """The index over rows (vec_id, embedding), in the shared folder: every vector that takes part is in one shard."""
+    rows = pick(rows, ["vec_id", "embedding"])
+    rows = rows.coalesce(max(1, rows.count() // shard))  # small input files don't make small shards
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("wide", pa.bool_()), *((n, pa.binary()) for n in _INDEX.replace(" binary", "").split(", ")[3:])])
+        schema = pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("wide", pa.bool_()), *((n, pa.binary()) for n in _INDEX.replace(" binary", "").split(", ")[4:])])
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
+        number = count(TaskContext.get().partitionId() << 32)
 
         def made(dim: int) -> pa.RecordBatch:
             part = held.pop(dim)
             tree = Tree.build(np.stack([v for _, v in part]), np.array([i for i, _ in part], np.int64), leaf)
-            return pa.RecordBatch.from_pylist([_row(tree)], schema)
+            return pa.RecordBatch.from_pylist([_row(tree, next(number))], schema)
 
         for batch in batches:
             ids = batch.column("vec_id").to_pylist()
@@ -165,76 +174,120 @@ def build_index(rows: DataFrame, shard: int = SHARD, leaf: int = LEAF) -> DataFr
         for dim in list(held):
             yield made(dim)
 
-    found = pick(rows, ["vec_id", "embedding"]).mapInArrow(run, _INDEX)
-    return materialize(found, "kd-index")
-
-
-def _query_blocks(queries: DataFrame, most: int) -> Iterator[dict[int, tuple[list[int], np.ndarray]]]:
-    """Blocks of queries (vec_id, embedding): for each dimension the ids and the vectors. Bounded in bytes."""
-    block: dict[int, list] = {}
-    size = 0
-    for row in queries.toLocalIterator():
-        _, v = quantized(pa.array([row.embedding], pa.list_(pa.float64())))
-        if v:
-            block.setdefault(len(v[0]), []).append((row.vec_id, v[0]))
-            size += v[0].nbytes
-        if size >= most:
-            yield {d: ([i for i, _ in x], np.stack([v for _, v in x])) for d, x in block.items()}
-            block, size = {}, 0
-    if block:
-        yield {d: ([i for i, _ in x], np.stack([v for _, v in x])) for d, x in block.items()}
-
-
-def _searched(index: DataFrame, block: dict, k: int, first: int) -> DataFrame:
-    """(q, query_id, vec_id, score): what each shard adds to the queries of a block, numbered from first."""
-    start = {}
-    for dim, (ids, vectors) in block.items():
-        seed = index.filter(F.col("dim") == dim).limit(1).collect()  # one shard, at most SHARD vectors
-        best = [[] for _ in ids]
-        if seed:
-            _tree(seed[0].asDict()).search(vectors, np.array(ids), best, k)
-        start[dim] = [b[-1][0] if len(b) == k else None for b in best]
-    sent = index.sparkSession.sparkContext.broadcast((block, start))
-    high = 2**63 - 1  # as an id: after all others
+    return materialize(rows.mapInArrow(run, _INDEX), "kd-index")
+
+
+_BLOCK = "block long, dim int, ids binary, vectors binary"
+
+
+def _blocks(queries: DataFrame, most: int) -> DataFrame:
+    """Blocks of queries (vec_id, embedding) of one dimension each, in the shared folder; at most `most` bytes of vectors."""
+    queries = pick(queries, ["vec_id", "embedding"]).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    numbers = queries.agg(F.sum(F.size("embedding").cast("long")).alias("n")).first().n or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+        number = count(TaskContext.get().partitionId() << 32)
+
+        def made(dim: int) -> pa.RecordBatch:
+            own = held.pop(dim)
+            columns = [next(number), dim, np.array([i for i, _ in own], "<i8").tobytes(), np.stack([v for _, v in own]).astype("<f8").tobytes()]
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(columns, types)], ["block", "dim", "ids", "vectors"])
+
+        for batch in batches:
+            ids = batch.column("vec_id").to_pylist()
+            for i, v in zip(*quantized(batch.column("embedding"))):
+                own = held.setdefault(len(v), [])
+                own.append((ids[i], v))
+                if (len(own) + 1) * v.nbytes > most:
+                    yield made(len(v))
+        for dim in list(held):
+            yield made(dim)
+
+    return materialize(queries.repartition(max(1, -(-8 * numbers // most))).mapInArrow(run, _BLOCK), "kd-queries")
+
+
+def _seeded(blocks: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """blocks with start, for each query minus the kth best score that it has within one shard of its dimension (NaN: fewer)."""
+    first = index.groupBy("dim").agg(F.min("shard").alias("shard"))
+    shard = index.join(first, ["dim", "shard"], "left_semi").drop("shard", "n")
+    both = blocks.withColumnsRenamed({"ids": "query_ids", "vectors": "queries"}).join(shard, "dim")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, reach = sent.value
-        offset, n = {}, first
-        for dim in queries:
-            offset[dim], n = n, n + len(queries[dim][0])
-        # A place that no row takes: k of them stand for the kth score that came with the query.
-        best = {d: [[] if s is None else [(s, high)] * k for s in reach[d]] for d in queries}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                if row["dim"] in queries:
-                    ids, vectors = queries[row["dim"]]
-                    _tree(row).search(vectors, np.array(ids), best[row["dim"]], k)
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for dim, tops in best.items():
-            stand_in = [(s, high) for s in reach[dim]]
-            for j, top in enumerate(tops):
+                own, vectors = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["queries"], "<f8").reshape(-1, row["dim"])
+                best: list[list[tuple]] = [[] for _ in own]
+                _tree(row).search(vectors, own, best, k)
+                columns = [[row["block"]], [pickle.dumps([b[-1][0] if len(b) == k else None for b in best])]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()))], ["block", "start"])
+
+    return blocks.join(materialize(both.mapInArrow(run, "block long, start binary"), "kd-starts"), "block")
+
+
+def _searched(index: DataFrame, blocks: DataFrame, k: int, group: int) -> DataFrame:
+    """(block, place, query_id, vec_id, score): what each shard adds to each query, by cells of a block and a group of shards."""
+    of_dim: dict[int, list[int]] = {}
+    for row in blocks.select("block", "dim").collect():
+        of_dim.setdefault(row.dim, []).append(row.block)
+    names = ["block", "place", "query_id", "vec_id", "score"]
+    schema = ", ".join(f"{n} long" for n in names)
+    if not of_dim:
+        return index.sparkSession.createDataFrame([], schema)
+    groups = -(-index.count() // group)
+    many = lambda own: F.array(*[F.lit(b).cast("long") for b in own])
+    met = F.create_map(*[x for dim, own in of_dim.items() for x in (F.lit(dim), many(own))])
+    shards = index.filter(F.col("dim").isin(*of_dim)).withColumn("cell", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int"))
+    shards = shards.withColumn("block", F.explode(F.element_at(met, F.col("dim"))))
+    asked = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    rows = asked.withColumn("shard", F.lit(-1).cast("long")).unionByName(shards, allowMissingColumns=True)
+    spark = index.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A block comes before the shards of its cell. The cells are small and take long, so Spark mustn't join tasks.
+    dealt = rows.repartition(min(tasks, groups * sum(map(len, of_dim.values()))), "block", "cell").sortWithinPartitions("block", "cell", "shard")
+    high = 2**63 - 1  # as an id: after all others
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: np.ndarray | None = None
+        block, vectors, start, best = 0, None, [], []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for j, top in enumerate(best):
                 for s, i in top:
-                    if (s, i) != stand_in[j]:
-                        for column, x in zip(out, (offset[dim] + j, queries[dim][0][j], i, _long(int(-s)))):
+                    if (s, i) != (start[j], high):
+                        for column, x in zip(out, (block, j, own[j], i, _long(int(-s)))):
                             column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["q", "query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
+                if row["shard"] >= 0:
+                    _tree(row).search(vectors, own, best, k)
+                    continue
+                if own is not None:
+                    yield from found()
+                block, own = row["block"], np.frombuffer(row["ids"], "<i8")
+                vectors, start = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"]), pickle.loads(row["start"])
+                # A place that no row takes: k of them stand for the kth score that came with the query.
+                best = [[] if s is None else [(s, high)] * k for s in start]
+        if own is not None:
+            yield from found()
 
-    return index.mapInArrow(run, "q long, query_id long, vec_id long, score long")
+    return dealt.mapInArrow(run, schema)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, leaf: int = LEAF, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def top_k(
+    rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, leaf: int = LEAF, query_bytes: int = QUERY_BYTES, group: int = GROUP
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows (vec_id, embedding) for each query but its own, all if fewer."""
-    spark = rows.sparkSession
     index = build_index(rows, shard, leaf)
-    found, n = None, 0
-    for block in _query_blocks(pick(queries, ["vec_id", "embedding"]), query_bytes):
-        part = materialize(_searched(index, block, k, n), "kd-found")
-        n += sum(len(ids) for ids, _ in block.values())
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "q long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
+    blocks = _blocks(queries, query_bytes)
+    found = _searched(index, _seeded(blocks, index, k), k, group)
+    order = Window.partitionBy("block", "place").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
