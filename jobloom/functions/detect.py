@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import DOT, WS, js_trim
+from jobloom.functions.text import DOT, WS, js_trim, let
 
 # Words that mark a page as a careers page, and the patterns of the boards, in the order in which they are
 # tried. {slug} groups are numbered; the slug joins them with colons. `\\s` inside a class of the first two patterns is
@@ -80,7 +80,8 @@ def has_careers_token(value: Column) -> Column:
 
 def percent_decoded(value: Column) -> Column:
     """Percent escapes decoded; a malformed one leaves the text as it is. A plus stays a plus."""
-    return F.when(F.instr(value, "%") == 0, value).otherwise(F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value))
+    decoded = lambda v: F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v)
+    return let(value, lambda v: F.when(F.instr(v, "%") == 0, v).otherwise(decoded(v)))
 
 
 def _result(provider: Column, slug: Column) -> Column:
@@ -108,16 +109,18 @@ def detect_embed(text: Column) -> Column:
 
 def detect(value: Column) -> Column:
     """struct<provider, slug> of the first matcher that fits a URL or a page's text, or null."""
-    text = js_trim(value)
-    out = detect_embed(text)
-    found = None
-    for m in MATCHERS:
-        fits = text.rlike(m.pattern)
-        if m.guarded:
-            fits = fits & (has_careers_token(_slug(text, m)) | has_careers_token(text))
-        says = _result(F.lit(m.provider), _slug(text, m))
-        found = F.when(fits, says) if found is None else found.when(fits, says)
-    return F.coalesce(out, found)
+
+    def first(text: Column) -> Column:
+        found = None
+        for m in MATCHERS:
+            fits = text.rlike(m.pattern)
+            if m.guarded:
+                fits = fits & (has_careers_token(_slug(text, m)) | has_careers_token(text))
+            says = _result(F.lit(m.provider), _slug(text, m))
+            found = F.when(fits, says) if found is None else found.when(fits, says)
+        return F.coalesce(detect_embed(text), found)
+
+    return let(js_trim(value), first)
 
 
 def detect_with_body(url: Column, body: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import js_trim, truthy
+from jobloom.functions.text import js_trim, let, truthy
 from jobloom.functions.times import to_iso
 from jobloom.schemas import DRAFT, POLICIES, SPECIALTIES
 
@@ -32,8 +32,9 @@ def encode_chunks(text: Column, size: int = CHUNK) -> Column:
 def decode_chunks(meta: Column) -> Column:
     """The text of encode_chunks; null where the number or a chunk is missing."""
     n = F.regexp_extract(F.element_at(meta, "draft_chunks"), r"^\s*([0-9]+)", 1).try_cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(meta, F.concat(F.lit("d"), i.cast("string"))))
-    return F.when((n > 0) & ~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))
+    parts = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(meta, F.concat(F.lit("d"), i.cast("string"))))
+    joined = lambda parts: F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))
+    return let(n, lambda n: let(F.when(n > 0, parts(n)), joined))
 
 
 def _kind(v: Column) -> Column:
@@ -42,7 +43,10 @@ def _kind(v: Column) -> Column:
 
 def draft_error(text: Column) -> Column:
     """The first thing wrong with a decoded draft, or null."""
-    root = F.try_parse_json(text)
+    return let(F.try_parse_json(text), lambda root: _draft_error(text, root))
+
+
+def _draft_error(text: Column, root: Column) -> Column:
     get = lambda key: F.try_variant_get(root, f"$.{key}", "variant")
     is_text = lambda key: _kind(get(key)) == "STRING"
     says = lambda key: F.try_variant_get(root, f"$.{key}", "string")
@@ -73,10 +77,12 @@ def draft_error(text: Column) -> Column:
 
 def parse_draft(text: Column) -> Column:
     """The draft as a struct; empty optional strings are null."""
-    d = F.from_json(text, DRAFT)
-    for name in ("location_city", "comp_currency"):
-        d = d.withField(name, truthy(d[name]))
-    return d
+    def read(d: Column) -> Column:
+        for name in ("location_city", "comp_currency"):
+            d = d.withField(name, truthy(d[name]))
+        return d
+
+    return let(F.from_json(text, DRAFT), read)
 
 
 def form_error(form: dict[str, Column]) -> Column:

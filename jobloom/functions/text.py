@@ -5,6 +5,7 @@ Patterns follow ECMAScript: `\\s` and trim() mean its white space, `\\b` is ASCI
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -49,11 +50,21 @@ def chain(value: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda c, s: F.regexp_replace(c, F.lit(s[0]), F.lit(s[1])), steps, value)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once a row: a lambda's variable stands for it, so Catalyst doesn't copy it into every use."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def literal(value: Column, *steps: tuple[str, str]) -> Column:
     """Literal replacements one after the other."""
     return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), steps, value)
 
 
+def where_it_holds(value: Column, sign: str, *steps: tuple[str, str]) -> Column:
+    """Regular replacements that need a sign, tried only where the value holds it."""
+    return let(value, lambda v: F.when(v.contains(sign), chain(v, *steps)).otherwise(v))
+
+
 def has_word(value: Column, words: str) -> Column:
     return value.rlike(f"(?i){START}(?:{words}){END}")
 
@@ -69,7 +80,7 @@ def js_trim(value: Column) -> Column:
 
 def squeeze(value: Column) -> Column:
     """Runs of white space as one blank, trimmed; null as empty."""
-    return js_trim(F.regexp_replace(F.coalesce(value, F.lit("")), rf"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), rf"[{WS}]+", " "))
 
 
 # --- slugs and paths
@@ -125,18 +136,18 @@ def format_location(city: Column, country: Column, is_remote: Column, policy: Co
 
 
 def _without_blocks(html: Column, by: str) -> Column:
-    return chain(html, (r"(?i)<script\b[^>]*>[\s\S]*?</script>", by), (r"(?i)<style\b[^>]*>[\s\S]*?</style>", by))
+    return where_it_holds(html, "</", (r"(?i)<script\b[^>]*>[\s\S]*?</script>", by), (r"(?i)<style\b[^>]*>[\s\S]*?</style>", by))
 
 
 def sanitize_html(html: Column) -> Column:
     """Without scripts, styles and inline handlers. No protection against hostile HTML."""
     handlers = rf"""(?i)[{WS}]on[a-z]+[{WS}]*=[{WS}]*("{DOT}*?"|'{DOT}*?'|[^{WS}>]+)"""
-    return F.regexp_replace(_without_blocks(html, ""), handlers, "")
+    return where_it_holds(_without_blocks(html, ""), "=", (handlers, ""))
 
 
 def strip_tags(html: Column) -> Column:
-    bare = chain(_without_blocks(html, " "), ("<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"))
-    return squeeze(bare)
+    bare = where_it_holds(_without_blocks(html, " "), "<", ("<[^>]+>", " "))
+    return squeeze(where_it_holds(bare, "&", ("(?i)&nbsp;", " "), ("(?i)&amp;", "&")))
 
 
 def decode_entities(value: Column) -> Column:
@@ -207,25 +218,33 @@ def parse_location(value: Column) -> Column:
 def parse_compensation(text: Column) -> Column:
     """struct<low, high, currency, equity> of the first pay range in a text."""
     pattern = rf"(?i)\$(\d+)(k)?[{WS}]?(?:-|to|–)[{WS}]?\$?(\d+)(k)?"
-    found = text.rlike(pattern)
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    amount = lambda i: F.when(found, part(i).try_cast("bigint") * F.when(part(i + 1) != "", 1000).otherwise(1))
-    return F.struct(
-        amount(1).alias("low"), amount(3).alias("high"), F.when(found, "USD").alias("currency"),
-        F.when(has_word(text, "equity"), 1).alias("equity"),
-    )
+
+    def read(said: Column) -> Column:
+        part = lambda i: F.regexp_extract(said, pattern, i)
+        amount = lambda i: F.when(said != "", part(i).try_cast("bigint") * F.when(part(i + 1) != "", 1000).otherwise(1))
+        return F.struct(amount(1).alias("low"), amount(3).alias("high"), F.when(said != "", "USD").alias("currency"), F.when(has_word(text, "equity"), 1).alias("equity"))
+
+    return let(F.when(text.contains("$"), F.regexp_extract(text, pattern, 0)), read)
+
+
+def _says(text: Column, lower: Column, words: str) -> Column:
+    """has_word(text, words), tried only where the text in lower case holds one of the words."""
+    return reduce(Column.__or__, [lower.contains(w) for w in words.split("|")]) & has_word(text, words)
 
 
 def parse_ai_stack(text: Column) -> Column:
     """The stack's tokens in a text, as a JSON array, in the table's order."""
-    return F.to_json(F.array_compact(F.array(*[F.when(has_word(text, t), t) for t in STACK_TOKENS])))
+    return let(F.lower(text), lambda low: F.to_json(F.array_compact(F.array(*[F.when(_says(text, low, t), t) for t in STACK_TOKENS]))))
 
 
 def parse_specialty(text: Column) -> Column:
-    out = None
-    for name, words in SPECIALTY_WORDS:
-        out = F.when(has_word(text, words), name) if out is None else out.when(has_word(text, words), name)
-    return out
+    def first(low: Column) -> Column:
+        out = None
+        for name, words in SPECIALTY_WORDS:
+            out = F.when(_says(text, low, words), name) if out is None else out.when(_says(text, low, words), name)
+        return out
+
+    return let(F.lower(text), first)
 
 
 def has_ai_tag(tags: Column) -> Column:

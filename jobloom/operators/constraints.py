@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.schemas import CHECKS, DEFAULTS, FOREIGN_KEYS, NOT_NULL, UNIQUE
+from jobloom.schemas import CHECKS, FOREIGN_KEYS, NOT_NULL, UNIQUE
 
 
 def duplicate_keys(table: DataFrame, key: str) -> DataFrame:
@@ -37,10 +37,6 @@ def check_violations(table: DataFrame, name: str) -> DataFrame:
     return table.select("id", out.alias("breach")).filter("breach IS NOT NULL")
 
 
-def with_defaults(table: DataFrame, name: str) -> DataFrame:
-    return table.fillna(DEFAULTS.get(name, {}))
-
-
 def validate(name: str, table: DataFrame, parents: dict[str, DataFrame]) -> None:
     """Raises ValueError at the first constraint of a table that is in breach."""
     faults = {"check": check_violations(table, name)}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions import docs
-from jobloom.functions.text import slugify, truthy
+from jobloom.functions.text import let, slugify, truthy
 from jobloom.schemas import COMPANIES, LISTINGS, PAID_LISTINGS, THIRTY_DAYS_MS, TIERS
 from jobloom.sources.shared import materialize
 
@@ -42,13 +42,16 @@ def payment_fields(events: DataFrame) -> DataFrame:
     draft is decoded from the metadata; error says what is wrong with it, and such events are not fulfilled.
     """
     rows = events.filter(F.col("type") == COMPLETED)
-    text = docs.decode_chunks(F.col("metadata"))
     tier = F.element_at("metadata", "tier")
     tier = F.when(tier.isin(*TIERS), tier).otherwise("standard")
     amount = F.coalesce(F.col("amount_total"), F.element_at("metadata", "amount_cents").try_cast("bigint"), price(tier))
+    read = lambda text: F.struct(
+        docs.parse_draft(text).alias("draft"), F.coalesce(F.when(text.isNull(), "missing draft"), docs.draft_error(text)).alias("error")
+    )
+    rows = rows.withColumn("read", let(docs.decode_chunks(F.col("metadata")), read))
     return rows.select(
         "event_id", "session_id", tier.alias("tier"), amount.alias("amount_cents"), F.coalesce("currency", F.lit("usd")).alias("currency"),
-        docs.parse_draft(text).alias("draft"), F.coalesce(F.when(text.isNull(), "missing draft"), docs.draft_error(text)).alias("error"), "paid_at",
+        F.col("read.draft").alias("draft"), F.col("read.error").alias("error"), "paid_at",
     )
 
 

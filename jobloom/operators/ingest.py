@@ -6,7 +6,7 @@ table store writes it as a new version. Batches are reduced with aggregates that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions import detect, text, times
@@ -18,19 +18,23 @@ SECONDS = 10_000_000_000
 
 def normalize(jobs: DataFrame, now_ms: int) -> DataFrame:
     """Listings from postings with company_id, provider and provider_slug; other columns of jobs are dropped but `seq`."""
-    rows = jobs.withColumn("html", text.sanitize_html(F.coalesce("description", F.lit(""))))
-    rows = rows.withColumn("said", F.concat("title", F.lit(" "), text.strip_tags(F.col("html"))))
-    rows = rows.withColumns({
-        "place": text.parse_location(F.col("location")),
-        "pay": text.parse_compensation(F.concat("title", F.lit(" "), F.col("said"))),
-        "posted": times.parse_posted_at(F.col("posted_num"), F.col("posted_str"), now_ms),
+    def read(html: Column) -> Column:
+        """What the posting says, with its clean text computed once."""
+        told = lambda said: F.struct(
+            html.alias("html"), text.parse_compensation(F.concat("title", F.lit(" "), said)).alias("pay"), text.parse_ai_stack(said).alias("stack"), text.parse_specialty(said).alias("specialty")
+        )
+        return text.let(F.concat("title", F.lit(" "), text.strip_tags(html)), told)
+
+    rows = jobs.withColumns({
+        "said": text.let(text.sanitize_html(F.coalesce("description", F.lit(""))), read),
+        "place": text.parse_location(F.col("location")), "posted": times.parse_posted_at(F.col("posted_num"), F.col("posted_str"), now_ms),
     })
     listing = {
         "id": F.concat_ws(":", "provider", "provider_slug", "provider_job_id"), "company_id": F.col("company_id"), "title": F.col("title"),
         "location_city": F.col("place.city"), "location_country": F.col("place.country"), "location_is_remote": F.col("place.is_remote"),
-        "location_policy": F.col("place.policy"), "comp_min": F.col("pay.low"), "comp_max": F.col("pay.high"), "comp_currency": F.col("pay.currency"),
-        "comp_equity": F.col("pay.equity"), "ai_stack": text.parse_ai_stack(F.col("said")), "ai_specialty": text.parse_specialty(F.col("said")),
-        "ai_compute_access": F.lit(None).cast("string"), "description_html": F.col("html"), "apply_url": F.col("apply_url"),
+        "location_policy": F.col("place.policy"), "comp_min": F.col("said.pay.low"), "comp_max": F.col("said.pay.high"), "comp_currency": F.col("said.pay.currency"),
+        "comp_equity": F.col("said.pay.equity"), "ai_stack": F.col("said.stack"), "ai_specialty": F.col("said.specialty"),
+        "ai_compute_access": F.lit(None).cast("string"), "description_html": F.col("said.html"), "apply_url": F.col("apply_url"),
         "posted_at": F.col("posted"), "expires_at": times.expiry(F.col("posted")), "updated_at": F.col("posted"), "status": F.lit("active"),
     }
     kept = ["seq"] if "seq" in jobs.columns else []

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions import text, times
+from jobloom.functions import html, text, times
 from jobloom.operators.search import empty_descriptions
 from jobloom.schemas import PROBE_RESULTS
+from jobloom.sources.shared import one_row
 
 FILLED = 200
 
@@ -31,21 +32,23 @@ def unit_counts(listings: DataFrame) -> DataFrame:
     return listings.agg(F.count_if(F.col("expires_at") < 10_000_000_000).alias("in_seconds"), F.count("*").alias("n"))
 
 
-def article_content(html: Column) -> Column:
-    """The inside of the first article element of a page that has no nested ones, else null."""
-    pattern = r"(?i)<article\b[^>]*>([\s\S]*?)</article>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+def main_content(page: Column) -> Column:
+    """html.main_content of a page. Natively where one article, and nothing that hides tags, leaves no doubt about its place."""
+    article = r"(?i)<article\b[^>]*>([\s\S]*?)</article>"
+    clear = (F.regexp_count(page, F.lit("(?i)</?article\\b")) == 2) & page.rlike(article) & ~page.rlike(r"(?i)<!--|<(?:script|style|textarea|title|xmp|iframe|noembed|noframes|plaintext)\b[^>]*>[^<]*</?article")
+    return F.when(clear, F.regexp_extract(page, article, 1)).otherwise(html.main_content_col(F.when(~F.coalesce(clear, F.lit(False)), page)))
 
 
-def backfill_outcomes(listings: DataFrame, fetched: DataFrame, now_ms: int, content: Column | None = None) -> DataFrame:
+def backfill_outcomes(listings: DataFrame, fetched: DataFrame, now_ms: int) -> DataFrame:
     """id, outcome and the new description of each listing without one, from landed responses (url, status, html).
 
-    A 4xx expires it; no page is an error; a page with at least FILLED characters of text fills it; else it expires.
-    content: how the main content is taken from the column html.
+    A 4xx expires it; no page is an error; a page with at least FILLED characters of text fills it; else it expires. The
+    last response of a url counts (see one_row).
     """
-    rows = empty_descriptions(listings, now_ms).join(fetched.withColumnRenamed("url", "apply_url"), "apply_url", "left")
-    body = text.sanitize_html(article_content(F.col("html")) if content is None else content)
-    rows = rows.withColumn("body", body)
+    wanted = empty_descriptions(listings, now_ms)
+    fetched = fetched.join(wanted.select(F.col("apply_url").alias("url")), "url", "left_semi")
+    rows = wanted.join(one_row(fetched, "url").withColumnRenamed("url", "apply_url"), "apply_url", "left")
+    rows = rows.withColumn("body", text.sanitize_html(main_content(F.col("html"))))
     outcome = (
         F.when(F.col("status").between(400, 499), "expired")
         .when(text.truthy(F.col("html")).isNull(), "error")
@@ -57,7 +60,7 @@ def backfill_outcomes(listings: DataFrame, fetched: DataFrame, now_ms: int, cont
 
 
 def apply_backfill(listings: DataFrame, outcomes: DataFrame, now_ms: int) -> DataFrame:
-    own = outcomes.select("id", "outcome", F.col("description_html").alias("_body"))
+    own = one_row(outcomes.select("id", "outcome", F.col("description_html").alias("_body")), "id")
     rows = listings.join(own, "id", "left")
     rows = rows.withColumn("description_html", F.coalesce("_body", "description_html"))
     return rows.withColumn("expires_at", F.when(F.col("outcome") == "expired", F.lit(now_ms)).otherwise(F.col("expires_at"))).select(*listings.columns)
@@ -70,7 +73,7 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
 def apply_probe_results(companies: DataFrame, results: DataFrame, now_ms: int) -> DataFrame:
     """Probe results (id, careers_url, ats_provider, result) written to their companies."""
     own = results.select("id", F.col("careers_url").alias("_url"), F.col("ats_provider").alias("_ats"), F.col("result").alias("_result"))
-    rows = companies.join(own, "id", "left")
+    rows = companies.join(one_row(own, "id"), "id", "left")
     probed = F.col("_result").isNotNull()
     return rows.withColumns({
         "careers_url": F.when(probed, F.col("_url")).otherwise(F.col("careers_url")),

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions import detect, html
-from jobloom.functions.text import truthy
-from jobloom.sources.shared import materialize
+from jobloom.functions.text import let, truthy
+from jobloom.sources.shared import discard, materialize, one_row
 
 # Where careers pages usually are, and the accelerator's own job pages.
 CAREERS_PATHS = ("/careers", "/jobs", "/join", "/work", "/hiring")
@@ -49,29 +49,30 @@ def path_of(url: Column) -> Column:
 
 def judge(pages: DataFrame) -> DataFrame:
     """For each page: ok, html, size, the careers links on it, and found: struct<url, provider> in either order of tests."""
-    rows = pages.dropDuplicates(["url"]).withColumns({
+    rows = one_row(pages, "url").withColumns({
         "final_url": F.coalesce("final_url", "url"), "ok": F.coalesce(F.col("status").between(200, 299), F.lit(False)), "html": is_html(F.col("content_type")),
     })
     rows = rows.withColumn("size", F.when(F.col("ok") & F.col("html"), F.length("body")).otherwise(0))
-    readable = rows.filter("ok AND html AND body IS NOT NULL")
-    each = readable.select("url", F.explode(html.links_col(F.col("body"), F.col("final_url"))).alias("link"))
-    each = each.withColumn("provider", detect.detect(F.col("link.url"))["provider"]).filter("provider IS NOT NULL")
-    linked = each.groupBy("url").agg(F.min_by(F.struct(F.col("link.url").alias("url"), "provider"), "link.pos").alias("linked"))
-    told = readable.select("url", html.career_links_col(F.col("body"), F.col("final_url")).alias("career_links"))
+    readable = F.col("ok") & F.col("html") & F.col("body").isNotNull()
+    rows = rows.withColumn("links", html.links_col(F.when(readable, F.col("body")), F.col("final_url")))
     pair = lambda url, provider: F.struct(url.alias("url"), provider.alias("provider"))
-    by_url, embed = detect.detect(F.col("final_url")), detect.detect_embed(F.col("body"))
+    boards = F.transform("links", lambda link: pair(link["url"], detect.detect(link["url"])["provider"]))
+    embed = F.when(F.col("ok") & F.col("html"), detect.detect_embed(F.col("body")))
+    on_page = lambda found, url, provider: F.when(found.isNotNull(), pair(url, provider))
     rows = rows.withColumns({
-        "by_url": F.when(F.col("ok") & by_url["provider"].isNotNull(), pair(F.col("final_url"), by_url["provider"])),
-        "embed": F.when(F.col("ok") & F.col("html") & embed.isNotNull(), pair(detect.embed_company_url(embed["slug"]), F.lit("waas"))),
+        "by_url": F.when(F.col("ok"), let(detect.detect(F.col("final_url")), lambda d: on_page(d, F.col("final_url"), d["provider"]))),
+        "embed": let(embed, lambda d: on_page(d, detect.embed_company_url(d["slug"]), F.lit("waas"))),
         "yc": F.when(F.col("ok") & F.col("html") & is_yc_jobs_page(F.col("final_url")), pair(F.col("final_url"), F.lit("custom"))),
-    }).join(linked, "url", "left").join(told, "url", "left")
+        "linked": F.get(F.filter(boards, lambda b: b["provider"].isNotNull()), F.lit(0)),
+        "career_links": F.transform(F.filter("links", lambda link: link["careers"]), lambda link: link["url"]),
+    })
     # The costly test, only where no other decides.
-    open_ = rows.filter("ok AND html AND body IS NOT NULL AND by_url IS NULL AND embed IS NULL AND yc IS NULL AND linked IS NULL")
-    own = open_.filter(html.looks_like_careers_col(F.col("body"), F.col("final_url"))).select("url", pair(F.col("final_url"), F.lit("custom")).alias("own"))
-    rows = rows.join(own, "url", "left")
+    undecided = readable & F.coalesce("by_url", "embed", "yc", "linked").isNull()
+    rows = rows.withColumn("shows", html.looks_like_careers_col(F.when(undecided, F.col("body")), F.col("final_url")))
+    own = F.when(F.col("shows"), pair(F.col("final_url"), F.lit("custom")))
     return rows.select(
         "url", "final_url", "status", "ok", "html", "size", "career_links",
-        F.coalesce("embed", "by_url", "linked").alias("home_found"), F.coalesce("by_url", "yc", "embed", "linked", "own").alias("found"),
+        F.coalesce("embed", "by_url", "linked").alias("home_found"), F.coalesce(F.col("by_url"), F.col("yc"), F.col("embed"), F.col("linked"), own).alias("found"),
     )
 
 
@@ -83,7 +84,13 @@ def robots_policies(robots: DataFrame) -> DataFrame:
 
 def probe(companies: DataFrame, pages: DataFrame, robots: DataFrame) -> DataFrame:
     """id, slug, careers_url, ats_provider, result, checked and html_size of each company (id, slug, website)."""
-    judged = materialize(judge(pages), "judged")
+    kept: list[DataFrame] = []
+
+    def held(df: DataFrame, label: str) -> DataFrame:
+        kept.append(materialize(df, label))
+        return kept[-1]
+
+    judged = held(judge(pages), "judged")
     sites = companies.select("id", "slug", "website", website_url(F.col("website")).alias("site"))
     no_site = truthy(F.col("website")).isNull()
     home = sites.join(judged.withColumnRenamed("url", "site"), "site", "left")
@@ -92,7 +99,7 @@ def probe(companies: DataFrame, pages: DataFrame, robots: DataFrame) -> DataFram
         F.when(no_site, "no_page").when(F.col("site").isNull() | failed, "error")
         .when(F.col("ok") & F.col("html") & hit, "found_ats").when(F.col("status").between(400, 599), "no_page")
     )
-    home = materialize(home.withColumn("result", verdict), "homepages")
+    home = held(home.withColumn("result", verdict), "homepages")
     base = origin(F.col("final_url"))
     usual = F.when(F.col("ok") & F.col("html"), F.array(*[F.concat(base, F.lit(p)) for p in CAREERS_PATHS])).otherwise(F.array().cast("array<string>"))
     queue = F.concat(usual, F.coalesce("career_links", F.array().cast("array<string>")), F.array(F.concat(F.lit(f"{YC_JOBS}/"), "slug", F.lit("/jobs"))))
@@ -106,19 +113,19 @@ def probe(companies: DataFrame, pages: DataFrame, robots: DataFrame) -> DataFram
         rows = level.withColumn("origin", origin(F.col("site"))).join(rules, "origin", "left").join(judged, "url", "left")
         blocked = F.col("rules").isNotNull() & ~html.allowed_by_robots(F.col("rules"), path_of(F.col("url")))
         rows = rows.withColumn("blocked", F.coalesce(blocked, F.lit(False))).withColumn("event", event)
-        rows = materialize(rows.drop("rules", "origin"), "visited")
+        rows = held(rows.drop("rules", "origin"), "visited")
         visited = rows if visited is None else visited.unionByName(rows)
         more = rows.filter("NOT blocked AND ok AND html AND found IS NULL")
         more = more.select("id", "site", "place", F.posexplode("career_links").alias("k", "url"))
         more = more.groupBy("id", "site", "url").agg(F.min(F.struct("place", "k")).alias("place")).join(seen, ["id", "url"], "left_anti")
         # Whoever is decided is done: all that is queued lies behind.
-        more = materialize(more.join(rows.filter("event IN ('hit', 'stop')").select("id"), "id", "left_anti"), "queued")
+        more = held(more.join(rows.filter("event IN ('hit', 'stop')").select("id"), "id", "left_anti"), "queued")
         if more.isEmpty():
             break
         levels += 1
         seen, level = seen.union(more.select("id", "url")), more
         if levels % COMPACT == 0:
-            seen, visited = materialize(seen, "seen"), materialize(visited, "visited")
+            seen, visited = held(seen, "seen"), held(visited, "visited")
     ends = visited.filter("event IN ('hit', 'stop')").groupBy("id").agg(F.min("place").alias("end_place"), F.min_by(F.struct("event", "found"), "place").alias("end"))
     walked = visited.join(ends, "id", "left").filter("end_place IS NULL OR place <= end_place")
     ended = walked.groupBy("id").agg(
@@ -134,10 +141,13 @@ def probe(companies: DataFrame, pages: DataFrame, robots: DataFrame) -> DataFram
         F.when(F.col("n_blocked") > 0, "blocked").when(F.col("n_error") > 0, "error").otherwise("no_page"),
     )
     first = F.when(F.col("site").isNotNull() & ~no_site, F.array("site")).otherwise(F.array().cast("array<string>"))
-    return out.select(
+    out = out.select(
         "id", "slug", "site", F.when(won, found["url"]).alias("careers_url"), F.when(won, found["provider"]).alias("ats_provider"), result.alias("result"),
         F.concat(first, F.coalesce("urls", F.array().cast("array<string>"))).alias("checked"), (F.coalesce("size", F.lit(0)) + F.coalesce("bytes", F.lit(0))).alias("html_size"),
     )
+    out = materialize(out, "probed")
+    discard(*kept)
+    return out
 
 
 def render_candidates(outcomes: DataFrame) -> DataFrame:

@@ -34,7 +34,9 @@ def _listed(lists: DataFrame, schema: str, items: str) -> DataFrame:
 
 
 def _detail(details: DataFrame, schema: str) -> DataFrame:
-    return details.select("slug", "key", F.from_json("body", schema).alias("d")).filter("d IS NOT NULL").dropDuplicates(["slug", "key"])
+    """One row for each detail: of several that were landed the greatest that is readable."""
+    read = details.select("slug", "key", "body", F.from_json("body", schema).alias("d")).filter("d IS NOT NULL")
+    return read.groupBy("slug", "key").agg(F.max_by("d", "body").alias("d"))
 
 
 def greenhouse(lists: DataFrame) -> DataFrame:

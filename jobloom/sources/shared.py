@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Intermediate tables in the folder that the driver and all executors share, and landed rows reduced to one a key."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,3 +56,10 @@ def discard(*tables: DataFrame | None) -> None:
         if where:
             path, fs = _file_system(df.sparkSession, where)
             fs.delete(path, True)
+
+
+def one_row(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each key: of several the last by landed_at, if there is such a column, else the greatest. Same columns."""
+    rest = sorted(set(rows.columns) - {key}, key=lambda c: (c != "landed_at", rows.columns.index(c)))
+    kept = rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row"))
+    return kept.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in rows.columns])

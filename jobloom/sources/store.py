@@ -1,11 +1,15 @@
 """Versioned snapshots of the tables as Parquet: readers see whole versions, writers add one.
 
-A version is written beside the others and validated; then the file `_CURRENT` in the table's folder names it. Listings are
-partitioned by status and sorted by expiry within files, so that searches skip most of them.
+A version is written beside the others and validated; then a new pointer, a small numbered file in the table's folder
+`_pointers`, names it. The pointer with the highest number that names a version wins, and none is touched once it is there,
+so a reader sees the version before or the one after, and a writer that dies at any step leaves the one before. Two writers
+that publish at once take the same number: one of them fails. Listings are partitioned by status and sorted by expiry
+within files, so that searches skip most of them.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobloom.operators import constraints
-from jobloom.schemas import TABLES
+from jobloom.schemas import DEFAULTS, TABLES
+
+
+#: Pointers that stay besides the newest.
+KEEP = 8
+_POINTER, _VERSION = re.compile(r"p-\d{12}"), re.compile(r"v-[0-9a-f]{32}")
 
 
 class TableStore:
@@ -25,15 +34,38 @@ class TableStore:
         path = self._jvm.org.apache.hadoop.fs.Path(text)
         return path, path.getFileSystem(self._conf)
 
+    def _pointers(self, name: str) -> list[str]:
+        """Names of the pointers, newest first."""
+        path, fs = self._path(f"{self.root}/{name}/_pointers")
+        found = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted((n for n in found if _POINTER.fullmatch(n)), reverse=True)
+
     def current(self, name: str) -> str | None:
-        path, fs = self._path(f"{self.root}/{name}/_CURRENT")
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-        finally:
-            stream.close()
+        for pointer in self._pointers(name):
+            path, fs = self._path(f"{self.root}/{name}/_pointers/{pointer}")
+            stream = fs.open(path)
+            try:
+                version = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if _VERSION.fullmatch(version):  # one that was cut off is as if it weren't there
+                return version
+        return None
+
+    def _publish(self, name: str, version: str) -> None:
+        folder = f"{self.root}/{name}/_pointers"
+        before = self._pointers(name)
+        number = int(before[0].removeprefix("p-")) + 1 if before else 0
+        part, fs = self._path(f"{folder}/_{version}")
+        out = fs.create(part, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+        pointer, _ = self._path(f"{folder}/p-{number:012d}")
+        if fs.exists(pointer) or not fs.rename(part, pointer):
+            fs.delete(part, False)
+            raise RuntimeError(f"another writer published {name} at the same time")
+        for old in before[KEEP:]:
+            fs.delete(self._path(f"{folder}/{old}")[0], False)
 
     def read(self, name: str) -> DataFrame:
         """The current version; an empty table where there is none."""
@@ -48,7 +80,7 @@ class TableStore:
         self.assert_known_columns(name, rows)
         version = f"v-{uuid.uuid4().hex}"
         where = f"{self.root}/{name}/{version}"
-        rows = constraints.with_defaults(self.migrated(name, rows), name)
+        rows = self.migrated(name, rows)
         if name == "listings":
             rows.sortWithinPartitions("status", "expires_at").write.partitionBy("status").parquet(where)
         else:
@@ -56,14 +88,7 @@ class TableStore:
         written = self.spark.read.schema(TABLES[name]).parquet(where).select(*[f.name for f in TABLES[name].fields])
         if check:
             constraints.validate(name, written, {p: self.read(p) for p in TABLES if p != name})
-        pointer, fs = self._path(f"{self.root}/{name}/_CURRENT")
-        part, _ = self._path(f"{self.root}/{name}/_{version}.pointer")
-        out = fs.create(part, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        fs.rename(part, pointer)
+        self._publish(name, version)
         return version
 
     @staticmethod
@@ -77,7 +102,7 @@ class TableStore:
 
     @staticmethod
     def migrated(name: str, rows: DataFrame) -> DataFrame:
-        """Missing columns added as nulls, except that updated_at of a listing is its posted_at."""
+        """Missing columns added with their defaults, else as nulls; updated_at of a listing is its posted_at. A null stays one."""
         out = []
         for f in TABLES[name].fields:
             if f.name in rows.columns:
@@ -85,7 +110,7 @@ class TableStore:
             elif (name, f.name) == ("listings", "updated_at"):
                 value = F.col("posted_at")
             else:
-                value = F.lit(None)
+                value = F.lit(DEFAULTS.get(name, {}).get(f.name))
             out.append(value.cast(f.dataType).alias(f.name))
         return rows.select(*out)
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from jobloom.functions import html
 from jobloom.operators import constraints, fulfil, ingest, maintain, search
 from jobloom.schemas import COMPANIES, LISTINGS, PAID_LISTINGS, THIRTY_DAYS_MS
 from jobloom.sources import companies as directory
@@ -113,9 +114,24 @@ def test_landed_batches(spark, tmp_path):
 def test_backfill(spark):
     rows = listings(spark, *[listing(i, description_html="", apply_url=i) for i in ("dead", "down", "gone", "thin", "full")])
     page = lambda t: f"<article>{t}</article>"
-    fetched = spark.createDataFrame([("dead", 404, None), ("down", 503, None), ("thin", 200, page("x")), ("full", 200, page("<p onclick='a'>" + "word " * 60 + "</p>"))], "url string, status int, html string")
+    fetched = spark.createDataFrame([("dead", 404, None), ("down", 503, None), ("thin", 200, page("x")), ("full", 200, page("<p onclick='a'>" + "word " * 60 + "</p>")), ("thin", 200, page("x"))], "url string, status int, html string")
     out = maintain.backfill_outcomes(rows, fetched, NOW_MS)
-    assert {r.id: r.outcome for r in out.collect()} == {"dead": "expired", "down": "error", "gone": "error", "thin": "expired", "full": "filled"}
+    assert sorted((r.id, r.outcome) for r in out.collect()) == sorted({"dead": "expired", "down": "error", "gone": "error", "thin": "expired", "full": "filled"}.items())
+    assert maintain.apply_backfill(rows, out.union(out), NOW_MS).count() == rows.count()
+    long = "word " * 60
+    pages = {"main": f"<nav>n</nav><main>{long}</main>", "head": f"<body><nav>n</nav><h1>T</h1><p>{long}</p></body>", "body": f"<body><p>{long}</p></body>", "bare": f"<p>{long}",
+             "told": f"<!-- <article>no</article> --><main>{long}</main>", "two": f"<article>{long}</article><article>x</article>", "thin": f"<main>x</main><p>{long}</p>"}
+    for page_html, kept in ((h, html.main_content(h)) for h in pages.values()):
+        one = spark.createDataFrame([(page_html,)], "html string").select(maintain.main_content(F.col("html")).alias("c")).first().c
+        assert one == kept
+    rows = listings(spark, *[listing(i, description_html="", apply_url=i) for i in pages])
+    fetched = spark.createDataFrame([(i, 200, h) for i, h in pages.items()], "url string, status int, html string")
+    assert {r.id: r.outcome for r in maintain.backfill_outcomes(rows, fetched, NOW_MS).collect()} == {i: "expired" if i == "thin" else "filled" for i in pages}
+    out = maintain.backfill_outcomes(
+        listings(spark, *[listing(i, description_html="", apply_url=i) for i in ("dead", "down", "gone", "thin", "full")]),
+        spark.createDataFrame([("dead", 404, None), ("full", 200, page("<p onclick='a'>" + "word " * 60 + "</p>"))], "url string, status int, html string"), NOW_MS,
+    )
+    rows = listings(spark, *[listing(i, description_html="", apply_url=i) for i in ("dead", "down", "gone", "thin", "full")])
     after = {r.id: r for r in maintain.apply_backfill(rows, out, NOW_MS).collect()}
     assert after["dead"].expires_at == NOW_MS and after["full"].description_html.startswith("<p>word") and after["down"].expires_at == NOW_MS + 5
 
@@ -141,6 +157,29 @@ def test_store(spark, tmp_path):
     store.write("listings", listings(spark, listing("a")).drop("updated_at", "ai_compute_access", "ai_stack"))
     row = store.read("listings").first()
     assert row.updated_at == row.posted_at and row.ai_stack == "[]"
+    with pytest.raises(ValueError, match="ai_stack is null"):
+        store.write("listings", listings(spark, listing("a", ai_stack=None)))
+
+
+def test_a_writer_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, f"file://{tmp_path}/db")
+    one = store.write("companies", spark.createDataFrame([company("c1")], COMPANIES))
+    both = spark.createDataFrame([company("c1"), company("c2")], COMPANIES)
+    with monkeypatch.context() as m:
+        m.setattr(TableStore, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("dies")))
+        with pytest.raises(RuntimeError, match="dies"):
+            store.write("companies", both)
+    assert store.current("companies") == one
+    pointers = tmp_path / "db/companies/_pointers"
+    (pointers / f"_{one}").write_text(one)  # written, not yet renamed
+    (pointers / "p-000000000001").write_text("v-12")  # cut off
+    assert store.current("companies") == one and store.read("companies").count() == 1
+    two = store.write("companies", both)
+    assert store.current("companies") == two and store.read("companies").count() == 2
+    (pointers / "p-000000000003").write_text(one)  # another writer was faster
+    monkeypatch.setattr(TableStore, "_pointers", lambda *_: ["p-000000000002"])
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._publish("companies", two)
 
 
 def test_constraints(spark):
