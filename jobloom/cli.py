@@ -6,13 +6,16 @@ import argparse
 import json
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.operators import ingest, maintain, search
+from jobloom.operators import dispatch, fulfil, ingest, maintain, probe, search
 from jobloom.session import prepare
 from jobloom.sources import companies as directory
+from jobloom.sources import fetch
+from jobloom.sources.shared import materialize
 from jobloom.sources.store import TableStore
+from jobloom.streaming.events import EVENT_SCHEMA
 
 
 def seed(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
@@ -48,7 +51,89 @@ def eligible(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
     return {"eligible": [r.slug for r in rows.select("slug").collect()]}
 
 
-JOBS = {"seed": seed, "load": load, "sweep": sweep, "repair": repair, "eligible": eligible}
+def _landed(store: TableStore, args: argparse.Namespace, name: str, schema: str) -> DataFrame:
+    """A landed table in the folder --landed; empty where it isn't there."""
+    spark, where = store.spark, f"{args.landed.rstrip('/')}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(where)
+
+
+def _published(store: TableStore, name: str, rows: DataFrame, args: argparse.Namespace) -> None:
+    if not args.dry_run:
+        store.write(name, rows)
+
+
+def scrape(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
+    """Landed payloads (lists, details, pages in --landed; see operators.dispatch) of the known boards, normalized and upserted.
+
+    Payloads that can't be read go to the folder quarantine beside the tables.
+    """
+    lists = _landed(store, args, "lists", "provider string, slug string, body string")
+    details = _landed(store, args, "details", "provider string, slug string, key string, body string")
+    pages = _landed(store, args, "pages", "provider string, slug string, html string")
+    companies = search.with_careers(store.read("companies"))
+    if args.only:
+        companies = companies.filter(F.col("slug") == args.only)
+    owners = ingest.resolved_provider(companies, pages.filter("provider = 'custom'").select(F.col("slug").alias("url"), "html"))
+    jobs = materialize(dispatch.of_companies(dispatch.postings(lists, details, pages, now_ms), owners), "postings")
+    batch = ingest.normalize(jobs, now_ms)
+    bad = dispatch.unreadable(lists, details)
+    if not args.dry_run:
+        bad.write.mode("append").parquet(f"{store.root}/quarantine")
+    _published(store, "listings", ingest.upsert_listings(store.read("listings"), batch, now_ms), args)
+    totals = {r.provider: r.n for r in ingest.provider_totals(jobs).collect()}
+    return {"postings": totals, "unreadable": bad.count()}
+
+
+def probe_careers(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
+    """Careers pages of the companies that are due, from landed pages and robots in --landed; with --rendered, its second pass."""
+    companies = store.read("companies")
+    due = search.probe_eligible(companies, now_ms, args.only, args.limit)
+    pages = _landed(store, args, "pages", fetch.LANDED)
+    found = probe.probe(due, pages, _landed(store, args, "robots", "origin string, status int, body string"))
+    if args.rendered:
+        found = probe.after_render(found, store.spark.read.parquet(args.rendered))
+    found = materialize(found, "probe-results")
+    after = maintain.apply_probe_results(companies, found, now_ms)
+    counts = {r.result: r.n for r in found.groupBy("result").agg(F.count("*").alias("n")).collect()}
+    delta = maintain.count_delta(companies, after).first().asDict()
+    _published(store, "companies", after, args)
+    return {"results": counts} | delta
+
+
+def render_list(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
+    """What a rendering fetcher should land for the second pass: companies whose last probe found nothing."""
+    due = search.headless_eligible(store.read("companies"), now_ms, args.limit)
+    outcomes = due.select("id", "slug", probe.website_url(F.col("website")).alias("site"), F.lit("no_page").alias("result"), F.lit(0).alias("html_size"))
+    return {"urls": [r.url for r in probe.render_candidates(outcomes).orderBy("id", "place").select("url").collect()]}
+
+
+def backfill(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
+    """Descriptions of listings without one, from landed responses (pages in --landed)."""
+    pages = _landed(store, args, "pages", fetch.LANDED).select("url", "status", F.col("body").alias("html"))
+    listings = store.read("listings")
+    out = materialize(maintain.backfill_outcomes(listings, pages, now_ms), "backfill")
+    _published(store, "listings", maintain.apply_backfill(listings, out, now_ms), args)
+    return {r.outcome: r.n for r in maintain.outcome_counts(out).collect()}
+
+
+def fulfil_payments(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
+    """Landed payment events (payments in --landed) fulfilled once each."""
+    companies, listings, paid = (store.read(name) for name in ("companies", "listings", "paid_listings"))
+    payments = materialize(fulfil.payment_fields(_landed(store, args, "payments", EVENT_SCHEMA)), "payments")
+    done = fulfil.fulfil(companies, paid, payments)
+    counts = {r.result: r.n for r in done.results.groupBy("result").agg(F.count("*").alias("n")).collect()}
+    for name, old, new in (("companies", companies, done.companies), ("listings", listings, done.listings), ("paid_listings", paid, done.paid)):
+        _published(store, name, old.join(new.select("id"), "id", "left_anti").unionByName(new), args)
+    return counts | {"refused": payments.filter("error IS NOT NULL").count()}
+
+
+JOBS = {
+    "seed": seed, "load": load, "scrape": scrape, "sweep": sweep, "repair": repair, "eligible": eligible, "probe": probe_careers, "render-list": render_list,
+    "backfill": backfill, "fulfil": fulfil_payments,
+}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -58,7 +143,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--now-ms", type=int)
     p.add_argument("--jobs", help="postings to load")
     p.add_argument("--batches", help="folder of landed directory batches")
-    p.add_argument("--only", help="one batch of companies")
+    p.add_argument("--landed", help="folder of landed tables")
+    p.add_argument("--rendered", help="pages that a rendering fetcher landed (url, final_url, body)")
+    p.add_argument("--dry-run", action="store_true", help="compute and count, write no table")
+    p.add_argument("--only", help="one batch of companies, or (scrape) the slug of one")
     p.add_argument("--limit", type=int)
     return p
 

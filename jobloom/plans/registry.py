@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import detect, docs, html, text, times
 from jobloom.operators import constraints, feed, fulfil, ingest, maintain, probe, search
+from jobloom.plans import boards
 from jobloom.plans.oracle import SQL
 from jobloom.schemas import LISTINGS
 from jobloom.sources import companies as directory
@@ -25,11 +26,11 @@ def register(function: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | boards.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: SQL[name] for name in QUERIES if name in SQL}
+    return {name: SQL[name] for name in QUERIES if name in SQL} | boards.SQL
 
 
 def _lc(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

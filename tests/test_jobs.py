@@ -1,14 +1,18 @@
 """The landing fetcher and the batch jobs."""
 
+import json
 import threading
 import time
 
 from pyspark.sql import functions as F
 
 from jobloom import cli
+from jobloom.schemas import COMPANIES
 from jobloom.sources import fetch
 from jobloom.sources.store import TableStore
 from jobloom.sources.views import NOW_MS, view
+from jobloom.streaming.events import EVENT_SCHEMA
+from tests.test_tables import event as paid_event
 
 
 def test_landing(spark):
@@ -55,3 +59,38 @@ def test_batch_jobs(spark, small, tmp_path):
     run("load", "--jobs", f"file://{tmp_path}/jobs")
     assert TableStore(spark, where).read("listings").count() == n > 0
     assert sum(run("sweep").values()) == n and run("repair") == {"repaired": 0} and run("eligible", "--limit", "3") == {"eligible": []}
+
+
+def test_jobs_over_landed_tables(spark, tmp_path):
+    store, landed = TableStore(spark, f"file://{tmp_path}/db"), f"file://{tmp_path}/landed"
+    run = lambda *args: cli.main([*args, "--store", store.root, "--landed", landed, "--now-ms", str(NOW_MS)], spark)
+    urls = {"a": "https://jobs.lever.co/a", "b": "https://boards.greenhouse.io/b", "c": "https://c.example.com/careers", "d": None}
+    rows = [(i, i, i, None, f"https://{i}.example.com/", None, None, u, None, None, None, NOW_MS) for i, u in urls.items()]
+    store.write("companies", spark.createDataFrame(rows, COMPANIES))
+    body = "<p>" + "long text " * 30 + "</p>"
+    lever = json.dumps([{"id": "1", "text": "T", "description": body, "hostedUrl": "https://x.com/1"}])
+    lists = [("lever", "a", lever), ("greenhouse", "b", "{oops"), ("greenhouse", "b", json.dumps({"jobs": [{"id": 7, "title": "G", "content": "", "absolute_url": "https://x.com/7"}]}))]
+    ld = f'<script type="application/ld+json">{json.dumps({"@type": "JobPosting", "title": "C", "description": body.replace("</", "<\\/")})}</script>'
+    spark.createDataFrame(lists, "provider string, slug string, body string").write.parquet(f"{landed}/lists")
+    pages = [("custom", "https://c.example.com/careers", ld)]
+    spark.createDataFrame(pages, "provider string, slug string, html string").write.parquet(f"{landed}/pages")
+    assert run("scrape", "--dry-run")["unreadable"] == 1 and store.read("listings").count() == 0
+    done = run("scrape")
+    assert {p: n for p, n in done["postings"].items() if n} == {"lever": 1, "greenhouse": 1, "custom": 1}
+    assert {(r.company_id, r.title) for r in store.read("listings").collect()} == {("a", "T"), ("c", "C")}
+    assert spark.read.parquet(f"{store.root}/quarantine").first().slug == "b"
+
+    landed = f"file://{tmp_path}/fetched"
+    got = [("https://d.example.com/", 200, '<a href="https://jobs.ashbyhq.com/d">Jobs</a>'), ("https://x.com/e", 200, f"<main>{body}</main>")]
+    spark.createDataFrame([(u, None, s, "text/html", b, None) for u, s, b in got], fetch.LANDED).write.parquet(f"{landed}/pages")
+    assert run("probe", "--dry-run")["delta"] == 1 and store.read("companies").filter("id = 'd'").first().careers_url is None
+    done = run("probe")
+    assert done["results"] == {"found_ats": 1} and store.read("companies").filter("id = 'd'").first().ats_provider == "ashby"
+    assert run("render-list") == {"urls": []}
+    empty = store.read("listings").limit(1).withColumns({"id": F.lit("e"), "description_html": F.lit(""), "apply_url": F.lit("https://x.com/e")})
+    store.write("listings", store.read("listings").unionByName(empty))
+    assert run("backfill") == {"filled": 1} and run("backfill") == {}
+    spark.createDataFrame([paid_event("p1"), paid_event("p1"), paid_event("p2", title="")], EVENT_SCHEMA).write.parquet(f"{landed}/payments")
+    assert run("fulfil", "--dry-run") == {"inserted": 1, "refused": 1} and store.read("paid_listings").count() == 0
+    assert run("fulfil") == {"inserted": 1, "refused": 1} and run("fulfil")["duplicate"] == 1
+    assert store.read("paid_listings").count() == 1
