@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import detect, docs, html, text, times
 from jobloom.operators import constraints, feed, fulfil, ingest, maintain, probe, search
-from jobloom.plans import boards
+from jobloom.plans import boards, proofs
 from jobloom.plans.oracle import SQL
 from jobloom.schemas import LISTINGS
 from jobloom.sources import companies as directory
@@ -26,11 +26,11 @@ def register(function: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | boards.QUERIES
+    return QUERIES | boards.QUERIES | proofs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: SQL[name] for name in QUERIES if name in SQL} | boards.SQL
+    return {name: SQL[name] for name in QUERIES if name in SQL} | boards.SQL | proofs.SQL
 
 
 def _lc(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -246,12 +246,6 @@ def article_main_content(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(html.main_content_col(F.col("html")).cast("binary")).alias("digest"))
 
 
-@register
-def page_links(spark, sf_dir):
-    links = F.explode(html.links_col(F.col("html"), F.col("url")))
-    return table(spark, sf_dir, "pages").select("page_id", links.alias("l")).groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("l.same_origin").alias("own"))
-
-
 @register
 def detect_ats(spark, sf_dir):
     return view(spark, sf_dir, "companies_v").select("id", detect.detect(F.col("careers_url")).alias("d")).select("id", "d.provider", F.col("d.slug").alias("provider_slug"))
@@ -534,12 +528,6 @@ def careers_probe(spark, sf_dir):
     return probe.probe(companies, home.unionByName(careers), robots).select("id", "careers_url", "ats_provider", "result")
 
 
-@register
-def curated_companies(spark, sf_dir):
-    rows = directory.curated(spark, NOW_MS)
-    return rows.select("id", "slug", detect.detect(F.col("careers_url"))["provider"].alias("provider"))
-
-
 @register
 def provider_dispatch(spark, sf_dir):
     """Postings of all boards normalized and counted by provider, as one plan."""

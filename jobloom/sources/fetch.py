@@ -6,20 +6,25 @@ Spark tasks never fetch: connectors and the probe read the landed table.
 
 from __future__ import annotations
 
+import ssl
+import subprocess
 import threading
 import time
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from http.client import HTTPConnection, HTTPSConnection
 from urllib.error import HTTPError
 from urllib.parse import urlsplit
-from urllib.request import Request, urlopen
+from urllib.request import HTTPHandler, HTTPSHandler, OpenerDirector, Request, build_opener
 
 from pyspark.sql import DataFrame, SparkSession
 
 LANDED = "url string, final_url string, status int, content_type string, body string, error string"
-# Requests in flight and pauses of the plain and of the rendering fetcher; the read timeout in seconds.
-PLAIN_SLOTS, RENDER_SLOTS, HOST_PAUSE, PAUSE, TIMEOUT = 6, 2, 1.0, 0.25, 15
+# Requests in flight and pauses of the plain and of the rendering fetcher; in seconds the timeouts of
+# connecting, reading, reading a body for detection, and rendering, and how long a page may go on loading.
+PLAIN_SLOTS, RENDER_SLOTS, HOST_PAUSE, PAUSE = 6, 2, 1.0, 0.25
+CONNECT, TIMEOUT, DETECT_TIMEOUT, RENDER_TIMEOUT, RENDER_IDLE = 10.0, 15.0, 2.0, 25.0, 1.5
 
 
 @dataclass(frozen=True)
@@ -30,16 +35,56 @@ class Response:
     body: str
 
 
-def plain_fetch(url: str, timeout: float = TIMEOUT) -> Response:
+def _opener(connect: float, read: float) -> OpenerDirector:
+    """An opener whose connections have a timeout for connecting and another for each read."""
+
+    def timed(kind: type) -> type:
+        class Timed(kind):
+            def connect(self) -> None:
+                self.timeout = connect
+                super().connect()
+                self.sock.settimeout(read)
+
+        return Timed
+
+    class Plain(HTTPHandler):
+        def http_open(self, request: Request):
+            return self.do_open(timed(HTTPConnection), request)
+
+    class Secure(HTTPSHandler):
+        def https_open(self, request: Request):
+            return self.do_open(timed(HTTPSConnection), request, context=ssl.create_default_context())
+
+    return build_opener(Plain, Secure)
+
+
+def plain_fetch(url: str, timeout: float = TIMEOUT, connect: float = CONNECT) -> Response:
     """A GET that follows redirects; an error status is a response, a failed connection raises."""
     request = Request(url, headers={"User-Agent": "Mozilla/5.0"})
     try:
-        with urlopen(request, timeout=timeout) as r:  # noqa: S310
+        with _opener(min(connect, timeout), timeout).open(request) as r:
             return Response(r.url, r.status, r.headers.get("content-type"), r.read().decode("utf-8", "replace"))
     except HTTPError as e:
         return Response(e.url or url, e.code, e.headers.get("content-type"), "")
 
 
+def rendering_fetch(browser: str, timeout: float = RENDER_TIMEOUT, idle: float = RENDER_IDLE) -> Callable[[str], Response]:
+    """A fetcher that lets a headless browser, a command of the Chromium kind, load a page and print its document.
+
+    The document is taken once the page has been idle; a browser that fails, or prints nothing, raises.
+    """
+
+    def fetch(url: str) -> Response:
+        flags = ["--headless", "--disable-gpu", f"--timeout={int(1000 * timeout)}", f"--virtual-time-budget={int(1000 * idle)}", "--dump-dom"]
+        ran = subprocess.run([browser, *flags, url], capture_output=True, timeout=timeout, check=True)  # noqa: S603
+        body = ran.stdout.decode("utf-8", "replace")
+        if not body.strip():
+            raise ValueError("the browser printed nothing")
+        return Response(url, 200, "text/html", body)
+
+    return fetch
+
+
 class Scheduler:
     """At most `slots` calls at once, one for each host; `host_pause` after a call to a host, `pause` between any two starts."""
 

@@ -135,6 +135,12 @@ def notion(pages: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     return out.unionByName(one.select("r.*"))
 
 
+def notion_collections(chunks: DataFrame) -> DataFrame:
+    """What to land next: the collections that landed chunks (slug, body) refer to, each once."""
+    found = chunks.select("slug", F.explode(html.collection_views_col(F.col("body"))).alias("v")).select("slug", "v.*")
+    return found.groupBy("slug", "collection_id", "view_id").agg(F.min("block_id").alias("block_id"), F.min("space_id").alias("space_id"))
+
+
 def waas(feeds: DataFrame, sites: DataFrame, boards: DataFrame) -> DataFrame:
     """The first of a company's own feed (slug, body), its website's embed and the board's page (slug, html) with postings.
 

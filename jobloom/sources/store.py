@@ -117,6 +117,14 @@ class TableStore:
     def columns(self, name: str) -> T.StructType:
         return self.read(name).schema
 
+    @staticmethod
+    def stale_references(definitions: DataFrame, tables: DataFrame) -> DataFrame:
+        """name, target: what definitions (name, sql) refer to by REFERENCES that is no table (name); each once."""
+        targets = F.regexp_extract_all("sql", F.lit(r"""(?i)\bREFERENCES[\s"'`\[]+([A-Za-z_][A-Za-z0-9_]*)"""), F.lit(1))
+        named = definitions.select("name", F.explode(F.array_distinct(targets)).alias("target"))
+        live = tables.select(F.lower("name").alias("_live")).distinct()
+        return named.join(live, F.lower("target") == F.col("_live"), "left_anti")
+
     def stale_versions(self, name: str) -> list[str]:
         """Versions that nothing points at."""
         path, fs = self._path(f"{self.root}/{name}")
