@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from jobloom.functions.text import TITLE_BLACKLIST
+from jobloom.schemas import LISTINGS
 from jobloom.sources.views import NOW_MS, with_views
 
 N = NOW_MS
@@ -69,7 +71,7 @@ RECENT = "ORDER BY posted_at DESC, l.id"
 PAY = "coalesce(comp_max, comp_min, 0)"
 SAID = f"title || ' ' || {stripped('description')}"
 
-# The matchers, each a provider, a pattern and how its groups make the slug.
+# The matchers, each a provider, a pattern and how its groups make the slug.
 EMBED = r"/companies/([a-z0-9-]+)/jobs/[^\"''\\s<]+"
 URLS = (
     ("waas", r"(?:www\.)?workatastartup\.com/companies/([a-z0-9-]+)"),
@@ -102,6 +104,7 @@ def detected(x: str, what: str) -> str:
     return "CASE " + " ".join(f"WHEN {test} THEN " + (f"'{p}'" if what == "provider" else s) for test, p, s in cases) + " END"
 
 
+# The stack's tokens, and specialties with their words.
 TOKENS = (
     "pytorch", "tensorflow", "jax", "triton", "cuda", "vllm", "tgi", "tensorrt", "xla", "mojo", "rust", "cuda kernels", "rlhf",
     "dpo", "lora", "flash attention", "mixture of experts", "moe", "transformers",
@@ -147,7 +150,7 @@ n1 AS (SELECT *, title || ' ' || {stripped("html")} AS said, {POSTED} AS posted
 n2 AS (SELECT seq, provider || ':' || provider_slug || ':' || provider_job_id AS id, company_id, title, city AS location_city, country AS location_country,
          is_remote AS location_is_remote, policy AS location_policy, {pay("title || ' ' || said", 1)} AS comp_min, {pay("title || ' ' || said", 3)} AS comp_max,
          CASE WHEN regexp_matches(said, '{PAY_RANGE}', 'i') THEN 'USD' END AS comp_currency, CASE WHEN {word("said", "equity")} THEN 1 END AS comp_equity,
-         {stack("said")} AS ai_stack, {specialty("said")} AS ai_specialty, html AS description_html, apply_url, posted AS posted_at,
+         {stack("said")} AS ai_stack, {specialty("said")} AS ai_specialty, CAST(NULL AS VARCHAR) AS ai_compute_access, html AS description_html, apply_url, posted AS posted_at,
          posted + 2592000000 AS expires_at, posted AS updated_at, 'active' AS status FROM n1)"""
 PROBE = f"""website IS NOT NULL AND trim(website) <> '' AND (careers_probe_at IS NULL OR careers_probe_at = 0
   OR coalesce(careers_probe_result NOT IN ('no_page', 'blocked', 'error'), true) OR careers_probe_at <= {N - 2592000000})"""
@@ -167,12 +170,14 @@ SELECT coalesce(c.id, f.id) AS id, coalesce(c.slug, f.slug) AS slug, coalesce(f.
 FROM companies_v c FULL JOIN fresh f ON c.slug = f.slug"""
 
 
-PAYMENTS = """e0 AS (SELECT 'evt_p' || event_id AS event_id, 'cs_p' || CAST(floor(event_id / 2) AS BIGINT) AS session_id, event_id AS n,
-  CASE WHEN event_id % 2 = 0 THEN 'founding' ELSE 'standard' END AS tier, CAST(epoch_us(ts) // 1000 AS BIGINT) AS paid_at, user_id % 40 AS k FROM events WHERE event_type = 'purchase'),
+PAYMENTS = """e0 AS (SELECT 'evt_' || event_id AS event_id, CASE WHEN event_id // 2 % 3 = 0 THEN 'cs_' ELSE 'cs_p' END || (event_id // 2) AS session_id,
+  CASE WHEN event_id % 2 = 0 THEN 'founding' ELSE 'standard' END AS tier, CAST(epoch_us(ts) // 1000 AS BIGINT) AS paid_at, user_id % 40 AS k
+  FROM events WHERE event_type = 'purchase' AND event_id % 31 <> 3 AND event_id % 9 NOT IN (4, 5)),
 e1 AS (SELECT *, CASE k % 4 WHEN 0 THEN 'https://customer-' || lpad(CAST(k + 1 AS VARCHAR), 9, '0') || '.example.com'
     WHEN 1 THEN 'https://customer-' || lpad(CAST(k + 1 AS VARCHAR), 9, '0') || '.example.com/about'
-    WHEN 2 THEN 'https://new-' || k || '.example.org' ELSE 'https://new-' || (k - 1) || '.example.org/x' END AS site FROM e0),
-e2 AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY paid_at, event_id) AS turn FROM e1),
+    WHEN 2 THEN 'https://new-' || k || '.example.org' ELSE 'https://new-' || (k - 1) || '.example.org/x' END AS site,
+  event_id IN (SELECT stripe_event_id FROM paid_v) OR session_id IN (SELECT stripe_session_id FROM paid_v) AS known_payment FROM e0),
+e2 AS (SELECT *, CASE WHEN NOT known_payment THEN row_number() OVER (PARTITION BY session_id, known_payment ORDER BY paid_at, event_id) END AS turn FROM e1),
 e3 AS (SELECT *, regexp_extract(site, '^https://[^/]+') AS root FROM e2 WHERE turn = 1),
 e4 AS (SELECT e3.*, c.id AS known FROM e3 LEFT JOIN companies_v c ON c.website = root),
 -- Of the sites that no company has, those with a path make a company until the plain form has made one.
@@ -184,15 +189,22 @@ m1 AS (SELECT maker, 'new-company-' || (k % 5) AS base FROM m0 JOIN e6 USING (ma
 m2 AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY maker) AS i FROM m1),
 m3 AS (SELECT maker, CASE WHEN i = 1 THEN base ELSE base || '-' || i END AS slug FROM m2)"""
 
+#: Columns that an upsert takes from the last row as they are.
+KEPT = [f.name for f in LISTINGS.fields if f.name not in ("id", "company_id", "expires_at", "updated_at", "status")]
+# Pages with an article, with main, with a heading alone, and with none of them: the main content of each.
+CONTENT = r"""CASE page_id % 4 WHEN 0 THEN regexp_extract(html, '<article>([\s\S]*?)</article>', 1) WHEN 1 THEN regexp_extract(html, '<article>([\s\S]*?)</article>', 1)
+  WHEN 2 THEN replace(regexp_extract(regexp_replace(html, '</?article>', '', 'g'), '(<h1>[\s\S]*?)(?:</body>|$)', 1), '</h1>', '</h1>' || chr(10))
+  ELSE regexp_extract(regexp_replace(regexp_replace(html, '</?article>', '', 'g'), '(</?)h1>', '\1div>', 'g'), '<body>([\s\S]*?)(?:</body>|$)', 1) END"""
+
 _RAW = {
     "recent_listings_page": f"SELECT {ROW} FROM {JOIN} WHERE {ACTIVE} {RECENT} LIMIT 50",
     "filtered_listings": f"SELECT {ROW} FROM {JOIN} WHERE {ACTIVE} AND ai_specialty = 'infra' AND location_is_remote = 1 AND {PAY} >= 100000 {RECENT} LIMIT 50",
     "second_page": f"SELECT {ROW} FROM {JOIN} WHERE {ACTIVE} AND {PAY} >= 50000 {RECENT} LIMIT 50 OFFSET 50",
     "remote_listings": f"SELECT location_policy, count(*) AS n FROM listings_v WHERE {ACTIVE} AND location_is_remote = 1 GROUP BY 1",
     "count_active": f"SELECT count(*) AS n FROM {JOIN} WHERE {ACTIVE} AND ai_specialty = 'nlp'",
-    "all_active_feed": f"""SELECT l.id, CAST(to_json({{'id': l.id, 'title': title, 'location_city': location_city, 'comp_min': comp_min, 'company_slug': c.slug,
-      'company_logo_url': c.logo_url, 'posted_at': posted_at}}) AS VARCHAR) AS item FROM {JOIN} WHERE {ACTIVE}""",
-    "feed_second_page": f"SELECT l.id, posted_at FROM {JOIN} WHERE {ACTIVE} {RECENT} LIMIT 50 OFFSET 50",
+    "all_active_feed": f"""SELECT id, CAST(to_json(r) AS VARCHAR) AS item FROM (SELECT r.id AS id, r FROM (SELECT {ROW} FROM {JOIN} WHERE {ACTIVE}) r)""",
+    "feed_second_page": f"""SELECT id, posted_at FROM (SELECT l.id, posted_at, row_number() OVER ({RECENT}) AS k, count(*) OVER () AS n FROM {JOIN} WHERE {ACTIVE})
+      WHERE n <= 1000 OR k BETWEEN 51 AND 100""",
     "companies_by_name": "SELECT id, slug, name, website FROM companies_v",
     "company_by_slug": "SELECT id, slug, name, website FROM companies_v WHERE slug = 'customer-000000042'",
     "company_active_listings": f"SELECT {ROW} FROM {JOIN} WHERE {ACTIVE} AND l.company_id = 'co-7'",
@@ -208,7 +220,7 @@ _RAW = {
     "empty_descriptions": f"SELECT id, apply_url FROM listings_v WHERE {ACTIVE} AND length(description_html) < 50",
     "provider_breakdown": f"SELECT {detected('careers_url', 'provider')} AS ats_provider, count(*) AS n FROM companies_v WHERE careers_url IS NOT NULL GROUP BY 1",
     "zero_filled_provider_totals": """SELECT p AS provider, count(seq) AS n FROM unnest(['greenhouse', 'lever', 'ashby', 'smartrecruiters', 'workable', 'workday', 'notion', 'waas', 'custom']) t(p)
-      LEFT JOIN raw_jobs_v ON provider = p AND provider NOT IN ('waas', 'custom') GROUP BY 1""",
+      LEFT JOIN raw_jobs_v ON CASE WHEN provider IN ('waas', 'custom') THEN 'lever' ELSE provider END = p GROUP BY 1""",
     "probe_result_counts": """SELECT r AS careers_probe_result, count(id) AS n FROM unnest(['found_ats', 'found_custom', 'no_page', 'blocked', 'error']) t(r)
       LEFT JOIN companies_v ON careers_probe_result = r GROUP BY 1""",
     "headless_result_counts": """SELECT count(*) AS processed, count(*) FILTER (r IN ('found_ats', 'found_custom')) AS upgraded, count(*) FILTER (r = 'no_page') AS still_no_page,
@@ -242,7 +254,8 @@ _RAW = {
     "careers_token": f"SELECT seq, regexp_matches(apply_url, '{GUARD}', 'i') AS in_url, regexp_matches(title, '{GUARD}', 'i') AS in_title FROM raw_jobs_v",
     "workday_posted_on": f"SELECT seq, {iso('ms')} AS iso FROM (SELECT seq, {POSTED_ON} AS ms FROM raw_jobs_v)",
     "parse_posted_at": f"SELECT seq, CAST({POSTED} AS BIGINT) AS posted_at FROM raw_jobs_v",
-    "parse_ai_stack_json": """SELECT id, CASE ai_stack WHEN '["pytorch","cuda"]' THEN '["pytorch","cuda"]' WHEN '["rust","",1,null]' THEN '["rust"]' ELSE '[]' END AS tokens FROM listings_v""",
+    "parse_ai_stack_json": """SELECT id, CAST(to_json([e ->> '$' FOR e IN CASE WHEN json_valid(ai_stack) AND json_type(CASE WHEN json_valid(ai_stack) THEN ai_stack END) = 'ARRAY'
+        THEN json_extract(ai_stack, '$[*]') ELSE [] END IF json_type(e) = 'VARCHAR' AND e ->> '$' <> '']) AS VARCHAR) AS tokens FROM listings_v""",
     "event_props_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "draft_chunks_roundtrip": "SELECT doc_id, CAST(CAST(ceil(length(text) / 450) AS BIGINT) AS VARCHAR) AS n, CASE WHEN text <> '' THEN md5(text) END AS digest FROM documents",
     "jobposting_jsonld": f"""SELECT l.id, '{{"@context":"https://schema.org","@type":"JobPosting","title":' || to_json(title) || ',"description":' || to_json(description_html)
@@ -258,18 +271,21 @@ _RAW = {
     "description_to_html": f"""SELECT doc_id, md5(CASE WHEN len(p) = 0 THEN '<p></p>' ELSE array_to_string(['<p>' || replace({escaped("x")}, chr(10), '<br>') || '</p>' FOR x IN p], '') END) AS digest
       FROM (SELECT doc_id, [y FOR y IN [{trim("z")} FOR z IN string_split_regex(replace(text, chr(13) || chr(10), chr(10)), '\\n{{2,}}')] IF y <> ''] AS p FROM documents)""",
     "parse_stack": f"""SELECT doc_id, array_to_string(list_slice([y FOR y IN [lower({trim("z")}) FOR z IN string_split_regex(text, '[,\\n]')] IF y <> '' AND length(y) <= 40], 1, 24), '|') AS stack FROM documents""",
-    "blacklisted_titles": "SELECT seq, '1110' AS flags FROM raw_jobs_v",
+    "blacklisted_titles": f"""WITH t AS (SELECT seq, CASE WHEN seq % 8 = 7 THEN title ELSE (['Sign In ', 'Apply now 2', 'See all 12 positions', '  Privacy--Policy', 'we''re hiring 7', 'Jobs 1st',
+        'Folders and files' || chr(10) || '3 4'])[seq % 8 + 1] || CASE WHEN seq % 3 = 0 THEN ' ' || seq ELSE '' END END AS title FROM raw_jobs_v),
+      w AS (SELECT seq, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS said FROM t),
+      b AS (SELECT seq, said, [x FOR x IN string_split(said, ' ') IF NOT regexp_matches(x, '^[0-9]+$')] AS bare FROM w)
+      SELECT seq, said IN ({", ".join(f"'{t}'" for t in TITLE_BLACKLIST)}) OR array_to_string(bare, ' ') IN ({", ".join(f"'{t}'" for t in TITLE_BLACKLIST)}) AS listed FROM b""",
     "page_ids": f"""SELECT id, CASE WHEN s = 'acme:3b3c91be9aac4d5ca58d2e8e1c0a82c0' THEN '3b3c91be-9aac-4d5c-a58d-2e8e1c0a82c0' END AS page_id,
       CASE WHEN s = 'acme:3b3c91be9aac4d5ca58d2e8e1c0a82c0' THEN 'https://www.notion.so/acme/3b3c91be9aac4d5ca58d2e8e1c0a82c0'
            WHEN position(':' IN s) = 0 THEN 'https://www.notion.so/' || s ELSE 'https://' || split_part(s, ':', 1) || '.notion.site/' || substr(s, position(':' IN s) + 1) END AS page_url
       FROM (SELECT id, {detected("careers_url", "slug")} AS s FROM companies_v) WHERE s IS NOT NULL""",
-    "optional_fields": f"""SELECT seq, nullif(substr({trim("location")}, 1, 6), '') AS place, CAST(NULL AS BIGINT) AS large, CASE WHEN seq <= 10000000 THEN CAST(seq AS BIGINT) END AS amount FROM raw_jobs_v""",
+    "optional_fields": f"""SELECT seq, nullif(substr({trim("location")}, 1, 6), '') AS place, CASE WHEN seq * 3500 <= 10000000 THEN CAST(seq * 3500 AS BIGINT) END AS large, CASE WHEN seq <= 10000000 THEN CAST(seq AS BIGINT) END AS amount FROM raw_jobs_v""",
     "upsert_listings": f"""WITH {NORMALIZED},
       b AS (SELECT * FROM n2 WHERE length({stripped("description_html")}) >= 100),
       g AS (SELECT id, count(*) AS n, arg_min(company_id, seq) AS first_company, max(seq) AS last FROM b GROUP BY id),
-      u AS (SELECT g.*, b.title, b.comp_min, b.expires_at, b.status FROM g JOIN b ON b.id = g.id AND b.seq = g.last)
-      SELECT coalesce(l.id, u.id) AS id, coalesce(l.company_id, u.first_company) AS company_id, CASE WHEN u.id IS NULL THEN l.title ELSE u.title END AS title,
-        CASE WHEN u.id IS NULL THEN l.comp_min ELSE u.comp_min END AS comp_min,
+      u AS (SELECT b.*, g.n, g.first_company FROM g JOIN b ON b.id = g.id AND b.seq = g.last)
+      SELECT coalesce(l.id, u.id) AS id, coalesce(l.company_id, u.first_company) AS company_id, {", ".join(f"CASE WHEN u.id IS NULL THEN l.{c} ELSE u.{c} END AS {c}" for c in KEPT)},
         CASE WHEN u.id IS NULL THEN l.expires_at WHEN l.id IS NOT NULL OR u.n > 1 THEN {N + 2592000000} ELSE u.expires_at END AS expires_at,
         CASE WHEN u.id IS NULL THEN l.updated_at ELSE {N} END AS updated_at, CASE WHEN u.id IS NULL THEN l.status ELSE 'active' END AS status
       FROM listings_v l FULL JOIN u ON l.id = u.id""",
@@ -279,16 +295,18 @@ _RAW = {
     "repair_units": "SELECT id, CASE WHEN expires_at < 10000000000 THEN expires_at * 1000 ELSE expires_at END AS expires_at FROM listings_v",
     "unit_counts": "SELECT count(*) FILTER (expires_at < 10000000000) AS in_seconds, count(*) AS n FROM listings_v",
     "backfill_outcome": f"""SELECT CASE WHEN page_id % 7 = 0 THEN 'expired' WHEN page_id IS NULL OR page_id % 11 = 0 THEN 'error'
-        WHEN length({stripped(sanitized(r"regexp_extract(html, '<article\b[^>]*>([\s\S]*?)</article>', 1, 'i')"))}) >= 200 THEN 'filled' ELSE 'expired' END AS outcome, count(*) AS n
+        WHEN length({stripped(sanitized("(" + CONTENT + ")"))}) >= 200 THEN 'filled' ELSE 'expired' END AS outcome, count(*) AS n
       FROM listings_v LEFT JOIN pages ON apply_url = 'https://customer.example.com/jobs/' || page_id WHERE {ACTIVE} AND length(description_html) < 50 GROUP BY 1""",
     "apply_probe_results": f"""SELECT id, CASE WHEN yc_batch = 'Fall 2025' THEN NULL ELSE careers_url END AS careers_url, CASE WHEN yc_batch = 'Fall 2025' THEN {N} ELSE careers_probe_at END AS careers_probe_at,
       CASE WHEN yc_batch = 'Fall 2025' THEN 'no_page' ELSE careers_probe_result END AS careers_probe_result FROM companies_v""",
     "fulfil_paid": f"""WITH {PAYMENTS}
-      SELECT event_id AS stripe_event_id, tier, CAST(CASE tier WHEN 'founding' THEN 19900 ELSE 29900 END AS BIGINT) AS amount_cents, 'usd' AS currency, paid_at, paid_at + 2592000000 AS expires_at,
+      SELECT 'pay_' || substr(sha256('pay' || event_id), 1, 32) AS id, 'lst_' || substr(sha256('lst' || event_id), 1, 32) AS listing_id, event_id AS stripe_event_id, tier, CAST(CASE tier WHEN 'founding' THEN 19900 ELSE 29900 END AS BIGINT) AS amount_cents, 'usd' AS currency, paid_at, paid_at + 2592000000 AS expires_at,
         known AS known_company, slug FROM e6 LEFT JOIN m3 USING (maker)""",
     "fulfil_results": f"WITH {PAYMENTS} SELECT CASE WHEN turn = 1 THEN 'inserted' ELSE 'duplicate' END AS result, count(*) AS n FROM e2 GROUP BY 1",
+    "payment_errors": """SELECT CASE event_id % 9 WHEN 4 THEN 'draft.location_policy invalid' WHEN 5 THEN 'missing draft' END AS error,
+      sum(CASE WHEN epoch_us(ts) // 1000 % 3 = 0 THEN 2 ELSE 1 END) AS n FROM events WHERE event_type = 'purchase' AND event_id % 31 <> 3 GROUP BY 1""",
     "founding_tier": "SELECT id, CASE WHEN row_number() OVER (ORDER BY paid_at, stripe_event_id) <= 50 THEN 'founding' ELSE 'standard' END AS tier_by_order FROM paid_v",
-    "founding_slots": "SELECT greatest(0, 50 - count(*)) AS seats_left FROM paid_v",
+    "founding_slots": "SELECT 'paid' AS after, greatest(0, 50 - count(*)) AS seats_left FROM paid_v UNION ALL SELECT 'nation', greatest(0, 50 - count(*)) FROM nation",
     "fk_violations": "SELECT id, listing_id || 'x' AS listing_id FROM paid_v WHERE amount_cents = 19900",
     "cascade_delete": "SELECT count(*) AS n FROM listings_v WHERE company_id NOT IN (SELECT id FROM companies_v WHERE yc_batch IS NULL)",
     "check_violations": """SELECT id, CASE WHEN comp_equity IS NOT NULL THEN 'location_policy is out of range' ELSE 'expires_at is in seconds' END AS breach
@@ -304,10 +322,15 @@ _RAW = {
       FROM raw_jobs_v WHERE provider = 'notion'""",
     "robots_rules": r"""SELECT page_id, NOT starts_with('/' || page_id, '/' || (page_id % 10)) AS by_id,
       NOT (regexp_matches(p, '^/fr/.*/x$') OR starts_with(p, '/' || (page_id % 10))) AS by_path FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS p FROM pages)""",
-    "careers_probe": """SELECT id, CASE WHEN k = 0 THEN 'https://jobs.lever.co/' || slug WHEN k = 1 THEN website || '/careers' END AS careers_url,
-      CASE WHEN k = 0 THEN 'lever' WHEN k = 1 THEN 'custom' END AS ats_provider,
-      CASE WHEN k = 0 THEN 'found_ats' WHEN k = 1 THEN 'found_custom' WHEN website IS NULL THEN 'no_page' ELSE 'error' END AS result
-      FROM (SELECT *, CASE WHEN website LIKE 'https%' THEN CAST(substr(id, 4) AS BIGINT) % 4 END AS k FROM companies_v)""",
+    "careers_probe": """WITH c AS (SELECT *, CAST(substr(id, 4) AS BIGINT) AS n FROM companies_v),
+      r AS (SELECT *, CASE WHEN website LIKE 'https%' THEN n % 4 END AS k, website LIKE 'https%' AND n % 3 = 0 AND n % 5 <> 0 AS shut,
+        CASE n % 4 WHEN 0 THEN length('<a href="https://jobs.lever.co/">Jobs</a>') + length(slug) WHEN 1 THEN length('<a href="/about">About</a>') WHEN 2 THEN length('<p>Hello</p>') END AS home,
+        website || '/ ' || website || '/careers' AS first_two, website || '/jobs ' || website || '/join ' || website || '/work ' || website || '/hiring https://www.ycombinator.com/companies/' || slug || '/jobs' AS others FROM c)
+      SELECT id, CASE WHEN k = 0 THEN 'https://jobs.lever.co/' || slug WHEN k = 1 AND NOT shut THEN website || '/careers' END AS careers_url,
+        CASE WHEN k = 0 THEN 'lever' WHEN k = 1 AND NOT shut THEN 'custom' END AS ats_provider,
+        CASE WHEN k = 0 THEN 'found_ats' WHEN k = 1 AND NOT shut THEN 'found_custom' WHEN k IN (1, 2) AND shut THEN 'blocked' WHEN website IS NULL THEN 'no_page' ELSE 'error' END AS result,
+        CASE WHEN k IS NULL THEN '' WHEN k IN (0, 3) THEN website || '/' WHEN k = 1 AND NOT shut THEN first_two ELSE first_two || ' ' || others END AS checked,
+        CASE WHEN k IN (0, 2) OR k = 1 AND shut THEN home WHEN k = 1 THEN home + length('<h1>Open positions</h1>') ELSE 0 END AS html_size FROM r""",
     "provider_dispatch": f"""WITH {NORMALIZED}, b AS (SELECT split_part(id, ':', 1) AS p FROM n2 WHERE length({stripped("description_html")}) >= 100)
       SELECT t.p AS provider, count(b.p) AS n FROM unnest(['greenhouse', 'lever', 'ashby', 'smartrecruiters', 'workable', 'workday', 'notion', 'waas', 'custom']) t(p)
       LEFT JOIN b ON b.p = t.p GROUP BY 1""",
@@ -315,7 +338,9 @@ _RAW = {
     "sitemap_dates": f"""WITH r AS (SELECT 'https://jobs.example.com/jobs/' || c.slug || '/' || {role("title", "l.id")} AS u, l.id, updated_at, {ACTIVE} AS on_ FROM {JOIN}),
       d AS (SELECT u, max(updated_at) AS last FROM r WHERE on_ GROUP BY u)
       SELECT r.u || CASE WHEN ends_with(id, '1') THEN '/' ELSE '' END AS url, {iso("last")} AS lastmod FROM r LEFT JOIN d ON d.u = r.u""",
-    "foreign_board_urls": "SELECT id, 'https://x.com/COMPANIES/a/jobs/1' AS apply_url FROM listings_v WHERE status = 'active' AND comp_equity IS NULL",
+    "foreign_board_urls": """SELECT id, url AS apply_url FROM (SELECT id, status, CASE WHEN comp_equity IS NULL THEN 'https://x.com/COMPANIES/a/jobs/1'
+        WHEN ai_specialty IS NULL THEN 'https://WorkAtAStartup.com/companies/a/jobs/1' ELSE apply_url END AS url FROM listings_v)
+      WHERE status = 'active' AND url ILIKE '%/companies/%/jobs/%' AND url NOT ILIKE '%workatastartup.com%'""",
     "quarantined_payloads": """SELECT CAST(event_id AS VARCHAR) AS slug, CASE WHEN event_id % 5 = 0 THEN 'no JSON' ELSE 'no body' END AS parse_error FROM events
       WHERE event_id % 5 = 0 OR event_id % 7 = 0""",
     "website_candidates": """SELECT slug, CAST(i - 1 AS INTEGER) AS place, website || (['/', '/careers', '/jobs', '/join', '/work', '/hiring'])[i] AS url

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import detect, docs, html, text
 from jobloom.operators import ingest, maintain, probe
 from jobloom.plans.boards import _named
-from jobloom.plans.oracle import detected, escaped, squeeze
+from jobloom.plans.oracle import CONTENT, detected, escaped, squeeze
 from jobloom.schemas import LISTINGS
 from jobloom.sources import companies as directory
 from jobloom.sources import payloads
@@ -178,21 +178,16 @@ def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", links.alias("l")).groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("l.same_origin").alias("own"))
 
 
-def _variant(page: Column, key: Column) -> Column:
+def page_variant(page: Column, key: Column) -> Column:
     """A page as it is, with main for article, with neither, and with neither and no heading."""
     bare = F.regexp_replace(page, "</?article>", "")
     return _by(key, page, F.regexp_replace(page, "(</?)article>", "$1main>"), bare, F.regexp_replace(bare, "(</?)h1>", "$1div>"))
 
 
-VARIANT = r"""CASE page_id % 4 WHEN 0 THEN regexp_extract(html, '<article>([\s\S]*?)</article>', 1) WHEN 1 THEN regexp_extract(html, '<article>([\s\S]*?)</article>', 1)
-  WHEN 2 THEN replace(regexp_extract(regexp_replace(html, '</?article>', '', 'g'), '(<h1>[\s\S]*?)(?:</body>|$)', 1), '</h1>', '</h1>' || chr(10))
-  ELSE regexp_extract(regexp_replace(regexp_replace(html, '</?article>', '', 'g'), '(</?)h1>', '\1div>', 'g'), '<body>([\s\S]*?)(?:</body>|$)', 1) END"""
-
-
-@proof(f"SELECT page_id, md5({VARIANT}) AS digest FROM pages")
+@proof(f"SELECT page_id, md5({CONTENT}) AS digest FROM pages")
 def main_content_ladder(spark, sf_dir):
     """The main content of pages with an article, with main, with a heading alone, and with none of them."""
-    rows = table(spark, sf_dir, "pages").select("page_id", _variant(F.col("html"), F.col("page_id")).alias("html"))
+    rows = table(spark, sf_dir, "pages").select("page_id", page_variant(F.col("html"), F.col("page_id")).alias("html"))
     return rows.select("page_id", F.md5(maintain.main_content(F.col("html")).cast("binary")).alias("digest"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import detect, docs, html, text, times
 from jobloom.operators import constraints, feed, fulfil, ingest, maintain, probe, search
 from jobloom.plans import boards, proofs
+from jobloom.plans.proofs import page_variant
 from jobloom.plans.oracle import SQL
 from jobloom.schemas import LISTINGS
 from jobloom.sources import companies as directory
@@ -69,13 +70,13 @@ def count_active(spark, sf_dir):
 @register
 def all_active_feed(spark, sf_dir):
     rows = search.all_active(*_lc(spark, sf_dir), NOW_MS)
-    return rows.select("id", docs.feed_row(["id", "title", "location_city", "comp_min", "company_slug", "company_logo_url", "posted_at"]).alias("item"))
+    return rows.select("id", docs.feed_row(rows.columns).alias("item"))
 
 
 @register
 def feed_second_page(spark, sf_dir):
-    rows = search.all_active(*_lc(spark, sf_dir), NOW_MS).select("id", "posted_at")
-    return search.feed_page(rows, search.FEED_LIMIT + 1, 2)
+    total = search.count_active(*_lc(spark, sf_dir), search.Filters(), NOW_MS).first().n
+    return search.feed_page(search.all_active(*_lc(spark, sf_dir), NOW_MS).select("id", "posted_at"), total, 2)
 
 
 @register
@@ -144,7 +145,8 @@ def provider_breakdown(spark, sf_dir):
 
 @register
 def zero_filled_provider_totals(spark, sf_dir):
-    return ingest.provider_totals(view(spark, sf_dir, "raw_jobs_v").filter("provider NOT IN ('waas', 'custom')"))
+    rows = view(spark, sf_dir, "raw_jobs_v")
+    return ingest.provider_totals(rows.withColumn("provider", F.when(F.col("provider").isin("waas", "custom"), "lever").otherwise(F.col("provider"))))
 
 
 @register
@@ -218,7 +220,7 @@ def ai_specialty(spark, sf_dir):
 
 @register
 def normalize_jobs(spark, sf_dir):
-    return ingest.normalize(view(spark, sf_dir, "raw_jobs_v"), NOW_MS).drop("ai_compute_access")
+    return ingest.normalize(view(spark, sf_dir, "raw_jobs_v"), NOW_MS)
 
 
 @register
@@ -307,8 +309,12 @@ def parse_stack(spark, sf_dir):
 
 @register
 def blacklisted_titles(spark, sf_dir):
-    titles = F.transform(F.array(F.lit("Sign In "), F.lit("Apply now 2"), F.lit("See all 12 positions"), F.col("title")), lambda t: text.is_blacklisted_title(t).cast("int"))
-    return view(spark, sf_dir, "raw_jobs_v").select("seq", F.array_join(titles, "").alias("flags"))
+    odd = ("Sign In ", "Apply now 2", "See all 12 positions", "  Privacy--Policy", "we're hiring 7", "Jobs 1st", "Folders and files\n3 4")
+    seq = F.col("seq")
+    title = F.when(seq % 8 == 7, F.col("title"))
+    for i, t in enumerate(odd):
+        title = title.when(seq % 8 == i, F.concat(F.lit(t), F.when(seq % 3 == 0, F.format_string(" %d", seq)).otherwise("")))
+    return view(spark, sf_dir, "raw_jobs_v").select("seq", text.is_blacklisted_title(title).alias("listed"))
 
 
 @register
@@ -321,7 +327,7 @@ def page_ids(spark, sf_dir):
 @register
 def optional_fields(spark, sf_dir):
     return view(spark, sf_dir, "raw_jobs_v").select(
-        "seq", text.optional_text(F.col("location"), 6).alias("place"), text.optional_amount(F.col("provider_job_id")).alias("large"),
+        "seq", text.optional_text(F.col("location"), 6).alias("place"), text.optional_amount((F.col("seq") * 3500).cast("string")).alias("large"),
         text.optional_amount(F.concat(F.lit(" "), F.col("seq").cast("string"), F.lit("k"))).alias("amount"),
     )
 
@@ -333,7 +339,7 @@ def optional_fields(spark, sf_dir):
 def upsert_listings(spark, sf_dir):
     batch = ingest.normalize(view(spark, sf_dir, "raw_jobs_v"), NOW_MS)
     old = view(spark, sf_dir, "listings_v")
-    return ingest.upsert_listings(old, batch, NOW_MS).select("id", "company_id", "title", "comp_min", "expires_at", "updated_at", "status")
+    return ingest.upsert_listings(old, batch, NOW_MS)
 
 
 def _company_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -380,9 +386,9 @@ def backfill_outcome(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("https://customer.example.com/jobs/"), F.col("page_id").cast("string")).alias("url"),
         F.when(F.col("page_id") % 7 == 0, 404).when(F.col("page_id") % 11 == 0, 503).otherwise(200).cast("int").alias("status"),
-        F.when((F.col("page_id") % 7 == 0) | (F.col("page_id") % 11 == 0), None).otherwise(F.col("html")).alias("html"),
+        F.when((F.col("page_id") % 7 == 0) | (F.col("page_id") % 11 == 0), None).otherwise(page_variant(F.col("html"), F.col("page_id"))).alias("html"),
     )
-    return maintain.outcome_counts(maintain.backfill_outcomes(listings, pages, NOW_MS))
+    return maintain.outcome_counts(maintain.backfill_outcomes(listings, pages.unionByName(pages), NOW_MS))
 
 
 @register
@@ -393,8 +399,8 @@ def apply_probe_results(spark, sf_dir):
 
 
 def _payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases as payment events: some repeated, some of one session, by few companies."""
-    rows = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    """Purchases as payment events: some repeated, of one session, paid for already, or with a draft that is missing or wrong; by few companies."""
+    rows = table(spark, sf_dir, "events").filter("event_type = 'purchase'").withColumnRenamed("event_id", "n")
     k = F.col("user_id") % 40
     # By turns a known company's site, the same with a path, a new company's site, and the same with a path.
     known, new = F.format_string("https://customer-%09d.example.com", k + 1), F.format_string("https://new-%d.example.org", k)
@@ -402,15 +408,17 @@ def _payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     draft = F.struct(
         F.concat(F.lit("New Company "), (k % 5).cast("string")).alias("company_name"), site.alias("company_website"), F.lit("Engineer").alias("title"),
         F.lit("https://example.org/apply").alias("apply_url"), F.lit("<p>x</p>").alias("description_html"), F.lit("").alias("location_city"),
-        F.lit("US").alias("location_country"), F.lit(1).alias("location_is_remote"), F.lit("remote").alias("location_policy"),
+        F.lit("US").alias("location_country"), F.lit(1).alias("location_is_remote"), F.when(F.col("n") % 9 == 4, "moon").otherwise("remote").alias("location_policy"),
         F.array(F.lit("cuda")).alias("ai_stack"), F.lit("a@example.org").alias("customer_email"),
     )
     ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    session = F.floor(F.col("n") / 2)
+    told = F.when(F.col("n") % 9 == 5, F.create_map().cast("map<string,string>")).otherwise(docs.encode_chunks(F.to_json(draft)))
     one = rows.select(
-        F.concat(F.lit("evt_p"), F.col("event_id").cast("string")).alias("event_id"), F.lit(fulfil.COMPLETED).alias("type"),
-        F.concat(F.lit("cs_p"), F.floor(F.col("event_id") / 2).cast("string")).alias("session_id"), F.lit(None).cast("bigint").alias("amount_total"),
+        F.concat(F.lit("evt_"), F.col("n").cast("string")).alias("event_id"), F.when(F.col("n") % 31 == 3, "other").otherwise(fulfil.COMPLETED).alias("type"),
+        F.concat(F.when(session % 3 == 0, "cs_").otherwise("cs_p"), session.cast("string")).alias("session_id"), F.lit(None).cast("bigint").alias("amount_total"),
         F.lit(None).cast("string").alias("currency"),
-        F.map_concat(docs.encode_chunks(F.to_json(draft)), F.create_map(F.lit("tier"), F.when(F.col("event_id") % 2 == 0, "founding").otherwise("standard"))).alias("metadata"),
+        F.map_concat(told, F.create_map(F.lit("tier"), F.when(F.col("n") % 2 == 0, "founding").otherwise("standard"))).alias("metadata"),
         ms.alias("paid_at"),
     )
     return one.unionByName(one.filter(F.col("paid_at") % 3 == 0))
@@ -419,11 +427,11 @@ def _payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def fulfil_paid(spark, sf_dir):
     done = fulfil.fulfil(view(spark, sf_dir, "companies_v"), view(spark, sf_dir, "paid_v"), fulfil.payment_fields(_payments(spark, sf_dir)))
-    paid = done.paid.select("stripe_event_id", "listing_id", "tier", "amount_cents", "currency", "paid_at")
+    paid = done.paid.select("id", "stripe_event_id", "listing_id", "tier", "amount_cents", "currency", "paid_at")
     own = done.listings.select(F.col("id").alias("listing_id"), "company_id", "expires_at", "location_city")
     names = done.companies.select(F.col("id").alias("company_id"), "slug")
     rows = paid.join(own, "listing_id").join(names, "company_id", "left")
-    return rows.select("stripe_event_id", "tier", "amount_cents", "currency", "paid_at", "expires_at", F.when(F.col("slug").isNull(), F.col("company_id")).alias("known_company"), "slug")
+    return rows.select("id", "listing_id", "stripe_event_id", "tier", "amount_cents", "currency", "paid_at", "expires_at", F.when(F.col("slug").isNull(), F.col("company_id")).alias("known_company"), "slug")
 
 
 @register
@@ -432,6 +440,12 @@ def fulfil_results(spark, sf_dir):
     return done.results.groupBy("result").agg(F.count("*").alias("n"))
 
 
+@register
+def payment_errors(spark, sf_dir):
+    """What is wrong with the events that can't be fulfilled."""
+    return fulfil.payment_fields(_payments(spark, sf_dir)).groupBy("error").agg(F.count("*").alias("n"))
+
+
 @register
 def founding_tier(spark, sf_dir):
     return fulfil.founding_tier(view(spark, sf_dir, "paid_v"))
@@ -439,7 +453,9 @@ def founding_tier(spark, sf_dir):
 
 @register
 def founding_slots(spark, sf_dir):
-    return fulfil.seats_left(view(spark, sf_dir, "paid_v"))
+    """Seats left after the sold listings, and after as many sales as there are nations."""
+    sold = [fulfil.seats_left(rows).withColumn("after", F.lit(name)) for name, rows in (("paid", view(spark, sf_dir, "paid_v")), ("nation", table(spark, sf_dir, "nation")))]
+    return sold[0].unionByName(sold[1])
 
 
 @register
@@ -524,8 +540,11 @@ def careers_probe(spark, sf_dir):
     body = F.when(F.col("k") == 0, F.concat(F.lit('<a href="https://jobs.lever.co/'), "slug", F.lit('">Jobs</a>'))).when(F.col("k") == 1, '<a href="/about">About</a>').otherwise("<p>Hello</p>")
     home = sites.filter("k < 3").select(F.concat("website", F.lit("/")).alias("url"), F.lit(None).cast("string").alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), body.alias("body"))
     careers = sites.filter("k = 1").select(F.concat("website", F.lit("/careers")).alias("url"), F.lit(None).cast("string").alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit("<h1>Open positions</h1>").alias("body"))
-    robots = spark.createDataFrame([], "origin string, status int, body string")
-    return probe.probe(companies, home.unionByName(careers), robots).select("id", "careers_url", "ats_provider", "result")
+    number = F.substring_index("id", "-", -1).cast("bigint")
+    robots = sites.select(F.col("website").alias("origin"), F.when(number % 5 == 0, 404).otherwise(200).alias("status"),
+                          F.when(number % 3 == 0, "User-agent: *\nDisallow: /careers$ # not this\n").otherwise("User-agent: jobloom\nDisallow:\n\nUser-agent: *\nDisallow: /").alias("body"))
+    found = probe.probe(companies, home.unionByName(careers), robots)
+    return found.select("id", "careers_url", "ats_provider", "result", F.array_join("checked", " ").alias("checked"), "html_size")
 
 
 @register
@@ -579,6 +598,7 @@ def board_jobs(spark, sf_dir):
     feeds = rows.filter("seq % 2 = 0").select(slug.alias("slug"), F.to_json(F.array(job)).alias("body"))
     data = F.to_json(F.struct(F.struct(F.struct(slug.alias("slug"), F.array(job).alias("jobs")).alias("company")).alias("props")))
     page = F.concat(F.lit('<link href="workatastartup.com"><div data-page="'), text.escape_html(data), F.lit('" id="app"></div>'))
-    sites = rows.select(slug.alias("slug"), page.alias("html"))
-    found = payloads.waas(feeds, sites, spark.createDataFrame([], "slug string, html string"))
+    sites = rows.filter("seq % 4 = 1").select(slug.alias("slug"), page.alias("html"))
+    boards_ = rows.select(slug.alias("slug"), page.alias("html"))
+    found = payloads.waas(feeds, sites, boards_)
     return found.select("provider_slug", "provider_job_id", "title", "location", "apply_url")
