@@ -184,8 +184,7 @@ p3 AS (SELECT k.gram, CASE WHEN na + ta > 0 THEN (ca + ta * pa) / (na + ta) ELSE
 p4 AS (SELECT k.gram, k.n, CASE WHEN na + ta > 0 THEN (ca + ta * pa) / (na + ta) ELSE pa END AS pa,
               CASE WHEN nb + tb > 0 THEN (cb + tb * pb) / (nb + tb) ELSE pb END AS pb
        FROM k4 k JOIN x3 ON x = substr(k.gram, 1, 3) JOIN p3 p ON p.gram = substr(k.gram, 2, 3)),
-m AS (SELECT CAST('0x' || substr(md5(gram), 1, 5) AS INTEGER) % 262144 AS slot, sum((ln(pa) - ln(pb)) * n) / sum(n) AS v FROM p4 GROUP BY 1),
-sc AS (SELECT r, sum(v) / count(*) AS score FROM g JOIN m ON slot = CAST('0x' || substr(md5(gram), 1, 5) AS INTEGER) % 262144 GROUP BY r),
+sc AS (SELECT r, CAST(sum(CAST(ln(pa) - ln(pb) AS DECIMAL(28, 18))) AS DOUBLE) / count(*) AS score FROM g JOIN p4 USING (gram) GROUP BY r),
 s AS (SELECT e.*, coalesce(score, 0.0) AS score FROM e LEFT JOIN sc ON e.r = sc.r),
 t AS (SELECT avg(score) FILTER (says = 'allow') AS ma, stddev_pop(score) FILTER (says = 'allow') AS sa,
              avg(score) FILTER (says = 'block') AS mb, stddev_pop(score) FILTER (says = 'block') AS sb FROM s),
