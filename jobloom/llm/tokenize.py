@@ -217,6 +217,7 @@ class Encoder:
                 self.pieces = _Table(self._pieces)
             yield self._block(part, end)
             self.pieces = kept
+            pa.default_memory_pool().release_unused()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
