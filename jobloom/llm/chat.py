@@ -10,8 +10,8 @@ control string.
 
 Turns are dealt by ranges of (conversation, turn, role, text), so a conversation of any length is spread over many tasks;
 each task writes the turns of its range as parts of at most `PART` ids. To read a conversation, its parts are streamed in
-order: no task holds more than a part, whatever a conversation's length. (A SHA-256 of one conversation is sequential; the
-digest query streams that text through one task.)
+order: no task holds more than a part, whatever a conversation's length. The digests decode the parts where they lie;
+a SHA-256 is sequential, so a conversation's text then streams through one task that does nothing but hash it.
 
 Defined cases: a null text is empty; a null role is empty; turns with equal numbers are ordered by role, then text;
 repeated rows are turns of their own; a null conv_id is a conversation; a null turn comes first; texts that are not
@@ -132,23 +132,48 @@ def _segments(template: Template, ids: np.ndarray, mask: np.ndarray) -> Iterator
         yield template.text(ids[a + 1 : b]), template.text(ids[c + 1 : d]), bool(len(covered) and covered.all())
 
 
-def digest(parts: DataFrame, path: str) -> DataFrame:
-    """What the parts of format_turns say of each conversation, read in order with one part in memory at a time."""
-    spread = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+def told(parts: DataFrame, path: str) -> DataFrame:
+    """What each part of format_turns says, read where the parts lie: conv_id, part, n_turns, turns and heard (the texts of
+    role, newline, text, newline of each turn, and the text under the mask, in UTF-8), loss_chars and chars of the written form."""
+    names = ["conv_id", "part", "n_turns", "turns", "heard", "loss_chars", "chars"]
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(path)
-        frame = len(MARKS[START]) + len(MARKS[STOP])
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        frame = sum(len(MARKS[m]) for m in (BEGIN, MIDDLE, TEXT, END))
+        for batch in batches:
+            rows = []
+            for ids, mask in zip(batch.column("ids"), batch.column("mask")):
+                turns, heard = [], []
+                chars = 0
+                for role, text, loss in _segments(template, np.frombuffer(ids.as_py(), "<u4"), np.frombuffer(mask.as_py(), bool)):
+                    chars += len(role) + len(text) + frame
+                    role, text = unescape(role), unescape(text)
+                    turns.append(f"{role}\n{text}\n")
+                    if loss:
+                        heard.append(text)
+                rows.append((len(turns), "".join(turns).encode(), "".join(heard).encode(), sum(map(len, heard)), chars))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("part"), *columns], names)
+
+    return parts.mapInArrow(run, extended(parts, ["conv_id", "part"], "n_turns long, turns binary, heard binary, loss_chars long, chars long"))
+
+
+def digest(parts: DataFrame, path: str) -> DataFrame:
+    """Counts and hashes of each conversation from its parts. The parts are decoded where they lie; only the hashes, which
+    are sequential, take a conversation's texts in order through one task, with one part in memory at a time."""
+    spread = told(parts, path).repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list | None = None
         kind = None
         ended: list[list] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal ended
-            columns = list(zip(*ended))
             types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ended), types)], names)
             ended = []
             return out
 
@@ -157,22 +182,17 @@ def digest(parts: DataFrame, path: str) -> DataFrame:
 
         for batch in batches:
             kind = batch.schema.field("conv_id").type
-            for i in range(batch.num_rows):
-                conv = batch.column("conv_id")[i].as_py()
+            counts = zip(*(batch.column(k).to_pylist() for k in ("conv_id", "n_turns", "loss_chars", "chars")))
+            for (conv, n, loss, chars), turns, heard in zip(counts, batch.column("turns"), batch.column("heard")):
                 if state is None or conv != state[0]:
                     if state is not None:
                         end(state)
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), frame]
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), "<u4")
-                mask = np.frombuffer(batch.column("mask")[i].as_py(), bool)
-                for role, text, loss in _segments(template, ids, mask):
-                    state[5] += len(role) + len(text) + sum(len(MARKS[m]) for m in (BEGIN, MIDDLE, TEXT, END))
-                    role, text = unescape(role), unescape(text)
-                    state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode())
-                    if loss:
-                        state[3] += len(text)
-                        state[4].update(text.encode())
+                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), len(MARKS[START]) + len(MARKS[STOP])]
+                state[1] += n
+                state[2].update(turns.as_buffer())
+                state[3] += loss
+                state[4].update(heard.as_buffer())
+                state[5] += chars
                 if len(ended) >= 1000:
                     yield flush()
         if state is not None:
