@@ -47,6 +47,7 @@ def draft_error(text: Column) -> Column:
 
 
 def _draft_error(text: Column, root: Column) -> Column:
+    # The messages below.
     get = lambda key: F.try_variant_get(root, f"$.{key}", "variant")
     is_text = lambda key: _kind(get(key)) == "STRING"
     says = lambda key: F.try_variant_get(root, f"$.{key}", "string")
@@ -87,6 +88,7 @@ def parse_draft(text: Column) -> Column:
 
 def form_error(form: dict[str, Column]) -> Column:
     """What is wrong with a trimmed form, the first fault only; null where it is fine."""
+    # The messages below.
     filled = [truthy(form[k]).isNotNull() for k in ("company_name", "company_website", "customer_email", "title", "apply_url", "description", "location_country")]
     all_filled = F.lit(True)
     for f in filled:

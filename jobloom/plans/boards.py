@@ -65,7 +65,7 @@ def workable_lists(rows: DataFrame) -> DataFrame:
 
 
 def workday_payloads(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = rows.withColumn("company_id", F.concat(F.lit("acme:wd5:"), "company_id"))
+    rows = rows.withColumn("company_id", F.concat(F.lit("bravo:wd5:"), "company_id"))
     path = F.concat(F.lit("/job/x_"), _TEXT)
     item = _named(title=F.col("title"), externalPath=path, locationsText=F.col("location"), postedOn=F.col("posted_str"), bulletFields=F.when(SEQ % 4 != 0, F.array(F.concat(F.lit("R"), _TEXT))))
     info = _named(jobPostingId=F.when(SEQ % 2 == 0, F.concat(F.lit("JR"), _TEXT)), jobDescription=F.col("description"), location=_named(location=F.when(SEQ % 3 == 0, "Rome")))
@@ -144,7 +144,7 @@ def _landed(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _owners(rows: DataFrame) -> DataFrame:
     """Companies by the board of each provider that they use."""
-    slug = F.when(F.col("provider") == "workday", F.concat(F.lit("acme:wd5:"), "company_id")).when(F.col("provider") == "custom", F.concat(F.lit("https://"), "company_id", F.lit(".example.com/careers")))
+    slug = F.when(F.col("provider") == "workday", F.concat(F.lit("bravo:wd5:"), "company_id")).when(F.col("provider") == "custom", F.concat(F.lit("https://"), "company_id", F.lit(".example.com/careers")))
     return rows.select(F.col("company_id").alias("id"), "provider", F.coalesce(slug, F.col("company_id")).alias("provider_slug")).distinct()
 
 
@@ -188,8 +188,8 @@ _RAW = {
     "workable_jobs": """SELECT company_id AS provider_slug, 'W' || seq AS provider_job_id, CASE WHEN seq % 3 = 0 THEN 'short' ELSE title END AS title,
       CASE WHEN seq % 4 <> 0 THEN CASE WHEN coalesce(location, '') = '' THEN '' ELSE location || ', ' END || 'Rome' END AS location, '' AS description,
       'https://apply.workable.com/' || company_id || '/j/W' || seq || '/' AS apply_url, '2001-07-03' AS posted_str FROM raw_jobs_v""",
-    "workday_jobs": f"""SELECT 'acme:wd5:' || company_id AS provider_slug, CASE WHEN seq % 2 = 0 THEN 'JR' || seq WHEN seq % 4 <> 0 THEN 'R' || seq ELSE '/job/x_' || seq END AS provider_job_id, title,
-      CASE WHEN seq % 3 = 0 THEN 'Rome' ELSE location END AS location, description, 'https://acme.wd5.myworkdayjobs.com/wday/cxs/acme/' || company_id || '/job/x_' || seq AS apply_url,
+    "workday_jobs": f"""SELECT 'bravo:wd5:' || company_id AS provider_slug, CASE WHEN seq % 2 = 0 THEN 'JR' || seq WHEN seq % 4 <> 0 THEN 'R' || seq ELSE '/job/x_' || seq END AS provider_job_id, title,
+      CASE WHEN seq % 3 = 0 THEN 'Rome' ELSE location END AS location, description, 'https://bravo.wd5.myworkdayjobs.com/wday/cxs/bravo/' || company_id || '/job/x_' || seq AS apply_url,
       {iso("ms")} AS posted_str FROM (SELECT *, {POSTED_ON} AS ms FROM raw_jobs_v) WHERE seq % 7 <> 0""",
     "landed_postings": f"""SELECT provider, company_id, count(*) AS n, min(CASE WHEN provider = 'workable' AND seq % 3 = 0 THEN 'short' ELSE title END) AS first_title
       FROM raw_jobs_v WHERE {_DETAILED} GROUP BY 1, 2""",

@@ -276,8 +276,8 @@ _RAW = {
       w AS (SELECT seq, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS said FROM t),
       b AS (SELECT seq, said, [x FOR x IN string_split(said, ' ') IF NOT regexp_matches(x, '^[0-9]+$')] AS bare FROM w)
       SELECT seq, said IN ({", ".join(f"'{t}'" for t in TITLE_BLACKLIST)}) OR array_to_string(bare, ' ') IN ({", ".join(f"'{t}'" for t in TITLE_BLACKLIST)}) AS listed FROM b""",
-    "page_ids": f"""SELECT id, CASE WHEN s = 'acme:3b3c91be9aac4d5ca58d2e8e1c0a82c0' THEN '3b3c91be-9aac-4d5c-a58d-2e8e1c0a82c0' END AS page_id,
-      CASE WHEN s = 'acme:3b3c91be9aac4d5ca58d2e8e1c0a82c0' THEN 'https://www.notion.so/acme/3b3c91be9aac4d5ca58d2e8e1c0a82c0'
+    "page_ids": f"""SELECT id, CASE WHEN s = 'bravo:51f0d2ab7c3e4f88a6b9043d2c1e7f60' THEN '51f0d2ab-7c3e-4f88-a6b9-043d2c1e7f60' END AS page_id,
+      CASE WHEN s = 'bravo:51f0d2ab7c3e4f88a6b9043d2c1e7f60' THEN 'https://www.notion.so/bravo/51f0d2ab7c3e4f88a6b9043d2c1e7f60'
            WHEN position(':' IN s) = 0 THEN 'https://www.notion.so/' || s ELSE 'https://' || split_part(s, ':', 1) || '.notion.site/' || substr(s, position(':' IN s) + 1) END AS page_url
       FROM (SELECT id, {detected("careers_url", "slug")} AS s FROM companies_v) WHERE s IS NOT NULL""",
     "optional_fields": f"""SELECT seq, nullif(substr({trim("location")}, 1, 6), '') AS place, CASE WHEN seq * 3500 <= 10000000 THEN CAST(seq * 3500 AS BIGINT) END AS large, CASE WHEN seq <= 10000000 THEN CAST(seq AS BIGINT) END AS amount FROM raw_jobs_v""",

@@ -29,13 +29,13 @@ SELECT 'co-' || CAST(c_custkey AS STRING) AS id, lower(replace(c_name, '#', '-')
     WHEN 4 THEN 'https://jobs.ashbyhq.com/' || lower(replace(c_name, '#', '-'))
     WHEN 5 THEN 'https://jobs.smartrecruiters.com/' || lower(replace(c_name, '#', '-'))
     WHEN 6 THEN 'https://apply.workable.com/' || lower(replace(c_name, '#', '-'))
-    WHEN 7 THEN 'https://acme.wd5.myworkdayjobs.com/en-US/Site' || CAST(c_custkey AS STRING)
-    WHEN 8 THEN 'https://acme-io.notion.site/acme-jobs-' || CAST(c_custkey AS STRING)
-    WHEN 9 THEN 'https://acme-io.notion.site/rolex-guide'
-    WHEN 10 THEN 'https://www.notion.so/acme/Careers-3b3c91be9aac4d5ca58d2e8e1c0a82c0'
+    WHEN 7 THEN 'https://bravo.wd5.myworkdayjobs.com/en-US/Site' || CAST(c_custkey AS STRING)
+    WHEN 8 THEN 'https://delta-labs.notion.site/delta-jobs-' || CAST(c_custkey AS STRING)
+    WHEN 9 THEN 'https://delta-labs.notion.site/winter-guide'
+    WHEN 10 THEN 'https://www.notion.so/bravo/Careers-51f0d2ab7c3e4f88a6b9043d2c1e7f60'
     WHEN 11 THEN 'https://www.workatastartup.com/companies/' || lower(replace(c_name, '#', '-'))
-    WHEN 12 THEN 'https://example.com/companies/acme/jobs/founding-engineer'
-    WHEN 13 THEN 'https://example.com/companies/acme/jobs/senior-engineer'
+    WHEN 12 THEN 'https://example.com/companies/bravo/jobs/first-engineer'
+    WHEN 13 THEN 'https://example.com/companies/bravo/jobs/lead-engineer'
     WHEN 14 THEN 'https://boards.greenhouse.io'
     ELSE 'https://' || lower(replace(c_name, '#', '-')) || '.example.com/careers' END AS careers_url,
   CAST(NULL AS STRING) AS ats_provider,
@@ -50,7 +50,7 @@ SELECT
        ELSE 'greenhouse:customer:' || CAST(4253300000 + o_orderkey AS STRING) END AS id,
   'co-' || CAST(o_custkey AS STRING) AS company_id,
   CASE o_orderkey % 8
-    WHEN 0 THEN 'Senior ML Engineer' WHEN 1 THEN 'Guidance, Navigation & Control (GNC) Engineer'
+    WHEN 0 THEN 'Senior ML Engineer' WHEN 1 THEN 'Battery, Motor & Sensor (BMS) Engineer'
     WHEN 2 THEN 'Research Scientist, NLP' WHEN 3 THEN '  Robotics -- Lead  '
     WHEN 4 THEN 'Ingénieur données' WHEN 5 THEN 'Platform/Infra SRE'
     WHEN 6 THEN 'Computer Vision Intern' ELSE 'C++ & CUDA kernels dev' END AS title,

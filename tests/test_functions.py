@@ -90,16 +90,16 @@ def test_dates(spark):
 
 
 DETECTED = {
-    "https://boards.greenhouse.io/acme/jobs/1": ("greenhouse", "acme"), "https://boards.greenhouse.io": ("greenhouse", "boards"),
-    "acme.greenhouse.io": ("greenhouse", "acme"), "https://jobs.lever.co/acme/123?x=1": ("lever", "acme"),
+    "https://boards.greenhouse.io/bravo/jobs/1": ("greenhouse", "bravo"), "https://boards.greenhouse.io": ("greenhouse", "boards"),
+    "bravo.greenhouse.io": ("greenhouse", "bravo"), "https://jobs.lever.co/bravo/123?x=1": ("lever", "bravo"),
     "https://jobs.ashbyhq.com/Acme%20Inc": ("ashby", "Acme Inc"), "https://jobs.ashbyhq.com/a+b": ("ashby", "a+b"),
-    "https://careers.smartrecruiters.com/Acme": ("smartrecruiters", "Acme"), "https://apply.workable.com/acme/": ("workable", "acme"),
-    "text www.workable.com": ("workable", "www"), "https://acme.wd5.myworkdayjobs.com/en-US/Site/job/1": ("workday", "acme:wd5:Site"),
-    "https://acme-io.notion.site/acme-jobs-1": ("notion", "acme-io:acme-jobs-1"), "https://acme-io.notion.site/rolex-guide": None,
-    "https://www.notion.so/acme/Careers-3b3c91be9aac4d5ca58d2e8e1c0a82c0": ("notion", "acme:3b3c91be9aac4d5ca58d2e8e1c0a82c0"),
-    "https://www.workatastartup.com/companies/acme": ("waas", "acme"), "https://x.com/companies/acme/jobs/founder": ("waas", "acme"),
-    "https://x.com/companies/acme/jobs/senior": None, "https://example.com/careers": None, "": None, None: None,
-    '<a href="https://jobs.lever.co/acme">': ("lever", "acme"), 'workatastartup.com "slug": "acme-2"': ("waas", "acme-2"), '"slug": "acme-2"': None,
+    "https://careers.smartrecruiters.com/Acme": ("smartrecruiters", "Acme"), "https://apply.workable.com/bravo/": ("workable", "bravo"),
+    "text www.workable.com": ("workable", "www"), "https://bravo.wd5.myworkdayjobs.com/en-US/Site/job/1": ("workday", "bravo:wd5:Site"),
+    "https://delta-labs.notion.site/delta-jobs-1": ("notion", "delta-labs:delta-jobs-1"), "https://delta-labs.notion.site/winter-guide": None,
+    "https://www.notion.so/bravo/Careers-51f0d2ab7c3e4f88a6b9043d2c1e7f60": ("notion", "bravo:51f0d2ab7c3e4f88a6b9043d2c1e7f60"),
+    "https://www.workatastartup.com/companies/bravo": ("waas", "bravo"), "https://x.com/companies/bravo/jobs/founder": ("waas", "bravo"),
+    "https://x.com/companies/bravo/jobs/senior": None, "https://example.com/careers": None, "": None, None: None,
+    '<a href="https://jobs.lever.co/bravo">': ("lever", "bravo"), 'workatastartup.com "slug": "bravo-2"': ("waas", "bravo-2"), '"slug": "bravo-2"': None,
 }
 
 
@@ -108,15 +108,15 @@ def test_detection(spark):
 
 
 def test_detection_with_body(spark):
-    rows = spark.createDataFrame([(1, "https://a.com", "see jobs.lever.co/acme"), (2, "https://a.com", " "), (3, "https://a.com", "hello"), (4, "", "hello"), (5, "https://a.com", None)], "i int, u string, b string")
+    rows = spark.createDataFrame([(1, "https://a.com", "see jobs.lever.co/bravo"), (2, "https://a.com", " "), (3, "https://a.com", "hello"), (4, "", "hello"), (5, "https://a.com", None)], "i int, u string, b string")
     got = {r.i: r.d and tuple(r.d) for r in rows.select("i", detect.detect_with_body(F.col("u"), F.col("b")).alias("d")).collect()}
-    assert got == {1: ("lever", "acme"), 2: None, 3: ("custom", "https://a.com"), 4: None, 5: None}
+    assert got == {1: ("lever", "bravo"), 2: None, 3: ("custom", "https://a.com"), 4: None, 5: None}
 
 
 def test_page_ids(spark):
     bare, dashed = "2176507c0b0a4d5ca58d2e8e1c0a82c0", "2176507c-0b0a-4d5c-a58d-2e8e1c0a82c0"
-    assert run(spark, [f"Careers-{bare}", f"acme:{dashed}", bare.upper(), "none", f"acme:Jobs-{bare}"], text.page_id_of_slug) == [dashed, dashed, dashed, None, dashed]
-    assert run(spark, [f"acme:{bare}", "acme:jobs", "Jobs"], text.page_url) == [f"https://www.notion.so/acme/{bare}", "https://acme.notion.site/jobs", "https://www.notion.so/Jobs"]
+    assert run(spark, [f"Careers-{bare}", f"bravo:{dashed}", bare.upper(), "none", f"bravo:Jobs-{bare}"], text.page_id_of_slug) == [dashed, dashed, dashed, None, dashed]
+    assert run(spark, [f"bravo:{bare}", "bravo:jobs", "Jobs"], text.page_url) == [f"https://www.notion.so/bravo/{bare}", "https://bravo.notion.site/jobs", "https://www.notion.so/Jobs"]
 
 
 def test_stack_lists(spark):

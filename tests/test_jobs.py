@@ -1,9 +1,12 @@
 """The landing fetcher and the batch jobs."""
 
+import http.server
 import json
+import socket
 import threading
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobloom import cli
@@ -38,6 +41,56 @@ def test_landing(spark):
     assert [r.error for r in rows if r.status is None] == ["TimeoutError: slow"]
 
 
+class Slow(http.server.BaseHTTPRequestHandler):
+    def do_GET(self):
+        if self.path == "/slow":
+            time.sleep(1.5)
+        status = {"/gone": 404, "/moved": 302}.get(self.path, 200)
+        self.send_response(status)
+        if status == 302:
+            self.send_header("Location", "/there")
+        self.end_headers()
+        if status == 200:
+            self.wfile.write("é".encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_plain_fetch():
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), Slow) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        base = f"http://127.0.0.1:{server.server_port}"
+        assert fetch.plain_fetch(f"{base}/x") == fetch.Response(f"{base}/x", 200, None, "é")
+        assert fetch.plain_fetch(f"{base}/moved").final_url == f"{base}/there" and fetch.plain_fetch(f"{base}/gone").status == 404
+        with pytest.raises(TimeoutError):
+            fetch.plain_fetch(f"{base}/slow", timeout=0.3)  # connects at once, answers late
+        server.shutdown()
+    with socket.socket() as full:  # a queue that is full never lets a connection through
+        full.bind(("127.0.0.1", 0))
+        full.listen(0)
+        waiting = [socket.socket() for _ in range(4)]
+        for s in waiting:
+            s.setblocking(False)
+            s.connect_ex(full.getsockname())
+        start = time.monotonic()
+        with pytest.raises(OSError):
+            fetch.plain_fetch(f"http://127.0.0.1:{full.getsockname()[1]}/x", timeout=20, connect=0.3)
+        assert time.monotonic() - start < 5
+        for s in waiting:
+            s.close()
+
+
+def test_rendering_fetch(spark, tmp_path):
+    browser = tmp_path / "browser"
+    browser.write_text("#!/bin/sh\nfor last; do :; done\ncase $last in *empty) ;; *fails) exit 3 ;; *late) sleep 5 ;; *) echo \"<p>$last</p>\" ;; esac\n")
+    browser.chmod(0o755)
+    get = fetch.rendering_fetch(str(browser), timeout=1.0)
+    rows = {r.url: r for r in fetch.land(spark, [f"http://a.com/{k}" for k in ("page", "empty", "fails", "late")], get, fetch.Scheduler(fetch.RENDER_SLOTS)).collect()}
+    assert rows["http://a.com/page"].body.strip() == "<p>http://a.com/page</p>" and rows["http://a.com/page"].status == 200
+    assert all(rows[f"http://a.com/{k}"].status is None and rows[f"http://a.com/{k}"].error for k in ("empty", "fails", "late"))
+
+
 def test_pauses():
     now = [0.0]
     starts = []

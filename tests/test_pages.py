@@ -55,9 +55,9 @@ def test_block_maps():
 def test_embedded_board():
     company = {"props": {"company": {"long_description": "We  build", "jobs": [{"id": 7, "title": " Dev ", "skills": ["a", "b"], "visa": "yes & no"}, {"title": "X", "url": "https://evil.com"}, {"title": ""}]}}}
     page = f'<div data-page="{json.dumps(company).replace("&", "&amp;").replace(chr(34), "&quot;")}" id="app"></div>'
-    jobs = html.embed_jobs(page, "acme")
+    jobs = html.embed_jobs(page, "bravo")
     assert len(jobs) == 1 and jobs[0]["description"] == "<p>We build</p><ul><li>Visa: yes &amp; no</li></ul><p>Skills: a, b</p>"
-    assert jobs[0]["apply_url"].endswith("signup_job_id=7") and html.embed_jobs("<p>", "acme") == []
+    assert jobs[0]["apply_url"].endswith("signup_job_id=7") and html.embed_jobs("<p>", "bravo") == []
 
 
 def test_robots(spark):
@@ -70,25 +70,25 @@ def test_robots(spark):
 
 def test_connectors(spark):
     make = lambda rows, cols="slug string, body string": spark.createDataFrame(rows, cols)
-    lever = payloads.lever(make([("acme", '[{"id":"1","text":"T","categories":{"commitment":"Full"},"descriptionPlain":"d","createdAt":1700000000000}]')])).first()
-    assert (lever.location, lever.apply_url, lever.posted_num) == ("Full", "https://jobs.lever.co/acme", 1.7e12)
-    lists = make([("acme", '{"data":{"jobBoard":{"jobPostings":[{"id":"1"},{"id":"2"},{"id":"3"}]}}}')])
-    details = make([("acme", "1", '{"data":{"jobPosting":{"id":"1","title":"T","locationName":"L","descriptionHtml":"d","publishedDate":"2026-01-01"}}}'), ("acme", "2", "broken"), ("acme", "3", '{"data":{"jobPosting":null}}')],
+    lever = payloads.lever(make([("bravo", '[{"id":"1","text":"T","categories":{"commitment":"Full"},"descriptionPlain":"d","createdAt":1700000000000}]')])).first()
+    assert (lever.location, lever.apply_url, lever.posted_num) == ("Full", "https://jobs.lever.co/bravo", 1.7e12)
+    lists = make([("bravo", '{"data":{"jobBoard":{"jobPostings":[{"id":"1"},{"id":"2"},{"id":"3"}]}}}')])
+    details = make([("bravo", "1", '{"data":{"jobPosting":{"id":"1","title":"T","locationName":"L","descriptionHtml":"d","publishedDate":"2026-01-01"}}}'), ("bravo", "2", "broken"), ("bravo", "3", '{"data":{"jobPosting":null}}')],
                    "slug string, key string, body string")
     assert [r.provider_job_id for r in payloads.ashby(lists, details).collect()] == ["1"]
     smart = payloads.smartrecruiters(make([("a b", '{"content":[{"id":"9","name":"N","location":{"city":"C"},"createdOn":"x"}],"totalFound":1}')]),
                                      make([("a b", "9", '{"jobAd":{"sections":{"companyDescription":{"text":"c"},"qualifications":{"text":"q"}}}}')], "slug string, key string, body string")).first()
     assert smart.description == "<h3>Company Description</h3>c\n<h3>Qualifications</h3>q" and smart.apply_url.endswith("/a%20b/9")
-    work = payloads.workable(make([("acme", '{"results":[{"shortcode":"S","title":"t","full_title":"F","locations":["A","","B"]}]}')])).first()
+    work = payloads.workable(make([("bravo", '{"results":[{"shortcode":"S","title":"t","full_title":"F","locations":["A","","B"]}]}')])).first()
     assert (work.title, work.location, work.description) == ("F", "A, B", "")
     day = payloads.workday(make([("t:wd1:s", '{"total":1,"jobPostings":[{"title":"T","externalPath":"/job/1","locationsText":"L","bulletFields":["R1"],"postedOn":"Posted Yesterday"}]}')]),
                            make([("t:wd1:s", "/job/1", '{"jobPostingInfo":{"jobDescription":"d"}}')], "slug string, key string, body string"), 86_400_000).first()
     assert (day.provider_job_id, day.location, day.posted_str) == ("R1", "L", "1970-01-01T00:00:00.000Z")
-    green = payloads.greenhouse(make([("acme", '{"jobs":[{"id":5,"title":"T","location":{"name":"L"},"content":"&lt;p&gt;x&#33;","absolute_url":"u","updated_at":"2026-01-01"}]}')])).first()
+    green = payloads.greenhouse(make([("bravo", '{"jobs":[{"id":5,"title":"T","location":{"name":"L"},"content":"&lt;p&gt;x&#33;","absolute_url":"u","updated_at":"2026-01-01"}]}')])).first()
     assert green.description == "<p>x!" and green.provider_job_id == "5"
     none = make([], "slug string, html string")
-    feed = make([("acme", '[{"id":"1","title":"T","url":"/jobs/1"}]'), ("other", "broken")])
-    assert [(r.provider_slug, r.apply_url) for r in payloads.waas(feed, none, none).collect()] == [("acme", "https://www.workatastartup.com/jobs/1")]
+    feed = make([("bravo", '[{"id":"1","title":"T","url":"/jobs/1"}]'), ("other", "broken")])
+    assert [(r.provider_slug, r.apply_url) for r in payloads.waas(feed, none, none).collect()] == [("bravo", "https://www.workatastartup.com/jobs/1")]
 
 
 def test_normalized_postings_of_a_page(spark):
