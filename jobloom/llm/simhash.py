@@ -39,6 +39,7 @@ RADIUS = 2
 #: Different fingerprints that an entry may have before it is cut again, and how often: 32, 48, 56 common bits.
 BUCKET = 64
 LEVELS = 3
+ROWS = 200_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -151,14 +152,17 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, root) for every node of edges (a, b), a > b: root is the smallest node that is reachable.
 
-    Large-star and small-star rounds until nothing changes; each round is written to the shared folder.
+    Large-star and small-star rounds until nothing changes; each round is written to the shared folder, in a file for
+    every ROWS links or less: most rounds are small, and a file costs a task and a process of its own on a local disk.
     """
-    spark = edges.sparkSession
 
     def state(df: DataFrame) -> tuple:
         r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         return r.n, r.h
 
+    def written(df: DataFrame, rows: int) -> DataFrame:
+        return materialize(df.coalesce(max(1, -(-rows // ROWS))), "links")
+
     edges = materialize(edges.select("a", "b").distinct(), "links")
     before = state(edges)
     for _ in range(most_rounds):
@@ -167,11 +171,11 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         around = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
         large = edges.join(least, "b").select("a", F.col("m").alias("b")).filter("a <> b").distinct()
-        large = materialize(large, "links")
+        large = written(large, 2 * before[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("a", F.col("m").alias("b"))).distinct()
-        old, edges = edges, materialize(small, "links")
+        old, edges = edges, written(small, 2 * before[0])
         discard(old, large)
         now = state(edges)
         if now == before:
