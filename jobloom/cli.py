@@ -9,6 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobloom.functions import docs
 from jobloom.operators import dispatch, fulfil, ingest, maintain, probe, search
 from jobloom.session import prepare
 from jobloom.sources import companies as directory
@@ -18,31 +19,46 @@ from jobloom.sources.store import TableStore
 from jobloom.streaming.events import EVENT_SCHEMA
 
 
+def _landed(store: TableStore, args: argparse.Namespace, name: str, schema: str) -> DataFrame:
+    """A landed table in the folder --landed; empty where it isn't there."""
+    spark, where = store.spark, f"{args.landed.rstrip('/')}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(where)
+
+
+def _published(store: TableStore, name: str, rows: DataFrame, args: argparse.Namespace) -> None:
+    if not args.dry_run:
+        store.write(name, rows)
+
+
 def seed(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
     """Curated companies, and the landed directory batches in --batches."""
     rows = ingest.upsert_companies(store.read("companies"), directory.curated(store.spark, now_ms), overwrite_careers=True)
     if args.batches:
         found = directory.ai_companies(directory.read_batches(store.spark, args.batches), now_ms)
         rows = ingest.upsert_companies(rows, found, overwrite_careers=False)
-    store.write("companies", rows)
-    return {"companies": store.read("companies").count()}
+    _published(store, "companies", rows, args)
+    return {"companies": rows.count()}
 
 
 def load(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
     """Postings in --jobs (Parquet: RAW_JOBS with company_id, provider_slug, seq) normalized and upserted."""
     batch = ingest.normalize(store.spark.read.parquet(args.jobs), now_ms)
-    store.write("listings", ingest.upsert_listings(store.read("listings"), batch, now_ms))
+    _published(store, "listings", ingest.upsert_listings(store.read("listings"), batch, now_ms), args)
     return {r.provider: r.n for r in ingest.provider_totals(batch.select(F.substring_index("id", ":", 1).alias("provider"))).collect()}
 
 
 def sweep(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
-    store.write("listings", maintain.sweep_expired(store.read("listings"), now_ms))
-    return {r.status: r.n for r in store.read("listings").groupBy("status").agg(F.count("*").alias("n")).collect()}
+    swept = maintain.sweep_expired(store.read("listings"), now_ms)
+    _published(store, "listings", swept, args)
+    return {r.status: r.n for r in swept.groupBy("status").agg(F.count("*").alias("n")).collect()}
 
 
 def repair(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
     before = maintain.unit_counts(store.read("listings")).first().in_seconds
-    store.write("listings", maintain.repair_units(store.read("listings")))
+    _published(store, "listings", maintain.repair_units(store.read("listings")), args)
     return {"repaired": before}
 
 
@@ -51,20 +67,6 @@ def eligible(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
     return {"eligible": [r.slug for r in rows.select("slug").collect()]}
 
 
-def _landed(store: TableStore, args: argparse.Namespace, name: str, schema: str) -> DataFrame:
-    """A landed table in the folder --landed; empty where it isn't there."""
-    spark, where = store.spark, f"{args.landed.rstrip('/')}/{name}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(where)
-
-
-def _published(store: TableStore, name: str, rows: DataFrame, args: argparse.Namespace) -> None:
-    if not args.dry_run:
-        store.write(name, rows)
-
-
 def scrape(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
     """Landed payloads (lists, details, pages in --landed; see operators.dispatch) of the known boards, normalized and upserted.
 
@@ -130,7 +132,21 @@ def fulfil_payments(store: TableStore, now_ms: int, args: argparse.Namespace) ->
     return counts | {"refused": payments.filter("error IS NOT NULL").count()}
 
 
+def feed(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
+    """The whole feed of active listings, a line of JSON each, in the folder feed beside the tables."""
+    rows = search.all_active(store.read("listings"), store.read("companies"), now_ms)
+    if not args.dry_run:
+        rows.select(docs.feed_row(rows.columns).alias("value")).write.mode("overwrite").text(f"{store.root}/feed")
+    return {"items": rows.count()}
+
+
+def daily(store: TableStore, now_ms: int, args: argparse.Namespace) -> dict:
+    """What runs once a day: companies, postings, expiry, feed."""
+    return {job.__name__: job(store, now_ms, args) for job in (seed, scrape, sweep, feed)}
+
+
 JOBS = {
+    "feed": feed, "daily": daily,
     "seed": seed, "load": load, "scrape": scrape, "sweep": sweep, "repair": repair, "eligible": eligible, "probe": probe_careers, "render-list": render_list,
     "backfill": backfill, "fulfil": fulfil_payments,
 }

@@ -88,16 +88,19 @@ def unique_slugs(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     taken: column slug. A number that another root's slug takes is passed over in a further round.
     """
     done, rest = None, wanted
+    pattern = r"^(.*?)(?:-([0-9]+))?\z"
     for _ in range(20):
-        roots = rest.groupBy("root").agg(F.count("*").alias("n"))
-        pattern = r"^(.*?)(?:-([0-9]+))?\z"
-        used = taken.select("slug", F.regexp_extract("slug", pattern, 1).alias("stem"), F.regexp_extract("slug", pattern, 2).try_cast("int").alias("number"))
-        used = used.select(F.col("stem").alias("root"), "number").filter("number >= 2").union(taken.select(F.col("slug").alias("root"), F.lit(1)))
-        used = used.join(roots, "root").groupBy("root", "n").agg(F.collect_set("number").alias("used"))
-        free = roots.join(used.drop("n"), "root", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-        free = free.select("root", F.posexplode(F.slice(F.array_except(F.sequence(F.lit(1), (F.col("n") + F.size("used")).cast("int")), F.col("used")), F.lit(1), F.col("n").cast("int"))).alias("k", "number"))
-        ranked = rest.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy("at")) - 1)
-        named = ranked.join(free, ["root", "k"]).withColumn("slug", F.when(F.col("number") == 1, F.col("root")).otherwise(F.concat_ws("-", "root", "number")))
+        used = taken.select("slug", F.regexp_extract("slug", pattern, 1).alias("stem"), F.regexp_extract("slug", pattern, 2).try_cast("bigint").alias("number"))
+        used = used.select(F.col("stem").alias("root"), "number").filter("number >= 2").union(taken.select(F.col("slug").alias("root"), F.lit(1).cast("bigint"))).distinct()
+        used = used.join(rest.select("root").distinct(), "root", "left_semi")
+        # `place` counts the free numbers below a used one, and the wanted slugs before one: each wanted slug passes over
+        # the used numbers whose place is not beyond its own.
+        numbered = lambda by: F.row_number().over(Window.partitionBy("root").orderBy(by)).cast("bigint")
+        used = used.select("root", (F.col("number") - numbered("number")).alias("place"), F.lit(True).alias("used"))
+        ranked = rest.withColumn("place", numbered("at") - 1).withColumn("used", F.lit(False))
+        so_far = Window.partitionBy("root").orderBy("place", F.col("used").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        named = used.unionByName(ranked, allowMissingColumns=True).withColumn("number", F.col("place") + 1 + F.count_if("used").over(so_far)).filter("NOT used")
+        named = named.select("id", "root", "at", F.when(F.col("number") == 1, F.col("root")).otherwise(F.concat_ws("-", "root", F.col("number").cast("string"))).alias("slug"))
         best = named.groupBy("slug").agg(F.min("at").alias("best"))
         named = materialize(named.join(best, "slug").withColumn("ok", F.col("at") == F.col("best")), "slugs")
         good = named.filter("ok").select("id", "root", "at", "slug")

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions import detect, docs, html, text
-from jobloom.operators import ingest, maintain, probe
+from jobloom.operators import ingest, maintain, probe, search
 from jobloom.plans.boards import _named
 from jobloom.plans.oracle import CONTENT, detected, escaped, squeeze
 from jobloom.schemas import LISTINGS
 from jobloom.sources import companies as directory
 from jobloom.sources import payloads
+from jobloom.sources.shared import fresh_dir
 from jobloom.sources.store import TableStore
 from jobloom.sources.views import NOW_MS, table, view, with_views
 
@@ -353,4 +354,37 @@ def accelerator_pages(spark, sf_dir):
     return rows.select("event_id", probe.is_yc_jobs_page(_by(F.col("event_id"), *_VISITED)).alias("is_jobs_page"), detect.embed_company_url(F.format_string("s%d", F.col("event_id"))).alias("board"))
 
 
+# --- pages of a list, links that filter it, and the store
+
+
+@proof("""WITH n AS (SELECT n_nationkey AS key, n_nationkey * 17 AS total, n_regionkey * 3 - 1 AS asked, greatest(1, CAST(ceil(n_nationkey * 17 / 50.0) AS BIGINT)) AS pages FROM nation),
+    p AS (SELECT *, least(greatest(1, asked), pages) AS page FROM n)
+  SELECT key, pages, page, (page - 1) * 50 AS offset, least(total, (page - 1) * 50 + 1) AS first, least(total, page * 50) AS last FROM p""")
+def page_arithmetic(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()
+    out = [(r.n_nationkey, *search.page_bounds(r.n_nationkey * 17, r.n_regionkey * 3 - 1).values()) for r in rows]
+    return spark.createDataFrame(out, "key long, pages long, page long, offset long, first long, last long")
+
+
+_LISTS = ("", "page=2&remote=1", "?specialty=nlp")
+
+
+@proof("""SELECT n_nationkey AS key, CASE WHEN n_nationkey % 2 = 0 THEN (['/?specialty=infra', '/?page=2&remote=1&specialty=infra', '/?specialty=infra'])[n_nationkey % 3 + 1]
+    ELSE (['/', '/?page=2&remote=1', '/'])[n_nationkey % 3 + 1] END AS href FROM nation""")
+def filter_links(spark, sf_dir):
+    """Links that set a filter, or take it away."""
+    keys = [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
+    return spark.createDataFrame([(k, search.filter_href(_LISTS[k % 3], specialty=None if k % 2 else "infra")) for k in keys], "key long, href string")
+
+
+@proof("SELECT id, slug, upper(name) AS name, website, careers_probe_at, created_at FROM companies_v")
+def stored_companies(spark, sf_dir):
+    """Two versions written to a table store, each checked; what a reader sees is the last."""
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    rows = view(spark, sf_dir, "companies_v")
+    store.write("companies", rows)
+    store.write("companies", store.read("companies").withColumn("name", F.upper("name")))
+    return store.read("companies").select("id", "slug", "name", "website", "careers_probe_at", "created_at")
+
+
 SQL = {name: with_views(sql) for name, sql in _RAW.items()}

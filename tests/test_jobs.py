@@ -133,6 +133,11 @@ def test_jobs_over_landed_tables(spark, tmp_path):
     assert {(r.company_id, r.title) for r in store.read("listings").collect()} == {("a", "T"), ("c", "C")}
     assert spark.read.parquet(f"{store.root}/quarantine").first().slug == "b"
 
+    whole = run("daily")
+    assert whole["seed"] == {"companies": 16} and whole["sweep"] == {"active": 2} and whole["feed"] == {"items": 2}
+    assert {json.loads(r.value)["company_slug"] for r in spark.read.text(f"{store.root}/feed").collect()} == {"a", "c"}
+    store.write("companies", store.read("companies").filter("id NOT LIKE 'curated%'"))
+
     landed = f"file://{tmp_path}/fetched"
     got = [("https://d.example.com/", 200, '<a href="https://jobs.ashbyhq.com/d">Jobs</a>'), ("https://x.com/e", 200, f"<main>{body}</main>")]
     spark.createDataFrame([(u, None, s, "text/html", b, None) for u, s, b in got], fetch.LANDED).write.parquet(f"{landed}/pages")
