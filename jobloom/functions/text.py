@@ -198,21 +198,29 @@ def parse_stack(raw: Column) -> Column:
 
 def parse_location(value: Column) -> Column:
     """struct<city, country, is_remote, policy>."""
-    text = js_trim(F.regexp_replace(value, "[–—]", "-"))
-    hybrid, remote = has_word(F.lower(text), "hybrid"), has_word(F.lower(text), "remote")
-    away = hybrid | remote
-    rest = F.regexp_replace(text, f"(?i){START}(?:remote|hybrid|on[- ]?site){END}", "")
-    rest = js_trim(F.regexp_replace(rest, rf"^[{WS}:-]+|[{WS}:-]+\z", ""))
-    parts = F.filter(F.transform(F.split(rest, ","), js_trim), lambda p: p != "")
-    n, known = F.size(parts), truthy(value).isNotNull() & (rest != "")
-    city = F.when(known, F.when(n >= 2, F.get(parts, F.lit(0))).when(away & (n == 1), F.lit(None)).otherwise(rest))
-    country = F.when(known & (n >= 2), F.element_at(parts, -1)).when(known & away & (n == 1), F.get(parts, F.lit(0)))
-    return F.struct(
-        city.alias("city"),
-        F.coalesce(country, F.lit("Unknown")).alias("country"),
-        F.when(away, 1).otherwise(0).alias("is_remote"),
-        F.when(hybrid, "hybrid").when(remote, "remote").otherwise("onsite").alias("policy"),
-    )
+    trimmed = lambda v: let(v, lambda v: F.when(v.rlike(rf"^[{WS}:-]|[{WS}:-]\z"), js_trim(F.regexp_replace(v, rf"^[{WS}:-]+|[{WS}:-]+\z", ""))).otherwise(v))
+
+    def placed(rest: Column, hybrid: Column, remote: Column) -> Column:
+        def read(parts: Column) -> Column:
+            away = hybrid | remote
+            n, known = F.size(parts), truthy(value).isNotNull() & (rest != "")
+            city = F.when(known, F.when(n >= 2, F.get(parts, F.lit(0))).when(away & (n == 1), F.lit(None)).otherwise(rest))
+            country = F.when(known & (n >= 2), F.element_at(parts, -1)).when(known & away & (n == 1), F.get(parts, F.lit(0)))
+            return F.struct(
+                city.alias("city"), F.coalesce(country, F.lit("Unknown")).alias("country"), F.when(away, 1).otherwise(0).alias("is_remote"),
+                F.when(hybrid, "hybrid").when(remote, "remote").otherwise("onsite").alias("policy"),
+            )
+
+        return let(F.filter(F.transform(F.split(rest, ","), js_trim), lambda p: p != ""), read)
+
+    def flagged(text: Column) -> Column:
+        modes = f"(?i){START}(?:remote|hybrid|on[- ]?site){END}"
+        says = lambda low, word: low.contains(word) & has_word(low, word)
+        flags = let(F.lower(text), lambda low: F.struct(says(low, "hybrid").alias("hybrid"), says(low, "remote").alias("remote"), (low.contains("remote") | low.contains("hybrid") | low.contains("site")).alias("any")))
+        bare = lambda f: F.when(f["any"], F.regexp_replace(text, modes, "")).otherwise(text)
+        return let(flags, lambda f: let(trimmed(bare(f)), lambda rest: placed(rest, f["hybrid"], f["remote"])))
+
+    return let(js_trim(F.regexp_replace(value, "[–—]", "-")), flagged)
 
 
 def parse_compensation(text: Column) -> Column:
