@@ -304,7 +304,7 @@ _RAW = {
         known AS known_company, slug FROM e6 LEFT JOIN m3 USING (maker)""",
     "fulfil_results": f"WITH {PAYMENTS} SELECT CASE WHEN turn = 1 THEN 'inserted' ELSE 'duplicate' END AS result, count(*) AS n FROM e2 GROUP BY 1",
     "payment_errors": """SELECT CASE event_id % 9 WHEN 4 THEN 'draft.location_policy invalid' WHEN 5 THEN 'missing draft' END AS error,
-      sum(CASE WHEN epoch_us(ts) // 1000 % 3 = 0 THEN 2 ELSE 1 END) AS n FROM events WHERE event_type = 'purchase' AND event_id % 31 <> 3 GROUP BY 1""",
+      CAST(sum(CASE WHEN epoch_us(ts) // 1000 % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n FROM events WHERE event_type = 'purchase' AND event_id % 31 <> 3 GROUP BY 1""",
     "founding_tier": "SELECT id, CASE WHEN row_number() OVER (ORDER BY paid_at, stripe_event_id) <= 50 THEN 'founding' ELSE 'standard' END AS tier_by_order FROM paid_v",
     "founding_slots": "SELECT 'paid' AS after, greatest(0, 50 - count(*)) AS seats_left FROM paid_v UNION ALL SELECT 'nation', greatest(0, 50 - count(*)) FROM nation",
     "fk_violations": "SELECT id, listing_id || 'x' AS listing_id FROM paid_v WHERE amount_cents = 19900",

@@ -218,7 +218,7 @@ def jsonld_places(spark, sf_dir):
     node = F.concat(F.lit('{"@type": ["Thing", "jobposting"], "title": "Engineer", "url": "https://a.com/'), SEQ.cast("string"), F.lit('", "jobLocation": '), _by(SEQ, *map(json.dumps, places)), F.lit("}"))
     page = F.concat(F.lit('<script type="application/ld+json">[{"@graph": ['), node, F.lit("]}]</script>"))
     found = payloads.custom(_jobs(spark, sf_dir).select(F.lit("https://a.com/careers").alias("slug"), page.alias("html")))
-    return found.select(F.substring_index("apply_url", "/", -1).cast("int").alias("seq"), "location")
+    return found.select(F.substring_index("apply_url", "/", -1).cast("bigint").alias("seq"), "location")
 
 
 @proof("""SELECT CAST(seq AS VARCHAR) AS provider_slug, substr(md5(CAST(seq AS VARCHAR)), 1, 8) AS provider_job_id, title,
@@ -363,7 +363,7 @@ def accelerator_pages(spark, sf_dir):
 def page_arithmetic(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()
     out = [(r.n_nationkey, *search.page_bounds(r.n_nationkey * 17, r.n_regionkey * 3 - 1).values()) for r in rows]
-    return spark.createDataFrame(out, "key long, pages long, page long, offset long, first long, last long")
+    return spark.createDataFrame(out, "key int, pages long, page long, offset long, first long, last long")
 
 
 _LISTS = ("", "page=2&remote=1", "?specialty=nlp")
@@ -374,7 +374,7 @@ _LISTS = ("", "page=2&remote=1", "?specialty=nlp")
 def filter_links(spark, sf_dir):
     """Links that set a filter, or take it away."""
     keys = [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
-    return spark.createDataFrame([(k, search.filter_href(_LISTS[k % 3], specialty=None if k % 2 else "infra")) for k in keys], "key long, href string")
+    return spark.createDataFrame([(k, search.filter_href(_LISTS[k % 3], specialty=None if k % 2 else "infra")) for k in keys], "key int, href string")
 
 
 @proof("SELECT id, slug, upper(name) AS name, website, careers_probe_at, created_at FROM companies_v")
