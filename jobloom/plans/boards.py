@@ -11,8 +11,13 @@ from jobloom.plans.oracle import POSTED_ON, iso, sanitized, squeeze, stripped
 from jobloom.sources import payloads
 from jobloom.sources.views import NOW_MS, view, with_views
 
-SEQ = F.col("seq")
-_TEXT = SEQ.cast("string")
+
+def _seq() -> Column:
+    return F.col("seq")
+
+
+def _text() -> Column:
+    return _seq().cast("string")
 
 
 def _named(**columns: Column) -> Column:
@@ -34,46 +39,46 @@ def _details(rows: DataFrame, key: Column, body: Column) -> DataFrame:
 
 
 def greenhouse_lists(rows: DataFrame) -> DataFrame:
-    return _list(rows, _named(id=SEQ, title=F.col("title"), location=_named(name=F.col("location")), content=F.col("description"), absolute_url=F.col("apply_url")), "jobs")
+    return _list(rows, _named(id=_seq(), title=F.col("title"), location=_named(name=F.col("location")), content=F.col("description"), absolute_url=F.col("apply_url")), "jobs")
 
 
 def lever_lists(rows: DataFrame) -> DataFrame:
     return _list(rows, _named(
-        id=_TEXT, text=F.col("title"), categories=_named(location=F.col("location"), commitment=F.lit("Full-time")),
-        descriptionPlain=F.when(SEQ % 2 == 0, F.col("description")), description=F.concat(F.lit("<i>"), "description", F.lit("</i>")),
-        hostedUrl=F.when(SEQ % 5 != 0, F.col("apply_url")), createdAt=F.col("posted_num"),
+        id=_text(), text=F.col("title"), categories=_named(location=F.col("location"), commitment=F.lit("Full-time")),
+        descriptionPlain=F.when(_seq() % 2 == 0, F.col("description")), description=F.concat(F.lit("<i>"), "description", F.lit("</i>")),
+        hostedUrl=F.when(_seq() % 5 != 0, F.col("apply_url")), createdAt=F.col("posted_num"),
     ))
 
 
 def ashby_payloads(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    key = F.concat(F.lit("j "), _TEXT)
+    key = F.concat(F.lit("j "), _text())
     posting = _named(id=key, title=F.col("title"), locationName=F.col("location"), descriptionHtml=F.col("description"), publishedDate=F.lit("2001-07-01"))
-    body = _named(data=_named(jobPosting=F.when(SEQ % 6 != 0, posting)))
+    body = _named(data=_named(jobPosting=F.when(_seq() % 6 != 0, posting)))
     return _list(rows, _named(id=key), "data", "jobBoard", "jobPostings"), _details(rows, key, body)
 
 
 def smartrecruiters_payloads(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    place = _named(fullLocation=F.when(SEQ % 3 == 0, F.col("location")), city=F.lit("Lyon"))
-    item = _named(id=_TEXT, name=F.col("title"), location=place, releasedDate=F.when(SEQ % 2 == 0, "2001-07-02"), createdOn=F.lit("2001-07-01"))
-    sections = _named(companyDescription=_named(text=F.when(SEQ % 2 == 0, "About")), jobDescription=_named(text=F.col("description")))
-    return _list(rows, item, "content"), _details(rows, _TEXT, _named(jobAd=_named(sections=sections)))
+    place = _named(fullLocation=F.when(_seq() % 3 == 0, F.col("location")), city=F.lit("Lyon"))
+    item = _named(id=_text(), name=F.col("title"), location=place, releasedDate=F.when(_seq() % 2 == 0, "2001-07-02"), createdOn=F.lit("2001-07-01"))
+    sections = _named(companyDescription=_named(text=F.when(_seq() % 2 == 0, "About")), jobDescription=_named(text=F.col("description")))
+    return _list(rows, item, "content"), _details(rows, _text(), _named(jobAd=_named(sections=sections)))
 
 
 def workable_lists(rows: DataFrame) -> DataFrame:
-    places = F.when(SEQ % 4 != 0, F.array(F.coalesce("location", F.lit("")), F.lit(""), F.lit("Rome")))
-    return _list(rows, _named(shortcode=F.concat(F.lit("W"), _TEXT), title=F.lit("short"), full_title=F.when(SEQ % 3 != 0, F.col("title")), locations=places, published=F.lit("2001-07-03")), "results")
+    places = F.when(_seq() % 4 != 0, F.array(F.coalesce("location", F.lit("")), F.lit(""), F.lit("Rome")))
+    return _list(rows, _named(shortcode=F.concat(F.lit("W"), _text()), title=F.lit("short"), full_title=F.when(_seq() % 3 != 0, F.col("title")), locations=places, published=F.lit("2001-07-03")), "results")
 
 
 def workday_payloads(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("company_id", F.concat(F.lit("bravo:wd5:"), "company_id"))
-    path = F.concat(F.lit("/job/x_"), _TEXT)
-    item = _named(title=F.col("title"), externalPath=path, locationsText=F.col("location"), postedOn=F.col("posted_str"), bulletFields=F.when(SEQ % 4 != 0, F.array(F.concat(F.lit("R"), _TEXT))))
-    info = _named(jobPostingId=F.when(SEQ % 2 == 0, F.concat(F.lit("JR"), _TEXT)), jobDescription=F.col("description"), location=_named(location=F.when(SEQ % 3 == 0, "Rome")))
+    path = F.concat(F.lit("/job/x_"), _text())
+    item = _named(title=F.col("title"), externalPath=path, locationsText=F.col("location"), postedOn=F.col("posted_str"), bulletFields=F.when(_seq() % 4 != 0, F.array(F.concat(F.lit("R"), _text()))))
+    info = _named(jobPostingId=F.when(_seq() % 2 == 0, F.concat(F.lit("JR"), _text())), jobDescription=F.col("description"), location=_named(location=F.when(_seq() % 3 == 0, "Rome")))
     return _list(rows, item, "jobPostings"), _details(rows, path, _named(jobPostingInfo=info))
 
 
 def notion_chunks(rows: DataFrame) -> DataFrame:
-    block_id = F.regexp_replace(F.md5(_TEXT.cast("binary")), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    block_id = F.regexp_replace(F.md5(_text().cast("binary")), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     page = _named(type=F.lit("page"), parent_table=F.lit("collection"), properties=_named(title=F.array(F.array("title"))))
     blocks = F.map_from_entries(F.collect_list(F.struct(block_id, _named(value=_named(value=page)))))
     return rows.groupBy(F.col("company_id").alias("slug")).agg(F.to_json(_named(recordMap=_named(block=blocks))).alias("body"))
@@ -82,7 +87,7 @@ def notion_chunks(rows: DataFrame) -> DataFrame:
 def waas_payloads(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Feeds of the companies with an even number, boards' pages of the others."""
     own = rows.withColumn("even", F.substring_index("company_id", "-", -1).cast("bigint") % 2 == 0)
-    job = _named(id=SEQ, title=F.col("title"), location=F.col("location"), description=F.col("description"))
+    job = _named(id=_seq(), title=F.col("title"), location=F.col("location"), description=F.col("description"))
     feeds = _list(own.filter("even"), job)
     company = own.filter("NOT even").groupBy(F.col("company_id").alias("slug")).agg(F.collect_list(job).alias("jobs"))
     data = F.to_json(_named(props=_named(company=_named(slug=F.col("slug"), jobs=F.col("jobs")))))
@@ -134,7 +139,7 @@ def _landed(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     feeds, boards = waas_payloads(own("waas"))
     lists = {"greenhouse": greenhouse_lists(own("greenhouse")), "lever": lever_lists(own("lever")), "workable": workable_lists(own("workable")), "notion": notion_chunks(own("notion")), "waas": feeds}
     lists |= {name: two[0] for name, two in detailed.items()}
-    bad = rows.filter("seq % 50 = 1").select(F.col("provider"), F.col("company_id").alias("slug"), F.when(SEQ % 100 == 1, "{oops").alias("body"))
+    bad = rows.filter("seq % 50 = 1").select(F.col("provider"), F.col("company_id").alias("slug"), F.when(_seq() % 100 == 1, "{oops").alias("body"))
     all_lists = payloads.all_jobs([*(tag(n, df).select("provider", "slug", "body") for n, df in lists.items()), bad])
     all_details = payloads.all_jobs([tag(n, two[1]).select("provider", "slug", "key", "body") for n, two in detailed.items()])
     shells = tag("notion", own("notion").select(F.col("company_id").alias("slug")).distinct().withColumn("html", F.lit("<html></html>")))

@@ -53,7 +53,9 @@ def _jobs(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, "raw_jobs_v")
 
 
-SEQ = F.col("seq")
+def _seq() -> Column:
+    return F.col("seq")
+
 
 # --- companies
 
@@ -168,7 +170,7 @@ _TRAILS = ("Engineer view details now", "Engineer  Remote", "Engineer Paris, FR"
     SELECT seq, apply_url, title || ' - ' || replace({by_sql("seq", *[q.replace(chr(10), " ") for q in quoted(*_TRAILS)])}, '  ', ' ') AS t FROM raw_jobs_v)""")
 def bare_titles(spark, sf_dir):
     """Titles without what trails them, and the ids of their addresses."""
-    trail = _by(SEQ, *_TRAILS)
+    trail = _by(_seq(), *_TRAILS)
     return _jobs(spark, sf_dir).select("seq", text.strip_generic_trail(text.squeeze(F.concat("title", F.lit(" - "), trail))).alias("said"), text.job_id_of_url(F.col("apply_url")).alias("job_id"))
 
 
@@ -200,12 +202,12 @@ def main_content_ladder(spark, sf_dir):
 def anchored_jobs(spark, sf_dir):
     """Postings that a page links to: the title in a heading of the link, or beside it, or the link's own text."""
     name = text.escape_html(F.col("title"))
-    href = F.format_string("/jobs/%d", SEQ)
-    place = F.when(SEQ % 2 == 0, "<span>Remote</span>").otherwise("")
+    href = F.format_string("/jobs/%d", _seq())
+    place = F.when(_seq() % 2 == 0, "<span>Remote</span>").otherwise("")
     link = lambda inside: F.concat(F.lit('<li><a href="'), href, F.lit('">'), inside)
-    heads = _by(SEQ, F.concat(link(F.lit("<h4>")), name, F.lit("</h4></a>")), F.concat(link(F.lit("More")), F.lit("</a><h4>"), name, F.lit("</h4>")), F.concat(link(name), F.lit("</a>")))
+    heads = _by(_seq(), F.concat(link(F.lit("<h4>")), name, F.lit("</h4></a>")), F.concat(link(F.lit("More")), F.lit("</a><h4>"), name, F.lit("</h4>")), F.concat(link(name), F.lit("</a>")))
     page = F.concat(F.lit("<html><body><ul>"), heads, place, F.lit('</li><li><a href="https://other.com/jobs/1">Engineer elsewhere</a></li></ul></body></html>'))
-    rows = _jobs(spark, sf_dir).select(F.format_string("https://c%d.example.com/careers", SEQ).alias("slug"), page.alias("html"))
+    rows = _jobs(spark, sf_dir).select(F.format_string("https://c%d.example.com/careers", _seq()).alias("slug"), page.alias("html"))
     return payloads.custom(rows).select("provider_slug", "title", "location", "apply_url")
 
 
@@ -215,7 +217,7 @@ def jsonld_places(spark, sf_dir):
     paris = {"address": {"addressLocality": "Paris", "addressCountry": "FR"}}
     places = [paris, [paris, {"address": {"addressLocality": "Lyon"}}], {"address": {"addressCountry": {"name": " FR "}}}, [{"x": 1}, {"address": {"addressLocality": "Lyon"}}], {"address": "Paris"}, [],
               [{"address": {}}, {"address": {"addressLocality": "Rome", "addressCountry": {"name": "IT"}}}]]
-    node = F.concat(F.lit('{"@type": ["Thing", "jobposting"], "title": "Engineer", "url": "https://a.com/'), SEQ.cast("string"), F.lit('", "jobLocation": '), _by(SEQ, *map(json.dumps, places)), F.lit("}"))
+    node = F.concat(F.lit('{"@type": ["Thing", "jobposting"], "title": "Engineer", "url": "https://a.com/'), _seq().cast("string"), F.lit('", "jobLocation": '), _by(_seq(), *map(json.dumps, places)), F.lit("}"))
     page = F.concat(F.lit('<script type="application/ld+json">[{"@graph": ['), node, F.lit("]}]</script>"))
     found = payloads.custom(_jobs(spark, sf_dir).select(F.lit("https://a.com/careers").alias("slug"), page.alias("html")))
     return found.select(F.substring_index("apply_url", "/", -1).cast("bigint").alias("seq"), "location")
@@ -225,14 +227,14 @@ def jsonld_places(spark, sf_dir):
     'https://www.notion.so/' || CASE WHEN seq % 3 = 1 THEN 'x-' ELSE '' END || md5(CAST(seq AS VARCHAR)) AS apply_url FROM raw_jobs_v""")
 def notion_pages(spark, sf_dir):
     """Postings in a page's embedded data, in the rows of a rendered collection, and, where it has neither, in a chunk."""
-    own = F.md5(SEQ.cast("string").cast("binary"))
+    own = F.md5(_seq().cast("string").cast("binary"))
     page = _named(type=F.lit("page"), parent_table=F.lit("collection"), properties=_named(title=F.array(F.array("title"))))
     blocks = F.to_json(F.create_map(own, _named(value=page)))
     data = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props": {"pageProps": {"recordMap": {"block": '), blocks, F.lit("}}}}</script>"))
     row = F.concat(F.lit('<div><div class="a notion-collection-row b"><a href="/x-'), own, F.lit('">'), "title", F.lit("</a></div></div>"))
-    pages = _jobs(spark, sf_dir).select(SEQ.cast("string").alias("slug"), _by(SEQ, data, row, "<p>x</p>").alias("html"))
+    pages = _jobs(spark, sf_dir).select(_seq().cast("string").alias("slug"), _by(_seq(), data, row, "<p>x</p>").alias("html"))
     chunk = F.concat(F.lit('{"recordMap": {"block": '), blocks, F.lit("}}"))
-    chunks = _jobs(spark, sf_dir).select(SEQ.cast("string").alias("slug"), chunk.alias("body"))
+    chunks = _jobs(spark, sf_dir).select(_seq().cast("string").alias("slug"), chunk.alias("body"))
     return payloads.notion(pages, chunks.unionByName(chunks)).select("provider_slug", "provider_job_id", "title", "apply_url")
 
 
@@ -240,8 +242,8 @@ def notion_pages(spark, sf_dir):
   FROM raw_jobs_v WHERE seq % 3 <> 0""")
 def notion_collections(spark, sf_dir):
     """The collections that page chunks refer to."""
-    n = SEQ.cast("string")
-    value = _named(type=_by(SEQ, "page", "collection_view", "collection_view_page"), collection_id=F.concat(F.lit("c"), n), view_ids=F.array(F.concat(F.lit("v"), n), F.lit("more")), space_id=F.when(SEQ % 2 == 0, "own"))
+    n = _seq().cast("string")
+    value = _named(type=_by(_seq(), "page", "collection_view", "collection_view_page"), collection_id=F.concat(F.lit("c"), n), view_ids=F.array(F.concat(F.lit("v"), n), F.lit("more")), space_id=F.when(_seq() % 2 == 0, "own"))
     block = F.create_map(F.concat(F.lit("b"), n), _named(spaceId=F.lit("outer"), value=value))
     return payloads.notion_collections(_jobs(spark, sf_dir).select(n.alias("slug"), F.to_json(_named(recordMap=_named(block=block))).alias("body")))
 
@@ -257,10 +259,10 @@ _PLACED = squeeze("location")
   FROM raw_jobs_v""")
 def described_board_jobs(spark, sf_dir):
     """Postings of a board's feed, of the board that a website embeds, and of the board's page; descriptions made where there are none."""
-    slug = F.format_string("c%d", SEQ)
+    slug = F.format_string("c%d", _seq())
     job = lambda place: _named(
-        id=SEQ, title=F.col("title"), location=place, description=F.when(SEQ % 4 == 0, F.col("description")), type=F.lit("Full-time"), sponsorsVisa=F.lit("yes"),
-        salaryRange=F.when(SEQ % 2 == 0, "$1 -  $2"), skills=F.array(F.lit("c++"), F.lit("sql")),
+        id=_seq(), title=F.col("title"), location=place, description=F.when(_seq() % 4 == 0, F.col("description")), type=F.lit("Full-time"), sponsorsVisa=F.lit("yes"),
+        salaryRange=F.when(_seq() % 2 == 0, "$1 -  $2"), skills=F.array(F.lit("c++"), F.lit("sql")),
     )
     rows = _jobs(spark, sf_dir)
     feeds = rows.filter("seq % 3 = 0").select(slug.alias("slug"), F.to_json(F.array(job(F.col("location")))).alias("body"))
