@@ -303,6 +303,11 @@ _RAW = {
       SELECT 'pay_' || substr(sha256('pay' || event_id), 1, 32) AS id, 'lst_' || substr(sha256('lst' || event_id), 1, 32) AS listing_id, event_id AS stripe_event_id, tier, CAST(CASE tier WHEN 'founding' THEN 19900 ELSE 29900 END AS BIGINT) AS amount_cents, 'usd' AS currency, paid_at, paid_at + 2592000000 AS expires_at,
         known AS known_company, slug FROM e6 LEFT JOIN m3 USING (maker)""",
     "fulfil_results": f"WITH {PAYMENTS} SELECT CASE WHEN turn = 1 THEN 'inserted' ELSE 'duplicate' END AS result, count(*) AS n FROM e2 GROUP BY 1",
+    "streamed_payments": """WITH e AS (SELECT 'evt_' || event_id AS stripe_event_id, CASE WHEN event_id // 2 % 3 = 0 THEN 'cs_' ELSE 'cs_p' END || (event_id // 2) AS stripe_session_id,
+        CASE WHEN event_id % 2 = 0 THEN 'founding' ELSE 'standard' END AS tier, CAST(epoch_us(ts) // 1000 AS BIGINT) AS paid_at
+        FROM events WHERE event_type = 'purchase' AND event_id % 31 <> 3 AND event_id % 9 NOT IN (4, 5)),
+      t AS (SELECT *, row_number() OVER (PARTITION BY stripe_session_id ORDER BY paid_at, stripe_event_id) AS turn FROM e)
+      SELECT stripe_event_id, stripe_session_id, tier, paid_at FROM t WHERE turn = 1""",
     "payment_errors": """SELECT CASE event_id % 9 WHEN 4 THEN 'draft.location_policy invalid' WHEN 5 THEN 'missing draft' END AS error,
       CAST(sum(CASE WHEN epoch_us(ts) // 1000 % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n FROM events WHERE event_type = 'purchase' AND event_id % 31 <> 3 GROUP BY 1""",
     "founding_tier": "SELECT id, CASE WHEN row_number() OVER (ORDER BY paid_at, stripe_event_id) <= 50 THEN 'founding' ELSE 'standard' END AS tier_by_order FROM paid_v",

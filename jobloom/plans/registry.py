@@ -15,7 +15,10 @@ from jobloom.plans.oracle import SQL
 from jobloom.schemas import LISTINGS
 from jobloom.sources import companies as directory
 from jobloom.sources import payloads
+from jobloom.sources.shared import fresh_dir
+from jobloom.sources.store import TableStore
 from jobloom.sources.views import NOW_MS, table, view
+from jobloom.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -440,6 +443,19 @@ def fulfil_results(spark, sf_dir):
     return done.results.groupBy("result").agg(F.count("*").alias("n"))
 
 
+@register
+def streamed_payments(spark, sf_dir):
+    """Payment events as a stream, delivered twice and fulfilled once, in a store that holds the companies alone."""
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    store.write("companies", view(spark, sf_dir, "companies_v"))
+    landed = fresh_dir(spark, "events")
+    _payments(spark, sf_dir).coalesce(1).write.json(landed)
+    for _ in range(2):
+        stream = events.fulfil_stream(store, events.read_events(spark, landed), fresh_dir(spark, "stream"))
+        stream.trigger(availableNow=True).start().awaitTermination()
+    return store.read("paid_listings").select("stripe_event_id", "stripe_session_id", "tier", "paid_at")
+
+
 @register
 def payment_errors(spark, sf_dir):
     """What is wrong with the events that can't be fulfilled."""
