@@ -208,11 +208,18 @@ def _blocks(queries: DataFrame, most: int) -> DataFrame:
     return materialize(queries.repartition(max(1, -(-8 * numbers // most))).mapInArrow(run, _BLOCK), "kd-queries")
 
 
-def _seeded(blocks: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """blocks with start, for each query minus the kth best score that it has within one shard of its dimension (NaN: fewer)."""
-    first = index.groupBy("dim").agg(F.min("shard").alias("shard"))
-    shard = index.join(first, ["dim", "shard"], "left_semi").drop("shard", "n")
-    both = blocks.withColumnsRenamed({"ids": "query_ids", "vectors": "queries"}).join(shard, "dim")
+def _for_each_block(shards: DataFrame, of_dim: dict[int, list[int]]) -> DataFrame:
+    """shards, each once for every block of its dimension."""
+    many = lambda own: F.array(*[F.lit(b).cast("long") for b in own])
+    met = F.create_map(*[x for dim, own in of_dim.items() for x in (F.lit(dim), many(own))])
+    return shards.filter(F.col("dim").isin(*of_dim)).withColumn("block", F.explode(F.element_at(met, F.col("dim"))))
+
+
+def _seeded(blocks: DataFrame, index: DataFrame, k: int, of_dim: dict[int, list[int]]) -> DataFrame:
+    """blocks with start, for each query minus the kth best score that it has within one shard of its dimension (None: fewer)."""
+    first = {r.dim: r.shard for r in index.groupBy("dim").agg(F.min("shard").alias("shard")).collect() if r.dim in of_dim}
+    shard = _for_each_block(index.filter(F.col("shard").isin(*first.values())), of_dim).drop("shard", "n", "dim")
+    both = blocks.withColumnsRenamed({"ids": "query_ids", "vectors": "queries"}).join(shard, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,18 +237,16 @@ def _seeded(blocks: DataFrame, index: DataFrame, k: int) -> DataFrame:
 def _searched(index: DataFrame, blocks: DataFrame, k: int, group: int) -> DataFrame:
     """(block, place, query_id, vec_id, score): what each shard adds to each query, by cells of a block and a group of shards."""
     of_dim: dict[int, list[int]] = {}
-    for row in blocks.select("block", "dim").collect():
+    for row in blocks.select("block", "dim").collect():  # two numbers for up to QUERY_BYTES of queries
         of_dim.setdefault(row.dim, []).append(row.block)
     names = ["block", "place", "query_id", "vec_id", "score"]
     schema = ", ".join(f"{n} long" for n in names)
-    if not of_dim:
-        return index.sparkSession.createDataFrame([], schema)
     groups = -(-index.count() // group)
-    many = lambda own: F.array(*[F.lit(b).cast("long") for b in own])
-    met = F.create_map(*[x for dim, own in of_dim.items() for x in (F.lit(dim), many(own))])
-    shards = index.filter(F.col("dim").isin(*of_dim)).withColumn("cell", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int"))
-    shards = shards.withColumn("block", F.explode(F.element_at(met, F.col("dim"))))
-    asked = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    if not of_dim or not groups:
+        return index.sparkSession.createDataFrame([], schema)
+    shards = index.withColumn("cell", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int"))
+    shards = _for_each_block(shards, of_dim)
+    asked = _seeded(blocks, index, k, of_dim).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     rows = asked.withColumn("shard", F.lit(-1).cast("long")).unionByName(shards, allowMissingColumns=True)
     spark = index.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -286,7 +291,7 @@ def top_k(
     """query_id, rank, vec_id, score: the k best rows (vec_id, embedding) for each query but its own, all if fewer."""
     index = build_index(rows, shard, leaf)
     blocks = _blocks(queries, query_bytes)
-    found = _searched(index, _seeded(blocks, index, k), k, group)
+    found = _searched(index, blocks, k, group)
     order = Window.partitionBy("block", "place").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

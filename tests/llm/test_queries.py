@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from jobloom.llm import chat, decontaminate, knn, license, packing, quality, simhash, token_files, url_filter, warc
@@ -235,3 +236,6 @@ def test_top_k_rows(spark, folder):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     none = spark.createDataFrame([(i, v) for i, v in rows if i % 50], SCHEMAS["embeddings"])
     assert knn.top_k(none, none.filter("vec_id % 50 = 0")).collect() == []  # rows, and no queries
+    assert knn.top_k(none.limit(0), none).collect() == []  # queries, and no rows
+    other = none.withColumn("embedding", F.slice("embedding", 1, 3))
+    assert knn.top_k(none, other.filter("vec_id = 1")).collect() == []  # queries of a length that no row has
