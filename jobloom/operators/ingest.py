@@ -1,7 +1,7 @@
 """Postings to listings, and upserts into snapshots of the tables.
 
-An upsert joins the snapshot with the batch, reduced to one row for each key, and returns the whole new snapshot; the
-table store writes it as a new version. Batches are reduced with aggregates that combine before the shuffle.
+An upsert takes the rows of the batch, reduced to one for each key, and the snapshot's other rows, and returns the whole new
+snapshot; the table store writes it as a new version. Batches are reduced with aggregates that combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import detect, text, times
 from jobloom.schemas import LISTINGS, PROVIDERS, THIRTY_DAYS_MS
+from jobloom.sources.shared import materialize
 
 LEAST_BODY = 100
 SECONDS = 10_000_000_000
@@ -62,21 +63,22 @@ def upsert_listings(listings: DataFrame, batch: DataFrame, now_ms: int) -> DataF
     merged = kept.groupBy("id").agg(
         F.max_by(F.struct(*names), "seq").alias("new"), F.min_by("company_id", "seq").alias("first_company"), F.count("*").alias("n")
     )
-    old = listings.select(F.col("id"), F.struct(*names).alias("old"))
-    both = old.join(merged, "id", "full_outer")
-    conflict = F.col("old").isNotNull() | (F.col("n") > 1)
+    merged = materialize(merged, "batch")  # read three times
+    # Of stored rows that a batch replaces only the company is needed, and the others only pass: a batch of few ids is
+    # broadcast, and the snapshot isn't shuffled.
+    ids = merged.select("id")
+    stored = listings.join(ids, "id", "left_semi").select("id", F.lit(True).alias("stored"), F.col("company_id").alias("old_company"))
+    both = merged.join(stored, "id", "left")
+    conflict = F.col("stored").isNotNull() | (F.col("n") > 1)
     special = {
         "id": F.col("id"),
-        "company_id": F.coalesce("old.company_id", "first_company"),
+        "company_id": F.coalesce("old_company", "first_company"),
         "expires_at": F.when(conflict, F.lit(now_ms + THIRTY_DAYS_MS)).otherwise(F.col("new.expires_at")),
         "updated_at": F.lit(now_ms),
         "status": F.when(conflict, "active").otherwise(F.col("new.status")),
     }
-    columns = []
-    for f in LISTINGS.fields:
-        fresh = special.get(f.name, F.col(f"new.{f.name}"))
-        columns.append(F.when(F.col("new").isNull(), F.col(f"old.{f.name}")).otherwise(fresh).cast(f.dataType).alias(f.name))
-    return both.select(*columns)
+    fresh = both.select(*[special.get(f.name, F.col(f"new.{f.name}")).cast(f.dataType).alias(f.name) for f in LISTINGS.fields])
+    return listings.select(*names).join(ids, "id", "left_anti").unionByName(fresh)
 
 
 def upsert_companies(companies: DataFrame, batch: DataFrame, overwrite_careers: bool) -> DataFrame:
