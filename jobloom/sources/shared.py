@@ -54,8 +54,12 @@ def discard(*tables: DataFrame | None) -> None:
     for df in tables:
         where = getattr(df, "_written_to", None)
         if where:
-            path, fs = _file_system(df.sparkSession, where)
-            fs.delete(path, True)
+            delete_folder(df.sparkSession, where)
+
+
+def delete_folder(spark: SparkSession, where: str) -> None:
+    path, fs = _file_system(spark, where)
+    fs.delete(path, True)
 
 
 def one_row(rows: DataFrame, key: str) -> DataFrame:
