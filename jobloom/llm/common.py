@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobloom.session import prepare
-from jobloom.sources.shared import discard, fresh_dir, materialize  # noqa: F401
+from jobloom.sources.shared import delete_folder, discard, fresh_dir, materialize  # noqa: F401
 
 #: Bytes that are no part of a word of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, made blank, and A-Z in lower case.
 WORD_TABLE = bytes(
