@@ -105,10 +105,10 @@ class _Steps:
             found.extend(more)
             return found
 
-        return messages.combineByKey(lambda m: [m], extended, merged, tasks).map(completed)
+        return messages.combineByKey(lambda m: [m], extended, merged, tasks).map(completed).coalesce(tasks)
 
     def upward(self, leaves: RDD, vertices: int, largest: int, digest_of) -> tuple[list[RDD], RDD]:
-        """Levels of parents (vertex, (size, children)), lowest first, and (tree, (size, top digest)) of each tree.
+        """Levels of parents (vertex, (size, children)), lowest first, and (tree, (level that has its top, digest of the top)).
 
         leaves: (tree, place, size of the tree, payload), digest_of the digest of a payload. Parents of parents have digests.
         """
@@ -125,7 +125,7 @@ class _Steps:
         while True:
             vertices, largest = -(-vertices // arity), -(-largest // arity)
             up = levels[-1].map(lambda vertex, read=read: reported(vertex, read))
-            tops.append(up.filter(lambda v: v[2] == 1).map(lambda v: (v[0], v[3])))
+            tops.append(up.filter(lambda v: v[2] == 1).map(lambda v, height=len(levels) - 1: (v[0], (height, v[3]))))
             if largest <= 1:
                 return levels, self.spark.sparkContext.union(tops)
             sent = up.filter(lambda v: v[2] > 1).map(lambda v: ((v[0], v[1] // arity), (v[2], v[1] % arity, v[3])))
@@ -135,17 +135,14 @@ class _Steps:
     def downward(self, levels: list[RDD], tops: RDD, vertices: int) -> RDD:
         """(vertex, (size, children, path)) of the lowest level: the siblings on the way up from there, then those above the tree.
 
-        tops: (tree, path above the tree). A tree's path enters at the level where it has one parent.
+        tops: (tree, (level that has its top, path above the tree)).
         """
         arity, below, sent = self.arity, None, None
-        tops = tops.map(lambda t: ((t[0], 0), t[1]))
         for k in range(len(levels) - 1, -1, -1):
-            # Of trees with one parent here; tops has a row for each tree, and reaches the others further down.
-            entering = levels[k].filter(lambda v: v[1][0] <= arity).mapValues(lambda _: None)
             tasks = self.tasks(vertices // arity ** (k + 1))
-            message = entering.join(tops, tasks).mapValues(lambda x: x[1])
+            message = tops.filter(lambda t, k=k: t[1][0] == k).map(lambda t: ((t[0], 0), t[1][1]))
             message = message if sent is None else message.union(sent)
-            below = levels[k].join(message, tasks).map(lambda v: (v[0], (*v[1][0], v[1][1])))
+            below = levels[k].join(message, tasks).map(lambda v: (v[0], (*v[1][0], v[1][1]))).coalesce(tasks)
             if k:
 
                 def to_children(vertex):
@@ -171,7 +168,8 @@ def verify(rows: DataFrame, arity: int = ARITY) -> DataFrame:
     and verified for each row, digests as lowercase hex.
     """
     spark = rows.sparkSession
-    placed = materialize(ranked(rows, [F.col("doc_id"), F.col("leaf"), F.col("now")], ["lang"]), "merkle-leaves")
+    hashed = materialize(rows, "merkle-hashes")  # a range partition reads its input twice
+    placed = materialize(ranked(hashed, [F.col("doc_id"), F.col("leaf"), F.col("now")], ["lang"]), "merkle-leaves")
     groups = placed.groupBy("lang").agg(F.count("*").alias("size"))
     groups = materialize(ranked(groups, [F.col("lang")], name="tree"), "merkle-groups")
     bounds = groups.agg(F.count("*").alias("n"), F.max("size").alias("largest"), F.sum("size").alias("all")).first()
@@ -185,18 +183,18 @@ def verify(rows: DataFrame, arity: int = ARITY) -> DataFrame:
     )
     levels, subroots = steps.upward(own, bounds["all"], bounds.largest, lambda payload: payload[1])
     n = bounds.n
-    above, tops = steps.upward(subroots.map(lambda s: (0, s[0], n, s[1])), n, n, bytes)
-    root = tops.first()[1]
-    start = spark.sparkContext.parallelize([(0, b"")], 1)
+    above, tops = steps.upward(subroots.map(lambda s: (0, s[0], n, s[1])), n, n, lambda payload: payload[1])
+    height, root = tops.first()[1]
+    start = spark.sparkContext.parallelize([(0, (height, b""))], 1)
 
     def to_tops(vertex):
         (_, place), (_, children, path) = vertex
-        for j, own in enumerate(children):
-            yield place * arity + j, (own, b"".join(children[:j] + children[j + 1 :]) + path)
+        for j, (height, own) in enumerate(children):
+            # A tree's path starts with its subroot: the leaves report that, too.
+            yield place * arity + j, (height, own + b"".join(c[1] for i, c in enumerate(children) if i != j) + path)
 
     entering = steps.written(steps.downward(above, start, n).flatMap(to_tops), "merkle-tops")
-    # A path starts with its tree's subroot: the leaves report that, too.
-    found = steps.downward(levels, entering.mapValues(lambda x: x[0] + x[1]), bounds["all"])
+    found = steps.downward(levels, entering, bounds["all"])
 
     def checked(vertex):
         (tree, place), (size, children, path) = vertex
@@ -216,7 +214,7 @@ def verify(rows: DataFrame, arity: int = ARITY) -> DataFrame:
 
     result = materialize(spark.createDataFrame(found.flatMap(checked), schema, verifySchema=False), "merkle-checked")
     steps.discard()
-    discard(placed, groups)
+    discard(hashed, placed, groups)
     return result
 
 
