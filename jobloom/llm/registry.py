@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that each hold NAME, query(spark, sf_dir) and SQL (None: tested against brute force).
-MODULES = ("license", "url_filter", "warc", "token_files", "chat", "knn", "packing", "quality", "decontaminate", "simhash", "manifest", "mixing")
+MODULES = ("license", "url_filter", "warc", "token_files", "chat", "knn", "packing", "quality", "decontaminate", "simhash", "manifest", "mixing", "alignment")
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ _LISTS = pa.list_(pa.uint32())
 
 # The printable bytes that byte-level vocabularies write as themselves; the rest follow from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTES = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
+BYTE_LEVEL = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
 
 
 def vocabulary(name: str) -> str:
@@ -110,7 +110,7 @@ class Encoder:
         self.keeps_blank = own["normalizer"] is None and steps[0].get("use_regex", False) and not steps[0]["add_prefix_space"]
         split = steps[0].get("pattern", {}).get("Regex", "") if steps[0].get("behavior") == "Removed" and steps[0]["invert"] else ""
         self.by_blank = self.keeps_blank or split == rf"{_ENDINGS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"
-        self.blank = chr(_BYTES[32])
+        self.blank = chr(BYTE_LEVEL[32])
         self.tokenize = self.model.model.tokenize
         self.pieces, self.heads = _Table(self._pieces), _Table(self._library)
 
@@ -130,7 +130,7 @@ class Encoder:
                 if word.isascii() and word.isprintable():
                     shown = self.blank + word[1:] if word[0] == " " else word
                 else:
-                    shown = word.encode().decode("latin-1").translate(_BYTES)
+                    shown = word.encode().decode("latin-1").translate(BYTE_LEVEL)
                 found.append([t.id for t in self.tokenize(shown)])
         finally:
             if collects:
