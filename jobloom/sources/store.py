@@ -1,95 +1,207 @@
-"""Versioned snapshots of the tables as Parquet: readers see whole versions, writers add one.
+"""Tables as Parquet under a commit log: readers see whole commits over all tables, and a writer with a stale base fails.
 
-A version is written beside the others and validated; then a new pointer, a small numbered file in the table's folder
-`_pointers`, names it. The pointer with the highest number that names a version wins, and none is touched once it is there,
-so a reader sees the version before or the one after, and a writer that dies at any step leaves the one before. Two writers
-that publish at once take the same number: one of them fails. Listings are partitioned by status and sorted by expiry
-within files, so that searches skip most of them.
+A commit is a small numbered file in `_commits` that names one manifest for each table, and the commit that it was made on.
+Data and manifests are written first, under names of their own; then the commit's file is created, which is refused where
+its number is taken. So of two writers on one base the second fails, whatever lies between reading and writing, and does
+its work again on the new base (`TableStore.transact`); a reader, or a writer that dies, sees all tables of the commit
+before or all of the one after.
+
+A table is spread over buckets by the hash of its ids. A manifest lists the bucket folders that make the table up, with
+their rows and the least and greatest expiry (listings are parted by status, too). An upsert reads and writes only the
+buckets that its ids fall into, rows that are new altogether are added beside the others, and all other folders are taken
+over by name. A whole write chooses the number of buckets anew. A manifest grows with the folders, never with the rows.
+
+A commit's file is created at once and only once by a hard link on a local file system, and by a rename that refuses to
+replace on HDFS and what keeps its promises (viewfs, abfs, abfss). Object stores whose rename copies are refused.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import time
 import uuid
+from collections.abc import Callable
+from typing import Any
+from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobloom.operators import constraints
-from jobloom.schemas import DEFAULTS, TABLES
+from jobloom.schemas import DEFAULTS, FOREIGN_KEYS, TABLES, UNIQUE
+from jobloom.sources.shared import discard, materialize
+
+#: Commits that stay besides the newest, whatever their age, and the age in ms below which nothing is deleted.
+KEEP, SPARED_MS = 8, 86_400_000
+#: Rows of a bucket, about, when a table is written whole; and how many buckets it has at most.
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 65_536
+#: Folders of a bucket (and status) after which rows are no longer put beside them: the bucket is written anew.
+FOLDERS = 8
+_COMMIT = re.compile(r"c-(\d{12})\.json")
+_RENAMING = ("hdfs", "viewfs", "abfs", "abfss")
+
+
+class Conflict(RuntimeError):
+    """Another writer committed since this one's base."""
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-#: Pointers that stay besides the newest.
-KEEP = 8
-_POINTER, _VERSION = re.compile(r"p-\d{12}"), re.compile(r"v-[0-9a-f]{32}")
+def _parts(name: str) -> list[str]:
+    return ["bucket", "status"] if name == "listings" else ["bucket"]
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.root, self.bucket_rows = spark, root.rstrip("/"), bucket_rows
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._seen: dict[str, int] = {}  # the commit of the last read, or write, of each table
+
+    # --- files
 
     def _path(self, text: str):
         path = self._jvm.org.apache.hadoop.fs.Path(text)
         return path, path.getFileSystem(self._conf)
 
-    def _pointers(self, name: str) -> list[str]:
-        """Names of the pointers, newest first."""
-        path, fs = self._path(f"{self.root}/{name}/_pointers")
-        found = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted((n for n in found if _POINTER.fullmatch(n)), reverse=True)
+    def _listed(self, folder: str) -> list[tuple[str, int]]:
+        """Names in a folder and when they were last changed."""
+        path, fs = self._path(folder)
+        return [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(path)] if fs.exists(path) else []
 
-    def current(self, name: str) -> str | None:
-        for pointer in self._pointers(name):
-            path, fs = self._path(f"{self.root}/{name}/_pointers/{pointer}")
-            stream = fs.open(path)
-            try:
-                version = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
-            if _VERSION.fullmatch(version):  # one that was cut off is as if it weren't there
-                return version
-        return None
-
-    def _publish(self, name: str, version: str) -> None:
-        folder = f"{self.root}/{name}/_pointers"
-        before = self._pointers(name)
-        number = int(before[0].removeprefix("p-")) + 1 if before else 0
-        part, fs = self._path(f"{folder}/_{version}")
-        out = fs.create(part, True)
-        out.write(bytearray(version.encode()))
+    def _text(self, where: str) -> str:
+        path, fs = self._path(where)
+        stream = fs.open(path)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, where: str, text: str) -> None:
+        path, fs = self._path(where)
+        out = fs.create(path, True)
+        out.write(bytearray(text.encode()))
         out.close()
-        pointer, _ = self._path(f"{folder}/p-{number:012d}")
-        if fs.exists(pointer) or not fs.rename(part, pointer):
-            fs.delete(part, False)
-            raise RuntimeError(f"another writer published {name} at the same time")
-        for old in before[KEEP:]:
-            fs.delete(self._path(f"{folder}/{old}")[0], False)
 
-    def read(self, name: str) -> DataFrame:
-        """The current version; an empty table where there is none."""
-        version = self.current(name)
-        if version is None:
+    def _create(self, where: str, text: str) -> bool:
+        """Creates a file whole, or not at all where there is one."""
+        part = f"{os.path.dirname(where)}/_{uuid.uuid4().hex}"
+        self._put(part, text)
+        (source, fs), (target, _) = self._path(part), self._path(where)
+        kind = fs.getUri().getScheme()
+        try:
+            if kind == "file":
+                local = lambda p: unquote(urlparse(p).path) if "://" in p or p.startswith("file:") else p
+                os.link(local(part), local(where))
+                return True
+            if kind not in _RENAMING:
+                raise ValueError(f"{kind} doesn't say whether it creates a file only once: keep the tables on one of file, {', '.join(_RENAMING)}")
+            files = self._jvm.org.apache.hadoop.fs
+            once = self.spark.sparkContext._gateway.new_array(files.Options.Rename, 1)
+            once[0] = files.Options.Rename.NONE
+            files.FileContext.getFileContext(fs.getUri(), self._conf).rename(source, target, once)
+            return True
+        except FileExistsError:
+            return False
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        finally:
+            if fs.exists(source):
+                fs.delete(source, False)
+
+    # --- commits
+
+    def _numbers(self) -> list[int]:
+        """Numbers of the commits, newest first."""
+        found = (_COMMIT.fullmatch(n) for n, _ in self._listed(f"{self.root}/_commits"))
+        return sorted((int(m[1]) for m in found if m), reverse=True)
+
+    def commit(self, number: int | None = None) -> dict[str, Any]:
+        """The newest commit, or one by its number: number, base, tables (manifest by table), notes."""
+        for n in self._numbers() if number is None else [number]:
+            try:
+                return json.loads(self._text(f"{self.root}/_commits/c-{n:012d}.json")) | {"number": n}
+            except ValueError:  # cut off: as if it weren't there
+                if number is not None:
+                    raise
+        return {"number": -1, "base": None, "tables": {}, "notes": {}}
+
+    def _publish(self, base: int, tables: dict[str, str], notes: dict[str, Any]) -> int:
+        """Commits tables on a base; raises Conflict where that isn't the newest commit any more."""
+        newest = self._numbers()
+        number = max(newest[0] if newest else -1, base) + 1
+        text = json.dumps({"base": base, "tables": tables, "notes": notes, "at_ms": int(time.time() * 1000)})
+        if self.commit()["number"] != base or not self._create(f"{self.root}/_commits/c-{number:012d}.json", text):
+            raise Conflict(f"another writer committed after {base}")
+        return number
+
+    def current(self, name: str) -> str | None:
+        """The name of the table's manifest."""
+        return self.commit()["tables"].get(name)
+
+    def manifest(self, name: str, version: str | None) -> dict[str, Any]:
+        return json.loads(self._text(f"{self.root}/{name}/_manifests/{version}.json")) if version else {"buckets": 0, "entries": []}
+
+    # --- reading and writing
+
+    def frame(self, name: str, entries: list[dict[str, Any]]) -> DataFrame:
+        """The rows of some entries of a manifest; folders that are listed in whole are read by their parent's name."""
+        fields = TABLES[name].fields
+        if not entries:
             return self.spark.createDataFrame([], TABLES[name])
-        names = [f.name for f in TABLES[name].fields]
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{version}").select(*names)
+        of: dict[str, list[dict[str, Any]]] = {}
+        for e in entries:
+            of.setdefault(e["path"].split("/")[0], []).append(e)
+        paths = [p for top, own in of.items() for p in ([top] if len(own) == own[0]["of"] else [e["path"] for e in own])]
+        own = [f for f in fields if f.name not in _parts(name)]
+        parts = [T.StructField(p, TABLES[name][p].dataType if p in TABLES[name].names else T.IntegerType()) for p in _parts(name)]
+        schema = T.StructType([*own, T.StructField("data", T.StringType()), *parts])
+        base = f"{self.root}/{name}"
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{p}" for p in paths]).select(*[f.name for f in fields])
+
+    def read(self, name: str) -> DataFrame:
+        """The table of the newest commit; an empty one where there is none."""
+        found = self.commit()
+        self._seen[name] = found["number"]
+        return self.frame(name, self.manifest(name, found["tables"].get(name))["entries"])
 
     def write(self, name: str, rows: DataFrame, check: bool = True) -> str:
-        """Writes, validates and publishes a new version; a version that breaks a constraint is not published."""
-        self.assert_known_columns(name, rows)
-        version = f"v-{uuid.uuid4().hex}"
-        where = f"{self.root}/{name}/{version}"
-        rows = self.migrated(name, rows)
-        if name == "listings":
-            rows.sortWithinPartitions("status", "expires_at").write.partitionBy("status").parquet(where)
-        else:
-            rows.write.parquet(where)
-        written = self.spark.read.schema(TABLES[name]).parquet(where).select(*[f.name for f in TABLES[name].fields])
-        if check:
-            constraints.validate(name, written, {p: self.read(p) for p in TABLES if p != name})
-        self._publish(name, version)
-        return version
+        """Writes, validates and commits a whole table; rows that break a constraint are not committed.
+
+        The base is the commit that this store's last read of the table saw, if it was read at all.
+        """
+        t = self.begin()
+        base = self._seen.get(name, t.base)
+        if base != t.base:
+            raise Conflict(f"another writer committed after {base}, when {name} was read")
+        t.write(name, rows, check)
+        number = t.commit()
+        # Whatever else was read of the base is still as new as can be: only this store has written since.
+        self._seen = {n: number if seen == base else seen for n, seen in self._seen.items()} | {name: number}
+        return t.tables[name]
+
+    def begin(self) -> Transaction:
+        return Transaction(self)
+
+    def transact(self, work: Callable[[Transaction], Any], tries: int = 5) -> Any:
+        """What work returns for a transaction that then commits; after a conflict it is done again on the new base."""
+        for left in range(tries - 1, -1, -1):
+            t = self.begin()
+            out = work(t)
+            try:
+                t.commit()
+                return out
+            except Conflict:
+                if not left:
+                    raise
+
+    # --- columns and definitions
 
     @staticmethod
     def unknown_columns(name: str, rows: DataFrame) -> list[str]:
@@ -125,10 +237,156 @@ class TableStore:
         live = tables.select(F.lower("name").alias("_live")).distinct()
         return named.join(live, F.lower("target") == F.col("_live"), "left_anti")
 
+    # --- what nothing needs any more
+
     def stale_versions(self, name: str) -> list[str]:
-        """Versions that nothing points at."""
-        path, fs = self._path(f"{self.root}/{name}")
-        if not fs.exists(path):
-            return []
-        found = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
-        return sorted(v for v in found if v.startswith("v-") and v != self.current(name))
+        """Data folders that the newest commit doesn't name."""
+        used = {e["path"].split("/")[0] for e in self.manifest(name, self.current(name))["entries"]}
+        return sorted(n for n, _ in self._listed(f"{self.root}/{name}") if n.startswith("data=") and n not in used)
+
+    def vacuum(self, spared_ms: int = SPARED_MS, keep: int = KEEP, now_ms: int | None = None) -> dict[str, int]:
+        """Deletes commits but for the newest `keep` + 1, and what none of those names. Nothing younger than spared_ms goes:
+        a reader of an older commit, and a writer that hasn't committed yet, have that long."""
+        before = (now_ms if now_ms is not None else int(time.time() * 1000)) - spared_ms
+        numbers = self._numbers()
+        when = dict(self._listed(f"{self.root}/_commits"))
+        file = "c-{:012d}.json".format
+        kept = [n for i, n in enumerate(numbers) if i <= keep or when[file(n)] > before]
+        gone = {"commits": [f"_commits/{file(n)}" for n in numbers if n not in kept], "manifests": [], "folders": []}
+        for name in TABLES:
+            manifests = {self.commit(n)["tables"].get(name) for n in kept}
+            data = {e["path"].split("/")[0] for m in manifests for e in self.manifest(name, m)["entries"]}
+            gone["manifests"] += [f"{name}/_manifests/{n}" for n, at in self._listed(f"{self.root}/{name}/_manifests") if n.removesuffix(".json") not in manifests and at <= before]
+            gone["folders"] += [f"{name}/{n}" for n, at in self._listed(f"{self.root}/{name}") if n.startswith("data=") and n not in data and at <= before]
+        for some in gone.values():
+            for where in some:
+                path, fs = self._path(f"{self.root}/{where}")
+                fs.delete(path, True)
+        return {what: len(some) for what, some in gone.items()}
+
+
+class Transaction:
+    """Reads of one commit, with this transaction's own writes on top, and one commit of all that it wrote."""
+
+    def __init__(self, store: TableStore):
+        found = store.commit()
+        self.store, self.spark, self.base = store, store.spark, found["number"]
+        self.tables: dict[str, str] = dict(found["tables"])
+        self.notes: dict[str, Any] = {}
+        self.base_notes: dict[str, Any] = found["notes"]
+        self.changed = False
+
+    def manifest(self, name: str) -> dict[str, Any]:
+        return self.store.manifest(name, self.tables.get(name))
+
+    def read(self, name: str) -> DataFrame:
+        return self.store.frame(name, self.manifest(name)["entries"])
+
+    def rows_of(self, name: str, ids: DataFrame) -> DataFrame:
+        """The rows of the buckets that ids (id) fall into: all that an upsert of these ids has to look at."""
+        manifest = self.manifest(name)
+        touched = self._touched(ids, manifest["buckets"])
+        return self.store.frame(name, [e for e in manifest["entries"] if e["bucket"] in touched])
+
+    @staticmethod
+    def _touched(ids: DataFrame, buckets: int) -> set[int]:
+        return {r.b for r in ids.select(bucket_of(F.col("id"), buckets).alias("b")).distinct().collect()} if buckets else set()
+
+    def _written(self, name: str, rows: DataFrame, buckets: int) -> list[dict[str, Any]]:
+        """Entries of rows, written in buckets in order of expiry."""
+        data, parts = f"data={uuid.uuid4().hex}", _parts(name)
+        where = f"{self.store.root}/{name}/{data}"
+        order = [*parts, *["expires_at"] * (name == "listings")]
+        spread = rows.withColumn("bucket", bucket_of(F.col("id"), buckets)).repartition("bucket").sortWithinPartitions(*order)
+        spread.write.partitionBy(*parts).parquet(where)
+        back = self.spark.read.schema(self._schema_with_parts(name)).parquet(where)
+        bounds = [F.min("expires_at").alias("low"), F.max("expires_at").alias("high")] if name == "listings" else [F.lit(None).alias("low"), F.lit(None).alias("high")]
+        found = back.groupBy(*parts).agg(F.count("*").alias("rows"), *bounds).collect()
+        entries = []
+        for r in found:
+            status = r.status if name == "listings" else None
+            folder = "" if name != "listings" else f"/status={'__HIVE_DEFAULT_PARTITION__' if status is None else status}"
+            entries.append({"path": f"{data}/bucket={r.bucket}{folder}", "bucket": r.bucket, "status": status, "rows": r.rows, "low": r.low, "high": r.high, "of": len(found)})
+        return entries
+
+    @staticmethod
+    def _schema_with_parts(name: str) -> T.StructType:
+        return T.StructType([*TABLES[name].fields, T.StructField("bucket", T.IntegerType())])
+
+    def _take(self, name: str, buckets: int, entries: list[dict[str, Any]]) -> None:
+        version = f"m-{uuid.uuid4().hex}"
+        self.store._put(f"{self.store.root}/{name}/_manifests/{version}.json", json.dumps({"buckets": buckets, "entries": entries}))
+        self.tables[name], self.changed = version, True
+
+    def write(self, name: str, rows: DataFrame, check: bool = True) -> None:
+        """A whole table in place of the one there was."""
+        self.store.assert_known_columns(name, rows)
+        rows = materialize(self.store.migrated(name, rows), "table")
+        buckets = min(MOST_BUCKETS, max(1, -(-rows.count() // self.store.bucket_rows)))
+        entries = self._written(name, rows, buckets)
+        discard(rows)
+        if check:
+            constraints.validate(name, self.store.frame(name, entries), {p: self.read(p) for p in TABLES if p != name})
+        self._take(name, buckets, entries)
+
+    def upsert(self, name: str, rows: DataFrame, counts: dict[str, Column] | None = None, gone: DataFrame | None = None) -> dict[str, int]:
+        """Rows put in place of those with their ids, or added; rows with the ids in `gone` (id) are taken out.
+
+        counts: aggregates over the rows, taken by the job that writes them. Returns these, rows, and the buckets written.
+        """
+        self.store.assert_known_columns(name, rows)
+        seen = Observation()
+        own = self.store.migrated(name, rows).observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (counts or {}).items()])
+        own = materialize(own, "upsert")
+        out = {k: v or 0 for k, v in seen.get.items()}
+        manifest = self.manifest(name)
+        ids = own.select("id") if gone is None else own.select("id").union(gone.select("id"))
+        if out["rows"] or gone is not None:
+            buckets = manifest["buckets"] or min(MOST_BUCKETS, max(1, -(-out["rows"] // self.store.bucket_rows)))
+            touched = self._touched(ids, buckets)
+            old = [e for e in manifest["entries"] if e["bucket"] in touched]
+            rest = [e for e in manifest["entries"] if e["bucket"] not in touched]
+            stored = self.store.frame(name, old)
+            self._check(name, own, old, rest)
+            known = stored.select("id").join(ids, "id", "left_semi")
+            beside = max([0, *self._folders(old).values()]) < FOLDERS and gone is None and known.isEmpty()
+            kept = own if beside else stored.join(ids, "id", "left_anti").unionByName(own)
+            entries = self._written(name, kept, buckets)
+            self._take(name, buckets, (manifest["entries"] if beside else rest) + entries)
+            out["buckets"], out["written"] = len(touched), sum(e["rows"] for e in entries)
+        discard(own)
+        return out | {"buckets": out.get("buckets", 0), "written": out.get("written", 0)}
+
+    @staticmethod
+    def _folders(entries: list[dict[str, Any]]) -> dict[tuple, int]:
+        found: dict[tuple, int] = {}
+        for e in entries:
+            key = e["bucket"], e["status"]
+            found[key] = found.get(key, 0) + 1
+        return found
+
+    def _check(self, name: str, own: DataFrame, old: list[dict[str, Any]], rest: list[dict[str, Any]]) -> None:
+        """Constraints of new rows: their own, keys that other rows have, parents. The table is read by its keys alone."""
+        parents = {p: self.read(p) for _, p in [FOREIGN_KEYS[name]] if p in self.tables} if name in FOREIGN_KEYS else {}
+        constraints.validate(name, own, parents)
+        others = [k for k in UNIQUE[name] if k != "id"]
+        for key in others:
+            table = self.store.frame(name, old + rest).select("id", key)
+            mine = own.select(F.col("id").alias("_id"), key)
+            taken = table.join(own.select("id"), "id", "left_anti").join(mine, key, "left_semi")
+            found = taken.limit(3).collect()
+            if found:
+                raise ValueError(f"{name} breaks unique {key}: {found}")
+
+    def remove(self, name: str, ids: DataFrame) -> dict[str, int]:
+        """Takes out the rows with the ids (id)."""
+        return self.upsert(name, self.spark.createDataFrame([], TABLES[name]), gone=ids)
+
+    def commit(self) -> int:
+        """Publishes all writes as one commit, if there are any; raises Conflict where another one came between."""
+        if not self.changed and not self.notes:
+            return self.base
+        notes = self.base_notes | self.notes
+        number = self.store._publish(self.base, self.tables, notes)
+        self.base, self.base_notes, self.notes, self.changed = number, notes, {}, False
+        return number

@@ -9,7 +9,7 @@ from jobloom.functions import html
 from jobloom.operators import constraints, fulfil, ingest, maintain, search
 from jobloom.schemas import COMPANIES, LISTINGS, PAID_LISTINGS, THIRTY_DAYS_MS
 from jobloom.sources import companies as directory
-from jobloom.sources.store import TableStore
+from jobloom.sources.store import Conflict, TableStore
 from jobloom.sources.views import NOW_MS, view
 from jobloom.streaming import events
 
@@ -170,16 +170,126 @@ def test_a_writer_that_dies_leaves_the_version_before(spark, tmp_path, monkeypat
         with pytest.raises(RuntimeError, match="dies"):
             store.write("companies", both)
     assert store.current("companies") == one
-    pointers = tmp_path / "db/companies/_pointers"
-    (pointers / f"_{one}").write_text(one)  # written, not yet renamed
-    (pointers / "p-000000000001").write_text("v-12")  # cut off
+    commits = tmp_path / "db/_commits"
+    (commits / "_abc").write_text("{}")  # written, not yet there under its name
+    (commits / "c-000000000001.json").write_text('{"tables": {"comp')  # cut off
     assert store.current("companies") == one and store.read("companies").count() == 1
     two = store.write("companies", both)
     assert store.current("companies") == two and store.read("companies").count() == 2
-    (pointers / "p-000000000003").write_text(one)  # another writer was faster
-    monkeypatch.setattr(TableStore, "_pointers", lambda *_: ["p-000000000002"])
-    with pytest.raises(RuntimeError, match="another writer"):
-        store._publish("companies", two)
+    (commits / "c-000000000003.json").write_text(json.dumps({"base": 2, "tables": {"companies": one}, "notes": {}}))  # another writer was faster
+    with pytest.raises(Conflict, match="another writer"):
+        store._publish(2, {"companies": two}, {})
+
+
+def test_the_second_of_two_writers_on_one_base_fails(spark, tmp_path):
+    first, second = (TableStore(spark, f"file://{tmp_path}/db") for _ in range(2))
+    first.write("companies", spark.createDataFrame([company("base")], COMPANIES))
+    a, b = first.read("companies"), second.read("companies")
+    first.write("companies", a.unionByName(spark.createDataFrame([company("fromA")], COMPANIES)))
+    with pytest.raises(Conflict, match="another writer"):
+        second.write("companies", b.unionByName(spark.createDataFrame([company("fromB")], COMPANIES)))
+    tries = []
+
+    def work(t):
+        tries.append(t.base)
+        t.upsert("companies", spark.createDataFrame([company("fromB")], COMPANIES))
+        if len(tries) == 1:  # another one commits while this one works
+            first.transact(lambda other: other.upsert("companies", spark.createDataFrame([company("fromC")], COMPANIES)))
+
+    second.transact(work)
+    assert {r.id for r in first.read("companies").collect()} == {"base", "fromA", "fromB", "fromC"} and len(tries) == 2
+
+
+def test_a_crash_between_tables_shows_none_of_them(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, f"file://{tmp_path}/db")
+
+    def work(t):
+        t.upsert("companies", spark.createDataFrame([company("c1")], COMPANIES))
+        t.upsert("listings", listings(spark, listing("a")))  # its parent is of the same transaction
+        assert t.read("listings").count() == 1
+
+    with monkeypatch.context() as m:
+        m.setattr(TableStore, "_create", lambda *_: (_ for _ in ()).throw(OSError("dies")))
+        with pytest.raises(OSError, match="dies"):
+            store.transact(work)
+    assert store.read("companies").count() == store.read("listings").count() == 0
+    store.transact(work)
+    assert store.read("companies").count() == store.read("listings").count() == 1
+    assert store.commit()["number"] == 0 and set(store.commit()["tables"]) == {"companies", "listings"}
+
+
+def test_an_upsert_writes_only_the_buckets_it_touches(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/db", bucket_rows=10)
+    store.write("companies", spark.createDataFrame([company("c1")], COMPANIES))
+    rows = [listing(f"l{i}", title=f"t{i}", expires_at=NOW_MS + i, status="active" if i % 3 else "expired") for i in range(200)]
+    store.write("listings", listings(spark, *rows))
+    before = store.manifest("listings", store.current("listings"))
+    assert before["buckets"] == 20 and sum(e["rows"] for e in before["entries"]) == 200
+    files = lambda: {p for p in (tmp_path / "db/listings").rglob("*.parquet")}
+    known = files()
+    done = store.transact(lambda t: t.upsert("listings", listings(spark, listing("l7", title="new"), listing("fresh"))))
+    assert done["rows"] == 2 and 1 <= done["buckets"] <= 2 and done["written"] < 60
+    new = files() - known
+    assert 0 < len(new) <= 4 and len(known & files()) == len(known)
+    after = store.manifest("listings", store.current("listings"))
+    assert len({e["path"] for e in before["entries"]} & {e["path"] for e in after["entries"]}) >= len(before["entries"]) - 4
+    want = {r[0]: r for r in rows} | {"l7": listing("l7", title="new"), "fresh": listing("fresh")}
+    assert {r.id: tuple(r) for r in store.read("listings").collect()} == want
+    # Rows whose ids are new to their buckets are put beside what is there.
+    known = files()
+    done = store.transact(lambda t: t.upsert("listings", listings(spark, listing("other"))))
+    assert done["written"] == 1 and len(files() - known) == 1
+    store.transact(lambda t: t.remove("listings", spark.createDataFrame([("other",), ("l7",), ("nobody",)], "id string")))
+    assert {r.id for r in store.read("listings").collect()} == set(want) - {"l7"}
+    assert store.transact(lambda t: t.upsert("listings", listings(spark))) == {"rows": 0, "buckets": 0, "written": 0}
+
+
+def test_upserts_of_the_store_keep_constraints(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/db", bucket_rows=2)
+    store.write("companies", spark.createDataFrame([company("c1"), company("c2"), company("c3")], COMPANIES))
+    put = lambda name, rows: store.transact(lambda t: t.upsert(name, rows))
+    with pytest.raises(ValueError, match="unique slug"):
+        put("companies", spark.createDataFrame([company("c9", slug="c2")], COMPANIES))
+    put("companies", spark.createDataFrame([company("c2", slug="c2")], COMPANIES))  # its own slug isn't taken
+    with pytest.raises(ValueError, match="unique id"):
+        put("companies", spark.createDataFrame([company("c9"), company("c9", slug="c10")], COMPANIES))
+    with pytest.raises(ValueError, match="foreign key"):
+        put("listings", listings(spark, listing("a", company_id="nobody")))
+    with pytest.raises(ValueError, match="check"):
+        put("listings", listings(spark, listing("a", status="odd")))
+    assert store.read("companies").count() == 3 and store.read("listings").count() == 0
+
+
+def test_vacuum_spares_readers(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/db")
+    for k in range(4):
+        store.write("companies", spark.createDataFrame([company(f"c{k}")], COMPANIES))
+    assert len(store.stale_versions("companies")) == 3
+    assert store.vacuum() == {"commits": 0, "manifests": 0, "folders": 0}  # all of it is young
+    assert store.vacuum(spared_ms=-1000, keep=1) == {"commits": 2, "manifests": 2, "folders": 2}
+    assert store.read("companies").first().id == "c3" and store.commit(2)["base"] == 1
+    store.write("companies", spark.createDataFrame([company("c9")], COMPANIES))
+    assert store.commit()["number"] == 4
+
+
+def test_a_store_where_files_are_not_created_once_is_refused(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/db")
+    store._path = lambda text, own=store._path: (own(text)[0], Renamed(own(text)[1]))
+    with pytest.raises(ValueError, match="only once"):
+        store._create(f"file://{tmp_path}/db/x", "{}")
+
+
+class Renamed:
+    """A file system of another kind."""
+
+    def __init__(self, own):
+        self.own = own
+
+    def __getattr__(self, name):
+        return getattr(self.own, name)
+
+    def getUri(self):
+        return type("Uri", (), {"getScheme": lambda _: "s3a"})()
 
 
 def test_constraints(spark):
