@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import docs
 from jobloom.functions.text import let, slugify, truthy
+from jobloom.operators import ranks
 from jobloom.schemas import COMPANIES, LISTINGS, PAID_LISTINGS, THIRTY_DAYS_MS, TIERS
 from jobloom.sources.shared import materialize
 
 FOUNDING_CENTS, STANDARD_CENTS, FOUNDING_SEATS = 19900, 29900, 50
 COMPLETED = "checkout.session.completed"
+#: Slugs of one root that a task may number.
+ROOT_ROWS = 100_000
 
 
 def price(tier: Column) -> Column:
@@ -82,10 +85,27 @@ def match_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
     return found.withColumn("found_id", F.least("_by_raw", "_by_site")).drop("_by_raw", "_by_site")
 
 
-def unique_slugs(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame, order: list[Column], spread: bool) -> DataFrame:
+    """rows with place, from 0, within their root."""
+    if spread:
+        return ranks.ranked(rows, order, ["root"])
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(*order)).cast("bigint") - 1)
+
+
+def _passed(rows: DataFrame, spread: bool) -> DataFrame:
+    """rows (root, place, used: 1 or 0) with passed, the used ones before a row; used ones come first of a place."""
+    order = [F.col("place"), F.col("used").desc()]
+    if spread:
+        return ranks.running(rows, "used", order, ["root"], "passed")
+    before = Window.partitionBy("root").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("passed", F.coalesce(F.sum("used").over(before), F.lit(0)))
+
+
+def unique_slugs(wanted: DataFrame, taken: DataFrame, root_rows: int = ROOT_ROWS) -> DataFrame:
     """wanted (id, root, at) with slug: root, root-2, root-3 and so on, the first free ones in order of `at`.
 
-    taken: column slug. A number that another root's slug takes is passed over in a further round.
+    taken: column slug. A number that another root's slug takes is passed over in a further round. Where a root has more
+    than root_rows wanted and taken slugs, places come from ranges of its rows, so that no task holds them all.
     """
     done, rest = None, wanted
     pattern = r"^(.*?)(?:-([0-9]+))?\z"
@@ -95,11 +115,10 @@ def unique_slugs(wanted: DataFrame, taken: DataFrame) -> DataFrame:
         used = used.join(rest.select("root").distinct(), "root", "left_semi")
         # `place` counts the free numbers below a used one, and the wanted slugs before one: each wanted slug passes over
         # the used numbers whose place is not beyond its own.
-        numbered = lambda by: F.row_number().over(Window.partitionBy("root").orderBy(by)).cast("bigint")
-        used = used.select("root", (F.col("number") - numbered("number")).alias("place"), F.lit(True).alias("used"))
-        ranked = rest.withColumn("place", numbered("at") - 1).withColumn("used", F.lit(False))
-        so_far = Window.partitionBy("root").orderBy("place", F.col("used").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        named = used.unionByName(ranked, allowMissingColumns=True).withColumn("number", F.col("place") + 1 + F.count_if("used").over(so_far)).filter("NOT used")
+        spread = not rest.union(used.select(F.lit(""), "root", F.lit(None))).groupBy("root").count().filter(F.col("count") > root_rows).isEmpty()
+        used = _placed(used, [F.col("number")], spread).select("root", (F.col("number") - F.col("place") - 1).alias("place"), F.lit(1).cast("bigint").alias("used"))
+        ranked = _placed(rest, [F.col("at"), F.col("id")], spread).withColumn("used", F.lit(0).cast("bigint"))
+        named = _passed(used.unionByName(ranked, allowMissingColumns=True), spread).withColumn("number", F.col("place") + 1 + F.col("passed")).filter("used = 0")
         named = named.select("id", "root", "at", F.when(F.col("number") == 1, F.col("root")).otherwise(F.concat_ws("-", "root", F.col("number").cast("string"))).alias("slug"))
         best = named.groupBy("slug").agg(F.min("at").alias("best"))
         named = materialize(named.join(best, "slug").withColumn("ok", F.col("at") == F.col("best")), "slugs")
@@ -156,3 +175,16 @@ def fulfil(companies: DataFrame, paid: DataFrame, payments: DataFrame) -> Fulfil
     new_paid = placed.select(*[(bought[f.name] if f.name in bought else F.col(f.name)).cast(f.dataType).alias(f.name) for f in PAID_LISTINGS.fields])
     results = rows.select("event_id", F.when(F.col("fresh"), "inserted").otherwise("duplicate").alias("result"))
     return Fulfilled(made, listings, new_paid, results)
+
+
+def into(t, payments: DataFrame) -> dict[str, int]:
+    """Fulfils payments in a transaction of the table store: new companies, listings and payments, or none of them.
+
+    Returns how many events were inserted, and how many were duplicates.
+    """
+    done = fulfil(t.read("companies"), t.read("paid_listings"), payments)
+    counts = {r.result: r.n for r in done.results.groupBy("result").agg(F.count("*").alias("n")).collect()}
+    if counts.get("inserted"):
+        for name, rows in (("companies", done.companies), ("listings", done.listings), ("paid_listings", done.paid)):
+            t.upsert(name, rows)
+    return counts

@@ -53,19 +53,33 @@ def long_enough(rows: DataFrame) -> DataFrame:
 
 
 def upsert_listings(listings: DataFrame, batch: DataFrame, now_ms: int) -> DataFrame:
-    """listings with a batch (listings and `seq`, their order) upserted on id.
+    """listings with a batch (listings and `seq`, their order) upserted on id: see changed_listings."""
+    names = [f.name for f in LISTINGS.fields]
+    merged = merged_listings(batch)
+    # Of stored rows that a batch replaces only the company is needed, and the others only pass: a batch of few ids is
+    # broadcast, and the snapshot isn't shuffled.
+    return listings.select(*names).join(merged.select("id"), "id", "left_anti").unionByName(changed_listings(listings, merged, now_ms))
 
-    Rows with short bodies are skipped. A new id keeps its expiry; an id that was there, or comes twice in the batch, is
-    revived for 30 days. The last row of an id wins, but its company is the stored one, or the first row's.
+
+def merged_listings(batch: DataFrame) -> DataFrame:
+    """A row for each id of a batch (listings and `seq`, their order), written. Rows with short bodies are skipped.
+
+    new: the last row; first_company: the first row's; n: rows of the id.
     """
     names = [f.name for f in LISTINGS.fields]
     kept = assert_milliseconds(long_enough(batch))
     merged = kept.groupBy("id").agg(
         F.max_by(F.struct(*names), "seq").alias("new"), F.min_by("company_id", "seq").alias("first_company"), F.count("*").alias("n")
     )
-    merged = materialize(merged, "batch")  # read three times
-    # Of stored rows that a batch replaces only the company is needed, and the others only pass: a batch of few ids is
-    # broadcast, and the snapshot isn't shuffled.
+    return materialize(merged, "batch")  # read three times
+
+
+def changed_listings(listings: DataFrame, merged: DataFrame, now_ms: int) -> DataFrame:
+    """The rows that an upsert of merged_listings adds to listings or puts in place of theirs.
+
+    A new id keeps its expiry; an id that was there, or comes twice in the batch, is revived for 30 days. The last row of an
+    id wins, but its company is the stored one, or the first row's. listings: the rows with these ids, and any others.
+    """
     ids = merged.select("id")
     stored = listings.join(ids, "id", "left_semi").select("id", F.lit(True).alias("stored"), F.col("company_id").alias("old_company"))
     both = merged.join(stored, "id", "left")
@@ -77,14 +91,14 @@ def upsert_listings(listings: DataFrame, batch: DataFrame, now_ms: int) -> DataF
         "updated_at": F.lit(now_ms),
         "status": F.when(conflict, "active").otherwise(F.col("new.status")),
     }
-    fresh = both.select(*[special.get(f.name, F.col(f"new.{f.name}")).cast(f.dataType).alias(f.name) for f in LISTINGS.fields])
-    return listings.select(*names).join(ids, "id", "left_anti").unionByName(fresh)
+    return both.select(*[special.get(f.name, F.col(f"new.{f.name}")).cast(f.dataType).alias(f.name) for f in LISTINGS.fields])
 
 
-def upsert_companies(companies: DataFrame, batch: DataFrame, overwrite_careers: bool) -> DataFrame:
+def upsert_companies(companies: DataFrame, batch: DataFrame, overwrite_careers: bool, only_changed: bool = False) -> DataFrame:
     """companies with a batch upserted on slug: id and creation stay, careers_url too unless it is to be overwritten.
 
-    Of rows with one slug in the batch the last by `seq` wins, if there is such a column.
+    Of rows with one slug in the batch the last by `seq` wins, if there is such a column. only_changed: without the companies
+    that the batch doesn't name.
     """
     updated = ["name", "yc_batch", "website", "logo_url", "description"] + ["careers_url"] * overwrite_careers
     names = companies.columns
@@ -93,7 +107,7 @@ def upsert_companies(companies: DataFrame, batch: DataFrame, overwrite_careers:
     merged = batch.select(*own, F.col(order).alias("_order")).groupBy("slug").agg(
         F.max_by(F.struct(*names), "_order").alias("new"), F.min_by(F.struct(*names), "_order").alias("first")
     )
-    both = companies.select("slug", F.struct(*names).alias("old")).join(merged, "slug", "full_outer")
+    both = companies.select("slug", F.struct(*names).alias("old")).join(merged, "slug", "right" if only_changed else "full_outer")
     columns = []
     for c in names:
         new = F.col(f"new.{c}") if c in updated else F.coalesce(F.col(f"old.{c}"), F.when(F.col("old").isNull(), F.col(f"first.{c}")))

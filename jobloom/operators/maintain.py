@@ -13,9 +13,17 @@ from jobloom.sources.shared import one_row
 FILLED = 200
 
 
+def is_over(now_ms: int) -> Column:
+    return (F.col("status") == "active") & (F.col("expires_at") < now_ms)
+
+
 def sweep_expired(listings: DataFrame, now_ms: int) -> DataFrame:
-    over = (F.col("status") == "active") & (F.col("expires_at") < now_ms)
-    return listings.withColumn("status", F.when(over, "expired").otherwise(F.col("status")))
+    return listings.withColumn("status", F.when(is_over(now_ms), "expired").otherwise(F.col("status")))
+
+
+def swept(listings: DataFrame, now_ms: int) -> DataFrame:
+    """Only the rows that a sweep changes, as it leaves them."""
+    return sweep_expired(listings.filter(is_over(now_ms)), now_ms)
 
 
 def expire(listings: DataFrame, ids: DataFrame, at_ms: int) -> DataFrame:
@@ -28,6 +36,11 @@ def repair_units(listings: DataFrame) -> DataFrame:
     return listings.withColumn("expires_at", times.repair_unit(F.col("expires_at")))
 
 
+def repaired(listings: DataFrame) -> DataFrame:
+    """Only the rows whose expiry is in seconds, in milliseconds."""
+    return repair_units(listings.filter(F.col("expires_at") < 10_000_000_000))
+
+
 def unit_counts(listings: DataFrame) -> DataFrame:
     return listings.agg(F.count_if(F.col("expires_at") < 10_000_000_000).alias("in_seconds"), F.count("*").alias("n"))
 
@@ -45,7 +58,11 @@ def backfill_outcomes(listings: DataFrame, fetched: DataFrame, now_ms: int) -> D
     A 4xx expires it; no page is an error; a page with at least FILLED characters of text fills it; else it expires. The
     last response of a url counts (see one_row).
     """
-    wanted = empty_descriptions(listings, now_ms)
+    return outcomes_of(empty_descriptions(listings, now_ms), fetched)
+
+
+def outcomes_of(wanted: DataFrame, fetched: DataFrame) -> DataFrame:
+    """backfill_outcomes of the listings (id, apply_url) in wanted."""
     fetched = fetched.join(wanted.select(F.col("apply_url").alias("url")), "url", "left_semi")
     rows = wanted.join(one_row(fetched, "url").withColumnRenamed("url", "apply_url"), "apply_url", "left")
     rows = rows.withColumn("body", text.sanitize_html(main_content(F.col("html"))))

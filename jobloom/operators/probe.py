@@ -150,17 +150,40 @@ def probe(companies: DataFrame, pages: DataFrame, robots: DataFrame) -> DataFram
     return out
 
 
+def render_urls(sites: DataFrame) -> DataFrame:
+    """id, place and url: what to render for each of sites (id, slug, site), in the order in which it counts."""
+    urls = F.array(F.concat(F.lit(f"{YC_JOBS}/"), "slug", F.lit("/jobs")), F.col("site"), F.concat(origin(F.col("site")), F.lit("/careers")))
+    return sites.select("id", F.posexplode(F.array_distinct(F.array_compact(urls))).alias("place", "url"))
+
+
 def render_candidates(outcomes: DataFrame) -> DataFrame:
     """What to render after a probe: companies without a page that showed less than RENDER_BELOW of HTML; url by place."""
-    rows = outcomes.filter((F.col("result") == "no_page") & (F.col("html_size") < RENDER_BELOW))
-    urls = F.array(F.concat(F.lit(f"{YC_JOBS}/"), "slug", F.lit("/jobs")), F.col("site"), F.concat(origin(F.col("site")), F.lit("/careers")))
-    return rows.select("id", F.posexplode(F.array_distinct(F.array_compact(urls))).alias("place", "url"))
+    return render_urls(outcomes.filter((F.col("result") == "no_page") & (F.col("html_size") < RENDER_BELOW)))
 
 
 def after_render(outcomes: DataFrame, rendered: DataFrame) -> DataFrame:
     """outcomes, improved by rendered pages (url, final_url, body): the first candidate that decides."""
+    return _improved(outcomes, render_candidates(outcomes), rendered)
+
+
+def second_pass(companies: DataFrame, pages: DataFrame, robots: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Companies that an earlier probe left without a page, or with an error, probed anew, and then by their rendered pages.
+
+    The plain probe comes first, as the site may have changed; whoever has no page after it, and showed less than
+    RENDER_BELOW of HTML, is decided by the first rendered page that shows one. So is whoever ends as an error only because
+    URLs weren't landed at all, not even as failures.
+    """
+    outcomes = materialize(probe(companies, pages, robots), "probed-anew")
+    errors = outcomes.filter((F.col("result") == "error") & F.col("site").isNotNull() & (F.col("html_size") < RENDER_BELOW))
+    failed = one_row(pages, "url").filter("status IS NULL").select("url")
+    failed = errors.select("id", F.explode("checked").alias("url")).join(failed, "url", "left_semi").select("id")
+    unasked = errors.join(failed, "id", "left_anti").select("id", "slug", "site")
+    return _improved(outcomes, render_candidates(outcomes).unionByName(render_urls(unasked)), rendered)
+
+
+def _improved(outcomes: DataFrame, candidates: DataFrame, rendered: DataFrame) -> DataFrame:
     pages = rendered.select("url", "final_url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "body")
-    hits = render_candidates(outcomes).join(judge(pages).select("url", "found"), "url").filter("found IS NOT NULL")
+    hits = candidates.join(judge(pages).select("url", "found"), "url").filter("found IS NOT NULL")
     best = hits.groupBy("id").agg(F.min_by("found", "place").alias("rendered"))
     rows = outcomes.join(best, "id", "left")
     hit = F.col("rendered").isNotNull()

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import job_path, normalized_batch, role_slug
+from jobloom.operators.ranks import ranked
 from jobloom.schemas import SPECIALTIES, THIRTY_DAYS_MS
 
 PAGE = 50
@@ -176,6 +177,12 @@ def feed_page(rows: DataFrame, total: int, page: int) -> DataFrame:
     return rows if total <= FEED_LIMIT else rows.offset((max(1, page) - 1) * FEED_PAGE).limit(FEED_PAGE)
 
 
+def feed_pages(rows: DataFrame, size: int = FEED_PAGE) -> DataFrame:
+    """rows with page, from 1: what feed_page gives for each page, for all pages at once."""
+    placed = ranked(rows, [F.col("posted_at").desc(), F.col("id")], name="_place")
+    return placed.withColumn("page", F.expr(f"_place div {size} + 1")).drop("_place")
+
+
 # --- companies: what to scrape, what to probe
 
 
@@ -200,11 +207,13 @@ def probe_eligible(companies: DataFrame, now_ms: int, batch: str | None = None,
     return rows if limit is None else rows.limit(limit)
 
 
-def headless_eligible(companies: DataFrame, now_ms: int, limit: int | None = None) -> DataFrame:
-    """Probed within 30 days without a page or with an error."""
+def headless_eligible(companies: DataFrame, now_ms: int, limit: int | None = None, batch: str | None = None) -> DataFrame:
+    """Probed within 30 days without a page or with an error, of one batch if it is named."""
     since = (now_ms // 1000 - THIRTY_DAYS_MS // 1000) * 1000
     site = F.col("website").isNotNull() & (F.trim("website") != "") & F.col("careers_url").isNull()
     rows = newest_batch_first(companies.filter(site & F.col("careers_probe_result").isin("no_page", "error") & (F.col("careers_probe_at") >= since)))
+    if batch:
+        rows = rows.filter(normalized_batch(F.col("yc_batch")) == normalized_batch(F.lit(batch)))
     return rows if limit is None else rows.limit(limit)
 
 

@@ -40,6 +40,8 @@ PAID_LISTINGS = _schema(
     "id string, listing_id string, stripe_session_id string, stripe_event_id string, tier string, amount_cents bigint, "
     "currency string, customer_email string, paid_at bigint"
 )
+#: What a job that wrote tables left of itself, in the same commit: counters is JSON.
+RUNS = _schema("id string, run string, job string, at_ms bigint, base bigint, seconds double, counters string")
 #: posted_at of a posting is a number or a string: two columns, at most one of them set.
 RAW_JOBS = _schema(
     "provider string, provider_job_id string, title string, location string, description string, apply_url string, "
@@ -60,11 +62,13 @@ NOT_NULL = {
     "paid_listings": (
         "listing_id", "stripe_session_id", "stripe_event_id", "tier", "amount_cents", "currency", "customer_email", "paid_at",
     ),
+    "runs": ("run", "job", "at_ms", "counters"),
 }
 UNIQUE = {
     "companies": ("id", "slug"),
     "listings": ("id",),
     "paid_listings": ("id", "stripe_session_id", "stripe_event_id"),
+    "runs": ("id",),
 }
 CHECKS = {
     "companies": {"ats_provider": PROVIDERS, "careers_probe_result": PROBE_RESULTS},
@@ -73,4 +77,4 @@ CHECKS = {
 }
 FOREIGN_KEYS = {"listings": ("company_id", "companies"), "paid_listings": ("listing_id", "listings")}
 DEFAULTS = {"listings": {"ai_stack": "[]"}, "paid_listings": {"currency": "usd"}}
-TABLES = {"companies": COMPANIES, "listings": LISTINGS, "paid_listings": PAID_LISTINGS}
+TABLES = {"companies": COMPANIES, "listings": LISTINGS, "paid_listings": PAID_LISTINGS, "runs": RUNS}

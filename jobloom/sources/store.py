@@ -198,6 +198,7 @@ class TableStore:
                 t.commit()
                 return out
             except Conflict:
+                t.abort()
                 if not left:
                     raise
 
@@ -275,6 +276,18 @@ class Transaction:
         self.notes: dict[str, Any] = {}
         self.base_notes: dict[str, Any] = found["notes"]
         self.changed = False
+        self.folders: list[str] = []  # written by this transaction
+
+    def rows(self, name: str) -> int:
+        """How many rows a table has, by its manifest."""
+        return sum(e["rows"] for e in self.manifest(name)["entries"])
+
+    def rows_by_status(self) -> dict[str, int]:
+        """Listings by status, by their manifest."""
+        found: dict[str, int] = {}
+        for e in self.manifest("listings")["entries"]:
+            found[e["status"]] = found.get(e["status"], 0) + e["rows"]
+        return found
 
     def manifest(self, name: str) -> dict[str, Any]:
         return self.store.manifest(name, self.tables.get(name))
@@ -298,6 +311,7 @@ class Transaction:
         where = f"{self.store.root}/{name}/{data}"
         order = [*parts, *["expires_at"] * (name == "listings")]
         spread = rows.withColumn("bucket", bucket_of(F.col("id"), buckets)).repartition("bucket").sortWithinPartitions(*order)
+        self.folders.append(where)
         spread.write.partitionBy(*parts).parquet(where)
         back = self.spark.read.schema(self._schema_with_parts(name)).parquet(where)
         bounds = [F.min("expires_at").alias("low"), F.max("expires_at").alias("high")] if name == "listings" else [F.lit(None).alias("low"), F.lit(None).alias("high")]
@@ -315,7 +329,8 @@ class Transaction:
 
     def _take(self, name: str, buckets: int, entries: list[dict[str, Any]]) -> None:
         version = f"m-{uuid.uuid4().hex}"
-        self.store._put(f"{self.store.root}/{name}/_manifests/{version}.json", json.dumps({"buckets": buckets, "entries": entries}))
+        self.folders.append(f"{self.store.root}/{name}/_manifests/{version}.json")
+        self.store._put(self.folders[-1], json.dumps({"buckets": buckets, "entries": entries}))
         self.tables[name], self.changed = version, True
 
     def write(self, name: str, rows: DataFrame, check: bool = True) -> None:
@@ -382,6 +397,13 @@ class Transaction:
         """Takes out the rows with the ids (id)."""
         return self.upsert(name, self.spark.createDataFrame([], TABLES[name]), gone=ids)
 
+    def abort(self) -> None:
+        """Deletes what this transaction wrote and hasn't committed."""
+        for where in self.folders:
+            path, fs = self.store._path(where)
+            fs.delete(path, True)
+        self.folders.clear()
+
     def commit(self) -> int:
         """Publishes all writes as one commit, if there are any; raises Conflict where another one came between."""
         if not self.changed and not self.notes:
@@ -389,4 +411,5 @@ class Transaction:
         notes = self.base_notes | self.notes
         number = self.store._publish(self.base, self.tables, notes)
         self.base, self.base_notes, self.notes, self.changed = number, notes, {}, False
+        self.folders.clear()
         return number

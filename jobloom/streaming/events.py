@@ -1,38 +1,92 @@
-"""Payment events as a stream: delivered at least once, fulfilled once. An extension: the batch form is operators.fulfil."""
+"""Payment events as a stream: delivered at least once, fulfilled once. An extension: the batch form is operators.fulfil.
+
+Sessions are the key of a stateful operator: the state store remembers the event that a session was let through with, for
+`REMEMBERED` after its last delivery, so repeats and rival events of a session end there and reach no table; of several in
+one micro-batch the first by (paid_at, event_id) is let through. The watermark runs on the time of arrival, so no event is
+ever too late, and the state is bounded by what arrives in that time, however long the stream runs. What the state has
+forgotten, or a new checkpoint never knew, is compared with the payments in the tables, as in the batch form.
+
+Each micro-batch is one commit over the three tables that also notes the batch's number, so a batch that is run again after
+a crash, before or after its commit, writes its rows once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobloom.operators import fulfil
-from jobloom.sources.store import TableStore
+from jobloom.sources.shared import materialize
+from jobloom.sources.store import TableStore, Transaction
 
 EVENT_SCHEMA = (
     "event_id string, type string, session_id string, amount_total bigint, currency string, metadata map<string,string>, paid_at bigint"
 )
+#: How long the state knows a session, in ms: longer than a sender repeats a delivery.
+REMEMBERED = 7 * 86_400_000
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENT_SCHEMA).json(folder)
 
 
-def fulfil_batch(store: TableStore, events: DataFrame) -> DataFrame:
-    """Fulfils one batch against the store; a repeated batch writes nothing, as its events are paid for."""
-    companies, listings, paid = (store.read(n) for n in ("companies", "listings", "paid_listings"))
-    done = fulfil.fulfil(companies, paid, fulfil.payment_fields(events))
-    if done.paid.isEmpty():
-        return done.results
-    for name, old, new in (("companies", companies, done.companies), ("listings", listings, done.listings), ("paid_listings", paid, done.paid)):
-        # A batch that broke off has written some of its rows already, under the same ids.
-        store.write(name, old.join(new.select("id"), "id", "left_anti").unionByName(new))
-    return done.results
+def first_of_sessions(payments: DataFrame, remembered_ms: int = REMEMBERED) -> DataFrame:
+    """Of a stream of payments (fulfil.payment_fields) the first of each session; later ones are let through no more.
+
+    Payments without a session are one session, that of null.
+    """
+    names = payments.columns
+    arriving = payments.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", f"{remembered_ms} milliseconds")
+
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, arrived = None, 0
+        for part in rows:
+            arrived = max(arrived, int(part["arrived"].max().timestamp() * 1000))
+            part = part if first is None else pd.concat([first, part])
+            first = part.sort_values(["paid_at", "event_id"]).head(1)
+        known = state.exists
+        if not known:
+            state.update((str(first["event_id"].iloc[0]),))
+        state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + remembered_ms)
+        if not known:
+            yield first[names]
+
+    return arriving.groupBy("session_id").applyInPandasWithState(run, payments.schema, "event_id string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def fulfil_batch(store: TableStore, payments: DataFrame, stream: str = "", number: int = -1) -> dict[str, int]:
+    """Fulfils one batch of payments as one commit, which notes the stream's batch number; a batch noted before writes nothing."""
+    own = materialize(payments.filter("error IS NULL"), "payments")
+    if own.isEmpty():
+        return {}
+
+    def work(t: Transaction) -> dict[str, int]:
+        if stream and t.base_notes.get(stream, -1) >= number:
+            return {}
+        if stream:
+            t.notes[stream] = number
+        return fulfil.into(t, own)
+
+    return store.transact(work)
 
 
-def fulfil_stream(store: TableStore, events: DataFrame, checkpoint: str) -> DataStreamWriter:
+def fulfil_stream(store: TableStore, events: DataFrame, checkpoint: str, remembered_ms: int = REMEMBERED) -> DataStreamWriter:
     """A writer that fulfils each micro-batch; the caller starts it."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        fulfil_batch(store, batch)
+    def each(batch: DataFrame, number: int) -> None:
+        # In a thread of its own: on the connection that calls back from the JVM each of the many calls that make a plan
+        # waits for a delayed acknowledgement.
+        with ThreadPoolExecutor(1) as own:
+            own.submit(fulfil_batch, store, batch, f"stream {checkpoint}", number).result()
 
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    payments = fulfil.payment_fields(events).filter("error IS NULL")
+    return first_of_sessions(payments, remembered_ms).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

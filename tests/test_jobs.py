@@ -152,3 +152,54 @@ def test_jobs_over_landed_tables(spark, tmp_path):
     assert run("fulfil", "--dry-run") == {"inserted": 1, "refused": 1} and store.read("paid_listings").count() == 0
     assert run("fulfil") == {"inserted": 1, "refused": 1} and run("fulfil")["duplicate"] == 1
     assert store.read("paid_listings").count() == 1
+
+
+def test_the_rendered_pass_reaches_the_companies_it_lists(spark, tmp_path):
+    store, landed = TableStore(spark, f"file://{tmp_path}/db"), f"file://{tmp_path}/landed"
+    run = lambda *args: cli.main([*args, "--store", store.root, "--landed", landed, "--now-ms", str(NOW_MS)], spark)
+    day, batches = NOW_MS - 86_400_000, {"a": "Winter 2024", "b": "Summer 2024", "c": None, "d": None}
+    probed = {"a": ("no_page", day), "b": ("error", day), "c": (None, None), "d": ("no_page", day)}
+    rows = [(i, i, i, batches[i], f"https://{i}.example.com", None, None, None, None, at, result, NOW_MS) for i, (result, at) in probed.items()]
+    store.write("companies", spark.createDataFrame(rows, COMPANIES))
+    listed = run("render-list")["urls"]
+    assert [u for u in listed if "ycombinator" not in u] == [f"https://{i}.example.com/{p}" for i in "abd" for p in ("", "careers")]
+    assert spark.read.parquet(f"{store.root}/render_list").count() == len(listed) == 9
+    assert run("render-list", "--only", "winter 2024")["urls"] == listed[:3] == run("render-list", "--limit", "1")["urls"]
+    spark.createDataFrame([("https://a.example.com/", None, 200, "text/html", "<div id=app></div>", None)], fetch.LANDED).write.parquet(f"{landed}/pages")
+    shown = [("https://a.example.com/careers", '<a href="https://jobs.lever.co/a">Jobs</a>'), ("https://b.example.com/", '<a href="https://jobs.ashbyhq.com/b">Jobs</a>')]
+    spark.createDataFrame([(u, None, b) for u, b in shown], "url string, final_url string, body string").write.parquet(f"{landed}/rendered")
+    done = run("headless", "--rendered", f"{landed}/rendered", "--only", "Winter 2024")
+    assert (done["processed"], done["upgraded"]) == (1, 1)
+    done = run("headless", "--rendered", f"{landed}/rendered")
+    assert (done["processed"], done["upgraded"], done["errors"], done["delta"]) == (2, 1, 1, 1)
+    after = {r.id: (r.ats_provider, r.careers_probe_result) for r in store.read("companies").collect()}
+    assert after == {"a": ("lever", "found_ats"), "b": ("ashby", "found_ats"), "c": (None, None), "d": (None, "error")}
+    assert run("headless", "--rendered", f"{landed}/rendered")["processed"] == 1
+    with pytest.raises(SystemExit):
+        run("headless")  # needs rendered pages
+
+
+@pytest.mark.parametrize("args", [["sweep", "--limit", "5"], ["seed", "--only", "x"], ["repair", "--only", "x"], ["fulfil", "--landed", "l", "--limit", "1"], ["eligible", "--limit", "0"],
+                                  ["eligible", "--limit", "x"], ["probe"], ["load"], ["daily", "--landed", "l", "--limit", "2"]])
+def test_options_that_a_job_does_not_read_are_refused(spark, tmp_path, args):
+    with pytest.raises(SystemExit):
+        cli.main([*args, "--store", f"file://{tmp_path}/db"], spark)
+
+
+def test_a_daily_run_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
+    store, landed = TableStore(spark, f"file://{tmp_path}/db"), f"file://{tmp_path}/landed"
+    run = lambda *args: cli.main(["daily", *args, "--store", store.root, "--landed", landed, "--now-ms", str(NOW_MS)], spark)
+    spark.createDataFrame([("lever", "x", "{oops")], "provider string, slug string, body string").write.parquet(f"{landed}/lists")
+    with monkeypatch.context() as m:
+        m.setitem(cli.JOBS, "sweep", cli.Job(lambda *_: (_ for _ in ()).throw(OSError("dies"))))
+        with pytest.raises(OSError, match="dies"):
+            run()
+    ran = lambda: {r.job: (r.id, json.loads(r.counters)) for r in store.read("runs").collect()}
+    assert set(ran()) == {"seed", "scrape"} and ran()["seed"][1] == {"companies": 12}
+    number = store.commit()["number"]
+    done = run()
+    assert set(done) == set(cli.DAILY) and store.commit()["number"] == number + 2  # sweep and feed alone
+    assert spark.read.parquet(f"{store.root}/quarantine").count() == 1
+    assert run() == done and store.commit()["number"] == number + 2
+    assert run("--again") == done and spark.read.parquet(f"{store.root}/quarantine").count() == 1
+    assert store.read("runs").count() == 4 and {r[0] for r in ran().values()} == {f"2001-07-25:{j}" for j in cli.DAILY}

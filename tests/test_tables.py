@@ -344,3 +344,69 @@ def test_stream_fulfils_once(spark, tmp_path):
     land("1.json", event("a"), event("b", "https://two.com"))
     land("2.json", event("a"), event("c", "https://two.com", at=NOW_MS + 9), ("d", "other.type", "s", None, None, {}, 1))
     assert store.read("paid_listings").count() == store.read("listings").count() == 3 and store.read("companies").count() == 2
+
+
+def test_stream_keeps_what_it_let_through(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/db")
+    folder = tmp_path / "in"
+    folder.mkdir()
+    names = [p.split()[0] for p in events.EVENT_SCHEMA.replace("map<string,string>", "map").split(", ")]
+
+    def land(name, *rows, checkpoint="cp", crash=False):
+        (folder / name).write_text("\n".join(json.dumps(dict(zip(names, r))) for r in rows))
+        target = store
+        if crash:
+            target = TableStore(spark, store.root)
+
+            def dies(*_):
+                raise OSError("dies")
+
+            target._create = dies
+        q = events.fulfil_stream(target, events.read_events(spark, f"file://{folder}"), f"file://{tmp_path}/{checkpoint}").trigger(availableNow=True).start()
+        if crash:
+            with pytest.raises(Exception, match="dies"):
+                q.awaitTermination()
+        else:
+            q.awaitTermination()
+        return q
+
+    sold = lambda: {r.stripe_event_id for r in store.read("paid_listings").collect()}
+    # Two events of a session in one batch: the first by time counts. One without a usable draft takes no session.
+    land("1.json", event("late", session="s", at=NOW_MS + 9), event("early", session="s", at=NOW_MS), event("bad", session="t", title=""))
+    assert sold() == {"early"}
+    q = land("2.json", event("early", session="s"), event("third", session="s", at=NOW_MS - 99), event("good", session="t"))
+    assert sold() == {"early", "good"}  # repeated and rival deliveries end in the state, and so does one that is late
+    state = q.lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] == 2
+    before = store.commit()["number"]
+    land("3.json", event("x", "https://x.com", session="u"), crash=True)
+    assert store.commit()["number"] == before and sold() == {"early", "good"}
+    land("4.json")  # the batch that broke off runs again
+    assert sold() == {"early", "good", "x"}
+    # A new checkpoint knows nothing: the tables do.
+    land("5.json", event("early", session="s"), event("y", "https://y.com", session="u"), checkpoint="other")
+    assert sold() == {"early", "good", "x"} and store.read("listings").count() == 3
+
+
+def test_a_batch_is_fulfilled_once(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/db")
+    payments = fulfil.payment_fields(frame(spark, event("a")))
+    assert events.fulfil_batch(store, payments, "s", 4) == {"inserted": 1}
+    number = store.commit()["number"]
+    assert events.fulfil_batch(store, payments, "s", 4) == {} and store.commit()["number"] == number
+    assert events.fulfil_batch(store, payments, "s", 5) == {"duplicate": 1} and store.commit()["notes"] == {"s": 5}
+
+
+def test_state_of_old_sessions_is_forgotten(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    names = [p.split()[0] for p in events.EVENT_SCHEMA.replace("map<string,string>", "map").split(", ")]
+    left = []
+    for k in range(3):
+        (folder / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(names, event(f"e{k}{i}")))) for i in range(5)))
+        payments = fulfil.payment_fields(events.read_events(spark, f"file://{folder}"))
+        q = events.first_of_sessions(payments, remembered_ms=1).writeStream.foreachBatch(lambda df, _: df.count())
+        q = q.option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        left.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert max(left) <= 10
