@@ -49,17 +49,26 @@ def _mixed(x: Column, salt: int) -> Column:
     return (y * 48271 + F.shiftright(y, 13)) % _PRIME
 
 
-def shuffled(x: Column, n: Column, seed: Column, rounds: int = ROUNDS) -> Column:
-    """The place of x in a pseudorandom order of 0 to n - 1 (swap-or-not: each round pairs places and swaps some pairs)."""
+def round_keys(n: Column, seed: Column, rounds: int = ROUNDS) -> Column:
+    """What the rounds of a pseudorandom order of 0 to n - 1 need: computed once an order, not once a place."""
 
-    def turn(x: Column, r: Column) -> Column:
+    def of(r: Column) -> Column:
         key = seed % _PRIME * 64 + r
-        other = (_mixed(key, 1) * _PRIME + _mixed(key, 2)) % n - x
-        other = F.when(other < 0, other + n).otherwise(other)
-        swapped = (F.greatest(x, other) % _PRIME * (_mixed(key, 3) + 1) + _mixed(key, 4)) % _PRIME
-        return F.when(F.shiftright(swapped, 9) % 2 == 1, other).otherwise(x)
+        pair = (_mixed(key, 1) * _PRIME + _mixed(key, 2)) % F.greatest(n, F.lit(1).cast("bigint"))
+        return F.struct(pair.alias("pair"), (_mixed(key, 3) + 1).alias("by"), _mixed(key, 4).alias("plus"))
+
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint")), of)
+
+
+def shuffled(x: Column, n: Column, keys: Column) -> Column:
+    """The place of x in a pseudorandom order of 0 to n - 1 (swap-or-not: each round pairs places and swaps some pairs)."""
+
+    def turn(x: Column, key: Column) -> Column:
+        other = F.pmod(key["pair"] - x, n)
+        swapped = (F.greatest(x, other) % _PRIME * key["by"] + key["plus"]) % _PRIME
+        return F.when(swapped.bitwiseAND(512) != 0, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint")), x, turn)
+    return F.aggregate(keys, x, turn)
 
 
 def _drawn(*of: Column) -> Column:
@@ -163,12 +172,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, length: int = LENGT
         counts = counts.withColumn("before", before("tree", "shard")).withColumn("left", before("shard", "tree"))
     else:
         counts = sized.sparkSession.createDataFrame([], "tree long, shard long, n long, before long, left long")
-    filled = _steps(F.lit(0).cast("bigint"), F.col("n") - 1, "i", counts.join(sources.select("tree", "blocks"), "tree"), _tasks(docs.sparkSession, slots))
+    wide = F.least(F.lit(shard).cast("bigint"), slots - F.col("shard") * shard)
+    seeds = lambda e: F.lit(seed) * 7 + (F.col("tree") * passes + e) * 2 + 1
+    epochs = F.sequence(F.lit(0).cast("bigint"), F.lit(passes - 1).cast("bigint"))
+    orders = sources.select("tree", "blocks", F.transform(epochs, lambda e: round_keys(F.col("blocks"), seeds(e))).alias("orders"))
+    counts = counts.withColumn("wide", wide).withColumn("order", round_keys(F.col("wide"), F.lit(seed) * 7 + F.col("shard") * 2))
+    filled = _steps(F.lit(0).cast("bigint"), F.col("n") - 1, "i", counts.join(orders, "tree"), _tasks(docs.sparkSession, slots))
     filled = filled.withColumn("k", F.col("before") + F.col("i")).filter(F.col("k") < passes * F.col("blocks"))
-    epoch, wide = F.expr("k div blocks"), F.least(F.lit(shard).cast("bigint"), slots - F.col("shard") * shard)
+    filled = filled.withColumn("epoch", F.expr("k div blocks"))
     filled = filled.select(
-        "shard", shuffled(F.col("left") + F.col("i"), wide, F.lit(seed) * 7 + F.col("shard") * 2).alias("slot"), "tree", epoch.alias("epoch"),
-        shuffled(F.expr("k % blocks"), F.col("blocks"), F.lit(seed) * 7 + (F.col("tree") * passes + epoch) * 2 + 1).alias("block"),
+        "shard", shuffled(F.col("left") + F.col("i"), F.col("wide"), F.col("order")).alias("slot"), "tree", "epoch",
+        shuffled(F.expr("k % blocks"), F.col("blocks"), F.get("orders", F.col("epoch").cast("int"))).alias("block"),
     )
     filled = materialize(filled, "mix-slots")
     first, end = F.expr(f"start div {length}"), F.expr(f"(start + size - 1) div {length}")

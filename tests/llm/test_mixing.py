@@ -88,7 +88,7 @@ def test_mix(spark, seed):
 def test_orders_are_permutations(spark):
     rows = spark.createDataFrame([(n, s) for n in (1, 2, 3, 64, 1000) for s in range(3)], "n long, seed long")
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    rows = rows.withColumn("y", mixing.shuffled(F.col("x"), F.col("n"), F.col("seed"))).collect()
+    rows = rows.withColumn("y", mixing.shuffled(F.col("x"), F.col("n"), mixing.round_keys(F.col("n"), F.col("seed")))).collect()
     orders = defaultdict(dict)
     for r in rows:
         orders[r.n, r.seed][r.x] = r.y
