@@ -6,11 +6,11 @@ isn't white space (checked when the vocabularies are read), and the first model'
 text's tokens are those of its segments one after the other, and both tokenizers have a border at each cut. Every
 different segment of the corpus is encoded and aligned once, wherever it occurs.
 
-Texts lie in blocks of about `BLOCK` bytes. Each block lists its different segments; these are sorted by segment, each is
-encoded for all blocks that have it, and the results go back to the blocks, where documents are composed from them. A block
-counts for how many of its documents each pair of ids is linked; the sums over the corpus go back to the blocks in the same
-way. What moves are a block's different segments and pairs, and each text once. A frequent segment has a row for each
-block, no more, and is streamed.
+Texts lie in blocks of about `BLOCK` bytes. Each block numbers its different segments, and a text becomes the list of its
+segments' numbers. The segments are sorted, each is encoded for all blocks that have it, and the results go back to the
+blocks, where documents are composed from them. A block counts for how many of its documents each pair of ids is linked;
+the sums over the corpus go back to the blocks in the same way. What moves are a block's different segments and pairs, and
+texts as numbers. A frequent segment has a row for each block, no more, and is streamed.
 
 Groups: offsets in bytes where tokens of both end cut the tokens into groups. Links: all pairs of an occurrence of each
 within a group.
@@ -27,6 +27,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -41,7 +42,7 @@ from jobloom.llm.tokenize import BYTE_LEVEL, vocabulary
 
 NAME = "op13_alignment"
 SQL = None
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 #: Segments that are encoded at once.
 SEGMENTS = 20_000
 _MARK = "▁"
@@ -140,84 +141,118 @@ def _readable(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return read, pc.greater(pc.binary_length(read), 0).to_numpy(zero_copy_only=False)
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2 ** 32 as their lowest bytes, then the next ones, and so on: small where most are small."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _blocks(docs: DataFrame, size: int) -> DataFrame:
-    """block, doc_id and text of each document, then block and text of each different segment of the block (is_segment)."""
+    """block, doc_id and body, the numbers of its segments (null: no tokens), of each document, and number and segment of each
+    different segment of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, number, held, found = TaskContext.get().partitionId() << 32, 0, 0, []
-        names = ["doc_id", "text", "block", "is_segment"]
+        base, made = TaskContext.get().partitionId() << 32, 0
+        ids, lists, full, held = [], [], [], 0
 
         def closed() -> Iterator[pa.RecordBatch]:
-            own = pc.unique(pa.concat_arrays(found))
-            for k in range(0, len(own), 50_000):
-                part = own[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), kinds[0]), part.cast(kinds[1]), pa.array(np.full(len(part), base + number)), pa.array(np.ones(len(part), bool))], names)
-
+            coded = pa.concat_arrays([x.values for x in lists]).dictionary_encode()
+            # Frequent segments get small numbers.
+            counts = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            own = rank[coded.indices.to_numpy()]
+            at = np.concatenate([[0], *(np.diff(x.offsets.to_numpy()) for x in lists)]).cumsum()
+            bodies = [planes(own[a:b]) if ok else None for a, b, ok in zip(at, at[1:], np.concatenate(full))]
+            block, all_ids, segments_ = base + made, pa.concat_arrays(ids), coded.dictionary.take(pa.array(order)).cast(pa.string())
+            for k in range(0, len(bodies), 1000):
+                part = pa.array(bodies[k : k + 1000], pa.binary())
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([all_ids[k : k + n], pa.array(np.full(n, block)), part, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names)
+            for k in range(0, len(segments_), 50_000):
+                part = segments_[k : k + 50_000]
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, all_ids.type), pa.array(np.full(n, block)), pa.nulls(n, pa.binary()), pa.array(np.arange(k, k + n, dtype=np.int32)), part], names)
+
+        names = ["doc_id", "block", "body", "number", "segment"]
         for batch in batches:
-            kinds = [c.type for c in batch.columns]
             for row in range(0, batch.num_rows, 64):
                 part = batch.slice(row, 64)
-                read, full = _readable(part.column("text"))
-                found.append(pc.unique(segments(read.filter(pa.array(full))).values))
+                read, ok = _readable(part.column("text"))
+                ids.append(part.column("doc_id"))
+                lists.append(segments(pc.if_else(pa.array(ok), read, "")))
+                full.append(ok)
                 held += part.nbytes
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(part), base + number)), pa.array(np.zeros(len(part), bool))], names)
-                if len(found) > 256:
-                    found[:] = [pc.unique(pa.concat_arrays(found))]
                 if held >= size:
                     yield from closed()
-                    number, held = number + 1, 0
-                    found.clear()
-        if found:
+                    made, held = made + 1, 0
+                    ids, lists, full = [], [], []
+        if ids:
             yield from closed()
 
-    return docs.mapInArrow(run, extended(docs, ["doc_id", "text"], "block long, is_segment boolean"))
+    return docs.mapInArrow(run, extended(docs, ["doc_id"], "block long, body binary, number int, segment string"))
 
 
-_ALIGNED = "block long, segment string, n_a int, n_b int, n_groups int, n_links long, groups string, pairs binary"
+_ALIGNED = "block long, number int, segment string, first boolean, groups string"
 
 
 def _aligned(found: DataFrame, a: str, b: str) -> DataFrame:
-    """found (segment, block), sorted by segment, with each segment's alignment: encoded once, wherever it occurs.
+    """found (segment, block, number), sorted by segment, with each segment's alignment: encoded once, wherever it occurs.
 
-    groups is null where the segment's tokens don't give the segment. pairs: ids of a and b and their number of links, unsigned
-    32-bit integers in order of the ids.
+    groups: the segment's groups as text; null where its tokens don't give the segment. Only the first row has the segment.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pair(a, b)
-        last: list[tuple] = []  # the alignment of the segment that the last batch ended with
-        ended = None
+        ended, last = None, None  # the segment that the last batch ended with, and its groups
         for whole in batches:
             for k in range(0, whole.num_rows, SEGMENTS):
                 batch = whole.slice(k, SEGMENTS)
                 coded = batch.column("segment").dictionary_encode()
-                new = coded.dictionary.to_pylist()
-                done = last if new[0] == ended else []
-                ids_a, ids_b = own.encode(new[len(done) :])
-                done = done + [_alignment(own, *x) for x in zip(new[len(done) :], ids_a, ids_b)]
-                ended, last = new[-1], done[-1:]
-                types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
-                columns = [pa.array(c, t).take(coded.indices) for c, t in zip(zip(*done), types)]
-                yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("segment"), *columns], ["block", "segment", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"])
+                new, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                known = int(new[0] == ended)
+                ids_a, ids_b = own.encode(new[known:])
+                done = [last] * known + [_written(own.groups(*x)) for x in zip(new[known:], ids_a, ids_b)]
+                first = np.diff(at, prepend=-1) > 0
+                first[0] &= not known
+                ended, last = new[-1], done[-1]
+                named = pc.if_else(pa.array(first), batch.column("segment"), pa.scalar(None, pa.string()))
+                columns = [batch.column("block"), batch.column("number"), named, pa.array(first), pa.array(done, pa.string()).take(coded.indices)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "number", "segment", "first", "groups"])
 
     return found.mapInArrow(run, _ALIGNED)
 
 
-def _alignment(own: Pair, segment: str, a: list[int], b: list[int]) -> tuple:
-    groups = own.groups(segment, a, b)
-    if groups is None:
-        return 0, 0, 0, 0, None, b""
-    links: dict[tuple[int, int], int] = {}
-    for left, right in groups:
-        for i in left:
-            for j in right:
-                links[i, j] = links.get((i, j), 0) + 1
-    text = ";".join(",".join(map(str, left)) + "|" + ",".join(map(str, right)) for left, right in groups)
-    pairs = np.array([(i, j, n) for (i, j), n in sorted(links.items())], "<u4").tobytes()
-    return len(a), len(b), len(groups), sum(links.values()), text, pairs
-
-
-#: What a document is composed to. pairs and times: the block's numbers of its linked pairs, and their numbers of links, 32-bit.
+def _written(groups: list[tuple[list[int], list[int]]] | None) -> str | None:
+    return None if groups is None else ";".join(",".join(map(str, left)) + "|" + ",".join(map(str, right)) for left, right in groups)
+
+
+def linked(groups: str) -> tuple[int, int, int, list[int], list[int]]:
+    """Of groups as text: ids of either and groups, and id_a << 32 | id_b of each pair that is linked, and how often."""
+    n_a = n_b = 0
+    own = groups.split(";")
+    links: dict[int, int] = {}
+    for group in own:
+        left, _, right = group.partition("|")
+        if "," not in group:
+            key = int(left) << 32 | int(right)
+            links[key] = links.get(key, 0) + 1
+            n_a, n_b = n_a + 1, n_b + 1
+            continue
+        ids, others = left.split(","), list(map(int, right.split(",")))
+        n_a, n_b = n_a + len(ids), n_b + len(others)
+        for i in ids:
+            i = int(i) << 32
+            for j in others:
+                links[i | j] = links.get(i | j, 0) + 1
+    return n_a, n_b, len(own), list(links), list(links.values())
+
+
+#: What a document is composed to. pairs and times: the steps between the block's numbers of its linked pairs, and how often they are.
 _COMPOSED = "block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 #: A pair of a block: the ids, and how many of its documents have it linked.
 _PAIRS = "is_pair boolean, id_a long, id_b long, number int, documents long"
@@ -228,43 +263,42 @@ def _composed(docs: DataFrame, found: DataFrame) -> DataFrame:
     schema = extended(docs, ["doc_id"], f"{_COMPOSED}, {_PAIRS}")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = _chunk(right, "segment").cast(pa.large_string())
-        strings = _chunk(right, "groups")
-        invalid = strings.is_null().to_numpy(zero_copy_only=False)
-        strings = pc.fill_null(strings, "").to_pylist()
-        counts = np.stack([right.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")], axis=1) if len(right) else np.zeros((0, 4), np.int64)
-        triples = np.frombuffer(b"".join(p.as_py() for p in _chunk(right, "pairs")), "<u4").reshape(-1, 3).astype(np.int64)
-        sizes = pc.binary_length(_chunk(right, "pairs")).to_numpy().astype(np.int64) // 12
+        order = pc.sort_indices(right, [("number", "ascending")])
+        strings = _chunk(right, "groups").take(order).to_pylist()
+        invalid = np.array([t is None for t in strings], bool)
+        found = [(0, 0, 0, [], []) if t is None else linked(t) for t in strings]
+        sizes = np.array([len(f[3]) for f in found], np.int64)
+        pairs, places = np.unique(np.array([p for f in found for p in f[3]], np.int64), return_inverse=True)
+        each_times = np.array([n for f in found for n in f[4]], np.int64)
+        sums_of = np.array([f[:3] for f in found], np.int64).reshape(-1, 3)
         starts = np.cumsum(sizes) - sizes
-        pairs, numbers = np.unique(triples[:, 0] << 32 | triples[:, 1], return_inverse=True)
-        linked = np.zeros(len(pairs), np.int64)
+        held = np.zeros(len(pairs), np.int64)
+        del found
         made, none = [], (0, 0, 0, 0, "", b"", b"")
-        read, full = _readable(_chunk(left, "text"))
-        lists = segments(read)
-        places, at = pc.index_in(lists.values, keys).to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        for j in range(len(read)):
-            own = places[at[j] : at[j + 1]]
-            if not full[j] or invalid[own].any():
+        for body in left.column("body"):
+            body = body.as_py()
+            own = numbers(body) if body is not None else None
+            if own is None or invalid[own].any():
                 made.append(none)
                 continue
             each, times = np.unique(own, return_counts=True)
             n = sizes[each]
             rows = np.repeat(starts[each] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            has, inverse = np.unique(numbers[rows], return_inverse=True)
-            links = np.bincount(inverse, weights=triples[rows, 2] * np.repeat(times, n)).astype("<u4")
-            linked[has] += 1
-            sums = (counts[each] * times[:, None]).sum(axis=0).tolist()
+            has, inverse = np.unique(places[rows], return_inverse=True)
+            links = np.bincount(inverse, weights=each_times[rows] * np.repeat(times, n)).astype(np.int64)
+            held[has] += 1
+            sums = (sums_of[each] * times[:, None]).sum(axis=0).tolist()
             digest = hashlib.sha256()
             for i in range(0, len(own), 65536):
                 digest.update((";" * (i > 0) + ";".join(map(strings.__getitem__, own[i : i + 65536].tolist()))).encode())
-            made.append((*sums, digest.hexdigest(), has.astype("<u4").tobytes(), links.tobytes()))
+            made.append((*sums, int(links.sum()), digest.hexdigest(), planes(np.diff(has, prepend=0)), planes(links)))
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
         names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
         own = {n: pa.array(c, t) for n, c, t in zip(names, zip(*made), kinds)}
         rows = pa.table({"doc_id": left.column("doc_id"), "block": left.column("block"), "is_pair": np.zeros(len(left), bool), **own})
-        used = np.flatnonzero(linked)
+        used = np.flatnonzero(held)
         more = {"block": np.full(len(used), left.column("block")[0].as_py()), "is_pair": np.ones(len(used), bool), "id_a": pairs[used] >> 32}
-        more |= {"id_b": pairs[used] & 0xFFFFFFFF, "number": used.astype(np.int32), "documents": linked[used]}
+        more |= {"id_b": pairs[used] & 0xFFFFFFFF, "number": used.astype(np.int32), "documents": held[used]}
         return pa.concat_tables([rows, pa.table(more)], promote_options="default").select(schema.names)
 
     return docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
@@ -287,7 +321,7 @@ def _counted(docs: DataFrame, counts: DataFrame) -> DataFrame:
         documents[number], best[number] = right.column("documents").to_numpy(), right.column("best").to_numpy(zero_copy_only=False)
         found = []
         for has, times in zip(left.column("pairs"), left.column("times")):
-            has, times = np.frombuffer(has.as_py(), "<u4"), np.frombuffer(times.as_py(), "<u4").astype(np.int64)
+            has, times = numbers(has.as_py()).cumsum(), numbers(times.as_py())
             found.append((int(times @ best[has]), int(times @ documents[has])))
         sums = np.array(found, np.int64).reshape(-1, 2)
         own = [left.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
@@ -298,30 +332,46 @@ def _counted(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
 class Alignment:
     """documents: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256. pairs: id_a, id_b, documents (that hold
-    the pair linked) and best, whether no other id_b of the id_a has more. segments: each different one, and its alignment."""
+    the pair linked) and best, whether no other id_b of the id_a has more. segments: each different one, and its groups."""
 
     def __init__(self, documents: DataFrame, pairs: DataFrame, segments: DataFrame):
         self.documents, self.pairs, self.segments = documents, pairs, segments
 
 
+@contextmanager
+def files_of_shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within it a job's shuffle files are deleted when the job ends: each of them is read by one job only."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def align(docs: DataFrame, a: str, b: str, block: int = BLOCK) -> Alignment:
     """Aligns the tokens of docs (doc_id, text) by the vocabulary files a (tokenizers) and b (sentencepiece)."""
-    rows = materialize(_blocks(pick(docs, ["doc_id", "text"]), block), "align-blocks")
-    found = rows.filter("is_segment").select("block", F.col("text").alias("segment"))
-    found = found.repartition("segment").sortWithinPartitions("segment", "block")
-    found = materialize(_aligned(found, a, b), "align-segments")
-    made = materialize(_composed(rows.filter("NOT is_segment").select("block", "doc_id", "text"), found), "align-documents")
-    discard(rows)
-    own = made.filter("is_pair").select("block", "id_a", "id_b", "number", "documents")
-    counts = own.groupBy("id_a", "id_b").agg(F.sum("documents").alias("documents"))
-    most = counts.groupBy("id_a").agg(F.max("documents").alias("most"))
-    counts = counts.join(most, "id_a").select("id_a", "id_b", "documents", (F.col("documents") == F.col("most")).alias("best"))
-    counts = materialize(counts, "align-pairs")
-    back = own.drop("documents").join(counts, ["id_a", "id_b"]).select("block", "number", "documents", "best")
-    back = materialize(back, "align-counts")
-    documents = made.filter("NOT is_pair").select("doc_id", "block", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times")
-    different = found.groupBy("segment").agg(*[F.any_value(c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "groups")])
-    return Alignment(_counted(documents, back), counts, different)
+    spark = docs.sparkSession
+    with files_of_shuffles_end(spark):
+        rows = materialize(_blocks(pick(docs, ["doc_id", "text"]), block), "align-blocks", "zstd")
+        found = rows.filter("segment IS NOT NULL").select("block", "number", "segment")
+        found = found.repartition("segment").sortWithinPartitions("segment", "block")
+        found = materialize(_aligned(found, a, b), "align-segments", "zstd")
+        made = _composed(rows.filter("segment IS NULL").select("block", "doc_id", "body"), found.select("block", "number", "groups"))
+        made = materialize(made, "align-documents", "zstd")
+        discard(rows)
+        own = made.filter("is_pair").select("block", "id_a", "id_b", "number", "documents")
+        counts = own.groupBy("id_a", "id_b").agg(F.sum("documents").alias("documents"))
+        most = counts.groupBy("id_a").agg(F.max("documents").alias("most"))
+        counts = counts.join(most, "id_a").select("id_a", "id_b", "documents", (F.col("documents") == F.col("most")).alias("best"))
+        counts = materialize(counts, "align-pairs")
+        back = own.drop("documents").join(counts, ["id_a", "id_b"]).select("block", "number", "documents", "best")
+        back = materialize(back, "align-counts", "zstd")
+        documents = made.filter("NOT is_pair").select("doc_id", "block", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times")
+        documents = materialize(_counted(documents, back), "align-result", "zstd")
+        discard(made, back)
+    return Alignment(documents, counts, found.filter("first").select("segment", "groups"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
