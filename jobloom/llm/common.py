@@ -84,3 +84,16 @@ def write_file(uri: str, data: bytes) -> None:
     files.move(part, path)
 
 
+
+
+def read_file(uri: str) -> bytes:
+    """A file that write_file wrote."""
+    at = urlparse(uri)
+    if at.scheme in ("", "file"):
+        with open(unquote(at.path) if at.scheme else uri, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(uri)
+    with files.open_input_stream(path) as f:
+        return f.read()

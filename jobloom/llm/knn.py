@@ -1,15 +1,15 @@
 """Exact top-k search by inner product with a KD-tree for each shard.
 
-The index holds a row for each shard of up to `SHARD` vectors: the vectors in tree order, their ids, and for each node of
+The index holds a file for each shard of up to `SHARD` vectors: the vectors in tree order, their ids, and for each node of
 a balanced KD-tree (median splits of the widest side) its tight bounding box and smallest id. A query walks a tree
 best-first: the box bounds the inner product of whatever lies in it, the node with the highest bound comes next, and the
-walk ends when no bound reaches the kth best score. That kth score starts at the query's kth best within one shard, which
-each block is searched against first, goes out with the block, and is carried from shard to shard within a cell.
+walk ends when no bound reaches the kth best score, which is carried from shard to shard.
 
-Queries are cut into blocks of at most `QUERY_BYTES`, shards are gathered in groups of about `GROUP`; one job deals every
-block to every group of shards and searches each such cell in a task of its own: a block is held while the group's shards
-pass by one at a time. Nothing goes through the driver but the blocks' numbers. A shard returns at most k rows for a query,
-and only those that reach the kth score that it was given; ranks are taken over these.
+Shards and blocks of queries, of at most `QUERY_BYTES` each, are files in the shared folder, written once. A task holds
+one block and reads the shards of its dimension one at a time, carrying the kth scores on; where there are fewer blocks
+than the cluster has cores, a block's shards are dealt to several tasks. So the index is read once for each block, from
+files, and nothing of it, nor of the queries, is shuffled: only each query's k best rows of each task are. A task that is
+tried again reads the same files. The driver knows the blocks' and shards' names, a line for each.
 
 Components are floor(256 * x); sums that a double can't hold exactly are made with Python's integers, and a score
 beyond a long is cut to the range of a long before it is compared. Defined cases: vectors that are null, empty, or hold null or non-finite
@@ -21,8 +21,8 @@ go to the smaller vec_id.
 from __future__ import annotations
 
 import heapq
-import pickle
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -31,15 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import materialize, pick, table
+from jobloom.llm.common import fresh_dir, materialize, pick, read_file, table, write_file
 
 NAME = "op10_topk"
 K = 5
 EVERY = 50
 SHARD = 8192
 LEAF = 256
-QUERY_BYTES = 8 << 20
-GROUP = 2
+QUERY_BYTES = 64 << 20
 EXACT = float(2**53)
 
 
@@ -130,38 +129,37 @@ class Tree:
                     top[:] = heapq.nsmallest(k, top + more)
 
 
-_INDEX = "shard long, dim int, n int, wide boolean, vectors binary, ids binary, spans binary, low binary, high binary, least binary"
+_FILES = "dim int, path string"
 
 
-def _row(tree: Tree, shard: int) -> dict:
-    n, dim = tree.vectors.shape
-    wide = tree.largest >= 2**31
-    kind = "<f8" if wide else "<i4"
-    arrays = {"vectors": kind, "ids": "<i8", "spans": "<i8", "low": kind, "high": kind, "least": "<i8"}
-    return {"shard": shard, "dim": dim, "n": n, "wide": wide} | {name: getattr(tree, name).astype(t).tobytes() for name, t in arrays.items()}
+def _saved(tree: Tree) -> bytes:
+    kind = "<f8" if tree.largest >= 2**31 else "<i4"
+    out = io.BytesIO()
+    np.savez(out, vectors=tree.vectors.astype(kind), ids=tree.ids, spans=tree.spans, low=tree.low.astype(kind), high=tree.high.astype(kind), least=tree.least)
+    return out.getvalue()
 
 
-def _tree(row: dict) -> Tree:
-    kind, dim = "<f8" if row["wide"] else "<i4", row["dim"]
-    get = lambda name, t: np.frombuffer(row[name], t)
-    vectors, low, high = (get(name, kind).astype(np.float64).reshape(-1, dim) for name in ("vectors", "low", "high"))
-    return Tree(vectors, get("ids", "<i8"), get("spans", "<i8").reshape(-1, 2), low, high, get("least", "<i8"))
+def _tree(data: bytes) -> Tree:
+    own = np.load(io.BytesIO(data))
+    return Tree(*(own[n].astype(np.float64) if n in ("vectors", "low", "high") else own[n] for n in ("vectors", "ids", "spans", "low", "high", "least")))
 
 
-def build_index(rows: DataFrame, shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
-    """The index over rows (vec_id, embedding), in the shared folder: every vector that takes part is in one shard."""
-    rows = pick(rows, ["vec_id", "embedding"])
-    rows = rows.coalesce(max(1, rows.count() // shard))  # small input files don't make small shards
+def _in_files(rows: DataFrame, folder: str, label: str, full: Callable[[int, int], bool], saved: Callable[[np.ndarray, np.ndarray], bytes]) -> DataFrame:
+    """The vectors of rows that take part, by dimension, in files of a folder: dim and path of each.
+
+    full(count, dim): whether a file of so many vectors is to be closed. A file's name is that of its task and place, so a
+    task that is tried again writes the same files.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("wide", pa.bool_()), *((n, pa.binary()) for n in _INDEX.replace(" binary", "").split(", ")[4:])])
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
-        number = count(TaskContext.get().partitionId() << 32)
+        number, part = count(), TaskContext.get().partitionId()
 
         def made(dim: int) -> pa.RecordBatch:
-            part = held.pop(dim)
-            tree = Tree.build(np.stack([v for _, v in part]), np.array([i for i, _ in part], np.int64), leaf)
-            return pa.RecordBatch.from_pylist([_row(tree, next(number))], schema)
+            own = held.pop(dim)
+            path = f"{folder}/{label}-{part:06d}-{next(number):06d}.npz"
+            write_file(path, saved(np.stack([v for _, v in own]), np.array([i for i, _ in own], np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([path])], ["dim", "path"])
 
         for batch in batches:
             ids = batch.column("vec_id").to_pylist()
@@ -169,129 +167,72 @@ def build_index(rows: DataFrame, shard: int = SHARD, leaf: int = LEAF) -> DataFr
                 if ids[i] is not None:
                     own = held.setdefault(len(v), [])
                     own.append((ids[i], v))
-                    if len(own) == shard:
+                    if full(len(own), len(v)):
                         yield made(len(v))
         for dim in list(held):
             yield made(dim)
 
-    return materialize(rows.mapInArrow(run, _INDEX), "kd-index")
-
-
-_BLOCK = "block long, dim int, ids binary, vectors binary"
-
-
-def _blocks(queries: DataFrame, most: int) -> DataFrame:
-    """Blocks of queries (vec_id, embedding) of one dimension each, in the shared folder; at most `most` bytes of vectors."""
-    queries = pick(queries, ["vec_id", "embedding"]).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    numbers = queries.agg(F.sum(F.size("embedding").cast("long")).alias("n")).first().n or 0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
-        number = count(TaskContext.get().partitionId() << 32)
+    return materialize(rows.mapInArrow(run, _FILES), label)
 
-        def made(dim: int) -> pa.RecordBatch:
-            own = held.pop(dim)
-            columns = [next(number), dim, np.array([i for i, _ in own], "<i8").tobytes(), np.stack([v for _, v in own]).astype("<f8").tobytes()]
-            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(columns, types)], ["block", "dim", "ids", "vectors"])
-
-        for batch in batches:
-            ids = batch.column("vec_id").to_pylist()
-            for i, v in zip(*quantized(batch.column("embedding"))):
-                own = held.setdefault(len(v), [])
-                own.append((ids[i], v))
-                if (len(own) + 1) * v.nbytes > most:
-                    yield made(len(v))
-        for dim in list(held):
-            yield made(dim)
-
-    return materialize(queries.repartition(max(1, -(-8 * numbers // most))).mapInArrow(run, _BLOCK), "kd-queries")
 
+def build_index(rows: DataFrame, folder: str, shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
+    """dim and path of the shards of rows (vec_id, embedding): every vector that takes part is in one shard."""
+    rows = pick(rows, ["vec_id", "embedding"])
+    rows = rows.coalesce(max(1, rows.count() // shard))  # small input files don't make small shards
+    return _in_files(rows, folder, "kd-index", lambda n, _: n == shard, lambda vectors, ids: _saved(Tree.build(vectors, ids, leaf)))
 
-def _for_each_block(shards: DataFrame, of_dim: dict[int, list[int]]) -> DataFrame:
-    """shards, each once for every block of its dimension."""
-    many = lambda own: F.array(*[F.lit(b).cast("long") for b in own])
-    met = F.create_map(*[x for dim, own in of_dim.items() for x in (F.lit(dim), many(own))])
-    return shards.filter(F.col("dim").isin(*of_dim)).withColumn("block", F.explode(F.element_at(met, F.col("dim"))))
 
+def _blocks(queries: DataFrame, folder: str, most: int) -> DataFrame:
+    """dim and path of blocks of queries (vec_id, embedding) of one dimension each; at most `most` bytes of vectors."""
 
-def _seeded(blocks: DataFrame, index: DataFrame, k: int, of_dim: dict[int, list[int]]) -> DataFrame:
-    """blocks with start, for each query minus the kth best score that it has within one shard of its dimension (None: fewer)."""
-    first = {r.dim: r.shard for r in index.groupBy("dim").agg(F.min("shard").alias("shard")).collect() if r.dim in of_dim}
-    shard = _for_each_block(index.filter(F.col("shard").isin(*first.values())), of_dim).drop("shard", "n", "dim")
-    both = blocks.withColumnsRenamed({"ids": "query_ids", "vectors": "queries"}).join(shard, "block")
+    def saved(vectors: np.ndarray, ids: np.ndarray) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, vectors=vectors, ids=ids)
+        return out.getvalue()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                own, vectors = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["queries"], "<f8").reshape(-1, row["dim"])
-                best: list[list[tuple]] = [[] for _ in own]
-                _tree(row).search(vectors, own, best, k)
-                columns = [[row["block"]], [pickle.dumps([b[-1][0] if len(b) == k else None for b in best])]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()))], ["block", "start"])
-
-    return blocks.join(materialize(both.mapInArrow(run, "block long, start binary"), "kd-starts"), "block")
+    queries = pick(queries, ["vec_id", "embedding"]).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    numbers = queries.agg(F.sum(F.size("embedding").cast("long")).alias("n")).first().n or 0
+    return _in_files(queries.repartition(max(1, -(-8 * numbers // most))), folder, "kd-queries", lambda n, dim: 8 * (n + 1) * dim > most, saved)
 
 
-def _searched(index: DataFrame, blocks: DataFrame, k: int, group: int) -> DataFrame:
-    """(block, place, query_id, vec_id, score): what each shard adds to each query, by cells of a block and a group of shards."""
-    of_dim: dict[int, list[int]] = {}
-    for row in blocks.select("block", "dim").collect():  # two numbers for up to QUERY_BYTES of queries
-        of_dim.setdefault(row.dim, []).append(row.block)
+def _searched(index: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(block, place, query_id, vec_id, score): the k best of each query among the shards of each task."""
+    spark = index.sparkSession
     names = ["block", "place", "query_id", "vec_id", "score"]
     schema = ", ".join(f"{n} long" for n in names)
-    groups = -(-index.count() // group)
-    if not of_dim or not groups:
-        return index.sparkSession.createDataFrame([], schema)
-    shards = index.withColumn("cell", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int"))
-    shards = _for_each_block(shards, of_dim)
-    asked = _seeded(blocks, index, k, of_dim).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    rows = asked.withColumn("shard", F.lit(-1).cast("long")).unionByName(shards, allowMissingColumns=True)
-    spark = index.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # A block comes before the shards of its cell. The cells are small and take long, so Spark mustn't join tasks.
-    dealt = rows.repartition(min(tasks, groups * sum(map(len, of_dim.values()))), "block", "cell").sortWithinPartitions("block", "cell", "shard")
-    high = 2**63 - 1  # as an id: after all others
+    shards: dict[int, list[str]] = {}
+    for r in index.orderBy("path").toLocalIterator():
+        shards.setdefault(r.dim, []).append(r.path)
+    asked = [(r.dim, r.path) for r in blocks.orderBy("path").collect() if r.dim in shards]
+    if not asked:
+        return spark.createDataFrame([], schema)
+    # A block's shards go to several tasks only while there are idle cores for them.
+    wide = max(1, -(-4 * spark.sparkContext.defaultParallelism // len(asked)))
+    cells = []
+    for number, (dim, path) in enumerate(asked):
+        groups = min(wide, len(shards[dim]))
+        cells += [(number, path, shards[dim][g::groups]) for g in range(groups)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: np.ndarray | None = None
-        block, vectors, start, best = 0, None, [], []
-
-        def found() -> Iterator[pa.RecordBatch]:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for j, top in enumerate(best):
-                for s, i in top:
-                    if (s, i) != (start[j], high):
-                        for column, x in zip(out, (block, j, own[j], i, _long(int(-s)))):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
-
         for batch in batches:
-            for r in range(batch.num_rows):
-                row = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
-                if row["shard"] >= 0:
-                    _tree(row).search(vectors, own, best, k)
-                    continue
-                if own is not None:
-                    yield from found()
-                block, own = row["block"], np.frombuffer(row["ids"], "<i8")
-                vectors, start = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"]), pickle.loads(row["start"])
-                # A place that no row takes: k of them stand for the kth score that came with the query.
-                best = [[] if s is None else [(s, high)] * k for s in start]
-        if own is not None:
-            yield from found()
+            for row in batch.to_pylist():
+                block = np.load(io.BytesIO(read_file(row["path"])))
+                own, vectors = block["ids"], block["vectors"]
+                best: list[list[tuple]] = [[] for _ in own]
+                for path in row["shards"]:
+                    _tree(read_file(path)).search(vectors, own, best, k)
+                for a in range(0, len(own), 10_000):
+                    out = [(row["block"], j, own[j], i, _long(int(-s))) for j in range(a, min(a + 10_000, len(own))) for s, i in best[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 5)], names)
 
+    dealt = spark.createDataFrame(cells, "block long, path string, shards array<string>").repartition(len(cells))
     return dealt.mapInArrow(run, schema)
 
 
-def top_k(
-    rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, leaf: int = LEAF, query_bytes: int = QUERY_BYTES, group: int = GROUP
-) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, leaf: int = LEAF, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows (vec_id, embedding) for each query but its own, all if fewer."""
-    index = build_index(rows, shard, leaf)
-    blocks = _blocks(queries, query_bytes)
-    found = _searched(index, blocks, k, group)
+    folder = fresh_dir(rows.sparkSession, "kd")
+    found = _searched(build_index(rows, folder, shard, leaf), _blocks(queries, folder, query_bytes), k)
     order = Window.partitionBy("block", "place").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
