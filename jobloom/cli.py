@@ -76,7 +76,7 @@ def _upserted(t: Transaction, batch: DataFrame, now_ms: int) -> dict[str, int]:
 def load(t: Transaction, now_ms: int, args: argparse.Namespace) -> dict:
     """Postings in --jobs (Parquet: RAW_JOBS with company_id, provider_slug, seq) normalized and upserted."""
     seen = Observation()
-    batch = ingest.normalize(t.spark.read.parquet(args.jobs), now_ms).withColumn("provider", F.substring_index("id", ":", 1))
+    batch = ingest.normalize(t.spark.read.parquet(args.jobs), now_ms, body_chars=True).withColumn("provider", F.substring_index("id", ":", 1))
     batch = batch.observe(seen, *[c.alias(p) for p, c in _of_each("provider", PROVIDERS).items()])
     _upserted(t, batch.drop("provider"), now_ms)
     return dict(seen.get)
@@ -117,7 +117,7 @@ def scrape(t: Transaction, now_ms: int, args: argparse.Namespace) -> dict:
     bad = materialize(dispatch.unreadable(lists, details).observe(bad_seen, F.count(F.lit(1)).alias("n")), "unreadable")
     _beside(t, args, "quarantine", bad)
     _beside(t, args, "boards", jobs.groupBy("provider", "provider_slug", "company_id").agg(F.count("*").alias("postings")))
-    _upserted(t, ingest.normalize(jobs, now_ms), now_ms)
+    _upserted(t, ingest.normalize(jobs, now_ms, body_chars=True), now_ms)
     return {"postings": dict(found.get), "unreadable": bad_seen.get["n"]}
 
 
@@ -142,7 +142,7 @@ def probe_careers(t: Transaction, now_ms: int, args: argparse.Namespace) -> dict
     """
     companies = t.read("companies")
     due = search.probe_eligible(companies, now_ms, args.only, args.limit)
-    found = probe.probe(due, _landed(t, args, "pages", fetch.LANDED), _landed(t, args, "robots", "origin string, status int, body string"))
+    found = probe.probe(due, _landed(t, args, "pages", fetch.LOG), _landed(t, args, "robots", "origin string, status int, body string"))
     if args.rendered:
         found = probe.after_render(found, t.spark.read.parquet(args.rendered))
     before = companies.filter("careers_url IS NOT NULL").count()
@@ -157,7 +157,7 @@ def headless(t: Transaction, now_ms: int, args: argparse.Namespace) -> dict:
     """
     due = search.headless_eligible(t.read("companies"), now_ms, args.limit, args.only)
     found = probe.second_pass(
-        due, _landed(t, args, "pages", fetch.LANDED), _landed(t, args, "robots", "origin string, status int, body string"), t.spark.read.parquet(args.rendered)
+        due, _landed(t, args, "pages", fetch.LOG), _landed(t, args, "robots", "origin string, status int, body string"), t.spark.read.parquet(args.rendered)
     )
     found, counts, delta = _probed(t, args, now_ms, found)
     return maintain.headless_counts(found).first().asDict() | {"results": counts, "delta": delta}
@@ -171,9 +171,20 @@ def render_list(t: Transaction, now_ms: int, args: argparse.Namespace) -> dict:
     return {"urls": _listed(t, args, "render_list", urls, "url")}
 
 
+def land(t: Transaction, now_ms: int, args: argparse.Namespace) -> dict:
+    """Responses for the URLs in --urls (Parquet, column url) landed in the table `pages` of --landed, or with --browser in `rendered`."""
+    urls = t.spark.read.parquet(args.urls)
+    if args.dry_run:
+        return {r.state: r.n for r in fetch.frontier(urls, _landed(t, args, "pages", fetch.LOG)).groupBy("state").agg(F.count("*").alias("n")).collect()}
+    get, slots = fetch.plain_fetch, fetch.Scheduler()
+    if args.browser:
+        get, slots = fetch.rendering_fetch(args.browser), fetch.Scheduler(fetch.RENDER_SLOTS, fetch.HOST_PAUSE, fetch.PAUSE)
+    return fetch.land_frontier(urls, f"{args.landed.rstrip('/')}/{'rendered' if args.browser else 'pages'}", get, slots)
+
+
 def backfill(t: Transaction, now_ms: int, args: argparse.Namespace) -> dict:
     """Descriptions of listings without one, from landed responses (pages in --landed)."""
-    pages = _landed(t, args, "pages", fetch.LANDED).select("url", "status", F.col("body").alias("html"))
+    pages = _landed(t, args, "pages", fetch.LOG).select("url", "status", F.col("body").alias("html"))
     listings = t.read("listings")
     wanted = search.empty_descriptions(listings, now_ms)
     if args.limit:
@@ -220,11 +231,12 @@ JOBS = {
     "seed": Job(seed, takes=("batches",)), "load": Job(load, ("jobs",)), "scrape": Job(scrape, ("landed",), ("only", "limit")), "sweep": Job(sweep),
     "repair": Job(repair), "eligible": Job(eligible, takes=("only", "limit")), "probe": Job(probe_careers, ("landed",), ("only", "limit", "rendered")),
     "headless": Job(headless, ("landed", "rendered"), ("only", "limit")), "render-list": Job(render_list, takes=("only", "limit")),
+    "land": Job(land, ("landed", "urls"), ("browser",)),
     "backfill": Job(backfill, ("landed",), ("limit",)), "fulfil": Job(fulfil_payments, ("landed",)), "feed": Job(feed, takes=("pages",)),
 }
 #: What runs once a day: companies, postings, expiry, feed.
 DAILY = ("seed", "scrape", "sweep", "feed")
-OPTIONS = ("jobs", "batches", "rendered", "only", "limit", "pages")
+OPTIONS = ("jobs", "batches", "rendered", "urls", "browser", "only", "limit", "pages")
 
 
 def run_job(store: TableStore, name: str, now_ms: int, args: argparse.Namespace) -> dict:
@@ -270,6 +282,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--batches", help="folder of landed directory batches")
     p.add_argument("--landed", help="folder of landed tables")
     p.add_argument("--rendered", help="pages that a rendering fetcher landed (url, final_url, body)")
+    p.add_argument("--urls", help="land: table with a column url")
+    p.add_argument("--browser", help="land: command of a headless browser that renders")
     p.add_argument("--pages", action="store_true", help="feed: a file for each page, too")
     p.add_argument("--dry-run", action="store_true", help="compute and count, commit nothing")
     p.add_argument("--only", help="one batch of companies, or (scrape) the slug of one")

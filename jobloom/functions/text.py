@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ECMAScript white space, for the inside of a Java character class.
@@ -139,15 +139,30 @@ def _without_blocks(html: Column, by: str) -> Column:
     return where_it_holds(html, "</", (r"(?i)<script\b[^>]*>[\s\S]*?</script>", by), (r"(?i)<style\b[^>]*>[\s\S]*?</style>", by))
 
 
+HANDLERS = rf"""(?i)[{WS}]on[a-z]+[{WS}]*=[{WS}]*("{DOT}*?"|'{DOT}*?'|[^{WS}>]+)"""
+ENTITIES = (("(?i)&nbsp;", " "), ("(?i)&amp;", "&"))
+
+
 def sanitize_html(html: Column) -> Column:
     """Without scripts, styles and inline handlers. No protection against hostile HTML."""
-    handlers = rf"""(?i)[{WS}]on[a-z]+[{WS}]*=[{WS}]*("{DOT}*?"|'{DOT}*?'|[^{WS}>]+)"""
-    return where_it_holds(_without_blocks(html, ""), "=", (handlers, ""))
+    return where_it_holds(_without_blocks(html, ""), "=", (HANDLERS, ""))
 
 
 def strip_tags(html: Column) -> Column:
     bare = where_it_holds(_without_blocks(html, " "), "<", ("<[^>]+>", " "))
-    return squeeze(where_it_holds(bare, "&", ("(?i)&nbsp;", " "), ("(?i)&amp;", "&")))
+    return squeeze(where_it_holds(bare, "&", *ENTITIES))
+
+
+def cleaned(rows: DataFrame, html: str, said: str) -> DataFrame:
+    """rows with sanitize_html of the column html in its place, and strip_tags of that as the column `said`.
+
+    Each step is a column of its own: Catalyst computes it once and compiles it, where `let` would interpret it.
+    """
+    held = lambda name, sign, *steps: F.when(F.col(name).contains(sign), chain(F.col(name), *steps)).otherwise(F.col(name))
+    blocks = lambda by: ((r"(?i)<script\b[^>]*>[\s\S]*?</script>", by), (r"(?i)<style\b[^>]*>[\s\S]*?</style>", by))
+    rows = rows.withColumn(html, held(html, "</", *blocks(""))).withColumn(html, held(html, "=", (HANDLERS, "")))
+    rows = rows.withColumn(said, held(html, "</", *blocks(" "))).withColumn(said, held(said, "<", ("<[^>]+>", " ")))
+    return rows.withColumn(said, held(said, "&", *ENTITIES)).withColumn(said, squeeze(F.col(said)))
 
 
 def decode_entities(value: Column) -> Column:
@@ -235,24 +250,45 @@ def parse_compensation(text: Column) -> Column:
     return let(F.when(text.contains("$"), F.regexp_extract(text, pattern, 0)), read)
 
 
-def _says(text: Column, lower: Column, words: str) -> Column:
-    """has_word(text, words), tried only where the text in lower case holds one of the words."""
-    return reduce(Column.__or__, [lower.contains(w) for w in words.split("|")]) & has_word(text, words)
+#: All words of the stack and of the specialties; where one starts with another the longer is tried first.
+_WORDS = sorted({*STACK_TOKENS, *(w for _, words in SPECIALTY_WORDS for w in words.split("|"))}, key=lambda w: (-len(w), w))
+
+
+def known_words(text: Column) -> Column:
+    """The known words that a text says, in lower case, as an array: one pass over the text.
+
+    A word inside a longer one is there, too. Of known words that overlap the first is found alone; such words belong to one
+    specialty, and none of them is a token of the stack.
+    """
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){START}({'|'.join(_WORDS)}){END}")), lambda w: F.lower(w))
+    inside = [(w, v) for w in _WORDS for v in _WORDS if v != w and f" {v} " in f" {w} "]
+    return reduce(lambda words, p: let(words, _adding(*p)), inside, found)
+
+
+def _adding(word: str, more: str) -> Callable[[Column], Column]:
+    return lambda words: F.when(F.array_contains(words, word), F.concat(words, F.array(F.lit(more)))).otherwise(words)
+
+
+def stack_of(words: Column) -> Column:
+    """The stack's tokens among known_words, as a JSON array, in the table's order."""
+    return F.to_json(F.filter(F.array(*[F.lit(t) for t in STACK_TOKENS]), lambda t: F.array_contains(words, t)))
+
+
+def specialty_of(words: Column) -> Column:
+    out = None
+    for name, own in SPECIALTY_WORDS:
+        fits = F.arrays_overlap(words, F.array(*[F.lit(w) for w in own.split("|")]))
+        out = F.when(fits, name) if out is None else out.when(fits, name)
+    return out
 
 
 def parse_ai_stack(text: Column) -> Column:
     """The stack's tokens in a text, as a JSON array, in the table's order."""
-    return let(F.lower(text), lambda low: F.to_json(F.array_compact(F.array(*[F.when(_says(text, low, t), t) for t in STACK_TOKENS]))))
+    return let(known_words(text), stack_of)
 
 
 def parse_specialty(text: Column) -> Column:
-    def first(low: Column) -> Column:
-        out = None
-        for name, words in SPECIALTY_WORDS:
-            out = F.when(_says(text, low, words), name) if out is None else out.when(_says(text, low, words), name)
-        return out
-
-    return let(F.lower(text), first)
+    return let(known_words(text), specialty_of)
 
 
 def has_ai_tag(tags: Column) -> Column:

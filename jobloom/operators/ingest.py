@@ -17,28 +17,28 @@ LEAST_BODY = 100
 SECONDS = 10_000_000_000
 
 
-def normalize(jobs: DataFrame, now_ms: int) -> DataFrame:
-    """Listings from postings with company_id, provider and provider_slug; other columns of jobs are dropped but `seq`."""
-    def read(html: Column) -> Column:
-        """What the posting says, with its clean text computed once."""
-        told = lambda said: F.struct(
-            html.alias("html"), text.parse_compensation(F.concat("title", F.lit(" "), said)).alias("pay"), text.parse_ai_stack(said).alias("stack"), text.parse_specialty(said).alias("specialty")
-        )
-        return text.let(F.concat("title", F.lit(" "), text.strip_tags(html)), told)
-
-    rows = jobs.withColumns({
-        "said": text.let(text.sanitize_html(F.coalesce("description", F.lit(""))), read),
-        "place": text.parse_location(F.col("location")), "posted": times.parse_posted_at(F.col("posted_num"), F.col("posted_str"), now_ms),
+def normalize(jobs: DataFrame, now_ms: int, body_chars: bool = False) -> DataFrame:
+    """Listings from postings with company_id, provider and provider_slug; other columns of jobs are dropped but `seq`.
+
+    body_chars: with that column, the length of the description's text, which upserts look at.
+    """
+    rows = jobs.withColumn("html", F.coalesce("description", F.lit("")))
+    rows = text.cleaned(rows, "html", "plain").withColumn("said", F.concat("title", F.lit(" "), "plain"))
+    rows = rows.withColumn("words", text.known_words(F.col("said")))
+    rows = rows.withColumns({
+        "pay": text.parse_compensation(F.concat("title", F.lit(" "), "said")), "place": text.parse_location(F.col("location")),
+        "posted": times.parse_posted_at(F.col("posted_num"), F.col("posted_str"), now_ms),
     })
     listing = {
         "id": F.concat_ws(":", "provider", "provider_slug", "provider_job_id"), "company_id": F.col("company_id"), "title": F.col("title"),
         "location_city": F.col("place.city"), "location_country": F.col("place.country"), "location_is_remote": F.col("place.is_remote"),
-        "location_policy": F.col("place.policy"), "comp_min": F.col("said.pay.low"), "comp_max": F.col("said.pay.high"), "comp_currency": F.col("said.pay.currency"),
-        "comp_equity": F.col("said.pay.equity"), "ai_stack": F.col("said.stack"), "ai_specialty": F.col("said.specialty"),
-        "ai_compute_access": F.lit(None).cast("string"), "description_html": F.col("said.html"), "apply_url": F.col("apply_url"),
+        "location_policy": F.col("place.policy"), "comp_min": F.col("pay.low"), "comp_max": F.col("pay.high"), "comp_currency": F.col("pay.currency"),
+        "comp_equity": F.col("pay.equity"), "ai_stack": text.stack_of(F.col("words")), "ai_specialty": text.specialty_of(F.col("words")),
+        "ai_compute_access": F.lit(None).cast("string"), "description_html": F.col("html"), "apply_url": F.col("apply_url"),
         "posted_at": F.col("posted"), "expires_at": times.expiry(F.col("posted")), "updated_at": F.col("posted"), "status": F.lit("active"),
     }
     kept = ["seq"] if "seq" in jobs.columns else []
+    kept += [F.length("plain").alias("body_chars")] * body_chars
     return rows.select(*kept, *[listing[f.name].cast(f.dataType).alias(f.name) for f in LISTINGS.fields])
 
 
@@ -49,7 +49,9 @@ def assert_milliseconds(rows: DataFrame) -> DataFrame:
 
 
 def long_enough(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.length(text.strip_tags(F.col("description_html"))) >= LEAST_BODY)
+    """Rows with a body; its length is taken from body_chars where normalize has left it."""
+    chars = F.col("body_chars") if "body_chars" in rows.columns else F.length(text.strip_tags(F.col("description_html")))
+    return rows.filter(chars >= LEAST_BODY)
 
 
 def upsert_listings(listings: DataFrame, batch: DataFrame, now_ms: int) -> DataFrame:

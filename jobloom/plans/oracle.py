@@ -205,6 +205,7 @@ _RAW = {
     "all_active_feed": f"""SELECT id, CAST(to_json(r) AS VARCHAR) AS item FROM (SELECT r.id AS id, r FROM (SELECT {ROW} FROM {JOIN} WHERE {ACTIVE}) r)""",
     "feed_second_page": f"""SELECT id, posted_at FROM (SELECT l.id, posted_at, row_number() OVER ({RECENT}) AS k, count(*) OVER () AS n FROM {JOIN} WHERE {ACTIVE})
       WHERE n <= 1000 OR k BETWEEN 51 AND 100""",
+    "all_feed_pages": f"""SELECT id, posted_at, (k - 1) // 50 + 1 AS page FROM (SELECT l.id, posted_at, row_number() OVER ({RECENT}) AS k FROM {JOIN} WHERE {ACTIVE})""",
     "companies_by_name": "SELECT id, slug, name, website FROM companies_v",
     "company_by_slug": "SELECT id, slug, name, website FROM companies_v WHERE slug = 'customer-000000042'",
     "company_active_listings": f"SELECT {ROW} FROM {JOIN} WHERE {ACTIVE} AND l.company_id = 'co-7'",
@@ -291,6 +292,11 @@ _RAW = {
       FROM listings_v l FULL JOIN u ON l.id = u.id""",
     "upsert_companies_keep_careers": companies_after("CASE WHEN c.id IS NULL THEN f.careers_url ELSE c.careers_url END"),
     "upsert_companies_overwrite": companies_after("CASE WHEN f.id IS NULL THEN c.careers_url ELSE f.careers_url END"),
+    "runs_of_jobs": f"""WITH s AS (SELECT CASE WHEN status = 'active' AND CASE WHEN expires_at < 10000000000 THEN expires_at * 1000 ELSE expires_at END < {N} THEN 'expired' ELSE status END AS status,
+        expires_at < 10000000000 AS wrong FROM listings_v),
+      c AS (SELECT string_agg('"' || status || '": ' || n, ', ' ORDER BY status) AS parts FROM (SELECT status, count(*) AS n FROM s GROUP BY status))
+      SELECT 'day:repair' AS id, 'repair' AS job, CAST(1 AS BIGINT) AS base, '{{"repaired": ' || count(*) FILTER (wrong) || '}}' AS counters FROM s
+      UNION ALL SELECT 'day:sweep', 'sweep', 2, '{{' || parts || '}}' FROM c""",
     "sweep_expired": f"SELECT CASE WHEN status = 'active' AND expires_at < {N} THEN 'expired' ELSE status END AS status, count(*) AS n FROM listings_v GROUP BY 1",
     "repair_units": "SELECT id, CASE WHEN expires_at < 10000000000 THEN expires_at * 1000 ELSE expires_at END AS expires_at FROM listings_v",
     "unit_counts": "SELECT count(*) FILTER (expires_at < 10000000000) AS in_seconds, count(*) AS n FROM listings_v",
@@ -353,4 +359,14 @@ _RAW = {
     "board_jobs": f"""SELECT 'c' || seq AS provider_slug, CAST(seq AS VARCHAR) AS provider_job_id, title, nullif({squeeze("location")}, '') AS location,
       'https://www.workatastartup.com/application?signup_job_id=' || seq AS apply_url FROM raw_jobs_v WHERE provider = 'waas'""",
 }
+#: Upserted, and then swept; the store takes no expiry in seconds.
+_RAW["stored_upsert"] = f"""SELECT id, company_id, title, CASE WHEN status = 'active' AND expires_at < {N} THEN 'expired' ELSE status END AS status, expires_at, updated_at
+  FROM ({_RAW["upsert_listings"].replace("FROM listings_v l FULL JOIN", "FROM (SELECT * FROM listings_v WHERE expires_at >= 10000000000) l FULL JOIN")})"""
+_RAW["sql_search"] = f"""SELECT l.id, '/jobs/' || c.slug || '/' || {role("title", "l.id")} AS path, regexp_replace(lower(trim(coalesce(yc_batch, ''))), '[^a-z0-9]+', '-', 'g') AS batch,
+    CASE WHEN expires_at < 10000000000 THEN expires_at * 1000 ELSE expires_at END AS expires_at, comp AS pay, place
+  FROM listings_v l JOIN companies_v c ON c.id = l.company_id JOIN ({_RAW["format_comp"]}) f ON f.id = l.id JOIN ({_RAW["format_location"]}) p ON p.id = l.id
+  WHERE {ACTIVE}"""
+_RAW["frontier_states"] = f"""SELECT 'https://H' || (event_id % 50) || '.com/' || event_id AS url, 'h' || (event_id % 50) || '.com' AS host,
+    CASE WHEN event_id % 3 = 0 THEN 'new' WHEN event_id % 3 = 1 THEN 'landed' WHEN event_id % 6 = 5 THEN 'given_up' ELSE 'failed' END AS state,
+    CAST(CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE event_id % 6 END AS BIGINT) AS attempts, CAST(CASE WHEN event_id % 6 = 2 THEN {N} + 2 + 120000 ELSE 0 END AS BIGINT) AS next_at FROM events"""
 SQL = {name: with_views(sql) for name, sql in _RAW.items()}

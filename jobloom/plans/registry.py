@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobloom import cli
 from jobloom.functions import detect, docs, html, text, times
 from jobloom.operators import constraints, feed, fulfil, ingest, maintain, probe, search
 from jobloom.plans import boards, proofs
@@ -14,7 +15,7 @@ from jobloom.plans.proofs import page_variant
 from jobloom.plans.oracle import SQL
 from jobloom.schemas import LISTINGS
 from jobloom.sources import companies as directory
-from jobloom.sources import payloads
+from jobloom.sources import fetch, payloads, table_source
 from jobloom.sources.shared import fresh_dir
 from jobloom.sources.store import TableStore
 from jobloom.sources.views import NOW_MS, table, view
@@ -76,6 +77,12 @@ def all_active_feed(spark, sf_dir):
     return rows.select("id", docs.feed_row(rows.columns).alias("item"))
 
 
+@register
+def all_feed_pages(spark, sf_dir):
+    """Every page of the feed at once, by distributed ranks."""
+    return search.feed_pages(search.all_active(*_lc(spark, sf_dir), NOW_MS).select("id", "posted_at"))
+
+
 @register
 def feed_second_page(spark, sf_dir):
     total = search.count_active(*_lc(spark, sf_dir), search.Filters(), NOW_MS).first().n
@@ -340,7 +347,7 @@ def optional_fields(spark, sf_dir):
 
 @register
 def upsert_listings(spark, sf_dir):
-    batch = ingest.normalize(view(spark, sf_dir, "raw_jobs_v"), NOW_MS)
+    batch = ingest.normalize(view(spark, sf_dir, "raw_jobs_v"), NOW_MS, body_chars=True)
     old = view(spark, sf_dir, "listings_v")
     return ingest.upsert_listings(old, batch, NOW_MS)
 
@@ -456,6 +463,57 @@ def streamed_payments(spark, sf_dir):
     return store.read("paid_listings").select("stripe_event_id", "stripe_session_id", "tier", "paid_at")
 
 
+@register
+def stored_upsert(spark, sf_dir):
+    """Listings in buckets under the commit log: written, upserted from postings, swept and read back."""
+    store = TableStore(spark, fresh_dir(spark, "store"), bucket_rows=2_000)
+    store.write("companies", view(spark, sf_dir, "companies_v"))
+    store.write("listings", view(spark, sf_dir, "listings_v").filter("expires_at >= 10000000000"))
+    merged = ingest.merged_listings(ingest.normalize(view(spark, sf_dir, "raw_jobs_v"), NOW_MS, body_chars=True))
+
+    def work(t):
+        t.upsert("listings", ingest.changed_listings(t.rows_of("listings", merged.select("id")), merged, NOW_MS))
+        t.upsert("listings", maintain.swept(t.read("listings"), NOW_MS))
+
+    store.transact(work)
+    return store.read("listings").select("id", "company_id", "title", "status", "expires_at", "updated_at")
+
+
+@register
+def sql_search(spark, sf_dir):
+    """A search in SQL alone over the stored tables: folders pruned by the manifest, the library's rules as SQL functions."""
+    store = TableStore(spark, fresh_dir(spark, "store"), bucket_rows=5_000)
+    store.write("companies", view(spark, sf_dir, "companies_v"))
+    store.write("listings", view(spark, sf_dir, "listings_v"), check=False)
+    table_source.views(spark, store.root, prefix="stored_")
+    return spark.sql(f"""
+      SELECT l.id, jobloom_job_path(c.slug, title, l.id) AS path, jobloom_normalized_batch(yc_batch) AS batch, jobloom_repair_unit(expires_at) AS expires_at,
+             jobloom_format_comp(comp_min, comp_max, comp_currency) AS pay, jobloom_format_location(location_city, location_country, location_is_remote, location_policy) AS place
+      FROM stored_listings l JOIN stored_companies c ON c.id = company_id WHERE status = 'active' AND expires_at > {NOW_MS}""")
+
+
+@register
+def frontier_states(spark, sf_dir):
+    """What is still to be asked for, by a log of answers and failures made of the events."""
+    k = F.col("event_id")
+    urls = table(spark, sf_dir, "events").select(F.concat(F.lit("https://H"), k % 50, F.lit(".com/"), k).alias("url"))
+    tries = F.when(k % 3 == 0, 0).when(k % 3 == 1, 1).otherwise(k % 6).cast("int")
+    log = table(spark, sf_dir, "events").withColumn("try", F.explode(F.sequence(F.lit(0), tries))).filter("try > 0")
+    log = log.select(F.concat(F.lit("https://H"), k % 50, F.lit(".com/"), k).alias("url"), F.when(k % 3 == 1, 200).alias("status"), (F.lit(NOW_MS) + F.col("try")).alias("landed_at"))
+    return fetch.frontier(urls, log)
+
+
+@register
+def runs_of_jobs(spark, sf_dir):
+    """Two jobs over a store of the views, and what each left in `runs`, in the commit that made its tables."""
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    store.write("companies", view(spark, sf_dir, "companies_v"))
+    store.write("listings", view(spark, sf_dir, "listings_v"), check=False)
+    for job in ("repair", "sweep"):
+        cli.main([job, "--store", store.root, "--now-ms", str(NOW_MS), "--run", "day"], spark)
+    return store.read("runs").select("id", "job", "base", "counters")
+
+
 @register
 def payment_errors(spark, sf_dir):
     """What is wrong with the events that can't be fulfilled."""

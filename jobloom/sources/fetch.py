@@ -14,13 +14,21 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from http.client import HTTPConnection, HTTPSConnection
+from itertools import islice
 from urllib.error import HTTPError
 from urllib.parse import urlsplit
 from urllib.request import HTTPHandler, HTTPSHandler, OpenerDirector, Request, build_opener
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobloom.operators.ranks import ranked
+from jobloom.sources.shared import discard, materialize
 
 LANDED = "url string, final_url string, status int, content_type string, body string, error string"
+LOG = f"{LANDED}, landed_at bigint"
+#: URLs that are asked for before what came is written; how often one without an answer is asked again, and after how long, in ms.
+CHUNK, TRIES, AGAIN_MS = 500, 4, 60_000
 # Requests in flight and pauses of the plain and of the rendering fetcher; in seconds the timeouts of
 # connecting, reading, reading a body for detection, and rendering, and how long a page may go on loading.
 PLAIN_SLOTS, RENDER_SLOTS, HOST_PAUSE, PAUSE = 6, 2, 1.0, 0.25
@@ -108,9 +116,8 @@ class Scheduler:
                 self.free[host] = self.clock() + self.host_pause
 
 
-def land(spark: SparkSession, urls: Iterable[str], fetch: Callable[[str], Response] = plain_fetch, scheduler: Scheduler | None = None) -> DataFrame:
-    """Rows of LANDED for each different URL, in order; a failure has no status and says why."""
-    scheduler = scheduler or Scheduler()
+def _rows(urls: Iterable[str], fetch: Callable[[str], Response], scheduler: Scheduler) -> list[tuple]:
+    """A row of LANDED for each different URL, in order; a failure has no status and says why."""
 
     def one(url: str) -> tuple:
         try:
@@ -120,4 +127,50 @@ def land(spark: SparkSession, urls: Iterable[str], fetch: Callable[[str], Respon
             return url, None, None, None, None, f"{type(e).__name__}: {e}"
 
     with ThreadPoolExecutor(max(1, scheduler.slots)) as pool:
-        return spark.createDataFrame(list(pool.map(one, dict.fromkeys(urls))), LANDED)
+        return list(pool.map(one, dict.fromkeys(urls)))
+
+
+def land(spark: SparkSession, urls: Iterable[str], fetch: Callable[[str], Response] = plain_fetch, scheduler: Scheduler | None = None) -> DataFrame:
+    """Rows of LANDED for each different URL, in order; a failure has no status and says why."""
+    return spark.createDataFrame(_rows(urls, fetch, scheduler or Scheduler()), LANDED)
+
+
+def frontier(urls: DataFrame, log: DataFrame) -> DataFrame:
+    """url, host, state, attempts and next_at (ms) of each different url, by what has been landed (LOG) so far.
+
+    state: new, landed, failed (no answer, to be asked again from next_at on) or given_up after TRIES attempts.
+    """
+    asked = urls.select("url").filter("url IS NOT NULL").distinct()
+    seen = log.groupBy("url").agg(F.count("*").alias("attempts"), F.max(F.col("status").isNotNull()).alias("answered"), F.max("landed_at").alias("last"))
+    rows = asked.join(seen, "url", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+    state = F.when(F.col("attempts") == 0, "new").when(F.col("answered"), "landed").when(F.col("attempts") >= TRIES, "given_up").otherwise("failed")
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    # The pause doubles with each attempt.
+    again = F.coalesce(F.col("last"), F.lit(0)) + F.lit(AGAIN_MS) * F.expr("shiftleft(1L, CAST(least(attempts, 20) - 1 AS INT))")
+    return rows.select("url", host.alias("host"), state.alias("state"), "attempts", F.when(state == "failed", again).otherwise(0).alias("next_at"))
+
+
+def land_frontier(
+    urls: DataFrame, folder: str, fetch: Callable[[str], Response] = plain_fetch, scheduler: Scheduler | None = None, chunk: int = CHUNK,
+    clock: Callable[[], float] = time.time,
+) -> dict[str, int]:
+    """Lands what the table at `folder` (LOG) lacks of urls (url), in chunks that are written as they come.
+
+    The table is the only state: after a crash a further run asks for what isn't there, and for failures that are due. Hosts
+    take turns, so that a chunk keeps all slots busy; the driver holds one chunk's responses, however many URLs there are.
+    """
+    spark, scheduler = urls.sparkSession, scheduler or Scheduler()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    log = spark.read.schema(LOG).parquet(folder) if there else spark.createDataFrame([], LOG)
+    due = frontier(urls, log).filter(F.col("state").isin("new", "failed") & (F.col("next_at") <= int(clock() * 1000)))
+    queue = materialize(ranked(due.select("url", "host", "next_at"), [F.col("next_at"), F.col("url")], ["host"], "turn").orderBy("turn", "host"), "frontier")
+    counts = {"asked": 0, "answered": 0, "failed": 0}
+    waiting = queue.orderBy("turn", "host").select("url").toLocalIterator()
+    while some := [r.url for r in islice(waiting, chunk)]:
+        rows = [(*row, int(clock() * 1000)) for row in _rows(some, fetch, scheduler)]
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(folder)
+        answered = sum(r[2] is not None for r in rows)
+        counts = {"asked": counts["asked"] + len(rows), "answered": counts["answered"] + answered, "failed": counts["failed"] + len(rows) - answered}
+    discard(queue)
+    return counts

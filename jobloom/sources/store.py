@@ -287,7 +287,7 @@ class Transaction:
         found: dict[str, int] = {}
         for e in self.manifest("listings")["entries"]:
             found[e["status"]] = found.get(e["status"], 0) + e["rows"]
-        return found
+        return dict(sorted(found.items(), key=str))
 
     def manifest(self, name: str) -> dict[str, Any]:
         return self.store.manifest(name, self.tables.get(name))

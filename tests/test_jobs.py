@@ -41,6 +41,44 @@ def test_landing(spark):
     assert [r.error for r in rows if r.status is None] == ["TimeoutError: slow"]
 
 
+def test_landing_goes_on_after_a_crash(spark, tmp_path):
+    folder, asked, now, held = f"file://{tmp_path}/pages", [], [1000.0], []
+    urls = spark.createDataFrame([(f"https://h{i % 7}.com/{i}",) for i in range(40)] + [(None,), ("https://h1.com/1",)], "url string").repartition(5)
+
+    def get(url, dies=None):
+        asked.append(url)
+        if dies and len(asked) == dies:
+            raise SystemExit  # no failure of a URL: the process ends
+        if url.endswith("/9"):
+            raise TimeoutError("slow")
+        return fetch.Response(url, 200, "text/html", "x" * 1000)
+
+    def write(rows, schema, own=spark.createDataFrame):
+        held.append(len(rows))
+        return own(rows, schema)
+
+    land = lambda get: fetch.land_frontier(urls, folder, get, fetch.Scheduler(slots=3), chunk=8, clock=lambda: now[0])
+    with pytest.raises(SystemExit):
+        land(lambda url: get(url, 20))
+    done = {r.url for r in spark.read.parquet(folder).collect()}
+    assert len(done) == 16 and len({u.split("/")[2] for u in asked[:7]}) == 7  # hosts take turns
+    asked.clear()
+    spark_create, spark.createDataFrame = spark.createDataFrame, write
+    try:
+        assert land(get) == {"asked": 24, "answered": 23, "failed": 1} or "https://h2.com/9" in done
+    finally:
+        spark.createDataFrame = spark_create
+    assert not done & set(asked) and max(held) <= 8
+    assert land(get)["asked"] == 0  # the failure isn't due yet
+    for _ in range(5):
+        now[0] += 10_000
+        asked.clear()
+        land(get)
+    log = spark.read.schema(fetch.LOG).parquet(folder)
+    states = {r.url: (r.state, r.attempts) for r in fetch.frontier(urls, log).collect()}
+    assert states.pop("https://h2.com/9") == ("given_up", fetch.TRIES) and set(states.values()) == {("landed", 1)} and not asked
+
+
 class Slow(http.server.BaseHTTPRequestHandler):
     def do_GET(self):
         if self.path == "/slow":
