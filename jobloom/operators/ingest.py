@@ -44,14 +44,21 @@ def normalize(jobs: DataFrame, now_ms: int, body_chars: bool = False) -> DataFra
 
 def assert_milliseconds(rows: DataFrame) -> DataFrame:
     """Fails the job where a row's expires_at is null or in seconds: one bad row rejects the batch."""
-    ok = F.assert_true(F.coalesce(F.col("expires_at") >= SECONDS, F.lit(False)), F.concat(F.lit("expires_at is not in milliseconds: "), F.col("id")))
-    return rows.withColumn("expires_at", F.when(ok.isNull(), F.col("expires_at")))
+    return rows.withColumn("expires_at", asserted(F.coalesce(F.col("expires_at") >= SECONDS, F.lit(False)), F.col("expires_at")))
+
+
+def asserted(in_ms: Column, expires_at: Column) -> Column:
+    ok = F.assert_true(in_ms, F.concat(F.lit("expires_at is not in milliseconds: "), F.col("id")))
+    return F.when(ok.isNull(), expires_at)
+
+
+def body_length(rows: DataFrame) -> Column:
+    """Characters of a listing's text, from body_chars where normalize has left it."""
+    return F.col("body_chars") if "body_chars" in rows.columns else F.length(text.strip_tags(F.col("description_html")))
 
 
 def long_enough(rows: DataFrame) -> DataFrame:
-    """Rows with a body; its length is taken from body_chars where normalize has left it."""
-    chars = F.col("body_chars") if "body_chars" in rows.columns else F.length(text.strip_tags(F.col("description_html")))
-    return rows.filter(chars >= LEAST_BODY)
+    return rows.filter(body_length(rows) >= LEAST_BODY)
 
 
 def upsert_listings(listings: DataFrame, batch: DataFrame, now_ms: int) -> DataFrame:
@@ -69,10 +76,14 @@ def merged_listings(batch: DataFrame) -> DataFrame:
     new: the last row; first_company: the first row's; n: rows of the id.
     """
     names = [f.name for f in LISTINGS.fields]
-    kept = assert_milliseconds(long_enough(batch))
-    merged = kept.groupBy("id").agg(
-        F.max_by(F.struct(*names), "seq").alias("new"), F.min_by("company_id", "seq").alias("first_company"), F.count("*").alias("n")
-    )
+    # No filter before the aggregate: Catalyst would push it below the texts' columns and work them out twice.
+    rows = batch.withColumn("_kept", body_length(batch) >= LEAST_BODY)
+    in_ms = F.coalesce(F.col("expires_at") >= SECONDS, F.lit(False))
+    rows = rows.withColumn("expires_at", F.when(F.col("_kept"), asserted(in_ms, F.col("expires_at"))).otherwise(F.col("expires_at")))
+    order = F.when(F.col("_kept"), F.col("seq"))
+    merged = rows.groupBy("id").agg(
+        F.max_by(F.struct(*names), order).alias("new"), F.min_by("company_id", order).alias("first_company"), F.count_if("_kept").alias("n")
+    ).filter("n > 0")
     return materialize(merged, "batch")  # read three times
 
 
