@@ -26,6 +26,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -265,15 +266,21 @@ def _composed(docs: DataFrame, found: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         order = pc.sort_indices(right, [("number", "ascending")])
         strings = _chunk(right, "groups").take(order).to_pylist()
+        del right, order
         invalid = np.array([t is None for t in strings], bool)
-        found = [(0, 0, 0, [], []) if t is None else linked(t) for t in strings]
-        sizes = np.array([len(f[3]) for f in found], np.int64)
-        pairs, places = np.unique(np.array([p for f in found for p in f[3]], np.int64), return_inverse=True)
-        each_times = np.array([n for f in found for n in f[4]], np.int64)
-        sums_of = np.array([f[:3] for f in found], np.int64).reshape(-1, 3)
+        of, all_times, sums_of, sizes = (array("q") for _ in range(4))  # plain numbers: a block has some 100,000 segments
+        for t in strings:
+            n_a, n_b, n_groups, own, times = (0, 0, 0, (), ()) if t is None else linked(t)
+            of.extend(own)
+            all_times.extend(times)
+            sums_of.extend((n_a, n_b, n_groups))
+            sizes.append(len(own))
+        sizes, each_times = np.frombuffer(sizes, np.int64), np.frombuffer(all_times, np.int64)
+        sums_of = np.frombuffer(sums_of, np.int64).reshape(-1, 3)
+        pairs, places = np.unique(np.frombuffer(of, np.int64), return_inverse=True)
+        places = places.astype(np.int32)
         starts = np.cumsum(sizes) - sizes
         held = np.zeros(len(pairs), np.int64)
-        del found
         made, none = [], (0, 0, 0, 0, "", b"", b"")
         for body in left.column("body"):
             body = body.as_py()
