@@ -57,8 +57,8 @@ def record_id(page_id: int | None, url: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"
 
 
-def record(page_id: int | None, url: str, body: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
-    """A response record, or a revisit, without the body, where refers_to is given.
+def record(page_id: int | None, url: str, body: bytes, size: int, digest: str, refers_to: int | None, refers_url: str = "") -> bytes:
+    """A response record, or a revisit, without the body, where refers_to and refers_url, those of the response, are given.
 
     size and digest (lowercase hex SHA-1) are those of the full payload. Line ends in the url are left out.
     """
@@ -72,7 +72,9 @@ def record(page_id: int | None, url: str, body: bytes, size: int, digest: str, r
     headers += [("X-Payload-Length", str(size)), ("WARC-Payload-Digest", _b32(digest))]
     headers.append(("WARC-Block-Digest", _b32(hashlib.sha1(block).hexdigest())))
     if refers_to is not None:
-        headers += [("WARC-Profile", _REVISIT_PROFILE), ("X-Refers-To-Page-ID", str(refers_to))]
+        target = "".join(c for c in refers_url if c not in "\r\n")
+        headers += [("WARC-Profile", _REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, refers_url)), ("WARC-Refers-To-Target-URI", target)]
+        headers += [("WARC-Refers-To-Date", _DATE), ("X-Refers-To-Page-ID", str(refers_to))]
     headers += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n"
     return head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
@@ -182,16 +184,20 @@ def _dictionary(pages: DataFrame) -> bytes:
 
 
 def referred(pages: DataFrame, revisit: int = REVISIT, hot: int = HOT) -> DataFrame:
-    """pages (page_id, url, html; no nulls but in page_id) with digest, size and, of revisits, refers_to in place of the html."""
+    """pages (page_id, url, html; no nulls but in page_id) with digest, size and, of revisits, refers_to and refers_url in place of the html."""
     known = pages.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    last = known.filter(F.col("size") >= revisit).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
-    last = materialize(last, "copies")
+    small, known = known.filter(F.col("size") < revisit), known.filter(F.col("size") >= revisit)
+    # Of equal page_ids with equal payloads each is a response; a revisit names that with the greatest url.
+    last = known.groupBy("digest", "size").agg(F.max(F.struct("page_id", F.col("url").alias("last_url"))).alias("last"), F.count("*").alias("n")).filter("n > 1")
+    last = materialize(last.select("digest", "size", "last.*", "n").withColumnRenamed("page_id", "last"), "copies")
     often = F.col("n") * hot > pages.count()
-    few = F.broadcast(last.filter(often).select("digest", "size", "last"))
-    rest = known.join(few, ["digest", "size"], "left_anti").join(last.filter(~often).select("digest", "size", "last"), ["digest", "size"], "left")
-    rows = known.join(few, ["digest", "size"]).unionByName(rest)
+    own = ["digest", "size", "last", "last_url"]
+    few = F.broadcast(last.filter(often).select(*own))
+    rest = known.join(few, ["digest", "size"], "left_anti").join(last.filter(~often).select(*own), ["digest", "size"], "left")
+    rows = known.join(few, ["digest", "size"]).unionByName(rest).unionByName(small, allowMissingColumns=True)
     other = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.select("page_id", "url", F.when(~other, F.col("html")).alias("html"), "digest", "size", F.when(other, F.col("last")).alias("refers_to"))
+    refers = [F.when(other, F.col(c)).alias(n) for c, n in (("last", "refers_to"), ("last_url", "refers_url"))]
+    return rows.select("page_id", "url", F.when(~other, F.col("html")).alias("html"), "digest", "size", *refers)
 
 
 def write_archives(pages: DataFrame, where: str, archive: int = ARCHIVE, revisit: int = REVISIT, hot: int = HOT) -> None:
@@ -215,9 +221,9 @@ def write_archives(pages: DataFrame, where: str, archive: int = ARCHIVE, revisit
 
         for batch in batches:
             for r in range(batch.num_rows):
-                page_id, url, html, digest, size, refers_to = (batch.column(k)[r].as_py() for k in range(6))
+                page_id, url, html, digest, size, refers_to, refers_url = (batch.column(k)[r].as_py() for k in range(7))
                 own = own or Archive(dictionary)
-                own.add(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), size, digest, refers_to))
+                own.add(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), size, digest, refers_to, refers_url or ""))
                 if len(own.data) >= archive:
                     close()
         if own:
