@@ -171,9 +171,9 @@ def _machine(key: str, sent: Broadcast, width: int) -> WuManber:
     return _built[key]
 
 
-def _search(docs: DataFrame, keys: list[str], block: list[tuple[str, bytes | None]], width: int) -> DataFrame:
-    """One pass over docs (keys and text) for the windows of one block of items."""
-    sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+def _search(docs: DataFrame, keys: list[str], sent: Broadcast, width: int) -> DataFrame:
+    """One pass over docs (keys and text) for the windows of one block of items, as it was sent out."""
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(key, sent, width)
@@ -224,23 +224,24 @@ def find_overlaps(
     docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, keys: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """For each row of docs (text and keys): keys, n_words, spans of hit words (merged, [start, end)), items (sorted ids)."""
-    spark = docs.sparkSession
+    send = docs.sparkSession.sparkContext.broadcast
     docs = pick(docs, list(dict.fromkeys([*keys, "text"])))
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     if total <= block_bytes:
-        return _search(docs, [*keys], next(_blocks(items, block_bytes)), width)
+        return _search(docs, [*keys], send(next(_blocks(items, block_bytes))), width)
     docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    passes = [
-        materialize(_search(docs, ["row"], block, width).filter(F.size("items") > 0), "decontaminate-hits")
-        for block in _blocks(items, block_bytes)
-    ]
+    passes = []
+    for block in _blocks(items, block_bytes):
+        sent = send(block)
+        passes.append(materialize(_search(docs, ["row"], sent, width).filter(F.size("items") > 0), "decontaminate-hits"))
+        sent.destroy()  # a block is on the executors during its own pass only
     hits = passes[0]
     for p in passes[1:]:
         hits = hits.union(p)
     hits = hits.groupBy("row").agg(
         joined(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    counted = _search(docs, ["row", *keys], [], width).drop("spans", "items")
+    counted = _search(docs, ["row", *keys], send([]), width).drop("spans", "items")
     return counted.join(hits, "row", "left").select(
         *keys, "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
