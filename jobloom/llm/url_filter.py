@@ -19,6 +19,7 @@ in order of its text; repeated rows are judged one by one and counted each.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal, localcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,6 +124,14 @@ def score(rows: DataFrame, model: DataFrame, hot: int = HOT) -> DataFrame:
     return summed.select("row", (F.col("llr").cast("double") / F.col("n")).alias("score"))
 
 
+def _mean_and_spread(n: int, total: Decimal, squares: Decimal) -> tuple[float, float]:
+    """Mean and standard deviation from a count, the sum and the sum of squares."""
+    with localcontext() as c:
+        c.prec = 60
+        mean = total / n
+        return float(mean), float(max(squares / n - mean * mean, Decimal(0)).sqrt())
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of each row of pages (page_id, url)."""
     spark = pages.sparkSession
@@ -136,12 +145,15 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     scored = rows.drop("url").join(score(rows, model), "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     scored = materialize(scored.drop("row"), "url-scores")
     discard(rows, model)
-    stats = {r.says: r for r in scored.filter("says IS NOT NULL").groupBy("says").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).collect()}
+    # Decimals again: sums of doubles would depend on the order of tasks, and the threshold with them.
+    exact = F.col("score").cast("decimal(20,18)")
+    sums = scored.filter("says IS NOT NULL").groupBy("says").agg(F.count("*").alias("n"), F.sum(exact).alias("s"), F.sum((exact * exact).cast("decimal(26,24)")).alias("q"))
+    stats = {r.says: _mean_and_spread(r.n, r.s, r.q) for r in sums.collect()}
     threshold = 0.0
     if len(stats) == 2:
-        a, b = stats["allow"], stats["block"]
-        spread = a.sd + b.sd
-        threshold = (a.mean * b.sd + b.mean * a.sd) / spread if spread > 0 else (a.mean + b.mean) / 2
+        (mean, sd), (other, other_sd) = stats["allow"], stats["block"]
+        spread = sd + other_sd
+        threshold = (mean * other_sd + other * sd) / spread if spread > 0 else (mean + other) / 2
     verdict = F.coalesce("says", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
