@@ -216,6 +216,8 @@ RULES = r"""
 1 0.70 cc-by-nc-nd | cc by nc nd | cc by nc nd
 1 0.60 creative-commons | creative commons | creative commons(?: licen[cs]e)?
 1 0.70 cc-by | creative commons attribution | creative commons attribution(?: licen[cs]e)?
+2 0.80 cc-by-sa-4.0 | creative commons attribution | creative commons attribution share ?alike 4 0
+2 0.80 cc-by-sa-3.0 | creative commons attribution | creative commons attribution share ?alike 3 0
 1 0.70 cc-by-sa | creative commons attribution | creative commons attribution share ?alike
 1 0.70 lgpl | lesser general public license | (?:gnu )?lesser general public license
 1 0.70 lgpl | library general public license | (?:gnu )?library general public license
