@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,16 +51,13 @@ BODY_PATTERNS = (
 )
 
 
-# What any text holds, in lower case, that a matcher of a board can fit.
-HOSTS = (
-    "workatastartup.com", "boards.greenhouse.io", "greenhouse.io", "jobs.lever.co", "jobs.ashbyhq.com", "smartrecruiters.com", "workable.com",
-    "myworkdayjobs.com", "notion.site", "notion.so", "/companies/",
-)
+# What a text holds that any matcher of a board can fit.
+HOSTS = ("workatastartup.com", "greenhouse.io", "jobs.lever.co", "jobs.ashbyhq.com", "smartrecruiters.com", "workable.com", "myworkdayjobs.com", "notion.site", "notion.so", "/companies/")
+ANY_HOST = "(?i)" + "|".join(h.replace(".", r"\.") for h in (*HOSTS, *EMBED_SIGNALS))
 
 
 @dataclass(frozen=True)
 class Matcher:
-    host: str  # one of HOSTS: without it the pattern can't fit
     provider: str
     pattern: str
     groups: int
@@ -76,8 +72,7 @@ def _matchers() -> list[Matcher]:
             own = rf"(?i)^(?:https?://)?{pattern}(?:[/?#]{DOT}*)?\z" if anchored else pattern
             groups = {"workday": 3, "notion": 2}.get(provider, 1)
             site = "notion\\.site" in pattern
-            host = next(h for h in HOSTS if h in pattern.replace("\\", ""))
-            out.append(Matcher(host, provider, own, groups, site, site))
+            out.append(Matcher(provider, own, groups, site, site))
     return out
 
 
@@ -120,22 +115,18 @@ def detect_embed(text: Column) -> Column:
 def detect(value: Column) -> Column:
     """struct<provider, slug> of the first matcher that fits a URL or a page's text, or null."""
 
-    def first(text: Column, low: Column) -> Column:
+    def first(text: Column) -> Column:
         found = None
         for m in MATCHERS:
-            fits = low.contains(m.host) & text.rlike(m.pattern)
+            fits = text.rlike(m.pattern)
             if m.guarded:
                 fits = fits & (has_careers_token(_slug(text, m)) | has_careers_token(text))
             says = _result(F.lit(m.provider), _slug(text, m))
             found = F.when(fits, says) if found is None else found.when(fits, says)
-        embedded = reduce(Column.__or__, [low.contains(s) for s in ("/companies/", *EMBED_SIGNALS)])
-        return F.coalesce(F.when(embedded, detect_embed(text)), found)
+        # Most URLs and pages name no board: one look for the boards' hosts spares them all patterns.
+        return F.when(text.rlike(ANY_HOST), F.coalesce(detect_embed(text), found))
 
-    # Most URLs and pages name no board: a look for the boards' hosts spares them the patterns.
-    def looked_at(text: Column) -> Column:
-        return let(F.lower(text), lambda low: F.when(reduce(Column.__or__, [low.contains(h) for h in (*HOSTS, *EMBED_SIGNALS)]), first(text, low)))
-
-    return let(js_trim(value), looked_at)
+    return let(js_trim(value), first)
 
 
 def detect_with_body(url: Column, body: Column) -> Column:

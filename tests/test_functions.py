@@ -152,3 +152,13 @@ def test_forms(spark):
     assert len(run(spark, [",".join(f"k{i}" for i in range(40))], text.parse_stack)[0]) == 24
     assert run(spark, ["https://a.com", "http://a", "ftp://a.com", "a.com", "https://"], docs.is_web_url) == [True, True, False, False, False]
     assert run(spark, ["HTTPS://A.com:80/x", "Not a URL"], docs.website_of_draft) == ["https://a.com", "not a url"]
+
+
+def test_no_pattern_of_a_board_fits_without_its_host():
+    import re
+
+    for pattern in (m.pattern for m in detect.MATCHERS):
+        plain = re.sub(r"\\(?=[./-])", "", pattern)
+        assert any(h in plain for h in detect.HOSTS), pattern
+    for embedded in (detect.EMBED_JOB_PATH, detect.EMBED_JOB_URL):
+        assert "/companies/" in embedded
