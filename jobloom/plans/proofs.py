@@ -313,6 +313,24 @@ def rendered_probe(spark, sf_dir):
     return probe.after_render(rows.drop("k"), pages).select("id", "careers_url", "ats_provider", "result")
 
 
+@proof(f"""WITH d AS (SELECT id, slug, CAST(substr(id, 4) AS BIGINT) AS k FROM companies_v WHERE website IS NOT NULL AND trim(website) <> '' AND careers_probe_result IN ('no_page', 'error')
+    AND careers_probe_at >= {NOW_MS - 2592000000}), h AS (SELECT *, k % 3 <> 1 AND k % 2 = 0 AS hit FROM d)
+  SELECT id, CASE WHEN hit THEN 'https://jobs.lever.co/' || slug END AS careers_url, CASE WHEN hit THEN 'lever' END AS ats_provider, CASE WHEN hit THEN 'found_ats' ELSE 'error' END AS result FROM h""")
+def second_pass(spark, sf_dir):
+    """Companies probed of late without a page, or with an error, probed anew and then by their rendered pages.
+
+    Of a third the homepage is landed, of a third its failure, of the others nothing; every other rendered homepage names a board.
+    """
+    due = search.headless_eligible(view(spark, sf_dir, "companies_v").withColumn("careers_url", F.lit(None).cast("string")), NOW_MS)
+    rows = due.select("id", "slug", "website", F.substring("id", 4, 20).cast("bigint").alias("k"), probe.website_url(F.col("website")).alias("url"))
+    fails = F.col("k") % 3 == 1
+    pages = rows.filter("k % 3 < 2").select("url", F.col("url").alias("final_url"), F.when(~fails, 200).alias("status"), F.lit("text/html").alias("content_type"), F.when(~fails, "<p>app</p>").alias("body"))
+    robots = spark.createDataFrame([], "origin string, status int, body string")
+    board = F.concat(F.lit('<a href="https://jobs.lever.co/'), "slug", F.lit('">j</a>'))
+    rendered = rows.select("url", F.col("url").alias("final_url"), F.when(F.col("k") % 2 == 0, board).otherwise("<p>x</p>").alias("body"))
+    return probe.second_pass(due, pages, robots, rendered).select("id", "careers_url", "ats_provider", "result")
+
+
 @proof(f"SELECT id, status, CASE WHEN title LIKE '%SRE%' THEN {NOW_MS} ELSE expires_at END AS expires_at FROM listings_v")
 def expire_listings(spark, sf_dir):
     rows = view(spark, sf_dir, "listings_v")
