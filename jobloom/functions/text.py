@@ -298,6 +298,7 @@ def has_ai_tag(tags: Column) -> Column:
 
 def strip_generic_trail(value: Column) -> Column:
     """A heading without a trailing call to action, work place, or `City, ST`."""
+    # What is cut from a heading's end, in this order.
     steps = (
         (rf"(?i)(view[{WS}]*details|read[{WS}]*more|learn[{WS}]*more){DOT}*\z", ""),
         (rf"(?i)[{WS}]*(remote|anywhere|hybrid|on[- ]?site)[{WS}]*\z", ""),

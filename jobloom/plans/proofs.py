@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import detect, docs, html, text
 from jobloom.operators import ingest, maintain, probe, search
 from jobloom.plans.boards import _named
-from jobloom.plans.oracle import CONTENT, detected, escaped, squeeze
+from jobloom.plans.oracle import CONTENT, detected, escaped, role, squeeze
 from jobloom.schemas import LISTINGS
 from jobloom.sources import companies as directory
 from jobloom.sources import payloads
@@ -118,6 +118,7 @@ _FORM = {
 }
 
 
+# The messages of a form's errors.
 @proof(f"""WITH f AS (SELECT o_orderkey AS key, {", ".join(f"{by_sql('o_orderkey', *quoted(*values))} AS {name}" for name, values in _FORM.items())} FROM orders)
   SELECT key, CASE WHEN company_name = '' OR description = '' THEN 'Please fill in every required field.'
     WHEN NOT regexp_matches(company_website, '^https?://', 'i') THEN 'Company website must start with http(s)://.'
@@ -144,6 +145,7 @@ _FINE = {
 }
 
 
+# Fixed values in _DRAFTS: the messages of a draft's errors.
 @proof(f"SELECT event_id AS key, {by_sql('event_id', *quoted(*[error for _, error in _DRAFTS]))} AS error FROM events")
 def draft_errors(spark, sf_dir):
     """What is wrong with each draft of a payment, sent in chunks of its metadata."""
@@ -165,6 +167,7 @@ def web_links(spark, sf_dir):
 _TRAILS = ("Engineer view details now", "Engineer  Remote", "Engineer Paris, FR", "Engineer\n on site", "Read more", "Engineer Learn  More Remote")
 
 
+# What is cut from a heading's end.
 @proof(f"""SELECT seq, trim(regexp_replace(regexp_replace(regexp_replace(t, '(view\\s*details|read\\s*more|learn\\s*more).*$', '', 'i'), '\\s*(remote|anywhere|hybrid|on[- ]?site)\\s*$', '', 'i'),
     '\\s*([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*,\\s*[A-Z]{{2,}})\\s*$', '')) AS said, substr(sha1(apply_url), 1, 8) AS job_id FROM (
     SELECT seq, apply_url, title || ' - ' || replace({by_sql("seq", *[q.replace(chr(10), " ") for q in quoted(*_TRAILS)])}, '  ', ' ') AS t FROM raw_jobs_v)""")
@@ -407,4 +410,27 @@ def stored_companies(spark, sf_dir):
     return store.read("companies").select("id", "slug", "name", "website", "careers_probe_at", "created_at")
 
 
+@proof("""WITH h AS (SELECT p_partkey AS key, md5(CAST(p_partkey AS VARCHAR)) AS d FROM part)
+  SELECT key, CASE WHEN key % 5 < 3 THEN substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-' || substr(d, 13, 4) || '-' || substr(d, 17, 4) || '-' || substr(d, 21) END AS page_id FROM h""")
+def page_ids_of_html(spark, sf_dir):
+    """The id that a page of blocks names in its script: plain, dashed, in upper case, cut off or not there."""
+    k, d = F.col("p_partkey"), F.md5(F.col("p_partkey").cast("string").cast("binary"))
+    dashed = F.regexp_replace(d, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    told = F.when(k % 5 == 0, d).when(k % 5 == 1, dashed).when(k % 5 == 2, F.upper(d)).when(k % 5 == 3, F.substring(d, 1, 30))
+    page = F.concat(F.lit('<script>{"spaceId":"x", "pageId" : "'), told, F.lit('"}</script>'))
+    return table(spark, sf_dir, "part").select(k.alias("key"), text.page_id_of_html(F.coalesce(page, F.lit("<p>none</p>"))).alias("page_id"))
+
+
+@proof(f"""WITH r AS (SELECT l.id, c.slug, posted_at, row_number() OVER (PARTITION BY c.slug, {role("title", "l.id")} ORDER BY posted_at DESC, l.id) AS k
+    FROM listings_v l JOIN companies_v c ON c.id = l.company_id WHERE status = 'active' AND expires_at > {NOW_MS})
+  SELECT id, slug AS company_slug, posted_at FROM r WHERE k = 1 ORDER BY id LIMIT 1""")
+def listing_by_company_and_role(spark, sf_dir):
+    """The page of one role of one company: of all that roles' pages show, the first by id."""
+    rows, companies = view(spark, sf_dir, "listings_v"), view(spark, sf_dir, "companies_v")
+    first = search.newest_by_role_slug(rows, companies, NOW_MS).orderBy("id").limit(1).first()
+    if first is None:
+        return rows.limit(0).select("id", F.lit("").alias("company_slug"), "posted_at")
+    return search.by_role_slug(rows, companies, first.company_slug, first.role_slug, NOW_MS).select("id", "company_slug", "posted_at")
+
+
 SQL = {name: with_views(sql) for name, sql in _RAW.items()}
