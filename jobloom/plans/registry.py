@@ -456,7 +456,7 @@ def streamed_payments(spark, sf_dir):
     store = TableStore(spark, fresh_dir(spark, "store"))
     store.write("companies", view(spark, sf_dir, "companies_v"))
     landed = fresh_dir(spark, "events")
-    _payments(spark, sf_dir).coalesce(1).write.json(landed)
+    _payments(spark, sf_dir).write.json(landed)
     for _ in range(2):
         stream = events.fulfil_stream(store, events.read_events(spark, landed), fresh_dir(spark, "stream"))
         stream.trigger(availableNow=True).start().awaitTermination()
