@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions import detect, html, times
@@ -150,8 +150,9 @@ def waas(feeds: DataFrame, sites: DataFrame, boards: DataFrame) -> DataFrame:
     ranked = _exploded(feeds, html.feed_jobs_col(F.col("body"), F.col("slug"))).withColumn("rank", F.lit(0))
     for rank, rows in ((1, own), (2, boards)):
         ranked = ranked.unionByName(_exploded(rows, html.embed_jobs_col(F.col("html"), F.col("slug"))).withColumn("rank", F.lit(rank)))
-    best = ranked.groupBy("provider_slug").agg(F.min("rank").alias("rank"))
-    return ranked.join(best, ["provider_slug", "rank"]).drop("rank")
+    # A window, no join with the least ranks: that would parse every payload twice.
+    best = F.min("rank").over(Window.partitionBy("provider_slug"))
+    return ranked.withColumn("best", best).filter("rank = best").drop("rank", "best")
 
 
 # Where a website may embed a board.

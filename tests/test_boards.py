@@ -3,6 +3,7 @@
 import pytest
 
 from jobloom.functions import html
+from jobloom.plans import registry
 
 HREFS = ("/jobs/1", "/jobs/12/", "https://a.com/jobs/1", "https://A.com/jobs/1", "http://b.com/jobs/2", "jobs/3", "../jobs/4", "/jobs/./5", "/jobs/../x", "//b.com/jobs/1", "/jobs//6", "?x", "#y", "mailto:a@b",
          "https://a.com", "https://a.com:443/jobs/1", "/careers/", "/positions/a;b", "/jobs/1?x=1", " /jobs/9 ", "https://a..com/jobs/1", "/jobs/a\n", "/jobs/%41", "/jobs/é")
@@ -24,3 +25,8 @@ def test_places_in_the_source():
     page = "<p>a\nb</p>\n<article>\nx <b>y</b>\n</article>\n<br>z &am"
     assert html.main_content(page) == "\nx <b>y</b>\n"
     assert [page[n.start : n.end] for n in html.parse(page).all("b", "br")] == ["<b>y</b>", "<br>"]
+
+
+def test_board_payloads_are_parsed_once(spark, small):
+    plan = registry.queries()["described_board_jobs"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3
