@@ -67,18 +67,19 @@ def seed(t: Transaction, now_ms: int, args: argparse.Namespace) -> dict:
     return {"companies": t.rows("companies")}
 
 
-def _upserted(t: Transaction, batch: DataFrame, now_ms: int) -> dict[str, int]:
-    """Listings of a batch upserted; the stored rows that are read are those of the buckets that its ids fall into."""
-    merged = ingest.merged_listings(batch)
+def _upserted(t: Transaction, jobs: DataFrame, now_ms: int) -> dict[str, int]:
+    """Postings normalized and upserted; the stored rows that are read are those of the buckets that their ids fall into."""
+    merged = ingest.merged_postings(jobs, now_ms)
     return t.upsert("listings", ingest.changed_listings(t.rows_of("listings", merged.select("id")), merged, now_ms))
 
 
 def load(t: Transaction, now_ms: int, args: argparse.Namespace) -> dict:
     """Postings in --jobs (Parquet: RAW_JOBS with company_id, provider_slug, seq) normalized and upserted."""
     seen = Observation()
-    batch = ingest.normalize(t.spark.read.parquet(args.jobs), now_ms, body_chars=True).withColumn("provider", F.substring_index("id", ":", 1))
-    batch = batch.observe(seen, *[c.alias(p) for p, c in _of_each("provider", PROVIDERS).items()])
-    _upserted(t, batch.drop("provider"), now_ms)
+    jobs = t.spark.read.parquet(args.jobs)
+    jobs = jobs.withColumn("_named", F.substring_index(F.concat_ws(":", "provider", "provider_slug", "provider_job_id"), ":", 1))
+    jobs = jobs.observe(seen, *[c.alias(p) for p, c in _of_each("_named", PROVIDERS).items()])
+    _upserted(t, jobs.drop("_named"), now_ms)
     return dict(seen.get)
 
 
@@ -117,7 +118,7 @@ def scrape(t: Transaction, now_ms: int, args: argparse.Namespace) -> dict:
     bad = materialize(dispatch.unreadable(lists, details).observe(bad_seen, F.count(F.lit(1)).alias("n")), "unreadable")
     _beside(t, args, "quarantine", bad)
     _beside(t, args, "boards", jobs.groupBy("provider", "provider_slug", "company_id").agg(F.count("*").alias("postings")))
-    _upserted(t, ingest.normalize(jobs, now_ms, body_chars=True), now_ms)
+    _upserted(t, jobs, now_ms)
     return {"postings": dict(found.get), "unreadable": bad_seen.get["n"]}
 
 

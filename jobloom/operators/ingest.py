@@ -22,24 +22,37 @@ def normalize(jobs: DataFrame, now_ms: int, body_chars: bool = False) -> DataFra
 
     body_chars: with that column, the length of the description's text, which upserts look at.
     """
+    rows = _cleaned(jobs, now_ms)
+    kept = ["seq"] if "seq" in jobs.columns else []
+    kept += [F.length("plain").alias("body_chars")] * body_chars
+    return _told(rows).select(*kept, *_listing())
+
+
+def _cleaned(jobs: DataFrame, now_ms: int) -> DataFrame:
+    """jobs with their listing's id, their text as html and plain, when they were posted, and when they expire."""
     rows = jobs.withColumn("html", F.coalesce("description", F.lit("")))
-    rows = text.cleaned(rows, "html", "plain").withColumn("said", F.concat("title", F.lit(" "), "plain"))
+    rows = text.cleaned(rows, "html", "plain").withColumn("posted", times.parse_posted_at(F.col("posted_num"), F.col("posted_str"), now_ms))
+    return rows.withColumns({"id": F.concat_ws(":", "provider", "provider_slug", "provider_job_id"), "expires_at": times.expiry(F.col("posted"))})
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """rows of _cleaned with what their texts say: known words, pay and place."""
+    rows = rows.withColumn("said", F.concat("title", F.lit(" "), "plain"))
     rows = rows.withColumn("words", text.known_words(F.col("said")))
-    rows = rows.withColumns({
-        "pay": text.parse_compensation(F.concat("title", F.lit(" "), "said")), "place": text.parse_location(F.col("location")),
-        "posted": times.parse_posted_at(F.col("posted_num"), F.col("posted_str"), now_ms),
-    })
+    return rows.withColumns({"pay": text.parse_compensation(F.concat("title", F.lit(" "), "said")), "place": text.parse_location(F.col("location"))})
+
+
+def _listing() -> list[Column]:
+    """The columns of listings over rows of _told."""
     listing = {
-        "id": F.concat_ws(":", "provider", "provider_slug", "provider_job_id"), "company_id": F.col("company_id"), "title": F.col("title"),
+        "id": F.col("id"), "company_id": F.col("company_id"), "title": F.col("title"),
         "location_city": F.col("place.city"), "location_country": F.col("place.country"), "location_is_remote": F.col("place.is_remote"),
         "location_policy": F.col("place.policy"), "comp_min": F.col("pay.low"), "comp_max": F.col("pay.high"), "comp_currency": F.col("pay.currency"),
         "comp_equity": F.col("pay.equity"), "ai_stack": text.stack_of(F.col("words")), "ai_specialty": text.specialty_of(F.col("words")),
         "ai_compute_access": F.lit(None).cast("string"), "description_html": F.col("html"), "apply_url": F.col("apply_url"),
-        "posted_at": F.col("posted"), "expires_at": times.expiry(F.col("posted")), "updated_at": F.col("posted"), "status": F.lit("active"),
+        "posted_at": F.col("posted"), "expires_at": F.col("expires_at"), "updated_at": F.col("posted"), "status": F.lit("active"),
     }
-    kept = ["seq"] if "seq" in jobs.columns else []
-    kept += [F.length("plain").alias("body_chars")] * body_chars
-    return rows.select(*kept, *[listing[f.name].cast(f.dataType).alias(f.name) for f in LISTINGS.fields])
+    return [listing[f.name].cast(f.dataType).alias(f.name) for f in LISTINGS.fields]
 
 
 def assert_milliseconds(rows: DataFrame) -> DataFrame:
@@ -63,8 +76,12 @@ def long_enough(rows: DataFrame) -> DataFrame:
 
 def upsert_listings(listings: DataFrame, batch: DataFrame, now_ms: int) -> DataFrame:
     """listings with a batch (listings and `seq`, their order) upserted on id: see changed_listings."""
+    return upsert_merged(listings, merged_listings(batch), now_ms)
+
+
+def upsert_merged(listings: DataFrame, merged: DataFrame, now_ms: int) -> DataFrame:
+    """listings with a batch that merged_listings or merged_postings has brought to a row for each id."""
     names = [f.name for f in LISTINGS.fields]
-    merged = merged_listings(batch)
     # Of stored rows that a batch replaces only the company is needed, and the others only pass: a batch of few ids is
     # broadcast, and the snapshot isn't shuffled.
     return listings.select(*names).join(merged.select("id"), "id", "left_anti").unionByName(changed_listings(listings, merged, now_ms))
@@ -75,16 +92,27 @@ def merged_listings(batch: DataFrame) -> DataFrame:
 
     new: the last row; first_company: the first row's; n: rows of the id.
     """
-    names = [f.name for f in LISTINGS.fields]
+    return materialize(_merged(batch, body_length(batch), [f.name for f in LISTINGS.fields]), "batch")  # read three times
+
+
+def merged_postings(jobs: DataFrame, now_ms: int) -> DataFrame:
+    """merged_listings of normalize(jobs): only texts' bodies are worked out for all postings, the rest for those that are left."""
+    rows = _cleaned(jobs, now_ms)
+    last = _merged(rows, F.length("plain"), ["id", "company_id", "title", "location", "apply_url", "html", "plain", "posted", "expires_at"])
+    told = _told(last.select("first_company", "n", "new.*"))
+    return materialize(told.select("id", F.struct(*_listing()).alias("new"), "first_company", "n"), "batch")
+
+
+def _merged(batch: DataFrame, body: Column, names: list[str]) -> DataFrame:
+    """A row for each id of rows whose bodies are long enough: new (the columns `names` of the last by `seq`), first_company, n."""
     # No filter before the aggregate: Catalyst would push it below the texts' columns and work them out twice.
-    rows = batch.withColumn("_kept", body_length(batch) >= LEAST_BODY)
+    rows = batch.withColumn("_kept", body >= LEAST_BODY)
     in_ms = F.coalesce(F.col("expires_at") >= SECONDS, F.lit(False))
     rows = rows.withColumn("expires_at", F.when(F.col("_kept"), asserted(in_ms, F.col("expires_at"))).otherwise(F.col("expires_at")))
     order = F.when(F.col("_kept"), F.col("seq"))
-    merged = rows.groupBy("id").agg(
+    return rows.groupBy("id").agg(
         F.max_by(F.struct(*names), order).alias("new"), F.min_by("company_id", order).alias("first_company"), F.count_if("_kept").alias("n")
     ).filter("n > 0")
-    return materialize(merged, "batch")  # read three times
 
 
 def changed_listings(listings: DataFrame, merged: DataFrame, now_ms: int) -> DataFrame:

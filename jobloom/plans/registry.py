@@ -347,9 +347,8 @@ def optional_fields(spark, sf_dir):
 
 @register
 def upsert_listings(spark, sf_dir):
-    batch = ingest.normalize(view(spark, sf_dir, "raw_jobs_v"), NOW_MS, body_chars=True)
-    old = view(spark, sf_dir, "listings_v")
-    return ingest.upsert_listings(old, batch, NOW_MS)
+    merged = ingest.merged_postings(view(spark, sf_dir, "raw_jobs_v"), NOW_MS)
+    return ingest.upsert_merged(view(spark, sf_dir, "listings_v"), merged, NOW_MS)
 
 
 def _company_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -469,7 +468,7 @@ def stored_upsert(spark, sf_dir):
     store = TableStore(spark, fresh_dir(spark, "store"), bucket_rows=2_000)
     store.write("companies", view(spark, sf_dir, "companies_v"))
     store.write("listings", view(spark, sf_dir, "listings_v").filter("expires_at >= 10000000000"))
-    merged = ingest.merged_listings(ingest.normalize(view(spark, sf_dir, "raw_jobs_v"), NOW_MS, body_chars=True))
+    merged = ingest.merged_postings(view(spark, sf_dir, "raw_jobs_v"), NOW_MS)
 
     def work(t):
         t.upsert("listings", ingest.changed_listings(t.rows_of("listings", merged.select("id")), merged, NOW_MS))

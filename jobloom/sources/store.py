@@ -9,7 +9,11 @@ before or all of the one after.
 A table is spread over buckets by the hash of its ids. A manifest lists the bucket folders that make the table up, with
 their rows and the least and greatest expiry (listings are parted by status, too). An upsert reads and writes only the
 buckets that its ids fall into, rows that are new altogether are added beside the others, and all other folders are taken
-over by name. A whole write chooses the number of buckets anew. A manifest grows with the folders, never with the rows.
+over by name. A whole write chooses the number of buckets anew. A manifest grows with the buckets, never with the rows.
+
+Many small buckets would be many small files. So a write with more than LEAST_FOLDERS buckets lays neighbours into one folder,
+whose rows then name their bucket (`_bucket`); the manifest still has an entry for each bucket, and a reader drops the rows of
+buckets that it doesn't list. Where such rows would outnumber those of the buckets that are left, these are written anew, too.
 
 A commit's file is created at once and only once by a hard link on a local file system, and by a rename that refuses to
 replace on HDFS and what keeps its promises (viewfs, abfs, abfss). Object stores whose rename copies are refused.
@@ -40,6 +44,8 @@ KEEP, SPARED_MS = 8, 86_400_000
 BUCKET_ROWS, MOST_BUCKETS = 100_000, 65_536
 #: Folders of a bucket (and status) after which rows are no longer put beside them: the bucket is written anew.
 FOLDERS = 8
+#: Folders that a write may make whatever its rows; above that, one for BUCKET_ROWS rows.
+LEAST_FOLDERS = 32
 _COMMIT = re.compile(r"c-(\d{12})\.json")
 _RENAMING = ("hdfs", "viewfs", "abfs", "abfss")
 
@@ -52,6 +58,15 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def _one_of(column: str, numbers: set[int]) -> Column:
+    """Whether a column is one of some numbers: told by those that are missing between them, where these are fewer."""
+    low, high = min(numbers), max(numbers)
+    gaps = set(range(low, high + 1)) - numbers
+    fewer, some = (True, gaps) if len(gaps) < len(numbers) else (False, numbers)
+    among = F.expr(f"{column} IN ({', '.join(map(str, sorted(some)))})") if some else F.lit(False)
+    return F.col(column).between(low, high) & (~among if fewer else among)
+
+
 def _parts(name: str) -> list[str]:
     return ["bucket", "status"] if name == "listings" else ["bucket"]
 
@@ -158,12 +173,23 @@ class TableStore:
         of: dict[str, list[dict[str, Any]]] = {}
         for e in entries:
             of.setdefault(e["path"].split("/")[0], []).append(e)
-        paths = [p for top, own in of.items() for p in ([top] if len(own) == own[0]["of"] else [e["path"] for e in own])]
+        paths, listed = [], []
+        for top, own in of.items():
+            folders, whole = dict.fromkeys(e["path"] for e in own), len(own) == own[0]["of"]
+            paths += [top] if whole or len(folders) == own[0].get("folders") else folders
+            if "held" in own[0] and not whole:
+                listed.append((F.col("data") == top.removeprefix("data="), _one_of("_bucket", {e["bucket"] for e in own})))
         own = [f for f in fields if f.name not in _parts(name)]
         parts = [T.StructField(p, TABLES[name][p].dataType if p in TABLES[name].names else T.IntegerType()) for p in _parts(name)]
-        schema = T.StructType([*own, T.StructField("data", T.StringType()), *parts])
+        schema = T.StructType([*own, T.StructField("_bucket", T.IntegerType()), T.StructField("data", T.StringType()), *parts])
         base = f"{self.root}/{name}"
-        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{p}" for p in paths]).select(*[f.name for f in fields])
+        rows = self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{p}" for p in paths])
+        if listed:
+            fits = F.when(*listed[0])
+            for here, one in listed[1:]:
+                fits = fits.when(here, one)
+            rows = rows.filter(fits.otherwise(F.lit(True)))
+        return rows.select(*[f.name for f in fields])
 
     def read(self, name: str) -> DataFrame:
         """The table of the newest commit; an empty one where there is none."""
@@ -305,27 +331,41 @@ class Transaction:
     def _touched(ids: DataFrame, buckets: int) -> set[int]:
         return {r.b for r in ids.select(bucket_of(F.col("id"), buckets).alias("b")).distinct().collect()} if buckets else set()
 
-    def _written(self, name: str, rows: DataFrame, buckets: int) -> list[dict[str, Any]]:
-        """Entries of rows, written in buckets in order of expiry."""
+    def _written(self, name: str, rows: DataFrame, buckets: int, about: int) -> list[dict[str, Any]]:
+        """Entries of rows, written in buckets in order of expiry. about: how many rows these are, which says how many folders they get."""
         data, parts = f"data={uuid.uuid4().hex}", _parts(name)
         where = f"{self.store.root}/{name}/{data}"
-        order = [*parts, *["expires_at"] * (name == "listings")]
-        spread = rows.withColumn("bucket", bucket_of(F.col("id"), buckets)).repartition("bucket").sortWithinPartitions(*order)
+        folders = min(buckets, max(LEAST_FOLDERS, about // BUCKET_ROWS))
+        shared = ["_bucket"] * (folders < buckets)
+        spread = rows.withColumn("bucket", bucket_of(F.col("id"), buckets))
+        if shared:
+            spread = spread.withColumn("_bucket", F.col("bucket")).withColumn("bucket", F.expr(f"int(bigint(_bucket) * {folders} div {buckets})"))
+        order = [*parts, *shared, *["expires_at"] * (name == "listings")]
         self.folders.append(where)
-        spread.write.partitionBy(*parts).parquet(where)
+        spread.repartition("bucket").sortWithinPartitions(*order).write.partitionBy(*parts).parquet(where)
         back = self.spark.read.schema(self._schema_with_parts(name)).parquet(where)
         bounds = [F.min("expires_at").alias("low"), F.max("expires_at").alias("high")] if name == "listings" else [F.lit(None).alias("low"), F.lit(None).alias("high")]
-        found = back.groupBy(*parts).agg(F.count("*").alias("rows"), *bounds).collect()
+        found = back.groupBy(*parts, *shared).agg(F.count("*").alias("rows"), *bounds).collect()
+        held: dict[int, int] = {}
+        for r in found:
+            held[r.bucket] = held.get(r.bucket, 0) + r.rows
         entries = []
         for r in found:
             status = r.status if name == "listings" else None
             folder = "" if name != "listings" else f"/status={'__HIVE_DEFAULT_PARTITION__' if status is None else status}"
-            entries.append({"path": f"{data}/bucket={r.bucket}{folder}", "bucket": r.bucket, "status": status, "rows": r.rows, "low": r.low, "high": r.high, "of": len(found)})
+            bucket = r._bucket if shared else r.bucket
+            entries.append({"path": f"{data}/bucket={r.bucket}{folder}", "bucket": bucket, "status": status, "rows": r.rows, "low": r.low, "high": r.high, "of": len(found)})
+            if shared:
+                entries[-1]["held"] = held[r.bucket]
+        if shared:
+            made = len({e["path"] for e in entries})
+            for e in entries:
+                e["folders"] = made
         return entries
 
     @staticmethod
     def _schema_with_parts(name: str) -> T.StructType:
-        return T.StructType([*TABLES[name].fields, T.StructField("bucket", T.IntegerType())])
+        return T.StructType([*TABLES[name].fields, T.StructField("_bucket", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
 
     def _take(self, name: str, buckets: int, entries: list[dict[str, Any]]) -> None:
         version = f"m-{uuid.uuid4().hex}"
@@ -337,8 +377,9 @@ class Transaction:
         """A whole table in place of the one there was."""
         self.store.assert_known_columns(name, rows)
         rows = materialize(self.store.migrated(name, rows), "table")
-        buckets = min(MOST_BUCKETS, max(1, -(-rows.count() // self.store.bucket_rows)))
-        entries = self._written(name, rows, buckets)
+        n = rows.count()
+        buckets = min(MOST_BUCKETS, max(1, -(-n // self.store.bucket_rows)))
+        entries = self._written(name, rows, buckets, n)
         discard(rows)
         if check:
             constraints.validate(name, self.store.frame(name, entries), {p: self.read(p) for p in TABLES if p != name})
@@ -365,13 +406,39 @@ class Transaction:
             self._check(name, own, old, rest)
             known = stored.select("id").join(ids, "id", "left_semi")
             beside = max([0, *self._folders(old).values()]) < FOLDERS and gone is None and known.isEmpty()
-            kept = own if beside else stored.join(ids, "id", "left_anti").unionByName(own)
-            entries = self._written(name, kept, buckets)
+            about, kept = out["rows"], own
+            if not beside:
+                touched = self._widened(manifest["entries"], touched)
+                old = [e for e in manifest["entries"] if e["bucket"] in touched]
+                rest = [e for e in manifest["entries"] if e["bucket"] not in touched]
+                kept = self.store.frame(name, old).join(ids, "id", "left_anti").unionByName(own)
+                about += sum(e["rows"] for e in old)
+            entries = self._written(name, kept, buckets, about)
             self._take(name, buckets, (manifest["entries"] if beside else rest) + entries)
             out["buckets"], out["written"] = len(touched), sum(e["rows"] for e in entries)
         discard(own)
         return out | {"buckets": out.get("buckets", 0), "written": out.get("written", 0)}
 
+    @staticmethod
+    def _widened(entries: list[dict[str, Any]], touched: set[int]) -> set[int]:
+        """Buckets to write anew: those touched, and what they leave of a shared folder that then holds more rows that nothing lists
+        than its other buckets have in all."""
+        rows: dict[int, int] = {}
+        shared: dict[str, list[dict[str, Any]]] = {}
+        for e in entries:
+            rows[e["bucket"]] = rows.get(e["bucket"], 0) + e["rows"]
+            if "held" in e:
+                shared.setdefault("/".join(e["path"].split("/")[:2]), []).append(e)
+        more = touched
+        while more:
+            touched, more = touched | more, set()
+            for own in shared.values():
+                left = [e for e in own if e["bucket"] not in touched]
+                others = {e["bucket"] for e in left}
+                if own[0]["held"] - sum(e["rows"] for e in left) > sum(rows[b] for b in others):
+                    more |= others
+        return touched
+
     @staticmethod
     def _folders(entries: list[dict[str, Any]]) -> dict[tuple, int]:
         found: dict[tuple, int] = {}

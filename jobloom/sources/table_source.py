@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,18 +108,24 @@ class TableReader(D.DataSourceReader):
 
     def partitions(self) -> list[D.InputPartition]:
         entries = _entries(self.root, self.table, self.commit)
-        return [D.InputPartition((e["path"], e["status"])) for e in entries if all(may_fit(e, w) for w in self.wanted)] or [D.InputPartition(None)]
+        fit = [e for e in entries if all(may_fit(e, w) for w in self.wanted)]
+        buckets: dict[tuple[str, str], list[int]] = {}
+        for e in fit:
+            buckets.setdefault((e["path"], e["status"]), []).extend([e["bucket"]] * ("held" in e))
+        return [D.InputPartition((*key, own)) for key, own in buckets.items()] or [D.InputPartition(None)]
 
     def read(self, partition: D.InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:
             return
-        folder, status = partition.value
+        folder, status, buckets = partition.value  # buckets: those to be read of a folder that several share
         files, path = _files(f"{self.root}/{self.table}/{folder}")
         for info in files.get_file_info(fs.FileSelector(path)):
             if not info.path.endswith(".parquet"):
                 continue
             with files.open_input_file(info.path) as f:
                 for batch in pq.ParquetFile(f).iter_batches(batch_size=8192):
+                    if buckets:
+                        batch = batch.filter(pc.is_in(batch.column("_bucket"), pa.array(buckets, pa.int32())))
                     own = {n: batch.column(n).cast(_ARROW[kind]) if n in batch.schema.names else pa.array([status if n == "status" else None] * batch.num_rows, _ARROW[kind]) for n, kind in self.columns}
                     yield pa.RecordBatch.from_arrays(list(own.values()), list(own))
 

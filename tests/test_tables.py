@@ -9,7 +9,8 @@ from jobloom.functions import html
 from jobloom.operators import constraints, fulfil, ingest, maintain, search
 from jobloom.schemas import COMPANIES, LISTINGS, PAID_LISTINGS, THIRTY_DAYS_MS
 from jobloom.sources import companies as directory
-from jobloom.sources.store import Conflict, TableStore
+from jobloom.sources import table_source
+from jobloom.sources.store import LEAST_FOLDERS, Conflict, TableStore
 from jobloom.sources.views import NOW_MS, view
 from jobloom.streaming import events
 
@@ -244,6 +245,70 @@ def test_an_upsert_writes_only_the_buckets_it_touches(spark, tmp_path):
     assert store.transact(lambda t: t.upsert("listings", listings(spark))) == {"rows": 0, "buckets": 0, "written": 0}
 
 
+def test_small_buckets_share_folders(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/db", bucket_rows=2)
+    store.write("companies", spark.createDataFrame([company("c1")], COMPANIES))
+    rows = [listing(f"l{i}", title=f"t{i}", expires_at=NOW_MS + i, status="active" if i % 3 else "expired") for i in range(400)]
+    store.write("listings", listings(spark, *rows))
+    files = lambda: {p for p in (tmp_path / "db/listings").rglob("*.parquet")}
+    entries = lambda: store.manifest("listings", store.current("listings"))["entries"]
+    assert store.manifest("listings", store.current("listings"))["buckets"] == 200 and len(files()) <= 2 * LEAST_FOLDERS < len(entries())
+    want = {r[0]: r for r in rows}
+
+    def same():
+        table_source.views(spark, store.root, prefix="shared_")
+        assert {r.id: tuple(r) for r in store.read("listings").collect()} == want
+        assert sorted(map(tuple, spark.table("shared_listings").collect()), key=str) == sorted(want.values(), key=str)
+        late = spark.sql(f"SELECT id FROM shared_listings WHERE status = 'active' AND expires_at > {NOW_MS + 390}").collect()
+        assert sorted(r.id for r in late) == sorted(k for k, r in want.items() if r[LISTINGS.names.index("status")] == "active" and r[LISTINGS.names.index("expires_at")] > NOW_MS + 390)
+        assert sum(e["rows"] for e in entries()) == len(want)
+
+    same()
+    known, before = files(), entries()
+    done = store.transact(lambda t: t.upsert("listings", listings(spark, listing("l7", title="new"), listing("fresh"))))
+    assert 1 <= done["buckets"] <= 2 and done["written"] < 20 and 0 < len(files() - known) <= 4
+    assert sum(e in entries() for e in before) >= len(before) - 4
+    want |= {"l7": listing("l7", title="new"), "fresh": listing("fresh")}
+    same()
+    one = spark.createDataFrame([("l9",)], "id string")
+    assert 1 <= store.begin().rows_of("listings", one).count() < 20 and store.begin().rows_of("listings", one).filter("id = 'l9'").count() == 1
+    # What upserts leave behind is at most as much as the listed rows of the buckets beside it.
+    for k in range(3):
+        more = [listing(f"l{i}", title=f"r{k}") for i in range(k, 400, 4)]
+        store.transact(lambda t: t.upsert("listings", listings(spark, *more)))  # noqa: B023
+        want |= {r[0]: r for r in more}
+        same()
+        listed, held, total = {}, {}, {}
+        for e in entries():
+            total[e["bucket"]] = total.get(e["bucket"], 0) + e["rows"]
+        for e in entries():
+            folder = "/".join(e["path"].split("/")[:2])
+            listed.setdefault(folder, []).append(e)
+            held[folder] = e["held"]
+        assert all(held[f] - sum(e["rows"] for e in own) <= sum(total[b] for b in {e["bucket"] for e in own}) for f, own in listed.items())
+    store.transact(lambda t: t.remove("listings", spark.createDataFrame([("l7",), ("nobody",)], "id string")))
+    del want["l7"]
+    same()
+    with pytest.raises(ValueError, match="unique id"):
+        store.transact(lambda t: t.upsert("listings", listings(spark, listing("a"), listing("a"))))
+
+
+def test_postings_are_merged_before_their_texts_are_read(spark, small, monkeypatch):
+    jobs = view(spark, small, "raw_jobs_v")
+    key = lambda rows: sorted(map(str, rows.collect()))
+    want = key(ingest.merged_listings(ingest.normalize(jobs, NOW_MS, body_chars=True)))
+    read, merged = [], ingest._told
+    monkeypatch.setattr(ingest, "_told", lambda rows: read.append(rows.count()) or merged(rows))
+    assert key(ingest.merged_postings(jobs, NOW_MS)) == want and read == [len(want)] and 0 < len(want) < jobs.count()
+    # A posting that isn't the last of its id is still held to milliseconds.
+    body = F.lit("long enough " * 12)
+    twice = jobs.limit(1).withColumns({"description": body, "posted_num": F.lit(-3_000_000_000_000).cast("double"), "posted_str": F.lit(None).cast("string")})
+    later = twice.withColumns({"seq": F.col("seq") + 1, "posted_num": F.lit(996_000_000).cast("double")})
+    with pytest.raises(Exception, match="not in milliseconds"):
+        ingest.merged_postings(twice.unionByName(later), NOW_MS)
+    assert ingest.merged_postings(later, NOW_MS).count() == 1
+
+
 def test_upserts_of_the_store_keep_constraints(spark, tmp_path):
     store = TableStore(spark, f"file://{tmp_path}/db", bucket_rows=2)
     store.write("companies", spark.createDataFrame([company("c1"), company("c2"), company("c3")], COMPANIES))
