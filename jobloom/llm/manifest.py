@@ -10,10 +10,10 @@ and stops: trees of any height climb together. In the reverse supersteps, from t
 path that it got itself, with the child's siblings put before it, until the leaves' parents hold it; each leaf is folded
 there, as it is now, with its path, and compared with the root.
 
-A vertex has at most `ARITY` messages, which are combined before the shuffle; leaves are numbered by distributed ranks, so
-siblings mostly lie in one task and only their parent's list moves. Each level is written to the shared folder, so a lost
-executor costs a part of one superstep; their number is the tree's height. The driver learns how many rows the largest
-group has, how many groups there are, and the root.
+A vertex has at most `ARITY` messages; those that follow each other are combined before the shuffle. Leaves are numbered by
+distributed ranks, so siblings mostly do, and only their parent's list moves. A task holds its vertices, about `VERTICES` at
+most, in memory. Each level is written to the shared folder, so a lost executor costs a part of one superstep; their number
+is the tree's height. The driver learns how many rows the largest group has, how many groups there are, and the root.
 
 Defined cases: nulls are hashed as `-`; a null group is a group, the first; rows of equal id are ordered by leaf, and a null
 id comes first and isn't tampered with; repeated rows are leaves each; extra columns are not read; an empty table has no
@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import count
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,38 +83,68 @@ class _Steps:
             delete_folder(self.spark, folder)
         self.folders.clear()
 
-    def tasks(self, vertices: int) -> int:
+    def tasks(self, leaves: int, trees: int, level: int) -> int:
+        """Tasks for a level of parents over so many leaves in all; in each tree that is high enough one may have a single child."""
+        vertices = leaves // self.arity ** (level + 1) + min(trees, leaves // self.arity**level)
         return max(1, -(-vertices // VERTICES), min(-(-vertices // FEW), 2 * self.spark.sparkContext.defaultParallelism))
 
+    def dealt(self, pairs: RDD, tasks: int) -> RDD:
+        """pairs with those of a vertex in one task.
+
+        Where a session deals to more partitions than asked for, they are put together before Python opens them: one that it
+        opens costs tens of milliseconds, with or without rows, and those of one task follow each other.
+        """
+        return pairs.partitionBy(tasks).coalesce(tasks)
+
     def gathered(self, messages: RDD, tasks: int) -> RDD:
         """(parent, (size of the children's level, children in order)) of messages (parent, (size, place in the run, payload))."""
         arity = self.arity
 
-        def completed(vertex):
-            (tree, place), found = vertex
-            size = found[0][0]
-            children = sorted((k, payload) for _, k, payload in found)
-            if [k for k, _ in children] != list(range(min(arity, size - arity * place))):
-                raise ValueError(f"children of vertex {place} of tree {tree} are missing")
-            return (tree, place), (size, [payload for _, payload in children])
-
-        def extended(found, message):
-            found.append(message)
-            return found
-
-        def merged(found, more):
-            found.extend(more)
-            return found
-
-        return messages.combineByKey(lambda m: [m], extended, merged, tasks).map(completed).coalesce(tasks)
-
-    def upward(self, leaves: RDD, vertices: int, largest: int, digest_of) -> tuple[list[RDD], RDD]:
+        def combined(part):
+            for vertex, run in groupby(part, itemgetter(0)):
+                yield vertex, [message for _, message in run]
+
+        def completed(part):
+            vertices = {}
+            for vertex, more in part:
+                vertices.setdefault(vertex, []).extend(more)
+            while vertices:
+                (tree, place), found = vertices.popitem()
+                size = found[0][0]
+                children = sorted((k, payload) for _, k, payload in found)
+                if [k for k, _ in children] != list(range(min(arity, size - arity * place))):
+                    raise ValueError(f"children of vertex {place} of tree {tree} are missing")
+                yield (tree, place), (size, [payload for _, payload in children])
+
+        return self.dealt(messages.mapPartitions(combined), tasks).mapPartitions(completed)
+
+    def answered(self, level: RDD, messages: RDD, tasks: int) -> RDD:
+        """(vertex, (size, children, path)) of a level (vertex, (size, children)) and each vertex's message, its path."""
+
+        def met(part):
+            waiting = {}
+            for vertex, (own, value) in part:
+                if vertex not in waiting:
+                    waiting[vertex] = own, value
+                    continue
+                was_own, other = waiting.pop(vertex)
+                if was_own == own:
+                    raise ValueError(f"vertex {vertex[1]} of tree {vertex[0]} was met twice")
+                (size, children), path = (value, other) if own else (other, value)
+                yield vertex, (size, children, path)
+            if waiting:
+                raise ValueError(f"{len(waiting)} vertices or paths have no counterpart")
+
+        both = level.map(lambda v: (v[0], (True, v[1]))).union(messages.map(lambda m: (m[0], (False, m[1]))))
+        return self.dealt(both, tasks).mapPartitions(met)
+
+    def upward(self, leaves: RDD, total: int, trees: int, largest: int, digest_of) -> tuple[list[RDD], RDD]:
         """Levels of parents (vertex, (size, children)), lowest first, and (tree, (level that has its top, digest of the top)).
 
-        leaves: (tree, place, size of the tree, payload), digest_of the digest of a payload. Parents of parents have digests.
+        leaves: `total` (tree, place, size of the tree, payload), digest_of the digest of a payload. Parents of parents have digests.
         """
         arity = self.arity
-        level = self.gathered(leaves.map(lambda leaf: ((leaf[0], leaf[1] // arity), (leaf[2], leaf[1] % arity, leaf[3]))), self.tasks(vertices // arity))
+        level = self.gathered(leaves.map(lambda leaf: ((leaf[0], leaf[1] // arity), (leaf[2], leaf[1] % arity, leaf[3]))), self.tasks(total, trees, 0))
         levels, tops = [self.written(level, "merkle-level")], []
 
         def reported(vertex, read):
@@ -123,26 +154,25 @@ class _Steps:
 
         read = digest_of
         while True:
-            vertices, largest = -(-vertices // arity), -(-largest // arity)
+            largest = -(-largest // arity)
             up = levels[-1].map(lambda vertex, read=read: reported(vertex, read))
             tops.append(up.filter(lambda v: v[2] == 1).map(lambda v, height=len(levels) - 1: (v[0], (height, v[3]))))
             if largest <= 1:
                 return levels, self.spark.sparkContext.union(tops)
             sent = up.filter(lambda v: v[2] > 1).map(lambda v: ((v[0], v[1] // arity), (v[2], v[1] % arity, v[3])))
-            levels.append(self.written(self.gathered(sent, self.tasks(vertices // arity)), "merkle-level"))
+            levels.append(self.written(self.gathered(sent, self.tasks(total, trees, len(levels))), "merkle-level"))
             read = bytes
 
-    def downward(self, levels: list[RDD], tops: RDD, vertices: int) -> RDD:
+    def downward(self, levels: list[RDD], tops: RDD, total: int, trees: int) -> RDD:
         """(vertex, (size, children, path)) of the lowest level: the siblings on the way up from there, then those above the tree.
 
         tops: (tree, (level that has its top, path above the tree)).
         """
         arity, below, sent = self.arity, None, None
         for k in range(len(levels) - 1, -1, -1):
-            tasks = self.tasks(vertices // arity ** (k + 1))
             message = tops.filter(lambda t, k=k: t[1][0] == k).map(lambda t: ((t[0], 0), t[1][1]))
             message = message if sent is None else message.union(sent)
-            below = levels[k].join(message, tasks).map(lambda v: (v[0], (*v[1][0], v[1][1]))).coalesce(tasks)
+            below = self.answered(levels[k], message, self.tasks(total, trees, k))
             if k:
 
                 def to_children(vertex):
@@ -181,9 +211,9 @@ def verify(rows: DataFrame, arity: int = ARITY) -> DataFrame:
     own = numbered.select("tree", "place", "size", "doc_id", "leaf", "now").rdd.map(
         lambda r: (r[0], r[1], r[2], (r[3], bytes(r[4]), None if r[5] is None else bytes(r[5])))
     )
-    levels, subroots = steps.upward(own, bounds["all"], bounds.largest, lambda payload: payload[1])
+    levels, subroots = steps.upward(own, bounds["all"], bounds.n, bounds.largest, lambda payload: payload[1])
     n = bounds.n
-    above, tops = steps.upward(subroots.map(lambda s: (0, s[0], n, s[1])), n, n, lambda payload: payload[1])
+    above, tops = steps.upward(subroots.map(lambda s: (0, s[0], n, s[1])), n, 1, n, lambda payload: payload[1])
     height, root = tops.first()[1]
     start = spark.sparkContext.parallelize([(0, (height, b""))], 1)
 
@@ -193,8 +223,8 @@ def verify(rows: DataFrame, arity: int = ARITY) -> DataFrame:
             # A tree's path starts with its subroot: the leaves report that, too.
             yield place * arity + j, (height, own + b"".join(c[1] for i, c in enumerate(children) if i != j) + path)
 
-    entering = steps.written(steps.downward(above, start, n).flatMap(to_tops), "merkle-tops")
-    found = steps.downward(levels, entering, bounds["all"])
+    entering = steps.written(steps.downward(above, start, n, 1).flatMap(to_tops), "merkle-tops")
+    found = steps.downward(levels, entering, bounds["all"], n)
 
     def checked(vertex):
         (tree, place), (size, children, path) = vertex

@@ -1,9 +1,11 @@
 """The Merkle manifest against a plain tree over small tables: heights, ties, nulls, single rows and tampering."""
 
 import hashlib
+import re
 import zlib
 
 import pytest
+from pyspark import RDD
 
 from jobloom.llm import manifest
 from tests.llm.test_queries import folder  # noqa: F401
@@ -91,3 +93,52 @@ def test_missing_children_are_an_error(spark):
     lost = spark.sparkContext.parallelize([((0, 0), (3, 0, b"a")), ((0, 0), (3, 2, b"c"))])
     with pytest.raises(Exception, match="missing"):
         steps.gathered(lost, 1).collect()
+
+
+@pytest.fixture
+def many_partitions(monkeypatch):
+    """Pairs are dealt to 64 partitions at least, most of them empty."""
+    deal = RDD.partitionBy
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, n, *more: deal(self, max(64, n or 0), *more))
+
+
+def put_together_by_spark(rdd):
+    """Whether partitions of the last stage are put together before Python opens them."""
+    stage = rdd.toDebugString().decode().partition("+-")[0]
+    kinds = re.findall(r"(\w+RDD)\[", stage)
+    return "PythonRDD" in kinds and "PythonRDD" not in kinds[kinds.index("CoalescedRDD") :]
+
+
+def test_python_opens_no_more_partitions_than_tasks(spark, many_partitions):
+    steps = manifest._Steps(spark, 8)
+    messages = spark.sparkContext.parallelize([((t, 0), (2, k, bytes([t, k]))) for t in range(20) for k in range(2)], 3)
+    level = steps.gathered(messages, 2)
+    assert sorted(level.collect()) == [((t, 0), (2, [bytes([t, 0]), bytes([t, 1])])) for t in range(20)]
+    paths = spark.sparkContext.parallelize([((t, 0), bytes([t])) for t in range(20)], 3)
+    below = steps.downward([level], paths.map(lambda p: (p[0][0], (0, p[1]))), 40, 20)
+    assert sorted(below.collect()) == [((t, 0), (2, [bytes([t, 0]), bytes([t, 1])], bytes([t]))) for t in range(20)]
+    assert level.getNumPartitions() == 2 and put_together_by_spark(level)
+    assert below.getNumPartitions() == 1 and put_together_by_spark(below)
+
+
+def test_manifest_over_many_partitions(spark, folder, many_partitions):  # noqa: F811
+    rows = documents({"en": 80, "de": 9, None: 1})
+    got = manifest.query(spark, folder(documents=[(*row, 1.0, "clash") for row in rows])).collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows)
+
+
+@pytest.mark.parametrize("level, paths", [([0, 1], [0]), ([0], [0, 1]), ([0, 0], []), ([], [0, 0])])
+def test_a_vertex_has_one_path(spark, level, paths):
+    steps = manifest._Steps(spark, 8)
+    level = spark.sparkContext.parallelize([((0, p), (8, [b"a"])) for p in level], 1)
+    paths = spark.sparkContext.parallelize([((0, p), b"") for p in paths], 1)
+    with pytest.raises(Exception, match="counterpart|twice"):
+        steps.answered(level, paths, 1).collect()
+
+
+def test_tasks_of_many_small_trees(spark):
+    steps, most = manifest._Steps(spark, 8), manifest.VERTICES
+    assert steps.tasks(10**7, 10**7, 0) >= 10**7 / most  # trees of one leaf: a vertex each
+    assert steps.tasks(9 * 10**6, 10**6, 1) >= 10**6 / most  # of nine: two parents each, then one
+    assert steps.tasks(10**9, 4, 0) == -(-(10**9 // 8 + 4) // most)
+    assert steps.tasks(10**9, 10**8, 8) == 1
